@@ -57,11 +57,13 @@ def text_or_empty(text: str | Column) -> Column:
 def words(text: Column) -> Column:
     """Words as an array: runs without space, \\t, \\n, \\v, \\f, \\r. Null and blank text give none.
 
-    One translate() makes every separator a space, so that the split is on one
-    plain character, and one filter drops what lies between adjacent separators.
+    Every other separator is replaced by a space, each a plain byte search, so that
+    the split is on one character; the empty strings between adjacent spaces go.
     """
-    spaced = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
-    return F.filter(F.split(spaced, " "), lambda w: w != F.lit(""))
+    spaced = F.coalesce(text, F.lit(""))
+    for other in SPACES[1:]:
+        spaced = F.replace(spaced, F.lit(other), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def word_count(text: Column) -> Column:

@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, sharding
+from millrace.llm import mixing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_distribution_divergence": quality.op3,
         "op5_interleaved_shards": sharding.op5,
         "op6_hash_threshold_mix": mixing.op6,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_hash_threshold_mix": mixing.OP6_SQL}
+    return {
+        "op3_distribution_divergence": quality.OP3_SQL,
+        "op6_hash_threshold_mix": mixing.OP6_SQL,
+    }
