@@ -87,4 +87,33 @@ def ship_by_value(module_name: str) -> None:
     register_pickle_by_value(sys.modules[module_name])
 
 
+#: Bits of the bitmap that maybe_in() broadcasts: 2**BITMAP_BITS / 64 rows of two longs, whatever the data.
+BITMAP_BITS = 22
+
+
+def flag_maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits: int = BITMAP_BITS) -> DataFrame:
+    """Adds _maybe: false only where `key` is certainly not among `keys`.
+
+    The keys are hashed into a bitmap of fixed size, held as rows (slot, 64
+    bits), so the broadcast has a proven bound at any size of the data. It only
+    saves shuffling rows that an exact join would drop: where many keys fill the
+    bitmap more rows are flagged, never fewer.
+    """
+    place = F.pmod(F.xxhash64(keys_key), F.lit(1 << bits))
+    bitmap = (
+        keys.select(place.alias("_place"))
+        .groupBy(F.expr("_place div 64").alias("_slot"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(_place % 64 as int))")).alias("_bits"))
+    )
+    at = df.withColumn("_at", F.pmod(F.xxhash64(key), F.lit(1 << bits)))
+    joined = at.join(F.broadcast(bitmap), F.expr("_at div 64") == F.col("_slot"), "left")
+    found = F.coalesce(F.expr("shiftright(_bits, cast(_at % 64 as int)) & 1L") == 1, F.lit(False))
+    return joined.withColumn("_maybe", found).drop("_at", "_slot", "_bits")
+
+
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits: int = BITMAP_BITS) -> DataFrame:
+    """The rows of `df` whose key may be among `keys`: all that are, and few others."""
+    return flag_maybe_in(df, key, keys, keys_key, bits).filter("_maybe").drop("_maybe")
+
+
 ship_by_value(__name__)

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, quality, sharding
+from millrace.llm import exact_dedup, mixing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_distribution_divergence": quality.op3,
+        "op4_streaming_dedup": exact_dedup.op4,
         "op5_interleaved_shards": sharding.op5,
         "op6_hash_threshold_mix": mixing.op6,
     }
@@ -20,5 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracles() -> dict[str, str]:
     return {
         "op3_distribution_divergence": quality.OP3_SQL,
+        "op4_streaming_dedup": exact_dedup.OP4_SQL,
         "op6_hash_threshold_mix": mixing.OP6_SQL,
     }
