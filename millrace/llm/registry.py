@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, mixing, quality, sharding
+from millrace.llm import chat, exact_dedup, mixing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_perspective_rotation": chat.op1,
         "op3_distribution_divergence": quality.op3,
         "op4_streaming_dedup": exact_dedup.op4,
         "op5_interleaved_shards": sharding.op5,
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracles() -> dict[str, str]:
     return {
+        "op1_perspective_rotation": chat.OP1_SQL,
         "op3_distribution_divergence": quality.OP3_SQL,
         "op4_streaming_dedup": exact_dedup.OP4_SQL,
         "op6_hash_threshold_mix": mixing.OP6_SQL,
