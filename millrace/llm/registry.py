@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, exact_dedup, mixing, quality, sharding
+from millrace.llm import chat, exact_dedup, licenses, mixing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_streaming_dedup": exact_dedup.op4,
         "op5_interleaved_shards": sharding.op5,
         "op6_hash_threshold_mix": mixing.op6,
+        "op9_license_rules": licenses.op9,
     }
 
 
