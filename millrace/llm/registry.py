@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, exact_dedup, licenses, mixing, quality, sharding
+from millrace.llm import chat, exact_dedup, licenses, mixing, packing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_perspective_rotation": chat.op1,
+        "op2_swap_packing": packing.op2,
         "op3_distribution_divergence": quality.op3,
         "op4_streaming_dedup": exact_dedup.op4,
         "op5_interleaved_shards": sharding.op5,
