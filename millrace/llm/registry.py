@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, exact_dedup, licenses, mixing, packing, quality, sharding
+from millrace.llm import chat, exact_dedup, html, licenses, mixing, packing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_streaming_dedup": exact_dedup.op4,
         "op5_interleaved_shards": sharding.op5,
         "op6_hash_threshold_mix": mixing.op6,
+        "op7_site_templates": html.op7,
         "op9_license_rules": licenses.op9,
     }
 
