@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, exact_dedup, html, licenses, mixing, packing, quality, sharding
+from millrace.llm import chat, exact_dedup, html, licenses, mixing, packing, quality, sharding, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_hash_threshold_mix": mixing.op6,
         "op7_site_templates": html.op7,
         "op9_license_rules": licenses.op9,
+        "op10_levelwise_doubling": substrings.op10,
     }
 
 
