@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, exact_dedup, html, licenses, mixing, packing, quality, sharding, substrings
+from millrace.llm import chat, exact_dedup, html, licenses, minhash, mixing, packing, quality, sharding, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_interleaved_shards": sharding.op5,
         "op6_hash_threshold_mix": mixing.op6,
         "op7_site_templates": html.op7,
+        "op8_superminhash": minhash.op8,
         "op9_license_rules": licenses.op9,
         "op10_levelwise_doubling": substrings.op10,
     }
