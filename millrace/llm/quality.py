@@ -175,7 +175,10 @@ def quality_filter(docs: DataFrame, *, text_col: str = "text", lang_col: str = "
     columns = docs.columns
     of = references(with_histograms(docs.select(F.col(text_col).alias("_in"), F.col(lang_col).alias("_lang")), "_in"), "_lang")
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(text_col).alias("_in"))
-    return with_verdict(with_base(with_histograms(boxed, "_in")), of).filter("kept").select("_row.*")
+    judged = with_verdict(with_base(with_histograms(boxed, "_in")), of)
+    # A filter would be pushed through the projections, each of its columns written out again and again;
+    # explode() of no or one element keeps rows without that.
+    return judged.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("kept").cast("int")))).select("_row.*")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
