@@ -51,7 +51,8 @@ def first_of_each(rows: DataFrame, key: str) -> DataFrame:
 
 def event_windows(events: DataFrame, ts: str, keys: list[str], value: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Counts and sums by event-time window; windows close `late` after they end."""
-    grouped = events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), *keys)
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))  # event time has to carry the session's zone
+    grouped = timed.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), *keys)
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("decimal(28,6)")).cast("double").alias("total")).select(F.col("w.start").alias("window_start"), *keys, "n", "total")
 
 
