@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from millrace.functions.text import code_tokens, lines_of, normalize_code
 
@@ -46,7 +47,7 @@ def line_edit_f1(old: Column, pred: Column, gold: Column) -> Column:
     return F.when(F.size(gold_edit) == 0, F.when(F.size(pred_edit) == 0, 1.0).otherwise(0.0)).otherwise(f1(hit, F.size(pred_edit), F.size(gold_edit)))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def parses(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Whether a text parses as Python; no built-in function can tell."""
 
