@@ -11,6 +11,7 @@ from millrace.operators import compare as CP
 from millrace.operators import judge as J
 from millrace.operators import metrics as M
 from millrace.operators import probes as P
+from millrace.operators import selection as SL
 from millrace.plans.curation_queries import ASCII, ascii_documents, documents
 
 SYSTEM = "You apply review comments to code."
@@ -331,6 +332,28 @@ def last_wins(spark, d):
     return CP.last_wins(rows, "conv_id", "turn")
 
 
+def id_selection(spark, d):
+    return SL.in_order_of(documents(spark, d).select("doc_id", "lang"), "doc_id", [7, 3, 10**9, 5]).withColumnRenamed("_pos", "pos")
+
+
+def miss_rate(spark, d):
+    return SL.miss_rate(documents(spark, d), F.contains(F.col("text"), F.lit(" the ")), "doc_id")
+
+
+def pair_verdicts(spark, d):
+    v = SL.pair_verdict(F.col("base_exact_match"), F.col("tuned_exact_match"), F.col("base_edit_sim"), F.col("tuned_edit_sim"), 0.02)
+    return paired(spark, d).groupBy(v.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def trained_share(spark, d):
+    return SL.trained_share(documents(spark, d).withColumn("trained", F.col("lang") == "en"), "n_chars", "trained")
+
+
+def judge_prompts(spark, d):
+    p = J.judge_prompt(F.col("lang"), F.col("old_code"), F.lit("why"), F.col("gold"), F.col("prediction"), F.col("old_code"))
+    return predictions(spark, d).select("doc_id", F.md5(p).alias("prompt_md5"))
+
+
 _SLICE_SQL = "round(avg(exact_match::INT), 6) AS exact_match, round(avg(improved::INT), 6) AS improved_rate, round(avg(changed_right_lines), 6) AS edit_line_f1"
 
 QUERIES = {
@@ -394,5 +417,18 @@ SELECT lang, CASE WHEN coalesce(base, 0) = 0 THEN 100 ELSE tuned / base * 100 EN
         f"WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z]+') AS w FROM ({ASCII})) SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) > 0 AS has_run FROM w",
     ),
     "syntax_ok": (syntax_ok, None),
+    "id_selection": (id_selection, "SELECT doc_id, lang, CASE doc_id WHEN 7 THEN 0 WHEN 3 THEN 1 ELSE 3 END AS pos FROM documents WHERE doc_id IN (7, 3, 5)"),
+    "miss_rate": (miss_rate, "SELECT count(*) AS n, avg((NOT contains(text, ' the '))::INT) AS miss_rate FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 200)"),
+    "pair_verdicts": (
+        pair_verdicts,
+        f"""WITH {RUNS} SELECT CASE WHEN tuned_exact_match AND base_exact_match THEN 'both exact' WHEN tuned_exact_match THEN 'tuned exact' WHEN base_exact_match THEN 'base exact'
+WHEN delta_sim > 0.02::DOUBLE THEN 'tuned closer' WHEN base_edit_sim - tuned_edit_sim > 0.02::DOUBLE THEN 'base closer' ELSE 'tie' END AS verdict, count(*) AS n FROM p GROUP BY 1""",
+    ),
+    "trained_share": (trained_share, "SELECT sum(n_chars) FILTER (lang = 'en')::BIGINT AS trained, sum(n_chars)::BIGINT AS total, sum(n_chars) FILTER (lang = 'en')::DOUBLE / sum(n_chars)::DOUBLE AS share FROM documents"),
+    "judge_prompts": (
+        judge_prompts,
+        f"""WITH p AS (SELECT *, chr(10) AS e FROM ({PREDICTIONS})) SELECT doc_id, md5('Language: ' || lang || e || e || 'Original code:' || e || '```' || lang || e || old_code || e || '```' || e || e || 'Reviewer comment:' || e || 'why' || e || e
+|| 'Reference revision (what the author merged):' || e || '```' || lang || e || gold || e || '```' || e || e || 'Candidate A:' || e || '```' || lang || e || prediction || e || '```' || e || e || 'Candidate B:' || e || '```' || lang || e || old_code || e || '```' || e || e || 'Grade both candidates.') AS prompt_md5 FROM p""",
+    ),
     "last_wins": (last_wins, "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, min(turn) AS first_line FROM conversations GROUP BY 1"),
 }

@@ -26,6 +26,16 @@ def write_document(df: DataFrame, path: str) -> None:
     df.limit(1).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def append_metrics(df: DataFrame, folder: str) -> None:
+    """Append to a metric log of JSON lines; readers see whole files only."""
+    df.write.mode("append").json(folder)
+
+
+def numbers_only(df: DataFrame) -> DataFrame:
+    """The numeric columns, for trackers that take nothing else."""
+    return df.select(*[c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")])
+
+
 def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that hands a batch to every sink; one that fails doesn't stop the others."""
 
