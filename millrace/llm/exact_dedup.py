@@ -21,10 +21,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import flag_maybe_in, materialize, maybe_in, read_table, shared_dir
+from millrace.llm.common import flag_maybe_in, materialize, maybe_in, read_table, settings, shared_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; no space set aside in advance for each of many small stores, one bound on the memory of all
+#: stores of an executor, and stores of ended streams unloaded soon.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -55,18 +62,11 @@ def stream_state(spark: SparkSession, landed: DataFrame, path: str, files_per_tr
     is rebuilt from there, and calling again with more files goes on from it.
     """
     checkpoint = f"{path}-state"
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
+    with settings(spark, STATE):
         rows = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
         state = rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("_id", "_row")).alias("keep"))
         query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
     held = spark.read.format("statestore").load(checkpoint)
     key, (n, keep) = held.schema["key"].dataType.names[0], held.schema["value"].dataType.names
     return materialize(
