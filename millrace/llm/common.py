@@ -36,6 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of whole texts that a Python worker gets at once; the default would hold ten times as many in memory.
+ROWS_IN_BATCH = "1000"
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Session settings for the time of a block, then what was set before."""
@@ -61,7 +65,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": ROWS_IN_BATCH}):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
