@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import sys
 import tempfile
 import types
@@ -32,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
         cache = worker_cache()
         folder = cache.get("shared_dir")
         if not folder:
-            folder = cache["shared_dir"] = "file://" + tempfile.mkdtemp(prefix="millrace-")
+            made = tempfile.mkdtemp(prefix="millrace-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            folder = cache["shared_dir"] = "file://" + made
     return folder.rstrip("/")
 
 
