@@ -87,7 +87,10 @@ def score_columns(pred: Column, gold: Column, old: Column) -> dict[str, Column]:
 def with_scores(df, pred: str = "prediction", gold: str = "gold", old: str = "old_code"):
     """Adds the score columns to a DataFrame of predictions."""
     texts = df.select("*", *[normalize_code(F.col(c)).alias(k) for c, k in ((pred, "_p"), (gold, "_g"), (old, "_o"))])
+    # Tokens are columns, so that the overlap's lambda reads them instead of matching the pattern for every element.
+    texts = texts.select("*", code_tokens(F.col("_p")).alias("_tp"), code_tokens(F.col("_g")).alias("_tg"))
     scores = score_columns(F.col("_p"), F.col("_g"), F.col("_o"))
+    scores["token_f1"] = f1(bag_overlap(F.col("_tp"), F.col("_tg")), F.size("_tp"), F.size("_tg"))
     return texts.select(*df.columns, *[c.alias(k) for k, c in scores.items()])
 
 
