@@ -3,21 +3,93 @@
 from __future__ import annotations
 
 import ast
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from millrace.functions.text import code_tokens, lines_of, normalize_code
 
 EPSILON = 1e-9
 
 
-def norm_distance(a: Column, b: Column) -> Column:
+def edit_distance(a: str, b: str) -> int:
+    """Exact Levenshtein distance in linear memory.
+
+    While it is small against the texts, by the furthest place on each diagonal
+    (Ukkonen 1985); beyond, by columns of the table as bit vectors (Hyyro 2003).
+    """
+    x, y = sorted((np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in (a, b)), key=len)
+    n, m = len(x), len(y)
+    # Ends that equal no character and not each other stop every run.
+    xs, ys = np.append(x, np.uint32(2**32 - 1)), np.append(y, np.uint32(2**32 - 2))
+    far = np.zeros(1, dtype=np.int64)
+    for e in range(n // 8 + 2):
+        low, high = max(-e, -n), min(e, m)
+        if e:
+            was = np.full(high - low + 3, -(n + m), dtype=np.int64)
+            was[old_low - low + 1 : old_low - low + 1 + len(far)] = far
+            far = np.maximum(np.maximum(was[1:-1], was[2:]) + 1, was[:-2])
+        k = np.arange(low, high + 1)
+        np.minimum(far, np.minimum(n, m - k), out=far)
+        run = np.arange(len(far))
+        for _ in range(8):
+            run = run[xs[far[run]] == ys[far[run] + k[run]]]
+            if not len(run):
+                break
+            far[run] += 1
+        for r in run.tolist():
+            shift, i, size = low + r, int(far[r]), 64
+            end = min(n, m - shift)
+            while i < end:
+                differ = xs[i : min(i + size, end)] != ys[i + shift : min(i + size, end) + shift]
+                if differ.any():
+                    i += int(differ.argmax())
+                    break
+                i, size = i + len(differ), size * 2
+            far[r] = i
+        if low <= m - n <= high and far[m - n - low] >= n:
+            return e
+        old_low = low
+    return bit_distance(x, y)
+
+
+def bit_distance(x: np.ndarray, y: np.ndarray) -> int:
+    m = len(x)
+    if not m:
+        return len(y)
+    at = {int(c): int.from_bytes(np.packbits(x == c, bitorder="little").tobytes(), "little") for c in np.unique(x)}
+    full, last = (1 << m) - 1, m - 1
+    up, down, score = full, 0, m
+    for c in y.tolist():
+        equal = at.get(c, 0)
+        diagonal = ((((equal & up) + up) ^ up) | equal | down) & full
+        right_up = down | (full ^ (diagonal | up))
+        right_down = diagonal & up
+        score += (right_up >> last) - (right_down >> last)
+        right_up = ((right_up << 1) | 1) & full
+        up = ((right_down << 1) & full) | (full ^ (diagonal | right_up))
+        down = right_up & diagonal
+    return score
+
+
+@F.pandas_udf(StructType([StructField(k, IntegerType()) for k in ("pred_gold", "old_gold", "overlap")]))
+def counted(pred: pd.Series, gold: pd.Series, old: pd.Series, pred_tokens: pd.Series, gold_tokens: pd.Series) -> pd.DataFrame:
+    """Both distances and the tokens in common; the built-in forms take quadratic time and are for snippets."""
+    rows = []
+    for p, g, o, s, t in zip(pred, gold, old, pred_tokens, gold_tokens, strict=True):
+        known = p is not None and g is not None
+        rows.append((edit_distance(p, g) if known else None, edit_distance(o, g) if o is not None and g is not None else None, (Counter(s) & Counter(t)).total() if known else None))
+    return pd.DataFrame(rows, columns=["pred_gold", "old_gold", "overlap"], dtype="Int32")
+
+
+def norm_distance(a: Column, b: Column, distance: Column | None = None) -> Column:
     """Levenshtein distance over the longer length; two empty texts are equal."""
-    return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    return (F.levenshtein(a, b) if distance is None else distance) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
 def bag_overlap(p: Column, g: Column) -> Column:
@@ -67,9 +139,10 @@ def syntax_ok(old: Column, pred: Column, lang: Column) -> Column:
     return F.when((lang == "py") & parses(old), parses(pred))
 
 
-def score_columns(pred: Column, gold: Column, old: Column) -> dict[str, Column]:
+def score_columns(pred: Column, gold: Column, old: Column, counts: Column | None = None) -> dict[str, Column]:
     """Scores over texts that are already normalised; give them as columns, so that each is computed once."""
-    to_gold, from_old = norm_distance(pred, gold), norm_distance(old, gold)
+    of = lambda k: None if counts is None else counts[k]
+    to_gold, from_old = norm_distance(pred, gold, of("pred_gold")), norm_distance(old, gold, of("old_gold"))
     return {
         "exact_match": pred == gold,
         "token_f1": token_f1(pred, gold),
@@ -89,8 +162,9 @@ def with_scores(df, pred: str = "prediction", gold: str = "gold", old: str = "ol
     texts = df.select("*", *[normalize_code(F.col(c)).alias(k) for c, k in ((pred, "_p"), (gold, "_g"), (old, "_o"))])
     # Tokens are columns, so that the overlap's lambda reads them instead of matching the pattern for every element.
     texts = texts.select("*", code_tokens(F.col("_p")).alias("_tp"), code_tokens(F.col("_g")).alias("_tg"))
-    scores = score_columns(F.col("_p"), F.col("_g"), F.col("_o"))
-    scores["token_f1"] = f1(bag_overlap(F.col("_tp"), F.col("_tg")), F.size("_tp"), F.size("_tg"))
+    texts = texts.withColumn("_c", counted("_p", "_g", "_o", "_tp", "_tg"))
+    scores = score_columns(F.col("_p"), F.col("_g"), F.col("_o"), F.col("_c"))
+    scores["token_f1"] = f1(F.col("_c")["overlap"], F.size("_tp"), F.size("_tg"))
     return texts.select(*df.columns, *[c.alias(k) for k, c in scores.items()])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,12 @@ def ascii_documents(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).filter((F.col("lang") == "en") & (F.length("text") == F.octet_length("text")))
 
 
+def texts(spark: SparkSession, d: str, chars: int | None) -> DataFrame:
+    """The rows that the SQL of a query covers, their texts cut as there; with None, whole texts."""
+    rows = ascii_documents(spark, d)
+    return rows.withColumn("text", F.substring("text", 1, chars)) if chars else rows
+
+
 ASCII = "SELECT * FROM documents WHERE lang = 'en' AND length(text) = strlen(text)"
 SPACE = r"[ \t\n\x0b\f\r]"
 
@@ -145,16 +153,16 @@ def contamination_semi(spark, d):
     return found.join(marks, "run", "left_semi").select("doc_id").distinct()
 
 
-def comments(spark, d):
-    return ascii_documents(spark, d).select("doc_id", F.substring("text", 1, 400).alias("comment"))
+def comments(spark, d, chars=400):
+    return texts(spark, d, chars).select("doc_id", F.col("text").alias("comment"))
 
 
-def taxonomy_histogram(spark, d):
-    return comments(spark, d).groupBy(classify(F.col("comment")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+def taxonomy_histogram(spark, d, chars=400):
+    return comments(spark, d, chars).groupBy(classify(F.col("comment")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def taxonomy_multi(spark, d):
-    return comments(spark, d).select("doc_id", F.array_join(classify_all(F.col("comment")), ",").alias("labels"))
+def taxonomy_multi(spark, d, chars=400):
+    return comments(spark, d, chars).select("doc_id", F.array_join(classify_all(F.col("comment")), ",").alias("labels"))
 
 
 def _rule(p: str) -> str:
@@ -185,10 +193,10 @@ SELECT doc_id, array_to_string(list_transform(list_filter(ms, lambda x: x[1] <>
 FROM m"""
 
 
-def grounding(spark, d):
+def grounding(spark, d, chars=600):
     """The comment quotes two words; the new code replaces one of them."""
-    t = F.substring("text", 1, 600)
-    rows = ascii_documents(spark, d).select("doc_id", t.alias("old"), F.regexp_replace(t, r"\bthe\b", "value_name").alias("new"))
+    t = F.col("text")
+    rows = texts(spark, d, chars).select("doc_id", t.alias("old"), F.regexp_replace(t, r"\bthe\b", "value_name").alias("new"))
     rows = rows.withColumn("comment", F.concat(F.lit("use `"), F.when(F.col("doc_id") % 3 == 0, "value_name").when(F.col("doc_id") % 3 == 1, "the").otherwise("nothing_here"), F.lit("` with the value_name and that")))
     return rows.select("doc_id", T.grounding(F.col("comment"), F.col("old"), F.col("new")).alias("grounding"))
 
@@ -209,11 +217,11 @@ FROM s"""
 
 def full_funnel(spark, d):
     """The whole reject chain over hunks made of documents, with dedup and quotas after it."""
-    rows = ascii_documents(spark, d).select(
+    rows = texts(spark, d, None).select(
         "doc_id",
-        F.concat(F.lit("-"), F.regexp_replace(F.substring("text", 1, 500), "\n", "\n ")).alias("old"),
-        F.concat(F.lit("+"), F.regexp_replace(F.regexp_replace(F.substring("text", 1, 500), r"\bthe\b", "this_value"), "\n", "\n ")).alias("new"),
-        F.concat(F.lit("please use `this_value` here: "), F.substring("text", 1, 60)).alias("comment"),
+        F.concat(F.lit("-"), F.regexp_replace("text", "\n", "\n ")).alias("old"),
+        F.concat(F.lit("+"), F.regexp_replace(F.regexp_replace("text", r"\bthe\b", "this_value"), "\n", "\n ")).alias("new"),
+        F.concat(F.lit("please use `this_value` here: "), F.col("text")).alias("comment"),
         F.lit("py").alias("lang"),
         F.col("source").alias("repo"),
     )
@@ -291,4 +299,8 @@ SELECT DISTINCT doc_id FROM g WHERE run IN (SELECT array_to_string(w[1:8], ' ')
     "strip_markers": (strip_markers, MARKERS_SQL),
     "grounding": (grounding, GROUNDING_SQL),
     "full_funnel": (full_funnel, None),
+    # Whole texts, where the SQL above cuts them; tests compare these with brute force.
+    "taxonomy_histogram_whole": (partial(taxonomy_histogram, chars=None), None),
+    "taxonomy_multi_whole": (partial(taxonomy_multi, chars=None), None),
+    "grounding_whole": (partial(grounding, chars=None), None),
 }

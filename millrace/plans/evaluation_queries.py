@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from millrace.operators import judge as J
 from millrace.operators import metrics as M
 from millrace.operators import probes as P
 from millrace.operators import selection as SL
-from millrace.plans.curation_queries import ASCII, ascii_documents, documents
+from millrace.plans.curation_queries import ASCII, ascii_documents, documents, texts
 
 SYSTEM = "You apply review comments to code."
 
@@ -40,13 +42,13 @@ def tokenize_code(spark, d):
     return ascii_documents(spark, d).select("doc_id", F.size(T.code_tokens(F.col("text"))).alias("n"), F.md5(T.token_text(F.col("text"))).alias("tokens_md5"))
 
 
-def predictions(spark, d):
+def predictions(spark, d, chars=300):
     """Gold changes one word; the prediction does that, does nothing, does something else, or both."""
-    old = F.substring("text", 1, 300)
+    old = F.col("text")
     gold = F.replace(old, F.lit(" the "), F.lit(" a "))
     other = lambda c: F.replace(c, F.lit(" of "), F.lit("\nfor "))
     pick = F.col("doc_id") % 4
-    rows = ascii_documents(spark, d).select("doc_id", "source", "lang", old.alias("old_code"), gold.alias("gold"), F.when(pick == 0, gold).when(pick == 1, old).when(pick == 2, other(old)).otherwise(other(gold)).alias("prediction"))
+    rows = texts(spark, d, chars).select("doc_id", "source", "lang", old.alias("old_code"), gold.alias("gold"), F.when(pick == 0, gold).when(pick == 1, old).when(pick == 2, other(old)).otherwise(other(gold)).alias("prediction"))
     mode = F.when(pick == 0, "fenced").when(pick == 1, "raw").when(pick == 2, "fenced_unterminated").otherwise("")
     return rows.withColumn("parse_mode", F.when(F.col("doc_id") % 4 < 4, mode))
 
@@ -79,12 +81,12 @@ SELECT doc_id, source, lang, parse_mode, prediction, p = g AS exact_match,
 FROM v"""
 
 
-def scored(spark, d):
-    return SC.with_scores(predictions(spark, d))
+def scored(spark, d, chars=300):
+    return SC.with_scores(predictions(spark, d, chars))
 
 
-def edit_scores(spark, d):
-    return scored(spark, d).drop("source", "lang", "parse_mode", "prediction", "old_code", "gold")
+def edit_scores(spark, d, chars=300):
+    return scored(spark, d, chars).drop("source", "lang", "parse_mode", "prediction", "old_code", "gold")
 
 
 def exact_sums(df: DataFrame, means: dict[str, str]) -> DataFrame:
@@ -92,21 +94,21 @@ def exact_sums(df: DataFrame, means: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(c) for c in df.columns if c not in means.values()], *[F.col(c).cast("double").cast("decimal(18,9)").alias(c) for c in dict.fromkeys(means.values())])
 
 
-def score_headline(spark, d):
-    h = M.headline(scored(spark, d))
+def score_headline(spark, d, chars=300):
+    h = M.headline(scored(spark, d, chars))
     return h.select("n", "format_compliance", "empty_rate", *[F.round(c, 6).alias(c) for c in M.MEANS])
 
 
 SLICE_MEANS = {"exact_match": "exact_match", "improved_rate": "improved", "edit_line_f1": "changed_right_lines"}
 
 
-def score_slices(spark, d):
-    s = M.by_slices(scored(spark, d), ["source", "lang"], SLICE_MEANS)
+def score_slices(spark, d, chars=300):
+    s = M.by_slices(scored(spark, d, chars), ["source", "lang"], SLICE_MEANS)
     return s.select("slice", "value", "n", *[F.round(c, 6).alias(c) for c in SLICE_MEANS])
 
 
-def parse_fenced(spark, d):
-    t, pick = F.substring("text", 1, 200), F.col("doc_id") % 5
+def parse_fenced(spark, d, chars=200):
+    t, pick = F.col("text"), F.col("doc_id") % 5
     text = (
         F.when(pick == 0, F.concat(F.lit("Sure:\n```py\n\n"), t, F.lit("\n```\nmore")))
         .when(pick == 1, F.concat(F.lit("```\n"), t))
@@ -114,7 +116,7 @@ def parse_fenced(spark, d):
         .when(pick == 3, F.lit(" \n "))
         .otherwise(F.concat(F.lit("```a\none\n```\n```b\ntwo\n```"), F.lit("")))
     )
-    return ascii_documents(spark, d).select("doc_id", T.parse_generation(text).alias("r")).select("doc_id", "r.code", "r.how")
+    return texts(spark, d, chars).select("doc_id", T.parse_generation(text).alias("r")).select("doc_id", "r.code", "r.how")
 
 
 PARSE_SQL = f"""
@@ -122,9 +124,9 @@ SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN '' WHEN 4 THEN 'one' ELSE regexp_repl
   CASE doc_id % 5 WHEN 0 THEN 'fenced' WHEN 1 THEN 'fenced_unterminated' WHEN 2 THEN 'raw' WHEN 3 THEN 'empty' ELSE 'fenced' END AS how FROM ({ASCII})"""
 
 
-def corpus_bleu(spark, d):
+def corpus_bleu(spark, d, chars=300):
     """BLEU of the predictions, and of the unchanged code as the floor."""
-    rows = predictions(spark, d)
+    rows = predictions(spark, d, chars)
     model = M.corpus_bleu(rows, "doc_id", "prediction", "gold").select(F.lit("model").alias("hypothesis"), F.round("bleu", 6).alias("bleu"))
     floor = M.corpus_bleu(rows, "doc_id", "old_code", "gold").select(F.lit("copy").alias("hypothesis"), F.round("bleu", 6).alias("bleu"))
     return model.union(floor)
@@ -303,10 +305,10 @@ def retention(spark, d):
     return rates.select("lang", P.retention(F.col("base"), F.col("tuned")).alias("retention_pct"))
 
 
-def chat_messages(spark, d):
-    text = F.substring("text", 1, 120)
+def chat_messages(spark, d, chars=120):
+    text = F.col("text")
     messages = T.training_messages(SYSTEM, text, F.concat(F.lit("  "), text, F.lit(" ")), F.upper(text), F.when(F.col("doc_id") % 2 == 0, "py").otherwise("zig"))
-    rows = ascii_documents(spark, d).select("doc_id", messages.alias("m")).select("doc_id", "m", T.fold_system(F.col("m")).alias("f"))
+    rows = texts(spark, d, chars).select("doc_id", messages.alias("m")).select("doc_id", "m", T.fold_system(F.col("m")).alias("f"))
     return rows.select("doc_id", F.array_join(F.transform("m", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|").alias("chat"), F.size("f").alias("n_folded"), F.col("f")[0]["content"].alias("first_folded"))
 
 
@@ -323,7 +325,7 @@ def subarray_search(spark, d):
 
 
 def syntax_ok(spark, d):
-    rows = ascii_documents(spark, d).select("doc_id", F.when(F.col("doc_id") % 3 == 0, "x = 1").when(F.col("doc_id") % 3 == 1, "def f(:").otherwise(F.substring("text", 1, 40)).alias("code"), F.when(F.col("doc_id") % 5 == 0, "go").otherwise("py").alias("lang"))
+    rows = texts(spark, d, None).select("doc_id", F.when(F.col("doc_id") % 3 == 0, "x = 1").when(F.col("doc_id") % 3 == 1, "def f(:").otherwise(F.col("text")).alias("code"), F.when(F.col("doc_id") % 5 == 0, "go").otherwise("py").alias("lang"))
     return rows.select("doc_id", SC.syntax_ok(F.lit("y = 2"), F.col("code"), F.col("lang")).alias("syntax_ok"))
 
 
@@ -349,9 +351,9 @@ def trained_share(spark, d):
     return SL.trained_share(documents(spark, d).withColumn("trained", F.col("lang") == "en"), "n_chars", "trained")
 
 
-def judge_prompts(spark, d):
+def judge_prompts(spark, d, chars=300):
     p = J.judge_prompt(F.col("lang"), F.col("old_code"), F.lit("why"), F.col("gold"), F.col("prediction"), F.col("old_code"))
-    return predictions(spark, d).select("doc_id", F.md5(p).alias("prompt_md5"))
+    return predictions(spark, d, chars).select("doc_id", F.md5(p).alias("prompt_md5"))
 
 
 _SLICE_SQL = "round(avg(exact_match::INT), 6) AS exact_match, round(avg(improved::INT), 6) AS improved_rate, round(avg(changed_right_lines), 6) AS edit_line_f1"
@@ -431,4 +433,12 @@ WHEN delta_sim > 0.02::DOUBLE THEN 'tuned closer' WHEN base_edit_sim - tuned_edi
 || 'Reference revision (what the author merged):' || e || '```' || lang || e || gold || e || '```' || e || e || 'Candidate A:' || e || '```' || lang || e || prediction || e || '```' || e || e || 'Candidate B:' || e || '```' || lang || e || old_code || e || '```' || e || e || 'Grade both candidates.') AS prompt_md5 FROM p""",
     ),
     "last_wins": (last_wins, "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, min(turn) AS first_line FROM conversations GROUP BY 1"),
+    # Whole texts, where the SQL above cuts them; tests compare these with brute force.
+    "edit_scores_whole": (partial(edit_scores, chars=None), None),
+    "score_headline_whole": (partial(score_headline, chars=None), None),
+    "score_slices_whole": (partial(score_slices, chars=None), None),
+    "parse_fenced_whole": (partial(parse_fenced, chars=None), None),
+    "corpus_bleu_whole": (partial(corpus_bleu, chars=None), None),
+    "chat_messages_whole": (partial(chat_messages, chars=None), None),
+    "judge_prompts_whole": (partial(judge_prompts, chars=None), None),
 }
