@@ -25,9 +25,8 @@ def ascii_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, d: str, chars: int | None) -> DataFrame:
-    """The rows that the SQL of a query covers, their texts cut as there; with None, whole texts."""
-    rows = ascii_documents(spark, d)
-    return rows.withColumn("text", F.substring("text", 1, chars)) if chars else rows
+    """The rows that the SQL of a query covers, their texts cut as there; with None, the whole table."""
+    return ascii_documents(spark, d).withColumn("text", F.substring("text", 1, chars)) if chars else documents(spark, d)
 
 
 ASCII = "SELECT * FROM documents WHERE lang = 'en' AND length(text) = strlen(text)"
@@ -65,9 +64,9 @@ def ascii_ratio(spark, d):
     return documents(spark, d).select("doc_id", T.ascii_ratio(F.col("text")).alias("ratio"))
 
 
-def content_id(spark, d):
+def content_id(spark, d, rows=ascii_documents):
     h = T.content_hash(F.col("text"), F.col("text"))
-    return ascii_documents(spark, d).select("doc_id", T.norm_comment(F.col("text")).alias("norm"), h.alias("hash"), T.short_id(h).alias("id"))
+    return rows(spark, d).select("doc_id", T.norm_comment(F.col("text")).alias("norm"), h.alias("hash"), T.short_id(h).alias("id"))
 
 
 def keyed(spark, d):
@@ -102,8 +101,8 @@ def balanced_sample(spark, d):
     return S.round_robin_sample(documents(spark, d).select("doc_id", "lang", "source", "n_chars"), ["lang", "source"], score, F.col("doc_id"), 200, 13)
 
 
-def hard_benchmark(spark, d):
-    rows = ascii_documents(spark, d).select("doc_id", classify(F.col("text")).alias("category"), ((F.col("n_chars") % 11) / 10).alias("grounding"), (F.col("n_chars") % 9).alias("changed"))
+def hard_benchmark(spark, d, rows=ascii_documents):
+    rows = rows(spark, d).select("doc_id", classify(F.col("text")).alias("category"), ((F.col("n_chars") % 11) / 10).alias("grounding"), (F.col("n_chars") % 9).alias("changed"))
     rows = rows.withColumn("hardness", hardness(F.col("grounding"), F.col("changed"), F.col("category")))
     return S.round_robin_sample(rows, ["category"], F.col("hardness"), F.col("doc_id"), 100, 7)
 
@@ -174,15 +173,15 @@ CLASSIFY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(comment, '(?i){_rule(p)}
 LABELS_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(comment, '(?i){_rule(p)}') THEN '{label}' END" for label, p in RULES) + "], lambda x: x IS NOT NULL)"
 
 
-def diffs(spark, d):
+def diffs(spark, d, rows=ascii_documents):
     """Hunks made of documents: the marker of a line follows from its number."""
     marked = F.array_join(F.transform(F.split("text", "\n"), lambda line, i: F.concat(F.when(i % 3 == 0, " ").when(i % 3 == 1, "-").otherwise("+"), line)), "\n")
-    return ascii_documents(spark, d).select("doc_id", marked.alias("diff"))
+    return rows(spark, d).select("doc_id", marked.alias("diff"))
 
 
-def strip_markers(spark, d):
+def strip_markers(spark, d, rows=ascii_documents):
     diff = F.col("diff")
-    return diffs(spark, d).select("doc_id", T.strip_markers(diff, "old").alias("old_code"), T.strip_markers(diff, "new").alias("new_code"), T.changed_line_count(diff, diff).alias("changed"))
+    return diffs(spark, d, rows).select("doc_id", T.strip_markers(diff, "old").alias("old_code"), T.strip_markers(diff, "new").alias("new_code"), T.changed_line_count(diff, diff).alias("changed"))
 
 
 MARKERS_SQL = f"""
@@ -299,7 +298,10 @@ SELECT DISTINCT doc_id FROM g WHERE run IN (SELECT array_to_string(w[1:8], ' ')
     "strip_markers": (strip_markers, MARKERS_SQL),
     "grounding": (grounding, GROUNDING_SQL),
     "full_funnel": (full_funnel, None),
-    # Whole texts, where the SQL above cuts them; tests compare these with brute force.
+    # The whole table, where the SQL above leaves out or cuts texts; tests compare these with brute force.
+    "content_id_whole": (partial(content_id, rows=documents), None),
+    "hard_benchmark_whole": (partial(hard_benchmark, rows=documents), None),
+    "strip_markers_whole": (partial(strip_markers, rows=documents), None),
     "taxonomy_histogram_whole": (partial(taxonomy_histogram, chars=None), None),
     "taxonomy_multi_whole": (partial(taxonomy_multi, chars=None), None),
     "grounding_whole": (partial(grounding, chars=None), None),

@@ -19,27 +19,27 @@ from millrace.plans.curation_queries import ASCII, ascii_documents, documents, t
 SYSTEM = "You apply review comments to code."
 
 
-def ragged(spark, d):
+def ragged(spark, d, rows=ascii_documents):
     """Texts with blank edges, trailing spaces and mixed line ends."""
-    return ascii_documents(spark, d).select("doc_id", F.concat(F.lit("\n \n"), F.replace("text", F.lit(". "), F.lit(".  \r\n")), F.lit(" \r\n\n")).alias("code"))
+    return rows(spark, d).select("doc_id", F.concat(F.lit("\n \n"), F.replace("text", F.lit(". "), F.lit(".  \r\n")), F.lit(" \r\n\n")).alias("code"))
 
 
 RAGGED = f"SELECT doc_id, chr(10) || ' ' || chr(10) || replace(text, '. ', '.  ' || chr(13) || chr(10)) || ' ' || chr(13) || chr(10) || chr(10) AS code FROM ({ASCII})"
 
 
-def normalize_code(spark, d):
-    return ragged(spark, d).select("doc_id", T.normalize_code(F.col("code")).alias("normal"))
+def normalize_code(spark, d, rows=ascii_documents):
+    return ragged(spark, d, rows).select("doc_id", T.normalize_code(F.col("code")).alias("normal"))
 
 
 NORMALIZE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '\r\n?', chr(10), 'g'), '(?m)[ \t\f\v\r]+$', '', 'g'), '\A\n+', ''), '\n+\z', '')"
 
 
-def edge_trim(spark, d):
-    return ragged(spark, d).select("doc_id", T.strip_blank_edges(F.replace("code", F.lit("\r"), F.lit(""))).alias("trimmed"))
+def edge_trim(spark, d, rows=ascii_documents):
+    return ragged(spark, d, rows).select("doc_id", T.strip_blank_edges(F.replace("code", F.lit("\r"), F.lit(""))).alias("trimmed"))
 
 
-def tokenize_code(spark, d):
-    return ascii_documents(spark, d).select("doc_id", F.size(T.code_tokens(F.col("text"))).alias("n"), F.md5(T.token_text(F.col("text"))).alias("tokens_md5"))
+def tokenize_code(spark, d, rows=ascii_documents):
+    return rows(spark, d).select("doc_id", F.size(T.code_tokens(F.col("text"))).alias("n"), F.md5(T.token_text(F.col("text"))).alias("tokens_md5"))
 
 
 def predictions(spark, d, chars=300):
@@ -143,11 +143,11 @@ FROM (SELECT n, sum(least(p, q))::BIGINT AS hits, sum(p)::BIGINT AS total, sum(q
   GROUP BY 1, 2, 3) GROUP BY n)"""
 
 
-def runs_of(spark, d):
+def runs_of(spark, d, base_has="doc_id % 11 <> 0", tuned_has="doc_id % 13 <> 0"):
     """Two runs over the labelled documents: the base ignores what the tuned run gets right."""
     labels = spark.read.parquet(f"{d}/labels.parquet")
-    base = labels.filter("doc_id % 11 <> 0").select("doc_id", (F.col("quality") == 1).alias("exact_match"), ((F.col("doc_id") % 100) / 100).alias("edit_sim"), F.col("doc_id").alias("line"))
-    tuned = labels.filter("doc_id % 13 <> 0").select("doc_id", (F.col("toxic") == 0).alias("exact_match"), ((F.col("doc_id") * 7 % 100) / 100).alias("edit_sim"), F.col("doc_id").alias("line"))
+    base = labels.filter(base_has).select("doc_id", (F.col("quality") == 1).alias("exact_match"), ((F.col("doc_id") % 100) / 100).alias("edit_sim"), F.col("doc_id").alias("line"))
+    tuned = labels.filter(tuned_has).select("doc_id", (F.col("toxic") == 0).alias("exact_match"), ((F.col("doc_id") * 7 % 100) / 100).alias("edit_sim"), F.col("doc_id").alias("line"))
     return base, tuned
 
 
@@ -158,8 +158,8 @@ p AS (SELECT b.doc_id, b.exact_match AS base_exact_match, t.exact_match AS tuned
 o AS (SELECT *, CASE WHEN tuned_exact_match AND NOT base_exact_match THEN 'win' WHEN base_exact_match AND NOT tuned_exact_match THEN 'loss' WHEN delta_sim > 0.02::DOUBLE THEN 'win' WHEN delta_sim < -0.02::DOUBLE THEN 'loss' ELSE 'tie' END AS outcome FROM p)"""
 
 
-def paired(spark, d):
-    base, tuned = runs_of(spark, d)
+def paired(spark, d, **which):
+    base, tuned = runs_of(spark, d, **which)
     b = base.select("doc_id", F.col("exact_match").alias("base_exact_match"), F.col("edit_sim").alias("base_edit_sim"))
     t = tuned.select("doc_id", F.col("exact_match").alias("tuned_exact_match"), F.col("edit_sim").alias("tuned_edit_sim"))
     return b.join(t, "doc_id")
@@ -169,31 +169,31 @@ def coverage(spark, d):
     return CP.coverage(*runs_of(spark, d), "doc_id")
 
 
-def win_loss_tie(spark, d):
-    return CP.routed(paired(spark, d))
+def win_loss_tie(spark, d, **which):
+    return CP.routed(paired(spark, d, **which))
 
 
-def outcome_counts(spark, d):
-    return CP.routed(paired(spark, d)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+def outcome_counts(spark, d, **which):
+    return CP.routed(paired(spark, d, **which)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def extremes(spark, d):
-    return CP.extremes(CP.routed(paired(spark, d)), "doc_id").select("doc_id", "outcome", "delta_sim")
+def extremes(spark, d, **which):
+    return CP.extremes(CP.routed(paired(spark, d, **which)), "doc_id").select("doc_id", "outcome", "delta_sim")
 
 
-def paired_slices(spark, d):
-    rows = paired(spark, d).join(documents(spark, d).select("doc_id", "lang", "source"), "doc_id")
+def paired_slices(spark, d, **which):
+    rows = paired(spark, d, **which).join(documents(spark, d).select("doc_id", "lang", "source"), "doc_id")
     s = M.by_slices(rows, ["lang", "source"], {"base_em": "base_exact_match", "tuned_em": "tuned_exact_match"}, blank_is_unknown=True)
     return s.withColumn("delta_em", F.col("tuned_em") - F.col("base_em"))
 
 
-def mcnemar(spark, d):
-    m = CP.mcnemar(paired(spark, d), "base_exact_match", "tuned_exact_match")
+def mcnemar(spark, d, **which):
+    m = CP.mcnemar(paired(spark, d, **which), "base_exact_match", "tuned_exact_match")
     return m.select("fixed", "broken", F.round("p_value", 10).alias("p_value"), "significant")
 
 
-def mcnemar_small(spark, d):
-    rows = paired(spark, d).withColumn("bucket", (F.col("doc_id") % 37).cast("long"))
+def mcnemar_small(spark, d, **which):
+    rows = paired(spark, d, **which).withColumn("bucket", (F.col("doc_id") % 37).cast("long"))
     m = CP.mcnemar(rows, "base_exact_match", "tuned_exact_match", ["bucket"])
     return m.select("bucket", "fixed", "broken", F.round("p_value", 10).alias("p_value"), "significant")
 
@@ -201,13 +201,13 @@ def mcnemar_small(spark, d):
 P_SQL = "round(CASE WHEN fixed + broken = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(exp(lgamma(fixed + broken + 1) - lgamma(i + 1) - lgamma(fixed + broken - i + 1) + (fixed + broken) * ln(0.5::DOUBLE))) FROM range(0, least(fixed, broken) + 1) AS r(i))) END, 10)"
 
 
-def unpivoted(spark, d):
-    rows = CP.unpivot_metrics(paired(spark, d), "doc_id", ["exact_match", "edit_sim"])
+def unpivoted(spark, d, **which):
+    rows = CP.unpivot_metrics(paired(spark, d, **which), "doc_id", ["exact_match", "edit_sim"])
     return rows.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b").cast("decimal(18,4)") - F.col("a").cast("decimal(18,4)")).cast("double").alias("total_delta"))
 
 
-def bootstrap_ci(spark, d):
-    diffs = paired(spark, d).select("doc_id", (F.col("tuned_exact_match").cast("int") - F.col("base_exact_match").cast("int")).alias("diff"))
+def bootstrap_ci(spark, d, **which):
+    diffs = paired(spark, d, **which).select("doc_id", (F.col("tuned_exact_match").cast("int") - F.col("base_exact_match").cast("int")).alias("diff"))
     return CP.bootstrap_ci(diffs, "diff", "doc_id", resamples=200)
 
 
@@ -271,10 +271,11 @@ KINDS = ("one_word", "contains", "yes_no", "n_lines", "max_words", "no_letter",
 ARGS = ("", "tion", "", "2", "30", "x", "")
 
 
-def checked(spark, d):
+def checked(spark, d, ascii_only=True):
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("conv_id") % 7 + 1).cast("int"))
     arg = F.element_at(F.array(*[F.lit(k) for k in ARGS]), (F.col("conv_id") % 7 + 1).cast("int"))
-    rows = spark.read.parquet(f"{d}/conversations.parquet").filter(F.length("text") == F.octet_length("text"))
+    rows = spark.read.parquet(f"{d}/conversations.parquet")
+    rows = rows.filter(F.length("text") == F.octet_length("text")) if ascii_only else rows
     return rows.select("conv_id", "turn", kind.alias("kind"), "text", P.passes(kind, arg, F.col("text")).alias("passed"))
 
 
@@ -285,12 +286,12 @@ r AS (SELECT conv_id, turn, kind, text, CASE kind WHEN 'one_word' THEN nw = 1 WH
   WHEN 'n_lines' THEN len(list_filter(string_split(s, chr(10)), lambda x: trim(x) <> '')) = 2 WHEN 'max_words' THEN nw BETWEEN 1 AND 30 WHEN 'no_letter' THEN NOT contains(lower(s), 'x') ELSE false END AS passed FROM c)"""
 
 
-def rule_checks(spark, d):
-    return checked(spark, d).drop("text")
+def rule_checks(spark, d, ascii_only=True):
+    return checked(spark, d, ascii_only).drop("text")
 
 
-def instruction_rates(spark, d):
-    return P.instruction_rates(checked(spark, d))
+def instruction_rates(spark, d, ascii_only=True):
+    return P.instruction_rates(checked(spark, d, ascii_only))
 
 
 def json_checks(spark, d):
@@ -318,9 +319,9 @@ u AS (SELECT *, 'Language: ' || name || e || e || 'Code under review:' || e || '
 SELECT doc_id, 'system:{SYSTEM}|user:' || q || '|assistant:```' || fence || e || upper(x) || e || '```' AS chat, 2 AS n_folded, '{SYSTEM}' || e || e || q AS first_folded FROM u"""
 
 
-def subarray_search(spark, d):
+def subarray_search(spark, d, rows=ascii_documents):
     words = F.split(F.lower("text"), "[^a-z]+")
-    rows = ascii_documents(spark, d).select("doc_id", words.alias("w"))
+    rows = rows(spark, d).select("doc_id", words.alias("w"))
     return rows.select("doc_id", T.contains_run(F.col("w"), F.array(F.lit("of"), F.lit("the"))).alias("has_run"))
 
 
@@ -342,9 +343,9 @@ def miss_rate(spark, d):
     return SL.miss_rate(documents(spark, d), F.contains(F.col("text"), F.lit(" the ")), "doc_id")
 
 
-def pair_verdicts(spark, d):
+def pair_verdicts(spark, d, **which):
     v = SL.pair_verdict(F.col("base_exact_match"), F.col("tuned_exact_match"), F.col("base_edit_sim"), F.col("tuned_edit_sim"), 0.02)
-    return paired(spark, d).groupBy(v.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    return paired(spark, d, **which).groupBy(v.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def trained_share(spark, d):
@@ -352,10 +353,11 @@ def trained_share(spark, d):
 
 
 def judge_prompts(spark, d, chars=300):
-    p = J.judge_prompt(F.col("lang"), F.col("old_code"), F.lit("why"), F.col("gold"), F.col("prediction"), F.col("old_code"))
+    p = J.judge_prompt(F.coalesce("lang", F.lit("")), F.col("old_code"), F.lit("why"), F.col("gold"), F.col("prediction"), F.col("old_code"))
     return predictions(spark, d, chars).select("doc_id", F.md5(p).alias("prompt_md5"))
 
 
+EVERY = {"base_has": "true", "tuned_has": "true"}
 _SLICE_SQL = "round(avg(exact_match::INT), 6) AS exact_match, round(avg(improved::INT), 6) AS improved_rate, round(avg(changed_right_lines), 6) AS edit_line_f1"
 
 QUERIES = {
@@ -433,7 +435,21 @@ WHEN delta_sim > 0.02::DOUBLE THEN 'tuned closer' WHEN base_edit_sim - tuned_edi
 || 'Reference revision (what the author merged):' || e || '```' || lang || e || gold || e || '```' || e || e || 'Candidate A:' || e || '```' || lang || e || prediction || e || '```' || e || e || 'Candidate B:' || e || '```' || lang || e || old_code || e || '```' || e || e || 'Grade both candidates.') AS prompt_md5 FROM p""",
     ),
     "last_wins": (last_wins, "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, min(turn) AS first_line FROM conversations GROUP BY 1"),
-    # Whole texts, where the SQL above cuts them; tests compare these with brute force.
+    # The whole table, where the SQL above leaves out or cuts texts; tests compare these with brute force.
+    "normalize_code_whole": (partial(normalize_code, rows=documents), None),
+    "edge_trim_whole": (partial(edge_trim, rows=documents), None),
+    "tokenize_code_whole": (partial(tokenize_code, rows=documents), None),
+    "subarray_search_whole": (partial(subarray_search, rows=documents), None),
+    "rule_checks_whole": (partial(rule_checks, ascii_only=False), None),
+    "instruction_rates_whole": (partial(instruction_rates, ascii_only=False), None),
+    "win_loss_tie_whole": (partial(win_loss_tie, **EVERY), None),
+    "outcome_counts_whole": (partial(outcome_counts, **EVERY), None),
+    "extremes_whole": (partial(extremes, **EVERY), None),
+    "paired_slices_whole": (partial(paired_slices, **EVERY), None),
+    "mcnemar_whole": (partial(mcnemar, **EVERY), None),
+    "mcnemar_small_whole": (partial(mcnemar_small, **EVERY), None),
+    "paired_metrics_whole": (partial(unpivoted, **EVERY), None),
+    "pair_verdicts_whole": (partial(pair_verdicts, **EVERY), None),
     "edit_scores_whole": (partial(edit_scores, chars=None), None),
     "score_headline_whole": (partial(score_headline, chars=None), None),
     "score_slices_whole": (partial(score_slices, chars=None), None),

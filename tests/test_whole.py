@@ -18,14 +18,20 @@ TEXTS = [
     LONG + "and of the null",
     "short of the mark",
     "",
+    "Größe of the naïve Straße – déjà 3.5 vu_é Ünïcode",
+    "señor, ¿why?\u00a0",
 ]
+LANGS = ["en", "de", None, "fr"]
+TURNS = ["Ja\u00a0wohl", "Évaluation", "YES", "eins\n\u00a0\nzwei", "größer", "É\u00a0x", "ä", "ß"]
 
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("whole"))
-    rows = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(TEXTS)]
+    rows = [(i, t, LANGS[i % 4], f"s{i % 2}", len(t)) for i, t in enumerate(TEXTS)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(TURNS)], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     return d
 
 
@@ -82,3 +88,28 @@ def test_texts_are_carried_whole(spark, folder):
     assert all(f"\n{t}\n```" in chats[i] for i, t in texts.items())
     parsed = {r.doc_id: r.code for r in registry.queries()["parse_fenced_whole"](spark, folder).collect()}
     assert all(parsed[i] == texts[i] for i in (0, 1, 2) if i in texts)
+
+
+def test_no_document_is_left_out(spark, folder):
+    texts = dict(enumerate(TEXTS))
+    for name in ("content_id_whole", "strip_markers_whole", "normalize_code_whole", "edge_trim_whole", "subarray_search_whole", "judge_prompts_whole", "grounding_whole", "hard_benchmark_whole", "full_funnel", "syntax_ok"):
+        assert {r.doc_id for r in registry.queries()[name](spark, folder).collect()} == set(texts), name
+    assert None not in {r.prompt_md5 for r in registry.queries()["judge_prompts_whole"](spark, folder).collect()}
+    sizes = {r.doc_id: r.n for r in registry.queries()["tokenize_code_whole"](spark, folder).collect()}
+    assert sizes == {i: len(re.findall(r"[A-Za-z_]\w*|\d+\.\d+|\d+|[^\sA-Za-z0-9_]", t)) for i, t in texts.items()}
+    norm = {r.doc_id: r.norm for r in registry.queries()["content_id_whole"](spark, folder).collect()}
+    assert norm == {i: re.sub(r"\s+", " ", re.sub(r"https?://\S+", "", t)).strip().lower() for i, t in texts.items()}
+
+
+def test_every_turn_is_checked(spark, folder):
+    checks = [lambda t: len(t.split()) == 1, lambda t: "tion" in t.lower(), lambda t: t.upper().rstrip(".!").strip() in ("YES", "NO"), lambda t: len([x for x in t.split("\n") if x.strip()]) == 2,
+              lambda t: 0 < len(t.split()) <= 30, lambda t: "x" not in t.lower(), lambda t: False]
+    got = {r.conv_id: r.passed for r in registry.queries()["rule_checks_whole"](spark, folder).collect()}
+    assert got == {i: checks[i % 7](t.strip()) for i, t in enumerate(TURNS)}
+
+
+def test_every_label_is_paired(spark, folder):
+    rows = registry.queries()["mcnemar_whole"](spark, folder).collect()
+    pairs = [(i % 2 == 1, i % 3 % 2 == 0) for i in range(150)]
+    assert (rows[0].fixed, rows[0].broken) == (sum(t and not b for b, t in pairs), sum(b and not t for b, t in pairs))
+    assert registry.queries()["win_loss_tie_whole"](spark, folder).count() == 150
