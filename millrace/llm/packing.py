@@ -32,8 +32,6 @@ from millrace.llm.common import materialize, read_table, ship_by_value, worker_c
 CAPACITY = 2048
 END = 0
 BUCKETS = 1024
-#: Local search: how many of the emptiest and fullest underfull classes are tried against each other, and moves at most.
-WIDTH, MAX_MOVES = 64, 5000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), in the order of places
 
@@ -208,71 +206,119 @@ def exchanged(pattern: Pattern, out: tuple[int, ...], into: tuple[int, ...]) ->
     return tuple(sorted(((k, v) for k, v in counts.items() if v), reverse=True))
 
 
-def offers(pattern: Pattern) -> dict[int, tuple[int, ...]]:
-    """What a bin can give: one document or two, by their sum."""
+class Exchanges:
+    """The underfull patterns, found by what an exchange needs.
+
+    A giver with `room` gives x, a taker with `left` gives back y: one document,
+    two (not both sides), or none for a move of one. The taker then has
+    s = y + left to put x into, and squared fills rise if y < x <= s < x + room.
+    By s, takers are kept with their y; by x, givers with their room.
+    """
+
+    def __init__(self, capacity: int) -> None:
+        self.capacity = capacity
+        self.takers = [[{} for _ in range(capacity + 1)] for _ in range(3)]
+        self.givers = [[{} for _ in range(capacity + 1)] for _ in range(3)]
+        self.least = np.full((3, capacity + 1), capacity + 1, dtype=np.int64)  # y by documents given back and s
+        self.most = np.full((3, capacity + 1), -1, dtype=np.int64)  # room by documents given and x
+        self.bins: dict[Pattern, int] = {}
+
+    def change(self, pattern: Pattern, bins: int) -> None:
+        before = self.bins.get(pattern, 0)
+        if before + bins:
+            self.bins[pattern] = before + bins
+        else:
+            del self.bins[pattern]
+        if before and before + bins:
+            return
+        room = self.capacity - fill(pattern)
+        for n, y, _ in ((0, 0, ()), *((len(out), x, out) for x, out in all_offers(pattern))):
+            for table, edge, at, value, pick, none in ((self.takers, self.least, y + room, y, min, self.capacity + 1), (self.givers, self.most, y, room, max, -1)):
+                if table is self.givers and not n:
+                    continue
+                cell = table[n][at]
+                if before:
+                    del cell[value][pattern]
+                    if not cell[value]:
+                        del cell[value]
+                else:
+                    cell.setdefault(value, {})[pattern] = None
+                edge[n, at] = pick(cell, default=none)
+
+    def partner(self, values: dict[int, dict[Pattern, None]], wanted, pattern: Pattern) -> tuple[int, Pattern] | None:
+        for value in sorted(values):
+            if wanted(value):
+                for other in values[value]:
+                    if other != pattern or self.bins[pattern] > 1:
+                        return value, other
+        return None
+
+    def move_with(self, pattern: Pattern):
+        """(giver, taker, lengths given, lengths given back) with the least room left in the taker, or None."""
+        room, best = self.capacity - fill(pattern), None
+        mine = all_offers(pattern)
+        for x, out in mine:
+            for n in (0, 1, 2) if len(out) == 1 else (1,):
+                for at in np.flatnonzero(self.least[n, x : min(x + room, self.capacity + 1)] < x).tolist():
+                    if best and at >= best[0]:
+                        break
+                    if found := self.partner(self.takers[n][x + at], lambda y, x=x: y < x, pattern):
+                        best = at, pattern, found[1], out, lengths_of(found[1], n, found[0])
+                        break
+        for y, into in ((0, ()), *mine):
+            s = y + room
+            for n in (1, 2) if len(into) == 1 else (1,):
+                x = np.arange(y + 1, s + 1)
+                for at in np.flatnonzero(x + self.most[n, y + 1 : s + 1] > s)[::-1].tolist():
+                    left = s - (y + 1 + at)
+                    if best and left >= best[0]:
+                        break
+                    if found := self.partner(self.givers[n][y + 1 + at], lambda r, left=left: r > left, pattern):
+                        best = left, found[1], pattern, lengths_of(found[1], n, y + 1 + at), into
+                        break
+        return best and best[1:]
+
+
+def all_offers(pattern: Pattern) -> list[tuple[int, tuple[int, ...]]]:
+    """What a bin can give: each single document, and each sum of two once."""
     lengths = [k for k, _ in pattern]
-    found: dict[int, tuple[int, ...]] = {}
-    for i, a in enumerate(lengths):
-        for b in lengths[i:]:
-            if a != b or pattern[i][1] > 1:
-                found[a + b] = (a, b)
-    found.update({a: (a,) for a in lengths})
-    return found
-
-
-def best_exchange(giver: Pattern, taker: Pattern, capacity: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
-    """The exchange (one for one, two for one, one for two, or a move) that raises the squared fills most."""
-    a, b = fill(giver), fill(taker)
-    room, best = capacity - b, None
-    given, back = offers(giver), {0: (), **offers(taker)}
-    for x, out in given.items():
-        for y, into in back.items():
-            d = x - y
-            if 0 < d <= room and len(out) + len(into) <= 3 and (into or len(out) == 1):
-                gain = 2 * d * (b - a + d)
-                if gain > 0 and (best is None or gain > best[0]):
-                    best = gain, out, into
-    return best
+    pairs = {a + b: (a, b) for i, a in enumerate(lengths) for b in lengths[i:] if a != b or pattern[i][1] > 1}
+    return [(a, (a,)) for a in lengths] + list(pairs.items())
+
+
+def lengths_of(pattern: Pattern, n: int, total: int) -> tuple[int, ...]:
+    return next((out for x, out in all_offers(pattern) if x == total and len(out) == n), ())
 
 
 def local_search(classes: list[tuple[Pattern, int]], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
-    """Exchanges between underfull bins until none raises the sum of squared fills (or MAX_MOVES are made)."""
+    """Exchanges between underfull bins until none raises the sum of squared fills.
+
+    A pattern is settled when it has no exchange with any in the pool, as giver
+    or as taker; only new patterns are looked at again, each against all others.
+    """
     done = [c for c in classes if fill(c[0]) == capacity]
-    pool: dict[Pattern, int] = {}
+    pool = Exchanges(capacity)
     for pattern, bins in classes:
         if fill(pattern) < capacity:
-            key = tuple(sorted(pattern, reverse=True))
-            pool[key] = pool.get(key, 0) + bins
-    tried: set[tuple[Pattern, Pattern]] = set()
-    for _ in range(MAX_MOVES):
-        by_fill = sorted(pool, key=fill)
-        move = None
-        for giver in by_fill[:WIDTH]:
-            for taker in by_fill[::-1][:WIDTH]:
-                if (giver, taker) in tried or (giver == taker and pool[giver] < 2):
-                    continue
-                found = best_exchange(giver, taker, capacity)
-                if found:
-                    move = giver, taker, found
-                    break
-                if giver != taker:
-                    tried.add((giver, taker))
-            if move:
-                break
-        if not move:
-            break
-        giver, taker, (_, out, into) = move
-        times = pool[giver] // 2 if giver == taker else min(pool[giver], pool[taker])
-        for old in (giver, taker):
-            pool[old] -= times
-            if not pool[old]:
-                del pool[old]
-        for new in (exchanged(giver, out, into), exchanged(taker, into, out)):
-            if fill(new) == capacity:
-                done.append((new, times))
-            elif new:
-                pool[new] = pool.get(new, 0) + times
-    return done + sorted(pool.items(), reverse=True)
+            pool.change(tuple(sorted(pattern, reverse=True)), bins)
+    todo = dict.fromkeys(sorted(pool.bins, key=fill, reverse=True))  # the emptiest is last, and first in turn
+    while todo:
+        pattern, _ = todo.popitem()
+        while pattern in pool.bins and (move := pool.move_with(pattern)):
+            giver, taker, out, into = move
+            times = pool.bins[giver] // 2 if giver == taker else min(pool.bins[giver], pool.bins[taker])
+            for old in (giver, taker):
+                pool.change(old, -times)
+            for new in (exchanged(giver, out, into), exchanged(taker, into, out)):
+                if fill(new) == capacity:
+                    done.append((new, times))
+                elif new:
+                    if new not in pool.bins:
+                        todo[new] = None
+                    elif pool.bins[new] == 1:
+                        todo[new] = None  # it can now exchange with itself
+                    pool.change(new, times)
+    return done + sorted(pool.bins.items(), reverse=True)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarray]:
