@@ -1,9 +1,9 @@
 """HTML extraction with site template removal.
 
 First pass: every page is parsed, the subtrees of its elements are hashed, and
-Spark counts for each host on how many differently titled pages a subtree
-stands; copies of one page, near or exact, share a title and count once. Second
-pass: subtrees that recur on many titles of their host are deleted, with menus,
+Spark counts for each host on how many different articles' pages a subtree
+stands; copies of one page share the heading inside their article, or else its
+text, and count once. Second pass: subtrees that recur on ten or more are deleted, with menus,
 headers, footers, sidebars, notices, adverts, forms, scripts and comments, and
 the blocks of text that are left in the article are the page's text.
 
@@ -20,14 +20,14 @@ from html import unescape
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize, read_table, ship_by_value
 
-#: A subtree is a template if it stands on this many titles of its host, and on this share of them.
-MIN_TITLES, MIN_SHARE = 10, 0.01
-#: Templates are broadcast up to this many hashes; beyond it they are joined by host.
+#: A subtree is a template if it stands on pages of this many articles of its host, however many the host has.
+MIN_TITLES = 10
+#: Templates are broadcast up to this many hashes; beyond it each page is joined to its own.
 MAX_BROADCAST = 200_000
 
 # Element names of the HTML standard, by what they mean here.
@@ -147,13 +147,18 @@ def marked(node: Node, inside: bool) -> bool:
     return bool(named & MARKS) or ("header" in named and not inside)
 
 
-def title_of(nodes: list[tuple[Node, bool]], url: str) -> str:
-    """The page's first heading, else its title, else its address."""
-    for tag in ("h1", "title"):
-        for node, _ in nodes:
-            if node.tag == tag and (text := " ".join(words_of(node))):
+def title_of(root: Node, nodes: list[tuple[Node, bool]], url: str) -> str:
+    """What tells the page's article from others: the first h1 inside it, else its text, else the page's address.
+
+    A heading outside the article can be the site's name, the same on every page.
+    """
+    tops = [node for node, inside in nodes if node.tag == "article" and not inside]
+    tops = tops or [node for node, _ in nodes if node.tag == "main" or node.attributes.get("role") == "main"]
+    for top in tops:
+        for node, _ in walk(top):
+            if node.tag == "h1" and (text := " ".join(words_of(node))):
                 return text
-    return url
+    return " ".join(w for top in tops or [root] for w in words_of(top)) or url
 
 
 def words_of(node: Node) -> list[str]:
@@ -222,18 +227,32 @@ def _hash_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, hashes, titles = [], [], []
         for host, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            nodes = walk(parse(html or ""))
+            root = parse(html or "")
+            nodes = walk(root)
             put_hashes(nodes)
-            title = xxhash.xxh3_64_intdigest(title_of(nodes, url or "")) - (1 << 63)
-            found = {node.hash for node, inside in nodes if judged(node, inside) and node.children} | {0}
+            title = xxhash.xxh3_64_intdigest(title_of(root, nodes, url or "")) - (1 << 63)
+            found = {node.hash for node, inside in nodes if judged(node, inside) and node.children}
             hosts += [host] * len(found)
             titles += [title] * len(found)
             hashes += found
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(titles, pa.int64())], ["host", "hash", "title"])
 
 
+def _own_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hosts, digests, hashes = [], [], []
+        for host, digest, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            nodes = walk(parse(html or ""))
+            put_hashes(nodes)
+            found = {node.hash for node, inside in nodes if judged(node, inside) and node.children}
+            hosts += [host] * len(found)
+            digests += [digest] * len(found)
+            hashes += found
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.string()), pa.array(hashes, pa.int64())], ["host", "digest", "hash"])
+
+
 def _extract_pages(shared):
-    """Batches of page_id, url, host, html and, where `shared` is None, the host's templates as packed longs."""
+    """Batches of page_id, url, host, html and, where `shared` is None, the page's own templates as packed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing: frozenset[int] = frozenset()
@@ -257,19 +276,15 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def site_templates(pages: DataFrame, *, min_titles: int = MIN_TITLES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, hash of the subtrees that recur. Hash 0 stands on every page and counts the host's titles.
+def site_templates(pages: DataFrame, *, min_titles: int = MIN_TITLES) -> DataFrame:
+    """host, hash of the subtrees that recur.
 
     Titles are made distinct before they are counted, so the subtree that a hot
-    host has on every page reaches one task as partial counts only. As a template
-    needs `min_share` of its host's titles, a host has at most 1 / min_share
-    times as many as a page has subtrees.
+    host has on every page reaches one task as partial counts only.
     """
     rows = pages.select("host", "url", "html").mapInArrow(_hash_pages, "host string, hash long, title long")
     counts = rows.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    titles = F.max(F.when(F.col("hash") == 0, F.col("n"))).over(Window.partitionBy("host"))
-    frequent = counts.filter((F.col("n") >= min_titles) | (F.col("hash") == 0)).withColumn("titles", titles)
-    return frequent.filter((F.col("hash") != 0) & (F.col("n") >= min_titles) & (F.col("n") >= F.col("titles") * min_share)).select("host", "hash")
+    return counts.filter(F.col("n") >= min_titles).select("host", "hash")
 
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_broadcast: int = MAX_BROADCAST, **options) -> DataFrame:
@@ -289,9 +304,12 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
         for host, h in templates.collect():
             by_host.setdefault(host, set()).add(h)
         return slim.mapInArrow(_extract_pages(spark.sparkContext.broadcast(by_host)), schema)
-    packed = templates.groupBy(F.col("host").alias("_host")).agg(F.collect_list("hash").alias("_all"))
-    packed = packed.select("_host", F.unhex(F.array_join(F.transform("_all", lambda x: F.lpad(F.hex(x), 16, "0")), "")).alias("packed"))
-    return slim.join(packed, F.col("host") == F.col("_host"), "left").drop("_host").mapInArrow(_extract_pages(None), schema)
+    # A page is sent the templates that it holds, not all of its host, of which there may be any number.
+    own = slim.select("host", F.md5(F.coalesce("html", F.lit(""))).alias("digest"), "html").mapInArrow(_own_hashes, "host string, digest string, hash long")
+    packed = own.distinct().join(templates, ["host", "hash"]).groupBy(F.col("host").alias("_host"), F.col("digest").alias("_digest")).agg(F.collect_list("hash").alias("_all"))
+    packed = packed.select("_host", "_digest", F.unhex(F.array_join(F.transform("_all", lambda x: F.lpad(F.hex(x), 16, "0")), "")).alias("packed"))
+    joined = slim.join(packed, (F.col("host") == F.col("_host")) & (F.md5(F.coalesce("html", F.lit(""))) == F.col("_digest")), "left")
+    return joined.drop("_host", "_digest").mapInArrow(_extract_pages(None), schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
