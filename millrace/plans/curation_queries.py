@@ -139,16 +139,21 @@ def split_profile(spark, d):
 
 
 def contamination_semi(spark, d):
-    """Documents that hold the first eight words of a benchmark text: a semi join on runs of eight words."""
+    """Documents that hold any eight words in a row of a benchmark text, or the whole of a shorter one: a semi join on runs of words."""
 
-    def runs(text, of):
-        w = F.filter(F.split(F.lower(text), SPACE + "+"), lambda x: x != "")
-        return w, F.when(F.size(of) >= 8, F.transform(F.sequence(F.lit(1), F.greatest(F.size(of) - 7, F.lit(1))), lambda i: F.array_join(F.slice(of, i, 8), " ")))
+    def words(text):
+        return F.filter(F.split(F.lower(text), SPACE + "+"), lambda x: x != "")
 
-    w, _ = runs(F.col("text"), F.col("text"))
-    marks = spark.read.parquet(f"{d}/benchmark.parquet").select(w.alias("w")).filter(F.size("w") >= 8).select(F.array_join(F.slice("w", 1, 8), " ").alias("run")).distinct()
-    words = documents(spark, d).select("doc_id", w.alias("w"))
-    found = words.select("doc_id", F.explode(F.array_distinct(runs(F.lit(""), F.col("w"))[1])).alias("run"))
+    def runs(of, k):
+        return F.when(F.size(of) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(of) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(of, i, k), " ")))
+
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    short = [r[0] for r in items.filter(F.size("w") < 8).select(F.size("w")).distinct().collect()]  # at most seven
+    marks = items.select(F.explode(F.when(F.size("w") < 8, F.array(F.array_join("w", " "))).otherwise(runs(F.col("w"), 8))).alias("run")).distinct()
+    held = documents(spark, d).select("doc_id", words(F.col("text")).alias("w"))
+    empty = F.array().cast("array<string>")
+    every = F.concat(*[F.coalesce(runs(F.col("w"), k), empty) for k in (8, *sorted(short))])
+    found = held.select("doc_id", F.explode(F.array_distinct(every)).alias("run"))
     return found.join(marks, "run", "left_semi").select("doc_id").distinct()
 
 
