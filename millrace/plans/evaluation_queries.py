@@ -206,9 +206,9 @@ def unpivoted(spark, d, **which):
     return rows.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b").cast("decimal(18,4)") - F.col("a").cast("decimal(18,4)")).cast("double").alias("total_delta"))
 
 
-def bootstrap_ci(spark, d, **which):
+def bootstrap_ci(spark, d, resamples=200, **which):
     diffs = paired(spark, d, **which).select("doc_id", (F.col("tuned_exact_match").cast("int") - F.col("base_exact_match").cast("int")).alias("diff"))
-    return CP.bootstrap_ci(diffs, "diff", "doc_id", resamples=200)
+    return CP.bootstrap_ci(diffs, "diff", "doc_id", resamples=resamples)
 
 
 BOOTSTRAP_SQL = f"""
@@ -449,6 +449,7 @@ WHEN delta_sim > 0.02::DOUBLE THEN 'tuned closer' WHEN base_edit_sim - tuned_edi
     "mcnemar_whole": (partial(mcnemar, **EVERY), None),
     "mcnemar_small_whole": (partial(mcnemar_small, **EVERY), None),
     "paired_metrics_whole": (partial(unpivoted, **EVERY), None),
+    "bootstrap_ci_whole": (partial(bootstrap_ci, resamples=10_000, **EVERY), None),
     "pair_verdicts_whole": (partial(pair_verdicts, **EVERY), None),
     "edit_scores_whole": (partial(edit_scores, chars=None), None),
     "score_headline_whole": (partial(score_headline, chars=None), None),

@@ -1,5 +1,6 @@
 """Whole-text queries against brute force on a small fixture with what a cut would hide."""
 
+import hashlib
 import re
 from collections import Counter
 
@@ -113,3 +114,10 @@ def test_every_label_is_paired(spark, folder):
     pairs = [(i % 2 == 1, i % 3 % 2 == 0) for i in range(150)]
     assert (rows[0].fixed, rows[0].broken) == (sum(t and not b for b, t in pairs), sum(b and not t for b, t in pairs))
     assert registry.queries()["win_loss_tie_whole"](spark, folder).count() == 150
+
+
+def test_bootstrap_draws_ten_thousand_resamples(spark, folder):
+    diffs = [(i % 3 % 2 == 0) - (i % 2 == 1) for i in range(150)]
+    means = sorted(sum(diffs[int(hashlib.md5(f"0:{r}:{k}".encode()).hexdigest()[:8], 16) % 150] for k in range(150)) / 150 for r in range(10_000))
+    got = registry.queries()["bootstrap_ci_whole"](spark, folder).first()
+    assert (got.delta, got.ci_low, got.ci_high) == (sum(diffs) / 150, means[250], means[9750])
