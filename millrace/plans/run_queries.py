@@ -80,6 +80,22 @@ def stream_rolling(spark, d):
     return SQ.run_available(SQ.rolling_stream(stream, "event_type", "value", "tokens"), _name(), "update").groupBy("event_type").agg(F.max("n").alias("n"))
 
 
+def ordered_stream(spark, d):
+    return event_stream(spark, d).select("event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "value", (F.col("user_id") % 100 + 1).cast("double").alias("tokens"))
+
+
+def stream_rolling_stats(spark, d):
+    """The last window of each event type, as `rolling_500` has it for the type's last event."""
+    stats = SQ.run_available(SQ.rolling_stats_stream(ordered_stream(spark, d), "event_type", ["at", "event_id"], "value", "tokens"), _name(), "update")
+    return stats.groupBy("event_type").agg(F.max_by(F.struct(*stats.columns[2:]), "seen").alias("w")).select("event_type", "w.*")
+
+
+def stream_early_stop(spark, d):
+    """Whether each event type, taken as a run, is stopped by its last event; runs over files in event order."""
+    stops = SQ.run_available(SQ.stop_stream(ordered_stream(spark, d), "event_type", "value", order=["at", "event_id"]), _name(), "update")
+    return stops.groupBy("event_type").agg(F.min("best").alias("best"), F.bool_or("stop").alias("stop"))
+
+
 def stream_dedup(spark, d):
     return SQ.run_available(SQ.first_of_each(event_stream(spark, d).select("user_id"), "user_id"), _name(), "append")
 
@@ -127,6 +143,8 @@ SELECT run, loss, row_number() OVER (ORDER BY loss NULLS LAST, run) AS rank FROM
     ),
     "union_in_order": (union_in_order, "SELECT doc_id, lang, NULL::INT AS chars, 0 AS table_no FROM documents UNION ALL SELECT item_id, NULL, length(text)::INT, 1 FROM benchmark"),
     "stream_rolling": (stream_rolling, "SELECT event_type, least(count(*), 500) AS n FROM events GROUP BY 1"),
+    "stream_rolling_stats": (stream_rolling_stats, None),
+    "stream_early_stop": (stream_early_stop, None),
     "stream_dedup": (stream_dedup, "SELECT DISTINCT user_id FROM events"),
     "stream_windows": (
         stream_windows,

@@ -1,7 +1,8 @@
-"""Streaming forms of the rolling window, dedup with quotas, early stopping and event-time windows."""
+"""Streaming forms of the rolling window, dedup, early stopping and event-time windows."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,12 +28,47 @@ def rolling_stream(rows: DataFrame, key: str, latency: str, tokens: str, size: i
     )
 
 
-def stop_stream(log: DataFrame, run: str, loss: str, patience: int = 3, threshold: float = 1e-4) -> DataFrame:
-    """Per run, after each batch: best loss, evaluations in a row without improvement, and whether to stop."""
+def _in_order(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+    return pd.concat(list(batches)).sort_values(order, kind="stable")
+
+
+def rolling_stats_stream(rows: DataFrame, key: str, order: list[str], latency: str, tokens: str, size: int = 500) -> DataFrame:
+    """Per key, after each batch: the batch form's figures over the last `size` rows in event order.
+
+    `order` are columns of longs. State: at most `size` rows a key; a late row takes its place among them.
+    `seen` counts all rows of the key.
+    """
+
+    def at(values: list[float], q: float) -> float | None:
+        return values[max(math.ceil(q * len(values)) - 1, 0)] if values else None
 
     def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, bad, stopped = state.get if state.exists else (None, 0, False)
+        held, seen = [], 0
+        if state.exists:
+            *columns, seen = state.get
+            held = list(zip(*columns, strict=True))
         for batch in batches:
+            seen += len(batch)
+            held += list(zip(*[batch[c].tolist() for c in order], batch[latency].astype(float).tolist(), batch[tokens].astype(float).tolist(), strict=True))
+            held = sorted(held)[-size:]
+        state.update((*[list(c) for c in zip(*held, strict=True)], seen))
+        values, total, spent = sorted(r[-2] for r in held), math.fsum(r[-1] for r in held), math.fsum(r[-2] for r in held)
+        yield pd.DataFrame({key: [keys[0]], "seen": [seen], "window_count": [len(held)], "p50": [at(values, 0.5)], "p95": [at(values, 0.95)], "max_latency": [values[-1]], "tokens_sum": [total], "tokens_per_second": [total / spent if spent else None]})
+
+    held = ", ".join([*[f"o{i} array<long>" for i in range(len(order))], "latency array<double>, tokens array<double>, seen long"])
+    out = f"{key} string, seen long, window_count long, p50 double, p95 double, max_latency double, tokens_sum double, tokens_per_second double"
+    return rows.groupBy(key).applyInPandasWithState(update, out, held, "update", GroupStateTimeout.NoTimeout)
+
+
+def stop_stream(log: DataFrame, run: str, loss: str, patience: int = 3, threshold: float = 1e-4, order: list[str] | None = None) -> DataFrame:
+    """Per run, after each batch: best loss, evaluations in a row without improvement, and whether to stop.
+
+    A batch's rows are taken in `order`, or else as they come.
+    """
+
+    def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best, bad, stopped = state.get if state.exists else (None, 0, False)
+        for batch in [_in_order(batches, order)] if order else batches:
             for x in batch[loss].astype(float):
                 improved = best is None or (x < best and best - x > threshold)
                 bad = 0 if improved else bad + 1
