@@ -7,7 +7,7 @@ many bins hold it. Best fit by decreasing length fills the classes; local search
 then exchanges one document for one, two for one, or moves one between underfull
 bins wherever that raises the sum of squared fills, until emptied bins vanish
 and no exchange helps. A class is split only where a run of equal lengths ends,
-so the plan's size depends on the capacity and not on the number of documents.
+and by exchanges, so the plan's size grows with the moves of the search.
 
 Pieces get their place by rank within their length, numbered inside hash buckets
 whose counts give the offsets; no task sorts all pieces of one length.
