@@ -14,7 +14,8 @@ id) is never judged alone: a passage that many articles share is content.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from html import unescape
 
 import numpy as np
@@ -31,24 +32,28 @@ MIN_TITLES = 10
 MAX_BROADCAST = 200_000
 
 # Element names of the HTML standard, by what they mean here.
-DROPPED = frozenset("script style noscript template head title nav footer aside form button select option textarea iframe object embed canvas svg math dialog menu audio video map input label fieldset".split())
+DROPPED = frozenset("script style template head title nav footer aside form button select option textarea iframe dialog menu input".split())
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre a abbr b bdi bdo cite code data del dfn em i ins kbd mark q s samp small span strong sub sup time u var wbr br img font big tt".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre a abbr b bdi bdo cite code data del dfn em i ins kbd label mark math q s samp small span strong sub sup time u var wbr br img font big tt".split())
 #: A start tag of the key closes an open element of these, up to the scope's border.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BORDERS = frozenset("article section div main body html table td th ul ol dl blockquote aside nav header footer form figure".split())
-# Words in class, id or role that mark what surrounds an article.
+# Names that a class, id or role has for what surrounds an article. A whole name counts (`sidebar`), or one
+# whose last part is listed (`site-footer`), or whose first part is and whose others say how it is built (`share-box`);
+# a name that begins with a word of the last line tells about a page (`has-sidebar`).
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promotion promoted related respond search share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promos promotion promoted related respond search share sharing sidebar skip sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()
 )
+FIRST_ONLY = frozenset("social".split())
+BUILT = frozenset("area bar block body bottom box button buttons column container content footer form group header icons inner item items left link links list main menu nav outer panel posts primary region right row section slot strip text title top unit widget wrap wrapper".split())
+STATES = frozenset("has is no not with without hide hides show shows non un page single".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|[^>]*>?)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
@@ -60,14 +65,31 @@ class Node:
 
 
 def parse(html: str) -> Node:
-    """A tree of elements and texts. Missing end tags are supplied as browsers do for p, li, table parts and options."""
+    """A tree of elements and texts. Missing end tags are supplied as browsers do for p, li, table parts and options.
+
+    Where the open elements of each name stand is kept, so that time is linear in
+    the page whatever is left open.
+    """
     root = Node("html", {})
     stack, at, text_at = [root], 0, 0
+    places: dict[str, list[int]] = {}
+    borders = [0]
 
     def say(text: str) -> None:
         if text:
             stack[-1].children.append(text)
 
+    def close(place: int) -> None:
+        for node in reversed(stack[place:]):
+            places[node.tag].pop()
+        del stack[place:]
+        while borders[-1] >= place:
+            borders.pop()
+
+    def last(tag: str) -> int:
+        held = places.get(tag)
+        return held[-1] if held else 0
+
     while m := _TAG.search(html, at):
         say(html[text_at : m.start()])
         at = text_at = m.end()
@@ -77,32 +99,33 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if place := last(tag):
+                close(place)
             continue
-        closed = CLOSES.get(tag) or ({"p"} if tag in BLOCKS else None)
-        if closed:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in closed:
-                    del stack[i:]
-                    break
-                if stack[i].tag in BORDERS:
-                    break
+        closed = CLOSES.get(tag) or (("p",) if tag in BLOCKS else ())
+        if closed and (place := max(map(last, closed))) and place >= borders[-1]:
+            close(place)
         attributes = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(m[3].removesuffix(">"))} if len(m[3]) > 1 else {}
         node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(html, at)
+            end = _raw_end(tag).search(html, at)
             node.children.append(html[at : end.start() if end else len(html)])
             at = text_at = end.end() if end else len(html)
         elif tag not in VOID:  # a slash before > means nothing on an HTML element
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BORDERS:
+                borders.append(len(stack))
             stack.append(node)
     say(html[text_at:])
     return root
 
 
+@cache
+def _raw_end(tag: str) -> re.Pattern[str]:
+    return re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I)
+
+
 def walk(root: Node) -> list[tuple[Node, bool]]:
     """All elements in page order, each with whether it stands in an article."""
     found, todo = [], [(root, False)]
@@ -130,30 +153,78 @@ def judged(node: Node, inside: bool) -> bool:
     return not inside or node.tag not in PROSE or any(k in node.attributes for k in ("class", "id", "role"))
 
 
-def marked(node: Node, inside: bool) -> bool:
-    """Whether the element's name or attributes say that it is no part of an article."""
-    if node.tag in DROPPED:
+@cache
+def surrounds(name: str) -> bool:
+    """Whether a name of a class, id or role, in small letters, says that its element is no part of an article."""
+    if name in MARKS:
         return True
-    if node.tag == "header":
-        return not inside
-    a = node.attributes
-    if not a:
+    parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+    if len(parts) < 2 or parts[0] in STATES:
         return False
-    if "hidden" in a or a.get("aria-hidden") == "true" or _HIDDEN.search(a.get("style", "")):
-        return True
-    if node.tag in ("html", "body"):
+    return parts[-1] in MARKS or (parts[0] in MARKS | FIRST_ONLY and all(x in BUILT or x.isdigit() for x in parts[1:]))
+
+
+def by_name(node: Node, inside: bool) -> bool:
+    """Whether the element's own name says that it is no part of an article."""
+    return node.tag in DROPPED or (node.tag == "header" and not inside)
+
+
+def by_attributes(node: Node, inside: bool) -> bool:
+    """Whether its class, id or role does; a page's whole class is about the page."""
+    if not node.attributes or node.tag in ("html", "body"):
         return False
-    named = set(re.split(r"[^a-z0-9]+", f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".lower()))
-    return bool(named & MARKS) or ("header" in named and not inside)
+    names = " ".join(node.attributes.get(k, "") for k in ("class", "id", "role")).lower().split()
+    return any(surrounds(n) or (n == "header" and not inside) for n in names)
+
 
+def main_parts(root: Node) -> tuple[list[Node], set[int]]:
+    """(tops, kept): outermost articles, else main elements; ids of them and of what holds them.
 
-def title_of(root: Node, nodes: list[tuple[Node, bool]], url: str) -> str:
+    Those that stand in nothing marked come first: with one of them on the page,
+    articles in a sidebar or among reader comments are none of its own. Where every
+    article is marked or stands in something marked, marks by class or id are not
+    believed, so that no class word costs a page its article.
+    """
+
+    def found(wanted: Callable[[Node], bool], strict: bool) -> list[tuple[Node, ...]]:
+        paths: list[tuple[Node, ...]] = []
+        todo: list[tuple[Node, tuple | None]] = [(root, None)]
+        while todo:
+            node, above = todo.pop()
+            # A form can hold a whole page.
+            if (by_name(node, False) and node.tag != "form" and not wanted(node)) or (strict and (by_attributes(node, False) or node.tag == "form")):
+                continue
+            chain = (node, above)
+            if wanted(node):
+                path = []
+                link: tuple | None = chain
+                while link:
+                    path.append(link[0])
+                    link = link[1]
+                paths.append(tuple(path))
+            else:
+                todo.extend((c, chain) for c in reversed(node.children) if isinstance(c, Node))
+        return paths
+
+    def is_article(node: Node) -> bool:
+        return node.tag == "article"
+
+    def is_main(node: Node) -> bool:
+        return node.tag == "main" or node.attributes.get("role") == "main"
+
+    for strict in (True, False):
+        for wanted in (is_article, is_main):
+            if paths := found(wanted, strict):
+                return [p[0] for p in paths], {id(n) for p in paths for n in p}
+    return [], set()
+
+
+def title_of(root: Node, url: str) -> str:
     """What tells the page's article from others: the first h1 inside it, else its text, else the page's address.
 
     A heading outside the article can be the site's name, the same on every page.
     """
-    tops = [node for node, inside in nodes if node.tag == "article" and not inside]
-    tops = tops or [node for node, _ in nodes if node.tag == "main" or node.attributes.get("role") == "main"]
+    tops, _ = main_parts(root)
     for top in tops:
         for node, _ in walk(top):
             if node.tag == "h1" and (text := " ".join(words_of(node))):
@@ -174,24 +245,8 @@ def words_of(node: Node) -> list[str]:
 
 def extract(root: Node, templates: set[int] | frozenset[int]) -> str:
     """The blocks of the article (else main, else the body) that are left, joined by empty lines."""
-    nodes = walk(root)
-    gone: set[int] = set()
-    for node, inside in nodes:
-        if marked(node, inside) or (node.hash in templates and judged(node, inside)):
-            gone.add(id(node))
-    tops: list[Node] = []
-    for wanted in ({"article"}, {"main"}):
-        todo: list[Node] = [root]
-        while todo:
-            node = todo.pop()
-            if id(node) in gone:
-                continue
-            if node.tag in wanted or (wanted == {"main"} and node.attributes.get("role") == "main"):
-                tops.append(node)
-            else:
-                todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
-        if tops:
-            break
+    tops, kept = main_parts(root)
+    gone = {id(n) for n, inside in walk(root) if id(n) not in kept and (by_name(n, inside) or by_attributes(n, inside) or (n.hash in templates and judged(n, inside)))}
     blocks: list[str] = []
     words: list[str] = []
 
@@ -230,7 +285,7 @@ def _hash_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root = parse(html or "")
             nodes = walk(root)
             put_hashes(nodes)
-            title = xxhash.xxh3_64_intdigest(title_of(root, nodes, url or "")) - (1 << 63)
+            title = xxhash.xxh3_64_intdigest(title_of(root, url or "")) - (1 << 63)
             found = {node.hash for node, inside in nodes if judged(node, inside) and node.children}
             hosts += [host] * len(found)
             titles += [title] * len(found)
@@ -291,9 +346,10 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     """One row per page: page_id, url, text and its length in code points.
 
     Null html is empty and gives an empty text; a page without address belongs to
-    the host ''. Repeated pages give repeated results. Markup that is never
-    closed runs to the end of the page. Extra columns are ignored; an empty table
-    gives an empty result.
+    the host ''; a null id is kept. Repeated pages give repeated results and count
+    once for templates. Very long pages are read whole, in linear time. Markup that
+    is never closed runs to the end of the page. Extra columns are ignored, whatever
+    their names; an empty table gives an empty result.
     """
     spark = pages.sparkSession
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
