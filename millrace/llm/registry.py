@@ -29,5 +29,6 @@ def oracles() -> dict[str, str]:
         "op1_perspective_rotation": chat.OP1_SQL,
         "op3_distribution_divergence": quality.OP3_SQL,
         "op4_streaming_dedup": exact_dedup.OP4_SQL,
+        "op5_interleaved_shards": sharding.OP5_SQL,
         "op6_hash_threshold_mix": mixing.OP6_SQL,
     }
