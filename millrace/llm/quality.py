@@ -1,15 +1,16 @@
 """Quality rules by distribution divergence (DataFrame functions only).
 
-A document's histogram over character classes and its histogram over common
-words are compared, by Jensen-Shannon distance (base 2, 0 to 1), with the
-histograms of each reference language. A reference is the sum over all documents
-of the corpus labelled with that language. A document is rejected if it is far
+A document's histogram over character classes and its histograms over the common
+words of several languages are compared, by Jensen-Shannon distance (base 2, 0 to
+1), with references of each language that are part of this module, so that a
+dirty corpus can't shift its own yardstick. A document is rejected if it is far
 from every reference; texts too short for a histogram to mean anything are
 guarded by minimum lengths and are judged by the base rules alone.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +18,54 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize, read_table, text_or_empty, words
 
-# Common words of each reference language.
-COMMON_WORDS = {
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich"],
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une"],
+
+@dataclass(frozen=True)
+class Reference:
+    """One language: share of each character class in a thousand, and of each common word, in small letters."""
+
+    classes: tuple[float, ...]
+    common: dict[str, float]
+
+
+# References, rounded from published frequency lists of written language. Classes are small letters a-z,
+# white space, capitals A-Z, symbols, digits, punctuation, and all else (accented letters among it).
+REFERENCES = {
+    "en": Reference(
+        (772, 165, 26, 0.5, 8, 27, 1.5),
+        {"the": 71, "of": 42, "and": 30, "to": 26, "in": 23, "a": 21, "is": 11, "that": 11, "for": 9, "it": 8, "as": 8, "was": 7, "with": 7, "be": 7, "by": 6, "on": 6, "not": 6, "he": 6, "this": 5, "are": 5},
+    ),
+    "de": Reference(
+        (757, 140, 52, 0.5, 8, 29, 13.5),
+        {"der": 33, "die": 32, "und": 26, "in": 18, "den": 12, "von": 11, "zu": 10, "das": 9, "mit": 9, "sich": 8, "des": 8, "auf": 7, "für": 6, "ist": 7, "im": 7, "dem": 6, "nicht": 6, "ein": 6, "eine": 5, "als": 5},
+    ),
+    "fr": Reference(
+        (750, 160, 23, 0.5, 7, 29, 30.5),
+        {"de": 51, "la": 29, "le": 24, "et": 22, "les": 21, "des": 17, "en": 14, "un": 12, "du": 12, "une": 10, "que": 9, "est": 9, "pour": 8, "qui": 8, "dans": 8, "par": 6, "pas": 5, "sur": 6, "au": 6, "avec": 5},
+    ),
+    "es": Reference(
+        (763, 163, 22, 0.5, 6, 26, 19.5),
+        {"de": 66, "la": 41, "que": 31, "el": 30, "en": 28, "y": 27, "a": 21, "los": 17, "se": 13, "del": 12, "las": 11, "un": 11, "por": 10, "con": 10, "no": 10, "una": 9, "su": 7, "para": 7, "es": 7, "al": 6},
+    ),
+    "it": Reference(
+        (776, 160, 22, 0.5, 6, 28, 7.5),
+        {"di": 35, "e": 27, "che": 19, "la": 18, "il": 18, "a": 13, "un": 12, "per": 11, "in": 12, "del": 9, "è": 11, "una": 8, "non": 9, "le": 8, "i": 8, "con": 7, "si": 7, "della": 8, "da": 7, "al": 5},
+    ),
+    "pt": Reference(
+        (756, 164, 23, 0.5, 7, 27, 22.5),
+        {"de": 47, "a": 33, "o": 29, "que": 26, "e": 26, "do": 18, "da": 17, "em": 14, "um": 10, "para": 10, "os": 10, "no": 10, "com": 9, "uma": 8, "não": 9, "se": 8, "na": 9, "por": 7, "as": 8, "dos": 7},
+    ),
+    "nl": Reference(
+        (782, 156, 24, 0.5, 7, 28, 2.5),
+        {"de": 56, "van": 30, "het": 26, "een": 23, "en": 23, "in": 22, "is": 13, "te": 11, "dat": 11, "op": 10, "die": 9, "voor": 9, "met": 9, "zijn": 8, "niet": 8, "aan": 7, "er": 6, "om": 6, "ook": 5, "als": 5},
+    ),
+    "pl": Reference(
+        (724, 140, 28, 0.5, 9, 32, 66.5),
+        {"w": 28, "i": 21, "z": 16, "na": 16, "się": 16, "nie": 14, "do": 12, "to": 11, "że": 9, "jest": 7, "o": 6, "a": 6, "od": 4, "po": 4, "jak": 4, "za": 4, "przez": 3, "ale": 3, "dla": 3, "przy": 2},
+    ),
+    "sv": Reference(
+        (750, 152, 25, 0.5, 8, 27, 37.5),
+        {"och": 27, "i": 25, "att": 21, "en": 16, "som": 15, "det": 15, "på": 14, "är": 12, "av": 13, "för": 12, "med": 11, "till": 10, "den": 9, "inte": 8, "har": 8, "de": 8, "ett": 7, "om": 7, "var": 5, "jag": 6},
+    ),
 }
 CLASSES = {  # patterns, in the order in which they are taken out of the text; what is left is the last class
     "lower": "[a-z]+",
@@ -34,22 +77,21 @@ CLASSES = {  # patterns, in the order in which they are taken out of the text; w
 }
 SPACE, SYMBOL = list(CLASSES).index("space"), list(CLASSES).index("symbol")
 
-VOCABULARY = sorted({w for ws in COMMON_WORDS.values() for w in ws})
+VOCABULARY = sorted({w for r in REFERENCES.values() for w in r.common})
 WINDOW = 5
 MIN_WORDS, MAX_REPEATED = 10, 20
-#: Guards, and the distances beyond which a document is rejected.
-MIN_CHARS_FOR_CLASSES, MIN_WORDS_FOR_COMMON = 200, 60
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.40
-#: A language with fewer words than this in the corpus gives no reference.
-MIN_REFERENCE_WORDS = 1000
+#: Guards, and the distances beyond which a document is rejected. Text without any listed word is 0.319 from the nearest
+#: reference, and below a hundred words chance alone comes near that.
+MIN_CHARS_FOR_CLASSES, MIN_WORDS_FOR_COMMON = 200, 100
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.31
 
 
 def _with(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", *[c.alias(k) for k, c in columns.items()])
 
 
-def with_histograms(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds _text, _w (words), _classes and _common, the two histograms."""
+def with_histograms(df: DataFrame, text_col: str, references: dict[str, Reference]) -> DataFrame:
+    """Adds _text, _w (words), _classes, and _common_<language>: its common words, and all other words as the last."""
     df = _with(df, _text=text_or_empty(text_col))
     df = _with(df, _w=words(F.col("_text")))
     left, counts = F.col("_text"), []
@@ -58,25 +100,20 @@ def with_histograms(df: DataFrame, text_col: str) -> DataFrame:
         counts.append(F.length(left) - F.length(rest))
         left = rest
     counts.append(F.length(left))
-    df = _with(df, _classes=F.array(*counts), _known=F.filter("_w", lambda w: w.isin(VOCABULARY)))
-    found = F.transform(F.array(*[F.lit(v) for v in VOCABULARY]), lambda v: F.size("_known") - F.size(F.array_remove("_known", v)))
-    return _with(df, _common=F.concat(found, F.array(F.size("_w") - F.size("_known"))))
+    df = _with(df, _classes=F.array(*counts), _known=F.filter(F.transform("_w", lambda w: F.lower(w)), lambda w: w.isin(VOCABULARY)))
 
+    def held(reference: Reference) -> Column:
+        """Words of one language among the known ones, each language on its own short array."""
+        return F.filter("_known", lambda w: w.isin(list(reference.common)))
 
-def references(df: DataFrame, lang_col: str) -> dict[str, tuple[list[float], list[float]]]:
-    """Per language: shares of the character classes and of the common words over the whole corpus.
+    df = _with(df, **{f"_in_{k}": held(r) for k, r in references.items()})
 
-    `df` has _classes and _common. What reaches the driver is one row of fixed
-    width for each of the listed languages.
-    """
-    sums = [F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)] + [F.sum(F.col("_common")[i]).alias(f"w{i}") for i in range(len(VOCABULARY) + 1)]
-    found = {}
-    for row in df.filter(F.col(lang_col).isin(list(COMMON_WORDS))).groupBy(lang_col).agg(*sums).collect():
-        values = [int(x or 0) for x in row[1:]]
-        classes, common = values[: len(CLASSES) + 1], values[len(CLASSES) + 1 :]
-        if sum(common) >= MIN_REFERENCE_WORDS:
-            found[row[0]] = ([x / sum(classes) for x in classes], [x / sum(common) for x in common])
-    return found
+    def histogram(key: str, reference: Reference) -> Column:
+        own = F.col(f"_in_{key}")
+        found = F.transform(F.array(*[F.lit(v) for v in reference.common]), lambda v: F.size(own) - F.size(F.array_remove(own, v)))
+        return F.concat(found, F.array(F.size("_w") - F.size(own)))
+
+    return _with(df, **{f"_common_{k}": histogram(k, r) for k, r in references.items()})
 
 
 def js_distance(counts: Column, total: Column, reference: list[float]) -> Column:
@@ -91,11 +128,20 @@ def js_distance(counts: Column, total: Column, reference: list[float]) -> Column
     return F.sqrt(F.greatest(summed / (2.0 * F.log(F.lit(2.0))), F.lit(0.0)))
 
 
-def nearest(counts: str, total: str, of: list[list[float]]) -> Column:
+def shares(values: list[float]) -> list[float]:
+    return [x / sum(values) for x in values]
+
+
+def word_shares(reference: Reference) -> list[float]:
+    listed = [x / 1000 for x in reference.common.values()]
+    return [*listed, 1 - sum(listed)]
+
+
+def nearest(distances: list[Column], total: str) -> Column:
     """Distance to the closest reference; 0 where there is no reference or nothing to compare."""
-    if not of:
+    if not distances:
         return F.lit(0.0)
-    return F.when(F.col(total) > 0, reduce(lambda a, b: F.least(a, b), [js_distance(F.col(counts), F.col(total), r) for r in of])).otherwise(0.0)
+    return F.when(F.col(total) > 0, reduce(lambda a, b: F.least(a, b), distances)).otherwise(0.0)
 
 
 def with_base(df: DataFrame) -> DataFrame:
@@ -136,14 +182,14 @@ def with_base(df: DataFrame) -> DataFrame:
     return _with(df, n_repeat_words=F.coalesce(covered, F.lit(0)).cast("long"))
 
 
-def with_verdict(df: DataFrame, of: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
+def with_verdict(df: DataFrame, references: dict[str, Reference]) -> DataFrame:
     """Adds base_failed, class_distance, word_distance and kept."""
     df = _with(df, _n_chars=F.aggregate("_classes", F.lit(0), lambda a, x: a + x))
     df = _with(
         df,
         base_failed=(F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")),
-        class_distance=nearest("_classes", "_n_chars", [c for c, _ in of.values()]),
-        word_distance=nearest("_common", "n_words", [w for _, w in of.values()]),
+        class_distance=nearest([js_distance(F.col("_classes"), F.col("_n_chars"), shares(list(r.classes))) for r in references.values()], "_n_chars"),
+        word_distance=nearest([js_distance(F.col(f"_common_{k}"), F.col("n_words"), word_shares(r)) for k, r in references.items()], "n_words"),
     )
     odd_classes = (F.col("_n_chars") >= MIN_CHARS_FOR_CLASSES) & (F.col("class_distance") > MAX_CLASS_DISTANCE)
     odd_words = (F.col("n_words") >= MIN_WORDS_FOR_COMMON) & (F.col("word_distance") > MAX_WORD_DISTANCE)
@@ -153,29 +199,28 @@ def with_verdict(df: DataFrame, of: dict[str, tuple[list[float], list[float]]])
 REPORT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
-def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", references: dict[str, Reference] = REFERENCES) -> DataFrame:
     """One row per document: counts, base verdict, distances and verdict.
 
-    Null and blank texts have no words and fail the base rule. Null or unlisted
-    languages are compared with the references like any other, but feed none.
-    A corpus in which no listed language has enough words has no references, and
-    the base rules decide alone. Repeated rows give repeated results; extra
-    columns are ignored. Repeated windows are told apart by 64-bit hashes within
-    one text. The text is read once: what is kept in between is a row of counts.
+    Null and blank texts have no words and fail the base rule. Without references
+    the base rules decide alone. A text is judged by itself: repeated rows and
+    ties give equal results, a null id is kept, a language column is not read, and
+    a document in a language without a reference may be rejected. Very long texts
+    are read whole, as one row. Extra columns are ignored; an empty table gives an
+    empty result. Repeated windows are told apart by 64-bit hashes within one text.
+    What is kept between counting and judging is a row of counts.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_in"), F.col(lang_col).alias("_lang"))
-    counted = with_base(with_histograms(slim, "_in"))
-    counts = materialize(counted.select("doc_id", "_lang", "_classes", "_common", *REPORT[:5]), "quality-counts")
-    judged = with_verdict(counts, references(counts, "_lang"))
-    return judged.select("doc_id", *REPORT, "class_distance", "word_distance")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_in"))
+    counted = with_base(with_histograms(slim, "_in", references))
+    counts = materialize(counted.select("doc_id", "_classes", *[f"_common_{k}" for k in references], *REPORT[:5]), "quality-counts")
+    return with_verdict(counts, references).select("doc_id", *REPORT, "class_distance", "word_distance")
 
 
-def quality_filter(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that are kept, with their own columns. The text is read twice: for the references, then for the verdict."""
+def quality_filter(docs: DataFrame, *, text_col: str = "text", references: dict[str, Reference] = REFERENCES) -> DataFrame:
+    """The documents that are kept, with their own columns, in one pass without a shuffle; edge cases as in quality_report()."""
     columns = docs.columns
-    of = references(with_histograms(docs.select(F.col(text_col).alias("_in"), F.col(lang_col).alias("_lang")), "_in"), "_lang")
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(text_col).alias("_in"))
-    judged = with_verdict(with_base(with_histograms(boxed, "_in")), of)
+    judged = with_verdict(with_base(with_histograms(boxed, "_in", references)), references)
     # A filter would be pushed through the projections, each of its columns written out again and again;
     # explode() of no or one element keeps rows without that.
     return judged.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("kept").cast("int")))).select("_row.*")
@@ -186,7 +231,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op3_sql() -> str:
-    """The same counts, references and distances in DuckDB's SQL, over unnested windows."""
+    """The same counts and distances in DuckDB's SQL, over unnested windows."""
     left, counts = "t", []
     for i, pattern in enumerate(CLASSES.values()):
         rest = "regexp_replace({}, '{}', '', 'g')".format(left if i == 0 else f"t{i}", pattern.replace("'", "''"))
@@ -196,31 +241,29 @@ def _op3_sql() -> str:
     for name, rest in counts:
         chain = f"SELECT *, {rest} AS {name} FROM ({chain})"
     classes = ", ".join([f"length({a}) - length({b})" for a, b in zip(names, names[1:])] + [f"length({names[-1]})"])
-    vocabulary = "[" + ", ".join(f"'{v}'" for v in VOCABULARY) + "]"
-    languages = ", ".join(f"'{x}'" for x in COMMON_WORDS)
 
-    def distance(counts: str, total: str, reference: str, n: int) -> str:
-        p, q = f"({counts}[i] / {total}::DOUBLE)", f"{reference}[i]"
+    def listed(values) -> str:
+        return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" for v in values) + "]"
+
+    def distance(counts: str, total: str, reference: list[float]) -> str:
+        p, q = f"({counts}[i] / {total}::DOUBLE)", f"{listed(reference)}[i]"
         part = f"(CASE WHEN {p} > 0 THEN {p} * ln(2.0::DOUBLE * {p} / ({p} + {q})) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * ln(2.0::DOUBLE * {q} / ({p} + {q})) ELSE 0 END)"
-        return f"CASE WHEN {total} > 0 THEN sqrt(greatest(list_sum(list_transform(range(1, {n + 1}), lambda i: {part})) / (2.0::DOUBLE * ln(2.0::DOUBLE)), 0)) ELSE 0 END"
+        return f"sqrt(greatest(list_sum(list_transform(range(1, {len(reference) + 1}), lambda i: {part})) / (2.0::DOUBLE * ln(2.0::DOUBLE)), 0))"
 
-    n_classes, n_common = len(CLASSES) + 1, len(VOCABULARY) + 1
-    class_sums = ", ".join(f"sum(c[{i + 1}])::DOUBLE / sum(list_sum(c))" for i in range(n_classes))
-    word_sums = ", ".join(f"sum(k[{i + 1}])::DOUBLE / sum(list_sum(k))" for i in range(n_common))
+    common = ", ".join(f"list_append(list_transform({listed(r.common)}, lambda v: len(list_filter(lw, lambda x: x = v))), len(list_filter(lw, lambda x: NOT list_contains({listed(r.common)}, x)))) AS k_{k}" for k, r in REFERENCES.items())
+    dc = ", ".join(distance("c", "n_chars", shares(list(r.classes))) for r in REFERENCES.values())
+    dk = ", ".join(distance(f"k_{k}", "n", word_shares(r)) for k, r in REFERENCES.items())
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 h AS ({chain}),
 f AS (
-  SELECT rid, doc_id, lang, w, len(w) AS n, string_split(t, chr(10)) AS lines, length(t) AS n_chars, [{classes}] AS c,
-         list_append(list_transform({vocabulary}, lambda v: len(list_filter(w, lambda x: x = v))), len(list_filter(w, lambda x: NOT list_contains({vocabulary}, x)))) AS k
-  FROM h),
-r AS (
-  SELECT lang, [{class_sums}] AS rc, [{word_sums}] AS rk FROM f WHERE lang IN ({languages}) GROUP BY lang HAVING sum(list_sum(k)) >= {MIN_REFERENCE_WORDS}),
+  SELECT *, {common} FROM (
+    SELECT rid, doc_id, w, len(w) AS n, list_transform(w, lambda x: lower(x)) AS lw, string_split(t, chr(10)) AS lines, length(t) AS n_chars, [{classes}] AS c FROM h)),
 p AS (SELECT rid, unnest(range(1, n - {WINDOW - 2})) AS i, unnest(list_transform(range(1, n - {WINDOW - 2}), lambda i: w[i:i + {WINDOW - 1}])) AS g FROM f WHERE n >= {WINDOW}),
 x AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS m FROM p),
 e AS (SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM x, range(0, {WINDOW}) AS o(j) WHERE m > 1 GROUP BY rid),
 g AS (
-  SELECT rid, min({distance("c", "n_chars", "rc", n_classes)}) AS dc, min({distance("k", "n", "rk", n_common)}) AS dk FROM f, r GROUP BY rid),
+  SELECT rid, CASE WHEN n_chars > 0 THEN least({dc}) ELSE 0 END AS dc, CASE WHEN n > 0 THEN least({dk}) ELSE 0 END AS dk FROM f),
 b AS (
   SELECT f.rid, doc_id, n::BIGINT AS n_words, (n_chars - c[{SPACE + 1}])::BIGINT AS word_chars, c[{SYMBOL + 1}]::BIGINT AS n_symbols,
          (len(list_filter(lines, lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(lines, lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')))))::BIGINT AS n_dup_lines,
