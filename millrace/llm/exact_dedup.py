@@ -7,8 +7,8 @@ each digest the stable identifier (the largest id so far), the locator of that
 row and the number of rows. Partial sums are made before the shuffle, so a
 digest that a third of all rows share reaches its state as a few rows.
 
-Every hit is then checked on full bytes: the text behind the state's locator is
-compared with the text of each row of the group. Rows whose bytes differ under
+After each run of the stream every hit is checked on full bytes: the text behind the
+state's locator is compared with the texts of all rows of the group. Rows whose bytes differ under
 an equal digest are grouped anew by their text, so a collision costs time and
 never a document.
 """
@@ -78,19 +78,26 @@ def stream_state(spark: SparkSession, landed: DataFrame, path: str, files_per_tr
 
 
 def collided(landed: DataFrame, state: DataFrame) -> DataFrame:
-    """Digests under which some row's bytes differ from the bytes behind the state's locator."""
+    """Digests under which some row's bytes differ from the bytes behind the state's locator.
+
+    Each task sends at most one row for a digest, its least and greatest text: all
+    its texts equal the stored one if these two do. So a digest that a third of all
+    rows share meets its stored text as one row, and no key is hot.
+    """
     hits = state.filter("group_size > 1").select(F.col("_digest").alias("_hit"), "_keep_row")
-    texts = maybe_in(landed.select("_row", "_digest", "_text"), F.col("_digest"), hits, F.col("_hit"))
+    texts = maybe_in(landed.select("_digest", "_text"), F.col("_digest"), hits, F.col("_hit"))
+    ends = texts.groupBy("_digest").agg(F.min("_text").alias("_low"), F.max("_text").alias("_high"))
     kept = maybe_in(landed.select("_row", "_text"), F.col("_row"), hits, F.col("_keep_row"))
     stored = hits.join(kept, F.col("_keep_row") == F.col("_row")).select("_hit", F.col("_text").alias("_stored"))
-    return texts.join(stored, F.col("_digest") == F.col("_hit")).filter("_text <> _stored").select("_digest").distinct()
+    return ends.join(stored, F.col("_digest") == F.col("_hit")).filter("_low <> _stored or _high <> _stored").select("_digest")
 
 
 def dedup_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_trigger: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(landed, verdicts): verdicts has _row, _id, _digest, group_size, _keep_id and kept for every row.
 
     A null text counts as empty. Of rows with one id and one text the last landed
-    stays; a null id counts as the smallest. An empty table gives an empty result.
+    stays; a null id counts as the smallest. Very long texts are hashed and compared
+    whole. Extra columns may have any names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     landed, path = land(docs, id_col, text_col, digest)
@@ -113,7 +120,7 @@ def dedup_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def dedup_documents(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """The documents that stay, with the columns of `docs`. Only rows that may be dropped are shuffled."""
+    """The documents that stay, with the columns of `docs`; edge cases as in dedup_rows(). Only rows that may be dropped are shuffled."""
     landed, verdicts = dedup_rows(docs, text_col=text_col, **options)
     dropped = materialize(verdicts.filter("not kept").select("_row"), "dedup-dropped")
     flagged = flag_maybe_in(landed, F.col("_row"), dropped, F.col("_row"))
