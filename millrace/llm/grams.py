@@ -15,19 +15,22 @@ _TURN, _MIX = np.uint64(29), np.uint64(0xBF58476D1CE4E5B9)
 class WordHashes(dict):
     """64-bit hashes of words; a word is hashed once while the table holds it."""
 
+    def __init__(self, seed: int) -> None:
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word, self.seed)
         if len(self) >= _MAX_KNOWN:
             self.clear()
         self[word] = value
         return value
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
     cache = worker_cache()
-    known = cache.get("word_hashes")
+    known = cache.get(("word_hashes", seed))
     if known is None:
-        known = cache["word_hashes"] = WordHashes()
+        known = cache["word_hashes", seed] = WordHashes(seed)
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 

@@ -11,7 +11,9 @@
    close to one is represented by it, and a node that may be near one is
    connected to it. Their union-find components hold every linked pair of the
    buckets, as distance obeys the triangle inequality, with fewer edges than
-   members. A large bucket is dealt out in parts whose leaders meet again.
+   members. A large bucket is dealt out in parts whose leaders meet again; there
+   none is represented by another, so that two linked nodes of different parts are
+   one representation each apart, as within a part.
 4. Each component's full shingle sets then meet once, and its exact links are
    searched breadth first among what is not reached yet. Components beyond a
    bound are dealt out in blocks, every two of which meet.
@@ -143,22 +145,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield signed(keys, sets)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], group: int) -> Iterator[list[list]]:
-    """Rows of sorted batches, as lists of columns, one group of equal first `group` columns after another."""
-    held: list[tuple] = []
-    key = None
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:group] != key:
-                if held:
-                    yield list(zip(*held, strict=True))
-                held, key = [], row[:group]
-            held.append(row)
-    if held:
-        yield list(zip(*held, strict=True))
+def _lead(absorb: float):
+    return lambda batches: _leaders(batches, absorb)
 
 
-def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _leaders(batches: Iterator[pa.RecordBatch], absorb: float) -> Iterator[pa.RecordBatch]:
     """Sorted (bucket, part, node, short): edges (a, b), and leaders as edges to themselves.
 
     Only the leaders of the current bucket are held, 128 bytes each.
@@ -186,7 +177,7 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     label = met[0]
                     if len(met) > 1:
                         labels[:n][np.isin(labels[:n], met)] = label
-                    absorbed = share.max() >= ABSORB
+                    absorbed = share.max() >= absorb
             if not absorbed:
                 if n == len(leaders):
                     leaders, labels = np.concatenate([leaders, np.empty_like(leaders)]), np.concatenate([labels, np.empty_like(labels)])
@@ -334,11 +325,11 @@ def coarse_edges(nodes: DataFrame) -> DataFrame:
     shorts = nodes.select(F.col("node").alias("_n"), "_short")
     signed = materialize(members.join(shorts, F.col("node") == F.col("_n")).select("bucket", "part", "node", "_short", "again"), "minhash-members")
     schema = "bucket long, a long, b long"
-    first = materialize(grouped(signed.select("bucket", "part", "node", "_short"), ["bucket", "part"], "node", _lead, schema), "minhash-first")
+    first = materialize(grouped(signed.select("bucket", "part", "node", "_short"), ["bucket", "part"], "node", _lead(ABSORB), schema), "minhash-first")
     large = signed.filter("again").select("bucket", "node", "_short")
     leaders = first.filter("a = b").select(F.col("bucket").alias("_b"), F.col("a").alias("_a"))
     met = large.join(leaders, (F.col("bucket") == F.col("_b")) & (F.col("node") == F.col("_a"))).select("bucket", F.lit(0).cast("long").alias("part"), "node", "_short")
-    second = grouped(met, ["bucket", "part"], "node", _lead, schema)
+    second = grouped(met, ["bucket", "part"], "node", _lead(2.0), schema)  # no leader stands for another
     return first.unionByName(second).filter("a <> b").select("a", "b")
 
 
@@ -385,8 +376,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null and blank texts have no shingles and are linked with nothing. A null id
     counts as no id: it is never the least unless it is the only one. Repeated
-    rows are one component. Extra columns are ignored; an empty table gives an
-    empty result. Shingles are told apart by 64-bit hashes.
+    rows are one component. Very long texts are shingled whole. Extra columns are
+    ignored, whatever their names; an empty table gives an empty result. Equal texts
+    are found by 96 bits of md5, equal shingle sets by 128-bit hashes, and shingles
+    are told apart, between two texts of one component, by 64-bit hashes.
     """
     placed = placed_rows(docs, id_col, text_col)
     least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "_r")

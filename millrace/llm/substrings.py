@@ -7,7 +7,8 @@ corpus, and only windows whose run recurs are extended to twice the length. Equa
 windows choose the same run, so none that recurs is lost; and neighbouring
 windows mostly share one, so the first lengths ship a few per cent of all
 positions. At the last length the run is the window itself, and no longer one is
-tried, as it could cover no more words.
+tried, as it could cover no more words. There two independent hashes of 64 bits
+tell windows of different texts apart.
 
 Copies of one text are collapsed first: every window of a text that occurs twice
 recurs. Runs are counted with partial sums; only runs of documents still alive
@@ -63,29 +64,34 @@ def _runs(level: int, sizes: tuple[int, ...]):
     """Batches of _key, text and, from the second level on, the recurring runs of the level before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window = sizes[-1]
+        window, last = sizes[-1], level == len(sizes) - 1
         for batch in batches:
-            which, hashes, times = [], [], []
+            which, hashes, others, times = [], [], [], []
             before = batch.column(2) if level else None
             for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                h = word_hashes((text or b"").split())
+                tokens = (text or b"").split()
+                h = word_hashes(tokens)
                 if len(h) < window:
                     continue
                 runs, at = chosen(h, sizes[level], window)
                 if before is not None:
                     at = at[alive(h, sizes[level - 1], window, before[i].values.to_numpy().view(np.uint64))]
-                found, n = np.unique(runs[np.unique(at)], return_counts=True)
+                places = np.unique(at)
+                found, first, n = np.unique(runs[places], return_index=True, return_counts=True)
                 which.append(np.full(len(found), i))
                 hashes.append(found.view(np.int64))
+                if last:
+                    others.append(gram_hashes(word_hashes(tokens, 1), window)[places[first]].view(np.int64))
                 times.append(np.minimum(n, 2))
             rows = np.concatenate(which) if which else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate(hashes) if which else rows, pa.int64()),
+                    pa.array(np.concatenate(others) if others else np.zeros(len(rows), np.int64), pa.int64()),
                     pa.array(np.concatenate(times) if which else rows, pa.int64()),
                     batch.column(0).take(pa.array(rows)),
                 ],
-                ["hash", "n", "_key"],
+                ["hash", "other", "n", "_key"],
             )
 
     return run
@@ -117,9 +123,9 @@ def _remove(window: int):
 
 def recurring(runs: DataFrame) -> DataFrame:
     """_key and the list of its runs that start at two places or more of the corpus."""
-    again = materialize(runs.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select(F.col("hash").alias("_again")), "substring-again")
+    again = materialize(runs.groupBy("hash", "other").agg(F.sum("n").alias("n")).filter("n > 1").select(F.col("hash").alias("_again"), F.col("other").alias("_too")), "substring-again")
     rows = maybe_in(runs, F.col("hash"), again, F.col("_again"), RUN_BITS)
-    found = rows.join(again, F.col("hash") == F.col("_again")).groupBy("_key").agg(F.collect_list("hash").alias("_runs"))
+    found = rows.join(again, (F.col("hash") == F.col("_again")) & (F.col("other") == F.col("_too"))).groupBy("_key").agg(F.collect_list("hash").alias("_runs"))
     return materialize(found, "substring-lists")
 
 
@@ -139,7 +145,7 @@ def repeated_words(docs: DataFrame, text_col: str, window: int) -> tuple[DataFra
     texts, lists = distinct_texts(keyed, copied), None
     for level in range(len(sizes)):
         rows = texts if lists is None else texts.join(lists, "_key")
-        runs = materialize(rows.mapInArrow(_runs(level, sizes), "hash long, n long, _key binary"), f"substring-runs-{sizes[level]}")
+        runs = materialize(rows.mapInArrow(_runs(level, sizes), "hash long, other long, n long, _key binary"), f"substring-runs-{sizes[level]}")
         free_shuffles(spark)
         lists = recurring(runs)
         free_shuffles(spark)
@@ -157,10 +163,12 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Windows are judged on the input: a window goes if its words also start
     anywhere else, overlapping places and repeated rows included. Texts with
     fewer words than a window lose nothing; null and blank texts have no words.
-    Null and repeated ids are kept as they are. Extra columns are ignored; an
-    empty table gives an empty result. Runs are told apart by 64-bit hashes, so
-    among w windows one that doesn't recur is taken for one that does with a
-    probability of w / 2**64.
+    Null and repeated ids are kept as they are; very long texts are read whole.
+    Extra columns are ignored, whatever their names; an empty table gives an empty
+    result. Equal texts are found by 96 bits of md5. Windows are told apart by 128
+    bits between texts and by 64 within one, so among w windows of texts of n words
+    one that doesn't recur is taken for one that does with a probability of
+    w / 2**128 + n / 2**64; words are told apart by the same two hashes.
     """
     w = words(F.col(text_col))
     base = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("_key"), w.alias("_w")).select(
