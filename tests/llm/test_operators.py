@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
+sys.path.insert(0, os.path.dirname(os.path.dirname(__file__)))
 from helpers import SCHEMA, awkward_rows, covered_words, near_components, shingle_set, words_of  # noqa: E402
 
 from millrace.llm import chat, exact_dedup, html, licenses, minhash, mixing, packing, quality, sharding, substrings  # noqa: E402
@@ -72,6 +73,22 @@ def test_shards_hold_every_source_in_proportion(spark):
     assert bag(again.collect()) == bag(sharding.shard_interleaved(df).collect())
 
 
+def test_shards_of_small_sources_are_spread(spark):
+    df = spark.range(4000).selectExpr("id as doc_id", "'x' as text", "case when id < 3200 then 'big' else concat('s', id) end as source")
+    got = Counter(r.shard for r in sharding.shard_interleaved(df).filter("doc_id >= 3200").collect())
+    assert len(got) == 16 and max(got.values()) - min(got.values()) <= 1
+
+
+def test_shards_equal_their_sql(docs):
+    import duckdb
+    import oracle
+
+    con = duckdb.connect()
+    documents = docs.select("doc_id", "text", "source").toPandas()  # noqa: F841
+    con.execute("CREATE TABLE documents AS SELECT CAST(doc_id AS BIGINT) AS doc_id, text, source FROM documents")
+    oracle.assert_same(sharding.shard_interleaved(docs), con, sharding.OP5_SQL)
+
+
 def water_fill(sizes: dict, weights, share, cap):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
@@ -138,6 +155,16 @@ def test_quality_rejects_what_diverges(spark):
     assert left.columns == df.columns and {r.doc_id for r in left.collect()} == kept
 
 
+def test_junk_does_not_shift_the_quality_references(spark):
+    prose = "It was said that the cat and the dog of the house went to it in that year for a walk, and this is as it is with all of them. "
+    clean = [(i, prose * 1 + " ".join(f"word{i}x{k}, and of the thing{k}" for k in range(30)), None, "s", 0) for i in range(5)]
+    junk = [(100 + i, " ".join(f"zq{i}v{k * 7}" for k in range(150)), "en", "s", 0) for i in range(200)]
+    french = [(900, " ".join(f"mot{k} de la chose{k} paysage{k} ville{k} et maison{k} arbre{k} pour lac{k}" for k in range(20)), "en", "s", 0)]
+    df = spark.createDataFrame(clean + junk + french, SCHEMA)
+    assert {r.doc_id for r in quality.quality_report(df).filter("kept").collect()} == {0, 1, 2, 3, 4, 900}
+    assert quality.quality_report(df, references={}).filter("kept").count() == 206
+
+
 def test_exact_dedup(docs, rows):
     got = exact_dedup.dedup_report(docs, files_per_trigger=1).collect()
     groups = defaultdict(list)
@@ -235,7 +262,7 @@ def test_licenses(spark):
     ]
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels, got[1].labels) == (10, 2, 3, 8, "apache", "apache,apache-2.0")
-    assert got[2].labels == "mit" and got[2].score == 0.95
+    assert got[2].labels == "mit" and got[2].score == 0.94
     assert got[3].n_base == 2 and "gpl-3.0" in got[3].labels and got[3].base_labels == "gpl"
     assert got[4].n_words == 0 and got[4].first_word is None and got[4].labels == "" and got[4].score == 0.0
     assert got[6].n_base == 0 and got[7].n_base == 0
@@ -314,3 +341,11 @@ def test_perspectives(spark):
     ann = "".join(r.rendered for r in views[1, "ann"])
     assert ann == "<|im_start|>system\nbe good<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\n<| im_end |><|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert len(views[None, "ann"]) == 2 and [r.turn for r in views[2, "unknown"]] == [1, None]
+
+
+def test_a_very_long_turn_and_clashing_columns(spark):
+    turns = [(1, 0, "ann", "word " * 100_000), (1, 1, "bob", ""), (1, 1, "bob", "")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as _row", "2 as perspective", "3 as speaker", "4 as n_chars", "5 as position")
+    got = [r for r in chat.rotate_perspectives(df).collect() if r.perspective == "ann"]
+    assert sorted(r.position for r in got) == [0, 1, 2]
+    assert max(r.n_chars for r in got) == 500_000 + len("<|im_start|>assistant\n<|im_end|>\n")
