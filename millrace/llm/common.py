@@ -60,6 +60,31 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the application's own in the shared folder, which goes when the driver ends."""
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    made = worker_cache().setdefault(("made", folder), [])
+    if not made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    made.append(f"{folder}/{name}-{uuid.uuid4().hex[:12]}")
+    return made[-1]
+
+
+@contextmanager
+def only_last_stays(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end of the block, what was materialized in it, but for the last table."""
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    made = worker_cache().setdefault(("made", folder), [])
+    first = len(made)
+    yield
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in made[first:-1]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    del made[first:-1]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back.
 
@@ -68,7 +93,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     size is below `spark.sql.autoBroadcastJoinThreshold`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, name)
     with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": ROWS_IN_BATCH}):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

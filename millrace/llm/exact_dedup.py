@@ -15,13 +15,12 @@ never a document.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import flag_maybe_in, materialize, maybe_in, read_table, settings, shared_dir
+from millrace.llm.common import flag_maybe_in, materialize, maybe_in, new_path, read_table, settings
 
 #: State on disk; no space set aside in advance for each of many small stores, one bound on the memory of all
 #: stores of an executor, and stores of ended streams unloaded soon.
@@ -41,7 +40,7 @@ def sha256(text: Column) -> Column:
 def land(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> tuple[DataFrame, str]:
     """Write the documents with _row, _id and _digest; the Parquet folder is what the stream reads."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/dedup-landed-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, "dedup-landed")
     text = F.coalesce(F.col(text_col), F.lit(""))
     boxed = docs.select(
         F.monotonically_increasing_id().alias("_row"),

@@ -399,7 +399,7 @@ def placed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def near_dedup_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with the columns of `docs`: of each component the row with the least id (null last), and of repeated such rows one.
 
-    Only texts of components with more than one row are shuffled.
+    Edge cases as in near_duplicates(). Only texts of components with more than one row are shuffled.
     """
     placed = placed_rows(docs, id_col, text_col).filter("root is not null")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_k"))

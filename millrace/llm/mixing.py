@@ -111,8 +111,9 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
     Null text has size 0 and null sources are a source of their own (last in
     the order of weights). Repeated rows share one hash and are taken together;
-    a document is never taken more than `cap` times. An empty table gives an
-    empty result. Extra columns are ignored.
+    a document is never taken more than `cap` times. Very long texts count whole.
+    Extra columns are ignored, whatever their names; an empty table gives an empty
+    result.
     """
     slim, per_source = plan_mix(docs, **options)
     per_source = per_source.withColumnRenamed("_source", "_key")
@@ -121,7 +122,7 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **options) -> DataFrame:
-    """The mixed documents themselves, each row as often as the mix takes it, with the columns of `docs`."""
+    """The mixed documents themselves, each row as often as the mix takes it, with the columns of `docs`; edge cases as in mix_report()."""
     _, per_source = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
     columns = docs.columns
     plan = per_source.select(F.col("_source").alias("_mix_key"), "copies", "_edge", "_whole")

@@ -159,7 +159,8 @@ def test_junk_does_not_shift_the_quality_references(spark):
     prose = "It was said that the cat and the dog of the house went to it in that year for a walk, and this is as it is with all of them. "
     clean = [(i, prose * 1 + " ".join(f"word{i}x{k}, and of the thing{k}" for k in range(30)), None, "s", 0) for i in range(5)]
     junk = [(100 + i, " ".join(f"zq{i}v{k * 7}" for k in range(150)), "en", "s", 0) for i in range(200)]
-    french = [(900, " ".join(f"mot{k} de la chose{k} paysage{k} ville{k} et maison{k} arbre{k} pour lac{k}" for k in range(20)), "en", "s", 0)]
+    coined = [f"{a}oi{b}eu{c}r" for a in "bcdfg" for b in "lmnpr" for c in "st"]
+    french = [(900, " ".join(f"{x} {'de la et les le un des en du une'.split()[k % 10]} {x}ie, {x}ment." for k, x in enumerate(coined)), "en", "s", 0)]
     df = spark.createDataFrame(clean + junk + french, SCHEMA)
     assert {r.doc_id for r in quality.quality_report(df).filter("kept").collect()} == {0, 1, 2, 3, 4, 900}
     assert quality.quality_report(df, references={}).filter("kept").count() == 206
