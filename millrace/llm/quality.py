@@ -78,6 +78,7 @@ CLASSES = {  # patterns, in the order in which they are taken out of the text; w
 SPACE, SYMBOL = list(CLASSES).index("space"), list(CLASSES).index("symbol")
 
 VOCABULARY = sorted({w for r in REFERENCES.values() for w in r.common})
+FORMS = sorted({f for w in VOCABULARY for f in (w, w.capitalize(), w.upper())})
 WINDOW = 5
 MIN_WORDS, MAX_REPEATED = 10, 20
 #: Guards, and the distances beyond which a document is rejected. Text without any listed word is 0.319 from the nearest
@@ -100,7 +101,8 @@ def with_histograms(df: DataFrame, text_col: str, references: dict[str, Referenc
         counts.append(F.length(left) - F.length(rest))
         left = rest
     counts.append(F.length(left))
-    df = _with(df, _classes=F.array(*counts), _known=F.filter(F.transform("_w", lambda w: F.lower(w)), lambda w: w.isin(VOCABULARY)))
+    # The forms that words have in print are looked up, so that only the few found ones are put in small letters.
+    df = _with(df, _classes=F.array(*counts), _known=F.transform(F.filter("_w", lambda w: w.isin(FORMS)), lambda w: F.lower(w)))
 
     def held(reference: Reference) -> Column:
         """Words of one language among the known ones, each language on its own short array."""
@@ -250,15 +252,16 @@ def _op3_sql() -> str:
         part = f"(CASE WHEN {p} > 0 THEN {p} * ln(2.0::DOUBLE * {p} / ({p} + {q})) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * ln(2.0::DOUBLE * {q} / ({p} + {q})) ELSE 0 END)"
         return f"sqrt(greatest(list_sum(list_transform(range(1, {len(reference) + 1}), lambda i: {part})) / (2.0::DOUBLE * ln(2.0::DOUBLE)), 0))"
 
-    common = ", ".join(f"list_append(list_transform({listed(r.common)}, lambda v: len(list_filter(lw, lambda x: x = v))), len(list_filter(lw, lambda x: NOT list_contains({listed(r.common)}, x)))) AS k_{k}" for k, r in REFERENCES.items())
+    common = ", ".join(f"list_append(list_transform({listed(r.common)}, lambda v: len(list_filter(lw, lambda x: x = v))), n - len(list_filter(lw, lambda x: list_contains({listed(r.common)}, x)))) AS k_{k}" for k, r in REFERENCES.items())
     dc = ", ".join(distance("c", "n_chars", shares(list(r.classes))) for r in REFERENCES.values())
     dk = ", ".join(distance(f"k_{k}", "n", word_shares(r)) for k, r in REFERENCES.items())
+    forms = listed(FORMS)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 h AS ({chain}),
 f AS (
   SELECT *, {common} FROM (
-    SELECT rid, doc_id, w, len(w) AS n, list_transform(w, lambda x: lower(x)) AS lw, string_split(t, chr(10)) AS lines, length(t) AS n_chars, [{classes}] AS c FROM h)),
+    SELECT rid, doc_id, w, len(w) AS n, list_transform(list_filter(w, lambda x: list_contains({forms}, x)), lambda x: lower(x)) AS lw, string_split(t, chr(10)) AS lines, length(t) AS n_chars, [{classes}] AS c FROM h)),
 p AS (SELECT rid, unnest(range(1, n - {WINDOW - 2})) AS i, unnest(list_transform(range(1, n - {WINDOW - 2}), lambda i: w[i:i + {WINDOW - 1}])) AS g FROM f WHERE n >= {WINDOW}),
 x AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS m FROM p),
 e AS (SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM x, range(0, {WINDOW}) AS o(j) WHERE m > 1 GROUP BY rid),
