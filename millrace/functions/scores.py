@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
@@ -106,9 +106,9 @@ def f1(hit: Column, n_pred: Column, n_gold: Column) -> Column:
     return F.when(hit == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
 
 
-def token_f1(pred: Column, gold: Column) -> Column:
-    p, g = code_tokens(pred), code_tokens(gold)
-    return f1(bag_overlap(p, g), F.size(p), F.size(g))
+def token_f1(pred_tokens: Column, gold_tokens: Column) -> Column:
+    """F1 of two arrays of tokens; give them as columns, so that the overlap's lambda doesn't tokenize again for each element."""
+    return f1(bag_overlap(pred_tokens, gold_tokens), F.size(pred_tokens), F.size(gold_tokens))
 
 
 def line_edit_f1(old: Column, pred: Column, gold: Column) -> Column:
@@ -139,13 +139,11 @@ def syntax_ok(old: Column, pred: Column, lang: Column) -> Column:
     return F.when((lang == "py") & parses(old), parses(pred))
 
 
-def score_columns(pred: Column, gold: Column, old: Column, counts: Column | None = None) -> dict[str, Column]:
-    """Scores over texts that are already normalised; give them as columns, so that each is computed once."""
-    of = lambda k: None if counts is None else counts[k]
-    to_gold, from_old = norm_distance(pred, gold, of("pred_gold")), norm_distance(old, gold, of("old_gold"))
+def score_columns(pred: Column, gold: Column, old: Column, to_gold: Column, from_old: Column, tokens: Column, syntax: Column) -> dict[str, Column]:
+    """The eleven scores over normalised texts, from columns that hold the distances, the F1 of tokens and the syntax flag."""
     return {
         "exact_match": pred == gold,
-        "token_f1": token_f1(pred, gold),
+        "token_f1": tokens,
         "edit_sim": 1.0 - to_gold,
         "dist_pred_gold": to_gold,
         "dist_old_gold": from_old,
@@ -153,21 +151,36 @@ def score_columns(pred: Column, gold: Column, old: Column, counts: Column | None
         "improved": to_gold < from_old - F.lit(EPSILON),
         "regressed": to_gold > from_old + F.lit(EPSILON),
         "copied": pred == old,
+        "syntax_ok": syntax,
         "changed_right_lines": line_edit_f1(old, pred, gold),
     }
 
 
-def with_scores(df, pred: str = "prediction", gold: str = "gold", old: str = "old_code"):
-    """Adds the score columns to a DataFrame of predictions."""
+def with_scores(df: DataFrame, pred: str = "prediction", gold: str = "gold", old: str = "old_code", lang: str = "lang") -> DataFrame:
+    """Adds the score columns to a DataFrame of predictions; each distance is computed once for a row."""
     texts = df.select("*", *[normalize_code(F.col(c)).alias(k) for c, k in ((pred, "_p"), (gold, "_g"), (old, "_o"))])
     # Tokens are columns, so that the overlap's lambda reads them instead of matching the pattern for every element.
     texts = texts.select("*", code_tokens(F.col("_p")).alias("_tp"), code_tokens(F.col("_g")).alias("_tg"))
     texts = texts.withColumn("_c", counted("_p", "_g", "_o", "_tp", "_tg"))
-    scores = score_columns(F.col("_p"), F.col("_g"), F.col("_o"), F.col("_c"))
-    scores["token_f1"] = f1(F.col("_c")["overlap"], F.size("_tp"), F.size("_tg"))
+    texts = texts.select(
+        "*",
+        norm_distance(F.col("_p"), F.col("_g"), F.col("_c.pred_gold")).alias("_pg"),
+        norm_distance(F.col("_o"), F.col("_g"), F.col("_c.old_gold")).alias("_og"),
+        f1(F.col("_c.overlap"), F.size("_tp"), F.size("_tg")).alias("_f1"),
+        syntax_ok(F.col("_o"), F.col("_p"), F.coalesce(F.col(lang), F.lit("")) if lang in df.columns else F.lit("")).alias("_ok"),
+    )
+    scores = score_columns(*[F.col(c) for c in ("_p", "_g", "_o", "_pg", "_og", "_f1", "_ok")])
     return texts.select(*df.columns, *[c.alias(k) for k, c in scores.items()])
 
 
+def attach_scores(df: DataFrame, **names: str) -> DataFrame:
+    """Adds `scores`, the struct of nine scores that a table of predictions carries, similarities to 4 places."""
+    scored = with_scores(df, **names)
+    plain, rounded = ("exact_match", "improved", "regressed", "copied"), {"edit_sim": "edit_sim", "delta_to_gold": "delta_to_gold", "edit_line_f1": "changed_right_lines", "token_f1": "token_f1"}
+    fields = [F.col(c) for c in plain] + [F.round(c, 4).alias(k) for k, c in rounded.items()] + [F.col("syntax_ok")]
+    return scored.select(*df.columns, F.struct(*fields).alias("scores"))
+
+
 def mcnemar_p(fixed: Column, broken: Column) -> Column:
     """Exact two-sided p of discordant counts: twice the binomial tail at a half, at most 1.
 

@@ -22,6 +22,7 @@ OUTSIDE_CONTEXT = (
     r"|\boffline\b|\bsee #\d+|\bthis pr\b|\bprevious (comment|review)\b|\brefer to\b"
     r"|\bmentioned (above|earlier|before)\b"
 )
+# What a token, a name, a fenced block and a preamble are; results depend on them.
 CODE_TOKEN = r"[A-Za-z_]\w*|\d+\.\d+|\d+|[^\sA-Za-z0-9_]"
 NAME_TOKEN = r"[A-Za-z_][A-Za-z0-9_]{2,}"
 FENCED = r"(?ds)```[a-zA-Z0-9_+#.-]*\n(.*?)(?:\n```|\z)"
@@ -137,9 +138,7 @@ def lang_fence(c: Column) -> Column:
 
 def user_prompt(old: Column, comment: Column, lang: Column) -> Column:
     fence = lang_fence(lang)
-    return F.concat(
-        F.lit("Language: "), lang_name(lang), F.lit("\n\nCode under review:\n```"), fence, F.lit("\n"), old, F.lit("\n```\n\nReviewer comment:\n"), pytrim(comment), F.lit("\n\nRevised code:")
-    )
+    return F.concat(F.lit("A reviewer left this note on "), lang_name(lang), F.lit(" code:\n> "), pytrim(comment), F.lit("\n\nSnippet:\n```"), fence, F.lit("\n"), old, F.lit("\n```\n\nRewrite the snippet so that it does what the note asks."))
 
 
 def target_turn(new: Column, lang: Column) -> Column:
@@ -162,6 +161,16 @@ def fold_system(messages: Column) -> Column:
     return F.transform(rest, lambda m, i: F.when((i == first) & (system != ""), F.struct(m["role"].alias("role"), F.concat(system, F.lit("\n\n"), m["content"]).alias("content"))).otherwise(m))
 
 
+def changed_input(old: Column, new: Column) -> Column:
+    """Whether an answer differs from what it was given, but for white space at the ends."""
+    return pytrim(old) != pytrim(new)
+
+
+def variant_of(model: Column) -> Column:
+    """base or tuned, by whether a model's name says base."""
+    return F.when(F.contains(F.lower(model), F.lit("base")), "base").otherwise("tuned")
+
+
 def contains_run(ids: Column, run: Column) -> Column:
     """Whether an array holds another as a contiguous run."""
     m = F.size(run)

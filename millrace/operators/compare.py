@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scores import mcnemar_p, outcome
+from millrace.operators.metrics import by_slices
+from millrace.operators.ranges import ranked
 
 
 def last_wins(rows: DataFrame, key: str, line: str) -> DataFrame:
@@ -37,31 +39,110 @@ def mcnemar(pairs: DataFrame, base: str, tuned: str, keys: list[str] | None = No
     return counts.withColumn("p_value", p).withColumn("significant", F.col("p_value") < 0.05)
 
 
-def draw(seed: int, resample: Column, i: Column, n: Column) -> Column:
-    """A reproducible index below n, from the first 8 hex digits of an md5."""
-    text = F.concat_ws(":", F.lit(str(seed)), resample.cast("string"), i.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
+def draws_of(spark: SparkSession, seed: int, resamples: int, n: int) -> DataFrame:
+    """(r, i): n reproducible indexes below n for each resample; the md5 of a resample and block number gives four, of 8 hex digits each."""
+    parts = max(spark.sparkContext.defaultParallelism, -(-resamples * n // 5_000_000))
+    blocks = spark.range(0, resamples, 1, min(resamples, parts)).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 4))).alias("k"))
+    hashed = blocks.select("r", "k", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("k").cast("string"))).alias("h"))
+    four = hashed.select("r", "k", F.posexplode(F.array(*[F.substring("h", 1 + 8 * j, 8) for j in range(4)])).alias("j", "x"))
+    return four.filter(F.col("k") * 4 + F.col("j") < n).select("r", (F.conv("x", 16, 10).cast("long") % n).alias("i"))
 
 
-def bootstrap_ci(diffs: DataFrame, value: str, order: str, *, resamples: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """delta, ci_low, ci_high and significance of the mean of paired differences.
+#: Differences are added up in units of this many decimal places.
+UNIT = 10
 
-    Each resample's draws are generated where they are used: `resamples` rows
-    explode into n draws that are counted by (resample, index) and joined to the
-    indexed differences, so neither side is collected. No rows give zeros.
+
+def bootstrap_table(pairs: DataFrame, key: str, metrics: list[str], *, resamples: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """metric, n, base, tuned, delta, ci_low, ci_high and significant, from base_<metric> and tuned_<metric>; a null difference counts as 0.
+
+    All metrics share the draws: `resamples` rows explode into n draws where they
+    are used, and meet the pairs, which are numbered by ranges of the key. The work is resamples x n, as the method has it;
+    no pairs give no rows.
     """
-    spark = diffs.sparkSession
-    indexed = diffs.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("d"), (F.row_number().over(Window.orderBy(order)) - 1).cast("long").alias("i"))
-    n, delta = indexed.agg(F.count(F.lit(1)), F.sum(F.col("d").cast("decimal(28,10)")).cast("double") / F.count(F.lit(1))).first()
+    spark = pairs.sparkSession
+    diffs = [F.coalesce(F.col(f"tuned_{m}").cast("double") - F.col(f"base_{m}").cast("double"), F.lit(0.0)).cast("decimal(18,10)") for m in metrics]
+    diffs = [(d * 10**UNIT).cast("long").alias(f"d{i}") for i, d in enumerate(diffs)]  # whole numbers: their sums don't depend on the order of rows
+    rows = pairs.select(F.col(key).alias("_key"), *diffs, *[F.col(f"{side}_{m}").cast("double").alias(f"{side[0]}{i}") for i, m in enumerate(metrics) for side in ("base", "tuned")])
+    means = [c for i in range(len(metrics)) for c in (F.avg(f"b{i}").alias(f"b{i}"), F.avg(f"t{i}").alias(f"t{i}"), (F.sum(f"d{i}") / 10.0**UNIT).alias(f"d{i}"))]
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), *means).first()
+    n = whole["n"]
+    schema = "metric string, n long, base double, tuned double, delta double, ci_low double, ci_high double, significant boolean"
     if not n:
-        return spark.range(1).select(F.lit(0.0).alias("delta"), F.lit(0.0).alias("ci_low"), F.lit(0.0).alias("ci_high"), F.lit(False).alias("significant"))
-    draws = spark.range(resamples).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select("r", draw(seed, F.col("r"), F.col("k"), F.lit(n)).alias("i"))
-    # Sums of decimals don't depend on the order of rows.
-    means = draws.join(indexed, "i").groupBy("r").agg((F.sum(F.col("d").cast("decimal(28,10)")).cast("double") / F.count(F.lit(1))).alias("m"))
-    ranked = means.select("m", (F.row_number().over(Window.orderBy("m", "r")) - 1).alias("at"))
+        return spark.createDataFrame([], schema)
+    numeric = rows.schema["_key"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp")
+    by = "_key" if numeric else "_hash"  # other keys are numbered by their hash
+    indexed = ranked(rows.withColumn("_hash", F.xxhash64("_key")), by, ["_key"], "_at").select((F.col("_at") - 1).alias("i"), *[f"d{i}" for i in range(len(metrics))])
+    counts = draws_of(spark, seed, resamples, n)
+    sums = counts.join(indexed, "i").groupBy("r").agg(*[(F.sum(f"d{i}") / 10.0**UNIT / n).alias(f"m{i}") for i in range(len(metrics))])
+    long = sums.select("r", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"m{i}").alias("m")) for i, m in enumerate(metrics)])))
+    placed = long.withColumn("at", F.row_number().over(Window.partitionBy("metric").orderBy("m", "r")) - 1)  # `resamples` rows a metric
     low, high = int(alpha / 2 * resamples), min(resamples - 1, int((1 - alpha / 2) * resamples))
-    ends = ranked.agg(F.max(F.when(F.col("at") == low, F.col("m"))).alias("lo"), F.max(F.when(F.col("at") == high, F.col("m"))).alias("hi"))
-    return ends.select(F.lit(delta).alias("delta"), F.col("lo").alias("ci_low"), F.col("hi").alias("ci_high"), ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("significant"))
+    ends = placed.groupBy("metric").agg(F.max(F.when(F.col("at") == low, F.col("m"))).alias("ci_low"), F.max(F.when(F.col("at") == high, F.col("m"))).alias("ci_high"))
+    known = spark.createDataFrame([(m, n, whole[f"b{i}"], whole[f"t{i}"], whole[f"d{i}"] / n) for i, m in enumerate(metrics)], "metric string, n long, base double, tuned double, delta double")
+    return known.join(ends, "metric").select("metric", "n", "base", "tuned", "delta", "ci_low", "ci_high", ((F.col("ci_low") > 0) | (F.col("ci_high") < 0)).alias("significant"))
+
+
+def bootstrap_ci(diffs: DataFrame, value: str, order: str, **options) -> DataFrame:
+    """delta, ci_low, ci_high and significance of the mean of paired differences. No rows give zeros."""
+    pairs = diffs.filter(F.col(value).isNotNull()).select(F.col(order).alias("_o"), F.lit(0.0).alias("base_x"), F.col(value).cast("double").alias("tuned_x"))
+    if pairs.isEmpty():
+        return diffs.sparkSession.range(1).select(F.lit(0.0).alias("delta"), F.lit(0.0).alias("ci_low"), F.lit(0.0).alias("ci_high"), F.lit(False).alias("significant"))
+    return bootstrap_table(pairs, "_o", ["x"], **options).select("delta", "ci_low", "ci_high", "significant")
+
+
+#: The metrics that runs are compared by, and whether each is a flag.
+PAIRED = {"exact_match": True, "improved": True, "regressed": True, "copied": True, "edit_sim": False, "edit_line_f1": False, "token_f1": False, "delta_to_gold": False}
+
+
+def paired_table(pairs: DataFrame, key: str, metrics: dict[str, bool] = PAIRED, **options) -> DataFrame:
+    """bootstrap_table() with fixed, broken and the exact McNemar p for flags; null for the others."""
+    flags = [m for m, flag in metrics.items() if flag]
+    table = bootstrap_table(pairs, key, list(metrics), **options)
+    items = F.array(*[F.struct(F.lit(m).alias("_m"), F.col(f"base_{m}").cast("boolean").alias("_a"), F.col(f"tuned_{m}").cast("boolean").alias("_b")) for m in flags])
+    tests = mcnemar(pairs.select(F.inline(items)), "_a", "_b", ["_m"]).select("_m", "fixed", "broken", "p_value")
+    return table.join(tests, F.col("metric") == F.col("_m"), "left").drop("_m")
+
+
+def paired_predictions(base: DataFrame, tuned: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Predictions of two runs side by side: what describes the example from the base run, prediction and scores as base_ and tuned_.
+
+    Both have `scores` as attach_scores() makes them. Of rows with one key the last
+    by `order` counts. No key in common is an error.
+    """
+    if order:
+        base, tuned = (last_wins(df, key, order).drop("first_line") for df in (base, tuned))
+    about = [c for c in ("lang", "category", "origin", "probe", "comment", "old_code", "gold") if c in base.columns]
+
+    def side(df: DataFrame, name: str, more: list[str]) -> DataFrame:
+        return df.select(F.col(key).alias(f"_{name}"), *more, F.col("prediction").alias(f"{name}_prediction"), *[F.col(f"scores.{m}").alias(f"{name}_{m}") for m in PAIRED])
+
+    pairs = side(base, "base", about).join(side(tuned, "tuned", []), F.col("_base") == F.col("_tuned")).drop("_tuned").withColumnRenamed("_base", key)
+    if pairs.isEmpty():
+        raise ValueError("the two runs have no example in common")
+    return pairs
+
+
+def outcome_rows(pairs: DataFrame, key: str = "id") -> DataFrame:
+    """The fifteen columns that describe a pair, and its outcome."""
+    rows = routed(pairs)
+    about = [(F.coalesce(F.col(c), F.lit("")) if c in pairs.columns else F.lit("")).alias(c) for c in ("lang", "category", "origin", "probe", "comment", "old_code", "gold")]
+    return rows.select(
+        key, *about, "base_prediction", "tuned_prediction", F.col("base_exact_match").alias("base_exact"), F.col("tuned_exact_match").alias("tuned_exact"), "base_edit_sim", "tuned_edit_sim", F.round("delta_sim", 4).alias("delta_edit_sim"), "outcome"
+    )
+
+
+def comparison_slices(pairs: DataFrame, slices: list[str]) -> DataFrame:
+    """slice, value, n and the means and differences of exact match and edit similarity to 4 places; differences are of unrounded means."""
+    means = {f"{side}_{m}": f"{side}_{m}" for m in ("exact_match", "edit_sim") for side in ("base", "tuned")}
+    rows = by_slices(pairs, slices, means, blank_is_unknown=True)
+    out = [c for m in ("exact_match", "edit_sim") for c in (F.round(f"base_{m}", 4).alias(f"base_{m}"), F.round(f"tuned_{m}", 4).alias(f"tuned_{m}"), F.round(F.col(f"tuned_{m}") - F.col(f"base_{m}"), 4).alias(f"delta_{m}"))]
+    return rows.select("slice", "value", "n", *out)
+
+
+def by_gain(slices: DataFrame, slice_name: str = "category", descending: bool = True) -> DataFrame:
+    """Values of one slice by the difference of exact match, greatest first, or least first as a chart has them."""
+    rows = slices.filter(F.col("slice") == slice_name)
+    return rows.orderBy(F.desc("delta_exact_match") if descending else "delta_exact_match", "value")
 
 
 def routed(pairs: DataFrame, band: float = 0.02) -> DataFrame:

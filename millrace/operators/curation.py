@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.taxonomy import classify
+from millrace.operators.ranges import ranked
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Thresholds of the funnel."""
+    """Thresholds of the funnel. The defaults."""
 
     old_lines: tuple[int, int] = (2, 18)
     changed_lines: int = 8
@@ -87,6 +88,15 @@ def cascade(df: DataFrame, *, hash_col: str, repo_col: str, comment_col: str, or
     return within_quota(within_quota(first_wins(df, hash_col, order), [repo_col], order, per_repo), [comment_col], order, per_comment)
 
 
+def cascade_verdicts(judged: DataFrame, *, hash_keys: list[str], repo_keys: list[str], comment_keys: list[str], order: list[str], per_repo: int, per_comment: int, reason: str = "reject_reason") -> DataFrame:
+    """The cascade's verdict on every row: `reason` is filled with duplicate, repo_quota or comment_quota where it is null; survivors keep null."""
+    rows = judged
+    for keys, limit, name in ((hash_keys, 1, "duplicate"), (repo_keys, per_repo, "repo_quota"), (comment_keys, per_comment, "comment_quota")):
+        rank = F.row_number().over(Window.partitionBy(F.col(reason).isNull(), *keys).orderBy(*order))
+        rows = rows.withColumn("_rank", rank).withColumn(reason, F.when(F.col(reason).isNull() & (F.col("_rank") > limit), name).otherwise(F.col(reason))).drop("_rank")
+    return rows
+
+
 def greedy(df: DataFrame, *, hash_col: str, repo_col: str, comment_col: str, order_col: str, per_repo: int, per_comment: int) -> DataFrame:
     """The exact sequential form: a row that one rule refuses uses up no other quota and claims no hash.
 
@@ -128,4 +138,4 @@ def funnel_counts(df: DataFrame, keys: list[str], reason_col: str = "reject_reas
 def most_common(df: DataFrame, column: str, order: str) -> DataFrame:
     """value, n and rank by count, ties by first occurrence."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_first"))
-    return counts.select("value", "n", F.row_number().over(Window.orderBy(F.desc("n"), "_first")).cast("long").alias("rank"))
+    return ranked(counts, "n", ["_first"], "rank", descending=True).select("value", "n", "rank")

@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import code_tokens, pytrim
+from millrace.functions.text import code_tokens, normalize_code, pytrim
 
-MEANS = {"exact_match": "exact_match", "improved_rate": "improved", "regressed_rate": "regressed", "copied_rate": "copied", "edit_sim": "edit_sim", "token_f1": "token_f1", "edit_line_f1": "changed_right_lines", "delta_to_gold": "delta_to_gold"}
+MEANS = {
+    "exact_match": "exact_match",
+    "improved_rate": "improved",
+    "regressed_rate": "regressed",
+    "copy_rate": "copied",
+    "edit_similarity": "edit_sim",
+    "token_f1": "token_f1",
+    "edit_line_f1": "changed_right_lines",
+    "delta_to_gold": "delta_to_gold",
+}
+SLICE_MEANS = {k: MEANS[k] for k in ("exact_match", "improved_rate", "edit_line_f1")}
 
 
 def mean(c: str) -> Column:
@@ -21,15 +31,30 @@ def format_compliance(mode: str) -> Column:
 
 
 def headline(scored: DataFrame, prediction: str = "prediction", mode: str = "parse_mode") -> DataFrame:
-    """All headline metrics in one aggregation."""
+    """All headline rates in one aggregation; the syntax rate is over the rows that have a verdict."""
     return scored.agg(
         F.count(F.lit(1)).alias("n"),
         *[mean(c).alias(k) for k, c in MEANS.items()],
+        F.coalesce(F.avg(1.0 - F.col("dist_old_gold")), F.lit(0.0)).alias("copy_baseline_edit_similarity"),
         format_compliance(mode).alias("format_compliance"),
         F.coalesce(F.avg((pytrim(F.coalesce(F.col(prediction), F.lit(""))) == "").cast("double")), F.lit(0.0)).alias("empty_rate"),
+        F.avg(F.col("syntax_ok").cast("double")).alias("python_syntax_ok"),
+        F.count("syntax_ok").alias("python_syntax_checked"),
     )
 
 
+def metric_block(scored: DataFrame, key: str, prediction: str = "prediction", gold: str = "gold", old: str = "old_code", mode: str = "parse_mode") -> DataFrame:
+    """headline() with BLEU of the predictions and of the unchanged code, rates to 4 places and BLEU to 3."""
+    block = headline(scored, prediction, mode)
+    rounded = [F.col(c) if c in ("n", "python_syntax_checked") else F.round(c, 4).alias(c) for c in block.columns]
+    block = block.select(*rounded, F.lit(0).alias("_k"))
+    texts = scored.select(key, *[normalize_code(F.col(c)).alias(k) for c, k in ((prediction, "_p"), (gold, "_g"), (old, "_o"))])
+    for name, hypothesis in (("bleu", "_p"), ("copy_baseline_bleu", "_o")):
+        score = corpus_bleu(texts, key, hypothesis, "_g").select(F.round("bleu", 3).alias(name), F.lit(0).alias("_k"))
+        block = block.join(score, "_k")  # one row each
+    return block.drop("_k")
+
+
 def by_slices(scored: DataFrame, slices: list[str], means: dict[str, str], blank_is_unknown: bool = False) -> DataFrame:
     """slice, value, n and the means, for each of several columns in one pass over grouping sets."""
 

@@ -1,24 +1,13 @@
-"""Exact order statistics by three conventions, from histograms instead of sorted groups."""
+"""Exact order statistics by three conventions; elements are found by ranges of values, never by sorting a group."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.operators.ranges import elements_at
 
-def elements_at(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """Per group, the elements of the sorted values at 0-based places; a place is a Column over `n`, the group's size.
-
-    Values are counted first, so what is ordered is one row per distinct value,
-    and a group of any number of rows reaches its task as partial counts. Nulls
-    are left out; a group without values gives no row.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumn("n", F.sum("_c").over(group)).withColumn("_end", F.sum("_c").over(upto))
-    chosen = [F.max(F.when((F.col("_end") > at) & (F.col("_end") - F.col("_c") <= at), F.col(value))).alias(name) for name, at in ranks.items()]
-    return placed.groupBy(*keys).agg(F.max("n").alias("n"), *chosen)
+__all__ = ["at_fraction", "clamped", "elements_at", "nearest_rank"]
 
 
 def clamped(place: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +56,52 @@ def instruction_rates(checked: DataFrame, passed: str = "passed", text: str = "t
     return checked.agg(F.count(F.lit(1)).alias("n"), (F.count_if(passed) / n).alias("pass_rate"), (F.count_if(F.contains(F.col(text), F.lit("```"))) / n).alias("spurious_fence_rate"))
 
 
+def load_probes(document: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(questions, instructions): the two arrays of a probe document as tables."""
+    return document.select(F.inline("multiple_choice")), document.select(F.inline("instruction_following"))
+
+
+PROBES = "multiple_choice array<struct<id: string, question: string, choices: array<string>, answer: int, domain: string>>, instruction_following array<struct<id: string, prompt: string, check: string, arg: string>>"
+
+
+def ask_options(questions: DataFrame, scorer: Callable[[str, str], tuple[float, int]]) -> DataFrame:
+    """Adds `chosen` and `normalised_logprobs`: an injected model gives each option's summed log-probability and token count."""
+
+    @F.pandas_udf("array<struct<l: double, t: int>>")
+    def scores(question: pd.Series, choices: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("l", "t"), scorer(q, " " + c), strict=True)) for c in options] for q, options in zip(question, choices, strict=True)])
+
+    rows = questions.withColumn("_s", scores("question", "choices"))
+    chosen = best_option(F.transform("_s", lambda x: x["l"]), F.transform("_s", lambda x: x["t"]))
+    return rows.select(*questions.columns, chosen.alias("chosen"), F.transform("_s", lambda x: F.round(x["l"] / F.greatest(x["t"], F.lit(1)), 4)).alias("normalised_logprobs"))
+
+
+def retention_table(base: DataFrame, tuned: DataFrame) -> DataFrame:
+    """One row from two headlines (mcq_accuracy, instruction_pass_rate, spurious_code_fence_rate): what is left of each rate, and of the weaker one."""
+    rates = ("mcq_accuracy", "instruction_pass_rate", "spurious_code_fence_rate")
+    joined = base.select(F.lit(0).alias("_k"), *[F.col(c).alias(f"b_{c}") for c in rates]).join(tuned.select(F.lit(0).alias("_k"), *[F.col(c).alias(f"t_{c}") for c in rates]), "_k")  # one row each
+    mcq, told = (retention(F.col(f"b_{c}"), F.col(f"t_{c}")) for c in rates[:2])
+    return joined.select(
+        F.col("b_mcq_accuracy").alias("mcq_accuracy_base"),
+        F.col("t_mcq_accuracy").alias("mcq_accuracy_tuned"),
+        F.round(mcq, 1).alias("mcq_retention_pct"),
+        F.col("b_instruction_pass_rate").alias("instruction_pass_base"),
+        F.col("t_instruction_pass_rate").alias("instruction_pass_tuned"),
+        F.round(told, 1).alias("instruction_retention_pct"),
+        F.col("b_spurious_code_fence_rate").alias("spurious_fence_base"),
+        F.col("t_spurious_code_fence_rate").alias("spurious_fence_tuned"),
+        F.round(F.least(mcq, told), 1).alias("overall_retention_pct"),
+        retention_band(F.least(mcq, told), F.col("t_spurious_code_fence_rate") - F.col("b_spurious_code_fence_rate")).alias("verdict"),
+    )
+
+
+def retention_band(worst: Column, fence_jump: Column) -> Column:
+    """A sentence on the weaker probe, in bands at 97 and 90 per cent, and on code fences that spread by more than 10 points."""
+    band = F.when(worst >= 97, "Kept").when(worst >= 90, "Slightly weakened").otherwise("Clearly weakened")
+    text = F.concat(band, F.format_string(": the weaker probe stands at %.0f %% of the base model.", worst))
+    return F.concat(text, F.when(fence_jump > 0.1, F.format_string(" Code fences in plain answers rose by %.0f points.", fence_jump * 100)).otherwise(""))
+
+
 def retention(base: Column, tuned: Column) -> Column:
     """Per cent of the base rate that is left; 100 where there was nothing to lose."""
     return F.when(F.coalesce(base, F.lit(0.0)) == 0, 100.0).otherwise(tuned / base * 100)

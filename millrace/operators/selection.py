@@ -14,7 +14,8 @@ def in_order_of(rows: DataFrame, key: str, ids: list, fallback: int = 10) -> Dat
     wanted = spark.createDataFrame(list(enumerate(ids)), f"_pos int, _id {kind}")
     found = rows.join(F.broadcast(wanted), F.col(key) == F.col("_id")).drop("_id")  # as long as the given list
     if found.isEmpty():
-        return rows.withColumn("_pos", (F.row_number().over(Window.orderBy(key)) - 1).cast("int")).filter(F.col("_pos") < fallback)
+        first = rows.orderBy(key).limit(fallback)
+        return first.withColumn("_pos", (F.row_number().over(Window.orderBy(key)) - 1).cast("int"))
     return found
 
 

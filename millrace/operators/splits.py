@@ -29,6 +29,38 @@ def separate(rows: DataFrame, repo: str = "repo", split: str = "split") -> DataF
     return joined.filter(keep).select(rows.columns)
 
 
+def drop_counts(rows: DataFrame, repo: str = "repo", split: str = "split") -> DataFrame:
+    """One row: what separate() drops for train's repositories, what valid and test lose to each other, and contested repositories."""
+    bits = F.when(F.col(split) == "train", 1).when(F.col(split) == "valid", 2).otherwise(4)
+    per = rows.groupBy(F.col(repo).alias("_repo")).agg(F.bit_or(bits).alias("_seen"), *[F.count_if(F.col(split) == s).alias(f"_{s}") for s in ("valid", "test")])
+    train, contested = F.col("_seen").bitwiseAND(1) > 0, F.col("_seen") == 6
+    side = side_of(F.col("_repo"))
+
+    def total(holds: Column, rows_of: str) -> Column:
+        return F.coalesce(F.sum(F.when(holds, F.col(rows_of))), F.lit(0)).cast("long")
+
+    return per.agg(
+        total(train, "_valid").alias("valid"),
+        total(train, "_test").alias("test"),
+        total(contested & (side == "test"), "_valid").alias("valid_lost_to_test"),
+        total(contested & (side == "valid"), "_test").alias("test_lost_to_valid"),
+        F.count_if(contested).alias("contested_repos"),
+    )
+
+
+def collision_counts(judged: DataFrame, split: str = "split", reason: str = "reject_reason", what: str = "duplicate") -> DataFrame:
+    """Rows of each split that were dropped as duplicates; splits without any have 0."""
+    return judged.groupBy(split).agg(F.count_if(F.coalesce(F.col(reason), F.lit("")) == what).alias("collisions"))
+
+
+def shared_texts(rows: DataFrame, code: Column, comment: Column, split: str = "split") -> DataFrame:
+    """Rows of valid and test whose code and comment, white space collapsed and the comment in small letters, also stand in train: a semi join."""
+    key = F.sha1(F.concat(F.regexp_replace(code, r"(?U)\s+", " "), F.lit("||"), F.lower(F.regexp_replace(comment, r"(?U)\s+", " "))))
+    keyed = rows.withColumn("_key", key)
+    train = keyed.filter(F.col(split) == "train").select("_key").distinct()
+    return keyed.filter(F.col(split) != "train").join(train, "_key", "left_semi").drop("_key")
+
+
 def overlaps(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
     """Keys that occur in more than one split, with the splits."""
     found = rows.select(key, split).distinct().groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(split)), ",").alias("splits"), F.count(F.lit(1)).alias("n"))
@@ -51,7 +83,8 @@ def round_robin_sample(df: DataFrame, cells: list[str], score: Column, key: Colu
     """Best of each cell, then second best, until `target`; ties and the order of cells are seeded.
 
     The window keeps at most `target` rows of a cell, which Spark trims before
-    the shuffle, and the cut is a top-k, so a hot cell costs no full sort.
+    the shuffle, and the cut is a top-k, so a hot cell costs no full sort. A pool of
+    no more than `target` rows comes back whole.
     """
     cell = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cells])
     ranked = df.withColumn("_cell", cell).withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy(score.desc(), seeded(seed, key))))
