@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -25,3 +29,24 @@ def build_session(app: str = "millrace", master: str | None = None, **conf: str)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_own: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: `spark.checkpoint.dir` of the session.
+
+    Only where that is unset and the master is local (tests) is a folder of our
+    own made; on a cluster a machine-local folder would lose files, so it is an
+    error there.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="millrace-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        folder = "file://" + _own[0]
+    return folder.rstrip("/")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
@@ -22,6 +24,21 @@ def document(df: DataFrame) -> str:
     return df.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"})).first()[0]
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, by the file system that the path names."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_json(spark: SparkSession, path: str, value: object) -> None:
+    write_text(spark, path, json.dumps(value, indent=2, ensure_ascii=False, default=str) + "\n")
+
+
 def write_document(df: DataFrame, path: str) -> None:
     df.limit(1).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
@@ -36,6 +53,93 @@ def numbers_only(df: DataFrame) -> DataFrame:
     return df.select(*[c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")])
 
 
+MAX_TAG = 500
+
+
+def tags(values: dict[str, object]) -> dict[str, str]:
+    """Settings as texts that trackers take, each cut to what they allow."""
+    return {k: str(v)[:MAX_TAG] for k, v in values.items()}
+
+
+class Tracker(Protocol):
+    """Where a run's numbers go."""
+
+    def log(self, metrics: DataFrame) -> None: ...
+
+    def log_summary(self, values: dict[str, object]) -> None: ...
+
+    def log_artifact(self, path: str, name: str, kind: str) -> None: ...
+
+    def finish(self) -> None: ...
+
+
+class LocalTracker:
+    """Always there: metrics are appended to a log of JSON lines, summary and artifacts are documents beside it."""
+
+    def __init__(self, spark: SparkSession, folder: str, config: dict[str, object]) -> None:
+        self.spark, self.folder, self.artifacts = spark, folder.rstrip("/"), []
+        write_json(spark, f"{self.folder}/config.json", config)
+
+    def log(self, metrics: DataFrame) -> None:
+        append_metrics(metrics, f"{self.folder}/metrics")
+
+    def log_summary(self, values: dict[str, object]) -> None:
+        write_json(self.spark, f"{self.folder}/summary.json", values)
+
+    def log_artifact(self, path: str, name: str, kind: str) -> None:
+        self.artifacts.append({"path": path, "name": name, "kind": kind})
+
+    def finish(self) -> None:
+        write_json(self.spark, f"{self.folder}/artifacts.json", self.artifacts)
+
+
+class Trackers:
+    """Several trackers as one; one that fails doesn't stop the others."""
+
+    def __init__(self, *trackers: Tracker) -> None:
+        self.trackers = trackers
+
+    def _each(self, call: Callable[[Tracker], None]) -> None:
+        for tracker in self.trackers:
+            try:
+                call(tracker)
+            except Exception:
+                log.exception("%s failed", type(tracker).__name__)
+
+    def log(self, metrics: DataFrame) -> None:
+        self._each(lambda t: t.log(metrics))
+
+    def log_summary(self, values: dict[str, object]) -> None:
+        self._each(lambda t: t.log_summary(values))
+
+    def log_artifact(self, path: str, name: str, kind: str) -> None:
+        self._each(lambda t: t.log_artifact(path, name, kind))
+
+    def finish(self) -> None:
+        self._each(lambda t: t.finish())
+
+
+#: Remote trackers by kind: the environment variable that says one is set up, in order of preference for `auto`.
+REMOTE = {"wandb": "WANDB_API_KEY", "mlflow": "MLFLOW_TRACKING_URI"}
+
+
+def choose_tracker(kind: str, environment: Mapping[str, str]) -> str:
+    """`auto` takes the first remote tracker that is set up, else local; other kinds are taken as they are."""
+    if kind != "auto":
+        return kind
+    return next((name for name, variable in REMOTE.items() if environment.get(variable)), "local")
+
+
+def trackers(kind: str, local: LocalTracker, remote: dict[str, Callable[[], Tracker]], environment: Mapping[str, str]) -> Trackers:
+    """The local tracker and the chosen remote one, made by the caller's factory; one that can't be made is left out."""
+    chosen = choose_tracker(kind, environment)
+    try:
+        return Trackers(local, remote[chosen]()) if chosen in remote else Trackers(local)
+    except Exception:
+        log.exception("no %s tracker; metrics stay local", chosen)
+        return Trackers(local)
+
+
 def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that hands a batch to every sink; one that fails doesn't stop the others."""
 

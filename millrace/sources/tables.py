@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -21,7 +25,10 @@ def require(spark: SparkSession, path: str, what: str) -> None:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and _order, a struct that sorts lines as they stand in their files, however the files are split."""
+    """value and _order, a struct that sorts lines as they stand in their files, however the files are split.
+
+    A key that stands on several lines gives a row for each; last_wins() of `operators.compare` keeps its last.
+    """
     lines = spark.read.text(path)
     return lines.select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("id")).alias("_order"))
 
@@ -52,6 +59,22 @@ def read_document(spark: SparkSession, path: str, schema: str | StructType | Non
     return None if df.columns == ["_corrupt"] or not df.columns else df
 
 
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """A small JSON document as a dict, or None if it is absent or broken."""
+    if not path_exists(spark, path):
+        return None
+    try:
+        return json.loads(spark.read.text(path, wholetext=True).first()[0])
+    except (ValueError, TypeError):
+        return None
+
+
+def paths_of(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob, in order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return sorted(s.getPath().toString() for s in where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or [])
+
+
 def read_artifacts(spark: SparkSession, pattern: str, schema: str | StructType) -> DataFrame:
     """Documents that match a glob, with the path each came from."""
     return spark.read.schema(schema).option("multiLine", True).json(pattern).select("*", F.col("_metadata.file_path").alias("path"))
@@ -64,18 +87,51 @@ def read_split(spark: SparkSession, catalog: dict[str, str], name: str, schema:
     return read_strict(spark, catalog.get(name, name), schema)
 
 
+def read_log(spark: SparkSession, pattern: str, metrics: list[str], step: str = "_step") -> DataFrame:
+    """Metric logs of runs (JSON lines, a file in each run's folder): run, step, ts and the metrics, null where a line has none."""
+    schema = ", ".join([f"{step} long", "_ts double", *[f"{m} double" for m in metrics]])
+    logs = spark.read.schema(schema).json(pattern)
+    run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return logs.select(run.alias("run"), F.col(step).alias("step"), F.col("_ts").alias("ts"), *metrics)
+
+
 def checksums(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".safetensors", ".bin", ".json")) -> DataFrame:
-    """Path, size and sha-256 of files with these suffixes below a folder."""
+    """path, relative path, length and sha-256 of files with these suffixes below a folder, in order.
+
+    Files are hashed by executors in chunks, so their size doesn't matter; executors
+    open them through pyarrow's file systems (local, HDFS, S3, GCS by their scheme).
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     wanted = F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$")
-    return files.filter(wanted).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(sha256=[sha256_of(p) for p in batch["path"]])
+
+    found = files.filter(wanted).select("path", "length").mapInPandas(hashed, "path string, length long, sha256 string")
+    root = folder.rstrip("/").rpartition("://")[2].rpartition("file:")[2]
+    relative = F.regexp_replace(F.substring_index("path", root + "/", -1), "^/+", "")
+    return found.select("path", relative.alias("file"), "length", "sha256").orderBy("file")
+
+
+CHUNK = 1 << 20
+
+
+def sha256_of(path: str) -> str:
+    """sha-256 of a file, read a chunk at a time."""
+    import hashlib
+
+    from pyarrow import fs
+
+    uri = "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
+    system, inner = fs.FileSystem.from_uri(uri)
+    digest = hashlib.sha256()
+    with system.open_input_stream(inner) as stream:
+        while chunk := stream.read(CHUNK):
+            digest.update(chunk)
+    return digest.hexdigest()
 
 
 def folder_size(spark: SparkSession, folder: str) -> DataFrame:
     """Sum of the sizes of all files below a folder; contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
-
-
-def keyed_last(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")

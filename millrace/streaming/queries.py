@@ -1,31 +1,18 @@
-"""Streaming forms of the rolling window, dedup, early stopping and event-time windows."""
+"""Streaming forms of the rolling window, dedup, quotas, early stopping and event-time windows."""
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-
-def rolling_stream(rows: DataFrame, key: str, latency: str, tokens: str, size: int = 500) -> DataFrame:
-    """Per key, after each batch: count, greatest latency and tokens of the last `size` rows. State: at most `size` pairs a key."""
-
-    def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
-        for batch in batches:
-            held += list(zip(batch[latency].astype(float), batch[tokens].astype(float), strict=True))
-            held = held[-size:]
-        state.update(([x for x, _ in held], [y for _, y in held]))
-        yield pd.DataFrame({key: [keys[0]], "n": [len(held)], "max_latency": [max((x for x, _ in held), default=None)], "tokens": [sum(y for _, y in held)]})
-
-    return rows.groupBy(key).applyInPandasWithState(
-        update, f"{key} string, n long, max_latency double, tokens double", "latency array<double>, tokens array<double>", "update", GroupStateTimeout.NoTimeout
-    )
+from millrace.session import shared_dir
 
 
 def _in_order(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
@@ -92,12 +79,52 @@ def event_windows(events: DataFrame, ts: str, keys: list[str], value: str, width
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("decimal(28,6)")).cast("double").alias("total")).select(F.col("w.start").alias("window_start"), *keys, "n", "total")
 
 
-def run_available(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over what is there now, into a table in memory: for tests and small reports."""
+def quota_stream(rows: DataFrame, group: str, limits: dict[str, int], order: str, out: str = "verdict") -> DataFrame:
+    """Rows with the verdict of quotas in turn: kept, or the column whose quota was full.
+
+    Quotas are cascades as in the batch form, so each is a state of its own: rows
+    are grouped by `group`, which must determine every column in `limits`, and a
+    state holds one count for each. A batch's rows are taken in `order`.
+    """
+    columns = list(limits)
+    names = [f.name for f in rows.schema.fields]
+
+    def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        counts = list(state.get[0]) if state.exists else [0] * len(columns)
+        batch = _in_order(batches, [order])
+        verdicts = []
+        for _ in range(len(batch)):
+            full = next((c for c, n in zip(columns, counts, strict=True) if n >= limits[c]), None)
+            counts = counts if full else [n + 1 for n in counts]
+            verdicts.append(full or "kept")
+        state.update((counts,))
+        yield batch[names].assign(**{out: verdicts})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.groupBy(group).applyInPandasWithState(update, f"{schema}, `{out}` string", "counts array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+BATCH = "batch_number"
+
+
+def run_available(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
+    """Run a stream over what is there now and give the rows of all its batches, or of the last one in complete mode.
+
+    Batches and the stream's checkpoint are files in the shared folder. With a
+    `folder` of the caller's, calling again goes on from the checkpoint there.
+    """
     spark: SparkSession = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    folder = folder or f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex[:12]}"
+    schema = stream.schema
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{BATCH}={number}")
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(StructType([*schema.fields, StructField(BATCH, LongType())])).parquet(f"{folder}/rows")
+    if mode == "complete":
+        rows = rows.filter(F.col(BATCH) == rows.agg(F.max(BATCH)).first()[0])
+    return rows.select(*stream.columns)
 
 
 def read_stream(spark: SparkSession, folder: str, schema: StructType, **options: str) -> DataFrame:
