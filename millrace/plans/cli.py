@@ -1,104 +1,253 @@
-"""Command line: curate raw hunks into splits, compare two prediction files, report, and run a registered query."""
+"""Command line: data, benchmark, training, evaluation, comparison, judging, probes, release, serving figures and report.
+
+Models are injected: an option of the form `module:function` names a factory.
+"""
 
 from __future__ import annotations
 
 import argparse
+import importlib
+import os
 import sys
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.scores import with_scores
-from millrace.operators import compare as CP
 from millrace.operators import curation as C
-from millrace.operators import metrics as M
+from millrace.operators import judge as J
+from millrace.operators import probes as P
+from millrace.operators import runs as R
 from millrace.operators import splits as S
-from millrace.plans import registry
-from millrace.plans.report import report
+from millrace.plans import config, documents, registry
+from millrace.plans.report import experiment_report
 from millrace.session import build_session
 from millrace.sources import sinks
-from millrace.sources.tables import read_strict, read_tolerant
+from millrace.sources.tables import paths_of, read_document, read_json, read_log, read_split, read_strict, read_tolerant, require
 
 RAW = "old string, new string, comment string, lang string, repo string"
-PREDICTION = "id string, lang string, category string, repo string, origin string, old_code string, gold string, prediction string, parse_mode string"
+
+
+def named(where: str) -> Callable:
+    """The function that `module:function` names; its module is pickled by value, so that executors need not have it."""
+    name, colon, function = where.partition(":")
+    if not colon:
+        raise ValueError(f"a function is given as module:function, not {where!r}")
+    module = importlib.import_module(name)
+    register_pickle_by_value(module)
+    return getattr(module, function)
 
 
 def build_data(spark: SparkSession, args: argparse.Namespace) -> int:
-    """train, valid and test files -> splits without leaks; exit code 1 on a leak."""
+    """train, valid and test files -> splits without leaks and their card; exit code 1 on a leak."""
     parts = []
     for i, (name, path) in enumerate((("train", args.train), ("valid", args.valid), ("test", args.test))):
+        require(spark, path, f"raw {name} file")
         parts.append(read_tolerant(spark, path, RAW, args.limit).select("*", F.lit(name).alias("split"), F.lit(i).alias("_split_no")))
-    raw = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("repo", F.coalesce("repo", F.lit("unknown")))
+    raw = S.union_in_order(*parts).drop("_table").withColumn("repo", F.coalesce("repo", F.lit("unknown")))
     judged = C.with_reject_reason(raw)
     order = ["_split_no", "_order"]
-    kept = C.first_wins(judged.filter("reject_reason is null"), "hash", order)
-    kept = C.within_quota(kept, ["split", "repo"], order, args.per_repo)
-    kept = C.within_quota(kept, ["split", "comment_norm"], order, args.per_comment)
-    rows = S.separate(kept)
+    full = C.cascade_verdicts(judged, hash_keys=["hash"], repo_keys=["split", "repo"], comment_keys=["split", "comment_norm"], order=order, per_repo=args.per_repo, per_comment=args.per_comment)
+    kept = full.filter("reject_reason is null")
+    apart = S.separate(kept)
+    columns = [F.substring("hash", 1, 16).alias("id"), "hash", "repo", "lang", "old_code", "new_code", F.col("_comment").alias("comment"), "category", "grounding", "n_old_lines", "n_changed_lines", F.col("split").alias("source_split")]
+    for name, target in (("train", args.size), ("valid", args.size // 8), ("test", args.size // 8)):
+        one = apart.filter(F.col("split") == name)
+        sinks.write_lines(S.round_robin_sample(one, ["lang", "category"], F.col("grounding"), F.col("hash"), target, args.seed).select(*columns), f"{args.out}/{name}.jsonl", ["id"])
+    splits = S.union_in_order(*[read_strict(spark, f"{args.out}/{n}.jsonl", documents.EXAMPLE + ", hash string").withColumn("split", F.lit(n)) for n in ("train", "valid", "test")])
+    card = documents.dataset_card(full, S.drop_counts(kept), splits, {k: v for k, v in vars(args).items() if k != "run"})
+    sinks.write_json(spark, f"{args.out}/dataset_card.json", card)
     try:
-        S.assert_no_leak(rows, ["repo", "hash"])
+        S.assert_no_leak(splits, ["repo", "hash"])
     except ValueError as e:
         print(e, file=sys.stderr)
         return 1
-    columns = [F.substring("hash", 1, 16).alias("id"), "repo", "lang", "old_code", "new_code", F.col("_comment").alias("comment"), "category", "grounding", "n_old_lines", "n_changed_lines", "split"]
-    for name, target in (("train", args.size), ("valid", args.size // 8), ("test", args.size // 8)):
-        one = rows.filter(F.col("split") == name)
-        sinks.write_lines(S.round_robin_sample(one, ["lang", "category"], F.col("grounding"), F.col("hash"), target, args.seed).select(*columns), f"{args.out}/{name}")
-    C.funnel_counts(judged, ["lang", "category"]).show(100, False)
+    return 0
+
+
+def build_benchmark(spark: SparkSession, args: argparse.Namespace) -> int:
+    pool = read_strict(spark, args.pool, documents.EXAMPLE)
+    own = read_strict(spark, args.handwritten, documents.EXAMPLE, missing_is_empty=True)
+    documents.write_benchmark(spark, pool, own, args.out, args.n_curated, args.seed)
+    return 0
+
+
+def train(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Calls the injected trainer with the configuration; from the log it writes, history and summary are made."""
+    run = config.load(args.config, args.set)
+    folder = f"{run.output_root}/{run.name}"
+    tracker = sinks.trackers(run.tracker, sinks.LocalTracker(spark, folder, config.settings_of(run)), {}, os.environ)
+    examples = read_strict(spark, f"{run.data_dir}/train.jsonl", documents.EXAMPLE)
+    lengths = documents.rows(R.length_report(examples.withColumn("n", F.size(F.split("new_code", r"\\s+")) + F.size(F.split("old_code", r"\\s+"))), "n", run.train.max_seq_length))
+    named(args.trainer)(run, folder)
+    log = read_log(spark, f"{folder}/metrics.jsonl", ["loss", "eval_loss"])
+    sinks.write_lines(R.history(log, "run", "step"), f"{folder}/history.jsonl")
+    summary = documents.train_summary(log, run.name, examples.count(), run.train.batch_size, run.train.epochs, run.train.eval_per_epoch)
+    sinks.write_json(spark, f"{folder}/train_summary.json", summary | {"lengths": lengths[0] if lengths else None, "fingerprint": config.fingerprint(run), "config": config.nested(config.settings_of(run))})
+    tracker.log_summary(summary)
+    tracker.finish()
+    return 0
+
+
+def evaluate(spark: SparkSession, args: argparse.Namespace) -> int:
+    catalog = {n: f"{args.data}/{n}.jsonl" for n in ("train", "valid", "test", "benchmark")}
+    examples = read_split(spark, catalog, args.split, documents.EXAMPLE + ", origin string", final=args.final)
+    documents.evaluate(spark, examples, named(args.model), args.out, args.tag, args.split, args.batch_size)
     return 0
 
 
 def compare(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Headline metrics of both runs, paired tests and outcomes as Markdown."""
-    base, tuned = (with_scores(read_strict(spark, p, PREDICTION)) for p in (args.base, args.tuned))
-    keep = ["exact_match", "edit_sim"]
-    pairs = base.select("id", *[F.col(c).alias(f"base_{c}") for c in keep]).join(tuned.select("id", *[F.col(c).alias(f"tuned_{c}") for c in keep]), "id")
-    routed = CP.routed(pairs)
-    diffs = pairs.select("id", (F.col("tuned_exact_match").cast("int") - F.col("base_exact_match").cast("int")).alias("diff"))
-    text = report(
-        {
-            "Base": M.headline(base),
-            "Tuned": M.headline(tuned),
-            "Only in one run": CP.coverage(base, tuned, "id"),
-            "Outcomes": routed.groupBy("outcome").count(),
-            "McNemar": CP.mcnemar(pairs, "base_exact_match", "tuned_exact_match"),
-            "Bootstrap": CP.bootstrap_ci(diffs, "diff", "id", resamples=args.resamples),
-        },
-        "Comparison",
+    """Two prediction files example by example, as a JSON document; the verdict is printed."""
+    base, tuned = (documents.read_predictions(spark, p) for p in (args.base, args.tuned))
+    found = documents.compare_runs(base, tuned, args.resamples) | {"sources": {"base": args.base, "tuned": args.tuned}}
+    sinks.write_json(spark, args.out, found)
+    print(found["headline"]["verdict"])
+    return 0
+
+
+def judge(spark: SparkSession, args: argparse.Namespace) -> int:
+    if args.caller:
+        J.PROVIDERS["given"] = lambda model: named(args.caller)
+    caller = J.provider("given" if args.caller else args.provider, args.model)
+    found = documents.judge_runs(*[documents.read_predictions(spark, p) for p in (args.base, args.tuned)], caller, args.limit)
+    sinks.write_json(spark, args.out, found)
+    return 0
+
+
+def forgetting(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Probes of one model as {tag}.forgetting.json; with a base document, what is left of it."""
+    probes = read_document(spark, args.probes, P.PROBES)
+    if probes is None:
+        raise FileNotFoundError(f"no probes at {args.probes}")
+    result = documents.forgetting_run(probes, named(args.scorer), named(args.model), args.tag)
+    sinks.write_json(spark, f"{args.out}/{args.tag}.forgetting.json", result)
+    base = read_json(spark, f"{args.out}/base.forgetting.json")
+    if base and args.tag != "base":
+        sinks.write_json(spark, f"{args.out}/{args.tag}.retention.json", documents.compare_forgetting(spark, base, result))
+    return 0
+
+
+def export(spark: SparkSession, args: argparse.Namespace) -> int:
+    documents.release_manifest(spark, args.adapter, args.base_model, args.out)
+    return 0
+
+
+def serve(spark: SparkSession, args: argparse.Namespace) -> int:
+    """The figures that a server shows, from its request log: the last 500 requests of each model."""
+    log = read_tolerant(spark, args.log, "model string, ts double, latency double, tokens double").drop("_order")
+    last = R.rolling(log.withColumn("_n", F.xxhash64("*")), "model", ["ts", "_n"], "latency", "tokens")
+    last.groupBy("model").agg(F.max_by(F.struct(*R.STATS), F.struct("ts", "_n")).alias("w")).select("model", "w.*").orderBy("model").show(100, False)
+    return 0
+
+
+def report(spark: SparkSession, args: argparse.Namespace) -> int:
+    at = args.artifacts
+    trained = documents.load_documents(spark, paths_of(spark, f"{at}/runs/*/train_summary.json"))
+    retained = documents.load_documents(spark, paths_of(spark, f"{at}/forgetting/*.retention.json"))
+    text = experiment_report(
+        read_json(spark, f"{args.data}/dataset_card.json"), read_json(spark, f"{args.data}/benchmark_card.json"), read_json(spark, f"{at}/eval/comparison.json"),
+        read_json(spark, f"{at}/eval/judge.json"), trained, retained[0] if retained else None,
     )
-    print(text)
+    sinks.write_text(spark, args.out, text)
     return 0
 
 
+def sweep(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Trains every configuration; one that fails doesn't stop the others, but the exit code is then 1."""
+    failed = []
+    for path in args.configs:
+        try:
+            train(spark, argparse.Namespace(config=path, set=args.set, trainer=args.trainer))
+        except Exception as e:
+            print(f"{path}: {e}", file=sys.stderr)
+            failed.append(path)
+    done = documents.load_documents(spark, [p for c in args.configs if c not in failed for p in [f"{config.load(c, args.set).output_root}/{config.load(c, args.set).name}/train_summary.json"]])
+    if done:
+        runs = spark.createDataFrame([(d["run_name"], d["best_eval_loss"]) for d in done], "run string, loss double")
+        R.leaderboard(runs, "run", "loss").orderBy("rank").show(100, False)
+    return 1 if failed else 0
+
+
+def evaluation(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Both models on the benchmark, comparison, judge (only if one is given), probes and report, in this order."""
+    eval_dir = f"{args.artifacts}/eval"
+    paths = {t: f"{eval_dir}/{t}__benchmark.predictions.jsonl" for t in ("base", "tuned")}
+    for tag in ("base", "tuned"):
+        evaluate(spark, argparse.Namespace(data=args.data, split="benchmark", final=False, model=getattr(args, tag), out=eval_dir, tag=tag, batch_size=8))
+    compare(spark, argparse.Namespace(**paths, resamples=args.resamples, out=f"{eval_dir}/comparison.json"))
+    if args.judge:
+        judge(spark, argparse.Namespace(**paths, caller=args.judge, provider="", model="", limit=None, out=f"{eval_dir}/judge.json"))
+    else:
+        print("judge: skipped, none is given")
+    if args.probes:
+        for tag in ("base", "tuned"):
+            forgetting(spark, argparse.Namespace(probes=args.probes, scorer=args.scorer, model=getattr(args, tag), tag=tag, out=f"{args.artifacts}/forgetting"))
+    return report(spark, argparse.Namespace(artifacts=args.artifacts, data=args.data, out=f"{args.artifacts}/report.md"))
+
+
+def everything(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Data, training if a trainer is given, benchmark, then evaluation; a step that fails ends the run with its exit code."""
+    args.out = args.data
+    if code := build_data(spark, args):
+        return code
+    if args.trainer and (code := train(spark, argparse.Namespace(config=args.config, set=[], trainer=args.trainer))):
+        return code
+    build_benchmark(spark, argparse.Namespace(pool=f"{args.data}/test.jsonl", handwritten=args.handwritten, out=args.data, n_curated=25, seed=7))
+    return evaluation(spark, args)
+
+
 def query(spark: SparkSession, args: argparse.Namespace) -> int:
-    registry.queries()[args.name](spark, args.tables).show(args.rows, False)
+    found: DataFrame = registry.queries()[args.name](spark, args.tables)
+    found.show(args.rows, False)
     return 0
 
 
-def main(argv: list[str] | None = None) -> int:
-    parser = argparse.ArgumentParser(prog="millrace", description=__doc__)
-    commands = parser.add_subparsers(required=True)
-    p = commands.add_parser("build-data")
-    for name in ("train", "valid", "test", "out"):
-        p.add_argument(f"--{name}", required=True)
-    p.add_argument("--limit", type=int)
-    p.add_argument("--size", type=int, default=2000)
-    p.add_argument("--seed", type=int, default=13)
-    p.add_argument("--per-repo", type=int, default=40)
-    p.add_argument("--per-comment", type=int, default=3)
-    p.set_defaults(run=build_data)
-    p = commands.add_parser("compare")
-    p.add_argument("base")
-    p.add_argument("tuned")
-    p.add_argument("--resamples", type=int, default=10_000)
-    p.set_defaults(run=compare)
-    p = commands.add_parser("query")
-    p.add_argument("name", choices=sorted(registry.queries()))
-    p.add_argument("tables")
-    p.add_argument("--rows", type=int, default=20)
-    p.set_defaults(run=query)
-    args = parser.parse_args(argv)
-    return args.run(build_session(), args)
+#: Options by command: name, and either a default or REQUIRED, or a type.
+REQUIRED = object()
+RAW_FILES = {"--train": REQUIRED, "--valid": REQUIRED, "--test": REQUIRED, "--limit": int, "--size": 2000, "--seed": 13, "--per-repo": 40, "--per-comment": 3}
+MODELS = {"--base": REQUIRED, "--tuned": REQUIRED, "--judge": "", "--probes": "", "--scorer": "", "--resamples": 10_000, "--artifacts": "artifacts", "--data": "data"}
+COMMANDS: dict[str, tuple[Callable[[SparkSession, argparse.Namespace], int], dict[str, object]]] = {
+    "build-data": (build_data, RAW_FILES | {"--out": "data"}),
+    "build-benchmark": (build_benchmark, {"--pool": "data/test.jsonl", "--handwritten": "handwritten.jsonl", "--out": "data", "--n-curated": 25, "--seed": 7}),
+    "train": (train, {"config": REQUIRED, "--trainer": REQUIRED, "--set": list}),
+    "evaluate": (evaluate, {"--split": "benchmark", "--tag": REQUIRED, "--model": REQUIRED, "--data": "data", "--out": "artifacts/eval", "--batch-size": 8, "--final": bool}),
+    "compare": (compare, {"base": REQUIRED, "tuned": REQUIRED, "--resamples": 10_000, "--out": "artifacts/eval/comparison.json"}),
+    "judge": (judge, {"base": REQUIRED, "tuned": REQUIRED, "--provider": "", "--model": "", "--caller": "", "--limit": int, "--out": "artifacts/eval/judge.json"}),
+    "forgetting": (forgetting, {"--probes": REQUIRED, "--scorer": REQUIRED, "--model": REQUIRED, "--tag": REQUIRED, "--out": "artifacts/forgetting"}),
+    "export": (export, {"adapter": REQUIRED, "--base-model": REQUIRED, "--out": "artifacts/release"}),
+    "serve": (serve, {"--log": REQUIRED}),
+    "report": (report, {"--artifacts": "artifacts", "--data": "data", "--out": "artifacts/report.md"}),
+    "sweep": (sweep, {"configs": list, "--trainer": REQUIRED, "--set": list}),
+    "evaluation": (evaluation, MODELS),
+    "all": (everything, RAW_FILES | MODELS | {"--handwritten": "handwritten.jsonl", "--trainer": "", "--config": ""}),
+    "query": (query, {"name": REQUIRED, "tables": REQUIRED, "--rows": 20}),
+}
+
+
+def parser() -> argparse.ArgumentParser:
+    top = argparse.ArgumentParser(prog="millrace", description=__doc__)
+    commands = top.add_subparsers(required=True)
+    for name, (run, options) in COMMANDS.items():
+        p = commands.add_parser(name, help=(run.__doc__ or "").split("\n")[0])
+        for option, value in options.items():
+            if value is bool:
+                p.add_argument(option, action="store_true")
+            elif value is list:
+                p.add_argument(option, nargs="*", default=[])
+            elif not option.startswith("--"):
+                p.add_argument(option)
+            elif value is REQUIRED:
+                p.add_argument(option, required=True)
+            else:
+                p.add_argument(option, type=value if isinstance(value, type) else type(value), default=None if isinstance(value, type) else value)
+        p.set_defaults(run=run)
+    return top
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    args = parser().parse_args(argv)
+    return args.run(spark or build_session(), args)
 
 
 if __name__ == "__main__":
