@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,65 +12,81 @@ from millrace.operators import judge as J
 from millrace.operators import metrics as M
 from millrace.operators import probes as P
 from millrace.operators import selection as SL
-from millrace.plans.curation_queries import ASCII, ascii_documents, documents, texts
+from millrace.plans import documents as DOC
+from millrace.plans.curation_queries import ALL, U_SPACE, documents, sql_trim
 
 SYSTEM = "You apply review comments to code."
 
 
-def ragged(spark, d, rows=ascii_documents):
+def ragged(spark, d):
     """Texts with blank edges, trailing spaces and mixed line ends."""
-    return rows(spark, d).select("doc_id", F.concat(F.lit("\n \n"), F.replace("text", F.lit(". "), F.lit(".  \r\n")), F.lit(" \r\n\n")).alias("code"))
+    return documents(spark, d).select("doc_id", F.concat(F.lit("\n \n"), F.replace("text", F.lit(". "), F.lit(".  \r\n")), F.lit(" \r\n\n")).alias("code"))
 
 
-RAGGED = f"SELECT doc_id, chr(10) || ' ' || chr(10) || replace(text, '. ', '.  ' || chr(13) || chr(10)) || ' ' || chr(13) || chr(10) || chr(10) AS code FROM ({ASCII})"
+RAGGED = f"SELECT doc_id, chr(10) || ' ' || chr(10) || replace(text, '. ', '.  ' || chr(13) || chr(10)) || ' ' || chr(13) || chr(10) || chr(10) AS code FROM ({ALL})"
 
 
-def normalize_code(spark, d, rows=ascii_documents):
-    return ragged(spark, d, rows).select("doc_id", T.normalize_code(F.col("code")).alias("normal"))
+def normalize_code(spark, d):
+    return ragged(spark, d).select("doc_id", T.normalize_code(F.col("code")).alias("normal"))
 
 
-NORMALIZE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '\r\n?', chr(10), 'g'), '(?m)[ \t\f\v\r]+$', '', 'g'), '\A\n+', ''), '\n+\z', '')"
+#: Unicode's white space but for the line end.
+BLANK = U_SPACE.replace(r"\t-\r", r"\t\x0b-\r")
+NORMALIZE = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({{c}}, '\r\n?', chr(10), 'g'), '(?m){BLANK}+$', '', 'g'), '\A\n+', ''), '\n+\z', '')"
 
 
-def edge_trim(spark, d, rows=ascii_documents):
-    return ragged(spark, d, rows).select("doc_id", T.strip_blank_edges(F.replace("code", F.lit("\r"), F.lit(""))).alias("trimmed"))
+def edge_trim(spark, d):
+    return ragged(spark, d).select("doc_id", T.strip_blank_edges(F.replace("code", F.lit("\r"), F.lit(""))).alias("trimmed"))
 
 
-def tokenize_code(spark, d, rows=ascii_documents):
-    return rows(spark, d).select("doc_id", F.size(T.code_tokens(F.col("text"))).alias("n"), F.md5(T.token_text(F.col("text"))).alias("tokens_md5"))
+def tokenize_code(spark, d):
+    return documents(spark, d).select("doc_id", F.size(T.code_tokens(F.col("text"))).alias("n"), F.md5(T.token_text(F.col("text"))).alias("tokens_md5"))
 
 
-def predictions(spark, d, chars=300):
-    """Gold changes one word; the prediction does that, does nothing, does something else, or both."""
-    old = F.col("text")
+def predictions(spark, d):
+    """Every turn of the conversations, whole, as code: gold changes one word; the prediction does that, does nothing, does something else, or both."""
+    t = spark.read.parquet(f"{d}/conversations.parquet")
+    old = F.coalesce("text", F.lit(""))
     gold = F.replace(old, F.lit(" the "), F.lit(" a "))
     other = lambda c: F.replace(c, F.lit(" of "), F.lit("\nfor "))
-    pick = F.col("doc_id") % 4
-    rows = texts(spark, d, chars).select("doc_id", "source", "lang", old.alias("old_code"), gold.alias("gold"), F.when(pick == 0, gold).when(pick == 1, old).when(pick == 2, other(old)).otherwise(other(gold)).alias("prediction"))
-    mode = F.when(pick == 0, "fenced").when(pick == 1, "raw").when(pick == 2, "fenced_unterminated").otherwise("")
-    return rows.withColumn("parse_mode", F.when(F.col("doc_id") % 4 < 4, mode))
+    pick = (F.col("conv_id") + F.col("turn")) % 4
+    rows = t.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.coalesce("role", F.lit("")).alias("category"), F.when(F.col("conv_id") % 3 == 0, "py").otherwise("go").alias("lang"), pick.alias("pick"),
+        F.when(F.col("turn") == 1, "x = 1").otherwise(old).alias("old_code"), gold.alias("gold"),
+        F.when(pick == 0, gold).when(pick == 1, old).when(pick == 2, other(old)).otherwise(other(gold)).alias("prediction"),
+    )
+    rows = rows.withColumn("prediction", F.when((F.col("old_code") == "x = 1") & (F.col("pick") == 3), "y = (2,)").otherwise(F.col("prediction")))
+    return rows.withColumn("parse_mode", F.when(F.col("pick") == 0, "fenced").when(F.col("pick") == 1, "raw").when(F.col("pick") == 2, "fenced_unterminated").otherwise("")).drop("pick")
 
 
 PREDICTIONS = f"""
-SELECT doc_id, source, lang, o AS old_code, replace(o, ' the ', ' a ') AS gold,
-  CASE doc_id % 4 WHEN 0 THEN replace(o, ' the ', ' a ') WHEN 1 THEN o WHEN 2 THEN replace(o, ' of ', chr(10) || 'for ') ELSE replace(replace(o, ' the ', ' a '), ' of ', chr(10) || 'for ') END AS prediction,
-  CASE doc_id % 4 WHEN 0 THEN 'fenced' WHEN 1 THEN 'raw' WHEN 2 THEN 'fenced_unterminated' ELSE '' END AS parse_mode
-FROM (SELECT doc_id, source, lang, left(text, 300) AS o FROM ({ASCII}))"""
-TOKEN = r"[A-Za-z_]\w*|\d+\.\d+|\d+|[^\sA-Za-z0-9_]"
+SELECT id, category, lang, o AS old_code, replace(x, ' the ', ' a ') AS gold, CASE WHEN o = 'x = 1' AND pick = 3 THEN 'y = (2,)' ELSE
+  CASE pick WHEN 0 THEN replace(x, ' the ', ' a ') WHEN 1 THEN x WHEN 2 THEN replace(x, ' of ', chr(10) || 'for ') ELSE replace(replace(x, ' the ', ' a '), ' of ', chr(10) || 'for ') END END AS prediction,
+  CASE pick WHEN 0 THEN 'fenced' WHEN 1 THEN 'raw' WHEN 2 THEN 'fenced_unterminated' ELSE '' END AS parse_mode
+FROM (SELECT conv_id * 1000 + turn AS id, coalesce(role, '') AS category, CASE WHEN conv_id % 3 = 0 THEN 'py' ELSE 'go' END AS lang, (conv_id + turn) % 4 AS pick, coalesce(text, '') AS x, CASE WHEN turn = 1 THEN 'x = 1' ELSE coalesce(text, '') END AS o FROM conversations)"""
+TOKEN = rf"[A-Za-z_][\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]*|\p{{Nd}}+\.\p{{Nd}}+|\p{{Nd}}+|[^A-Za-z0-9_{U_SPACE[1:-1]}]"
 
 
 def _n(c: str) -> str:
     return NORMALIZE.replace("{c}", c)
 
 
+# The letters beyond ASCII of German, French and Spanish that SQL's distance, which counts bytes, is to take as one each.
+ACCENTED = "äöüßÄÖÜéèêçÉÈÊÇñíóÑÍÓ"
+
+
+def _bytes(c: str) -> str:
+    return f"translate({c}, '{ACCENTED}', {' || '.join(f'chr({x})' for x in [*range(1, 9), *range(14, 32)][: len(ACCENTED)])})"
+
+
 SCORES = rf"""
-WITH n AS (SELECT doc_id, source, lang, parse_mode, prediction, {_n('prediction')} AS p, {_n('gold')} AS g, {_n('old_code')} AS o FROM ({PREDICTIONS})),
+WITH n AS (SELECT id, category, lang, parse_mode, prediction, old_code, {_n('prediction')} AS p, {_n('gold')} AS g, {_n('old_code')} AS o FROM ({PREDICTIONS})),
 t AS (SELECT *, regexp_extract_all(p, '{TOKEN}') AS tp, regexp_extract_all(g, '{TOKEN}') AS tg, list_distinct(string_split(p, chr(10))) AS lp, list_distinct(string_split(g, chr(10))) AS lg, list_distinct(string_split(o, chr(10))) AS lo,
-  levenshtein(p, g)::DOUBLE / greatest(length(p), length(g), 1) AS dist_pred_gold, levenshtein(o, g)::DOUBLE / greatest(length(o), length(g), 1) AS dist_old_gold FROM n),
+  levenshtein({_bytes('p')}, {_bytes('g')})::DOUBLE / greatest(length(p), length(g), 1) AS dist_pred_gold, levenshtein({_bytes('o')}, {_bytes('g')})::DOUBLE / greatest(length(o), length(g), 1) AS dist_old_gold FROM n),
 u AS (SELECT *, coalesce(list_sum(list_transform(list_intersect(list_distinct(tp), tg), lambda x: least(len(list_filter(tp, lambda y: y = x)), len(list_filter(tg, lambda y: y = x))))), 0) AS hit,
   list_concat(list_filter(lg, lambda x: NOT list_contains(lo, x)), list_filter(lo, lambda x: NOT list_contains(lg, x))) AS ge, list_concat(list_filter(lp, lambda x: NOT list_contains(lo, x)), list_filter(lo, lambda x: NOT list_contains(lp, x))) AS pe FROM t),
 v AS (SELECT *, len(list_intersect(ge, pe)) AS lh FROM u)
-SELECT doc_id, source, lang, parse_mode, prediction, p = g AS exact_match,
+SELECT id, category, lang, parse_mode, prediction, CASE WHEN lang = 'py' AND o = 'x = 1' THEN p IN ('x = 1', 'y = (2,)') END AS syntax_ok, p = g AS exact_match,
   CASE WHEN hit = 0 THEN 0 ELSE 2 * (hit::DOUBLE / greatest(len(tp), 1)) * (hit::DOUBLE / greatest(len(tg), 1)) / (hit::DOUBLE / greatest(len(tp), 1) + hit::DOUBLE / greatest(len(tg), 1)) END AS token_f1,
   1::DOUBLE - dist_pred_gold AS edit_sim, dist_pred_gold, dist_old_gold, dist_old_gold - dist_pred_gold AS delta_to_gold,
   dist_pred_gold < dist_old_gold - 1e-9::DOUBLE AS improved, dist_pred_gold > dist_old_gold + 1e-9::DOUBLE AS regressed, p = o AS copied,
@@ -81,33 +95,42 @@ SELECT doc_id, source, lang, parse_mode, prediction, p = g AS exact_match,
 FROM v"""
 
 
-def scored(spark, d, chars=300):
-    return SC.with_scores(predictions(spark, d, chars))
+def scored(spark, d):
+    return SC.with_scores(predictions(spark, d))
+
 
+def edit_scores(spark, d):
+    """Only `x = 1` is an original that parses; prose is not, so its syntax has no verdict. The eleven scores of each turn."""
+    return scored(spark, d).drop("category", "lang", "parse_mode", "prediction", "old_code", "gold")
 
-def edit_scores(spark, d, chars=300):
-    return scored(spark, d, chars).drop("source", "lang", "parse_mode", "prediction", "old_code", "gold")
 
+def attached_scores(spark, d):
+    return SC.attach_scores(predictions(spark, d)).select("id", "scores.*")
 
-def exact_sums(df: DataFrame, means: dict[str, str]) -> DataFrame:
-    """Doubles cut to 9 places, so that means don't depend on the order of addition."""
-    return df.select(*[F.col(c) for c in df.columns if c not in means.values()], *[F.col(c).cast("double").cast("decimal(18,9)").alias(c) for c in dict.fromkeys(means.values())])
+
+def edit_scores_documents(spark, d):
+    """Scores over whole documents; the distance is exact in linear memory, and its time grows with the edits times the length."""
+    old = F.coalesce("text", F.lit(""))
+    gold = F.replace(old, F.lit(" the "), F.lit(" a "))
+    rows = documents(spark, d).select("doc_id", old.alias("old_code"), gold.alias("gold"), F.when(F.col("doc_id") % 2 == 0, gold).otherwise(old).alias("prediction"), "lang")
+    return SC.with_scores(rows).drop("prediction", "old_code", "gold", "lang")
 
 
-def score_headline(spark, d, chars=300):
-    h = M.headline(scored(spark, d, chars))
-    return h.select("n", "format_compliance", "empty_rate", *[F.round(c, 6).alias(c) for c in M.MEANS])
+def score_headline(spark, d):
+    h = M.headline(scored(spark, d))
+    return h.select(*[F.round(c, 6).alias(c) if c not in ("n", "python_syntax_checked") else c for c in h.columns])
 
 
-SLICE_MEANS = {"exact_match": "exact_match", "improved_rate": "improved", "edit_line_f1": "changed_right_lines"}
+def score_slices(spark, d):
+    s = M.by_slices(scored(spark, d), ["category", "lang"], M.SLICE_MEANS)
+    return s.select("slice", "value", "n", *[F.round(c, 6).alias(c) for c in M.SLICE_MEANS])
 
 
-def score_slices(spark, d, chars=300):
-    s = M.by_slices(scored(spark, d, chars), ["source", "lang"], SLICE_MEANS)
-    return s.select("slice", "value", "n", *[F.round(c, 6).alias(c) for c in SLICE_MEANS])
+def metric_block(spark, d):
+    return M.metric_block(scored(spark, d), "id")
 
 
-def parse_fenced(spark, d, chars=200):
+def parse_fenced(spark, d):
     t, pick = F.col("text"), F.col("doc_id") % 5
     text = (
         F.when(pick == 0, F.concat(F.lit("Sure:\n```py\n\n"), t, F.lit("\n```\nmore")))
@@ -116,84 +139,96 @@ def parse_fenced(spark, d, chars=200):
         .when(pick == 3, F.lit(" \n "))
         .otherwise(F.concat(F.lit("```a\none\n```\n```b\ntwo\n```"), F.lit("")))
     )
-    return texts(spark, d, chars).select("doc_id", T.parse_generation(text).alias("r")).select("doc_id", "r.code", "r.how")
+    return documents(spark, d).select("doc_id", T.parse_generation(text).alias("r")).select("doc_id", "r.code", "r.how")
 
 
 PARSE_SQL = f"""
-SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN '' WHEN 4 THEN 'one' ELSE regexp_replace(regexp_replace(left(text, 200), '\\A([ \\t]*\\n)+', ''), '(\\n[ \\t]*)+\\z', '') END AS code,
-  CASE doc_id % 5 WHEN 0 THEN 'fenced' WHEN 1 THEN 'fenced_unterminated' WHEN 2 THEN 'raw' WHEN 3 THEN 'empty' ELSE 'fenced' END AS how FROM ({ASCII})"""
+SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN '' WHEN 4 THEN 'one' ELSE regexp_replace(regexp_replace(text, '\\A({BLANK}*\\n)+', ''), '(\\n{BLANK}*)+\\z', '') END AS code,
+  CASE doc_id % 5 WHEN 0 THEN 'fenced' WHEN 1 THEN 'fenced_unterminated' WHEN 2 THEN 'raw' WHEN 3 THEN 'empty' ELSE 'fenced' END AS how FROM ({ALL})"""
 
 
-def corpus_bleu(spark, d, chars=300):
+def corpus_bleu(spark, d):
     """BLEU of the predictions, and of the unchanged code as the floor."""
-    rows = predictions(spark, d, chars)
-    model = M.corpus_bleu(rows, "doc_id", "prediction", "gold").select(F.lit("model").alias("hypothesis"), F.round("bleu", 6).alias("bleu"))
-    floor = M.corpus_bleu(rows, "doc_id", "old_code", "gold").select(F.lit("copy").alias("hypothesis"), F.round("bleu", 6).alias("bleu"))
+    rows = predictions(spark, d)
+    model = M.corpus_bleu(rows, "id", "prediction", "gold").select(F.lit("model").alias("hypothesis"), F.round("bleu", 6).alias("bleu"))
+    floor = M.corpus_bleu(rows, "id", "old_code", "gold").select(F.lit("copy").alias("hypothesis"), F.round("bleu", 6).alias("bleu"))
     return model.union(floor)
 
 
 def _bleu_sql(hypothesis: str, name: str) -> str:
+    return rf"SELECT '{name}' AS hypothesis, ({_bleu(hypothesis)}) AS bleu"
+
+
+def _bleu(hypothesis: str, gold: str = "gold", places: int = 6) -> str:
     return rf"""
-SELECT '{name}' AS hypothesis, round(CASE WHEN count(*) FILTER (total > 0) < 4 OR sum(hits) = 0 THEN 0 ELSE
-  CASE WHEN max(total) FILTER (n = 1) < max(gold_total) FILTER (n = 1) THEN exp(1 - max(gold_total) FILTER (n = 1)::DOUBLE / max(total) FILTER (n = 1)) ELSE 1 END * exp(sum(ln(100::DOUBLE * hits / total)) / 4) END, 6) AS bleu
+SELECT round(CASE WHEN count(*) FILTER (total > 0) < 4 OR sum(hits) = 0 THEN 0 ELSE
+  CASE WHEN max(total) FILTER (n = 1) < max(gold_total) FILTER (n = 1) THEN exp(1 - max(gold_total) FILTER (n = 1)::DOUBLE / max(total) FILTER (n = 1)) ELSE 1 END * exp(sum(ln(100::DOUBLE * hits / total)) / 4) END, {places}) AS bleu
 FROM (SELECT n, sum(least(p, q))::BIGINT AS hits, sum(p)::BIGINT AS total, sum(q)::BIGINT AS gold_total FROM (
-  SELECT doc_id, n, g, sum(side) AS p, sum(1 - side) AS q FROM (
-    SELECT doc_id, side, n, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))) AS g FROM (
-      SELECT doc_id, 1 AS side, regexp_extract_all({hypothesis}, '{TOKEN}') AS t FROM p UNION ALL SELECT doc_id, 0, regexp_extract_all(gold, '{TOKEN}') FROM p), range(1, 5) AS r(n) WHERE len(t) >= n)
+  SELECT id, n, g, sum(side) AS p, sum(1 - side) AS q FROM (
+    SELECT id, side, n, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))) AS g FROM (
+      SELECT id, 1 AS side, regexp_extract_all({hypothesis}, '{TOKEN}') AS t FROM p UNION ALL SELECT id, 0, regexp_extract_all({gold}, '{TOKEN}') FROM p), range(1, 5) AS r(n) WHERE len(t) >= n)
   GROUP BY 1, 2, 3) GROUP BY n)"""
 
 
-def runs_of(spark, d, base_has="doc_id % 11 <> 0", tuned_has="doc_id % 13 <> 0"):
-    """Two runs over the labelled documents: the base ignores what the tuned run gets right."""
+def runs_of(spark, d):
+    """Two runs over all labelled documents: the base is right about quality, the tuned run about toxicity."""
     labels = spark.read.parquet(f"{d}/labels.parquet")
-    base = labels.filter(base_has).select("doc_id", (F.col("quality") == 1).alias("exact_match"), ((F.col("doc_id") % 100) / 100).alias("edit_sim"), F.col("doc_id").alias("line"))
-    tuned = labels.filter(tuned_has).select("doc_id", (F.col("toxic") == 0).alias("exact_match"), ((F.col("doc_id") * 7 % 100) / 100).alias("edit_sim"), F.col("doc_id").alias("line"))
-    return base, tuned
+
+    def run(exact, factor):
+        sim = (F.col("doc_id") * factor % 100) / 100
+        scores = {"exact_match": exact, "improved": F.col("doc_id") * factor % 3 == 0, "regressed": F.col("doc_id") * factor % 7 == 1, "copied": F.col("doc_id") * factor % 5 == 2, "edit_sim": sim, "edit_line_f1": sim * sim, "token_f1": (sim + 1) / 2, "delta_to_gold": sim - 0.5}
+        return labels.select(F.col("doc_id").alias("id"), F.concat(F.lit("text "), F.col("doc_id") * factor).alias("prediction"), F.struct(*[c.alias(k) for k, c in scores.items()]).alias("scores"))
+
+    about = documents(spark, d).select(F.col("doc_id").alias("id"), "lang", F.col("source").alias("category"), F.when(F.col("doc_id") % 2 == 0, "handwritten").otherwise("").alias("origin"))
+    return run(F.col("quality") == 1, 1).join(about, "id", "left"), run(F.col("toxic") == 0, 7)
 
 
 RUNS = """
-b AS (SELECT doc_id, quality = 1 AS exact_match, (doc_id % 100)::DOUBLE / 100 AS edit_sim FROM labels WHERE doc_id % 11 <> 0),
-t AS (SELECT doc_id, toxic = 0 AS exact_match, (doc_id * 7 % 100)::DOUBLE / 100 AS edit_sim FROM labels WHERE doc_id % 13 <> 0),
-p AS (SELECT b.doc_id, b.exact_match AS base_exact_match, t.exact_match AS tuned_exact_match, b.edit_sim AS base_edit_sim, t.edit_sim AS tuned_edit_sim, t.edit_sim - b.edit_sim AS delta_sim FROM b JOIN t USING (doc_id)),
+b AS (SELECT doc_id AS id, quality = 1 AS exact_match, (doc_id % 100)::DOUBLE / 100 AS sim, doc_id AS f FROM labels),
+t AS (SELECT doc_id AS id, toxic = 0 AS exact_match, (doc_id * 7 % 100)::DOUBLE / 100 AS sim, doc_id * 7 AS f FROM labels),
+p AS (SELECT b.id, source AS category, lang, CASE WHEN doc_id % 2 = 0 THEN 'handwritten' ELSE '' END AS origin, b.exact_match AS base_exact_match, t.exact_match AS tuned_exact_match, b.sim AS base_edit_sim, t.sim AS tuned_edit_sim, t.sim - b.sim AS delta_sim, b.f AS bf, t.f AS tf
+  FROM b JOIN t USING (id) LEFT JOIN documents d ON d.doc_id = b.id),
 o AS (SELECT *, CASE WHEN tuned_exact_match AND NOT base_exact_match THEN 'win' WHEN base_exact_match AND NOT tuned_exact_match THEN 'loss' WHEN delta_sim > 0.02::DOUBLE THEN 'win' WHEN delta_sim < -0.02::DOUBLE THEN 'loss' ELSE 'tie' END AS outcome FROM p)"""
 
 
-def paired(spark, d, **which):
-    base, tuned = runs_of(spark, d, **which)
-    b = base.select("doc_id", F.col("exact_match").alias("base_exact_match"), F.col("edit_sim").alias("base_edit_sim"))
-    t = tuned.select("doc_id", F.col("exact_match").alias("tuned_exact_match"), F.col("edit_sim").alias("tuned_edit_sim"))
-    return b.join(t, "doc_id")
+def paired(spark, d):
+    return CP.paired_predictions(*runs_of(spark, d))
 
 
 def coverage(spark, d):
-    return CP.coverage(*runs_of(spark, d), "doc_id")
+    """Keys that only one side has: labelled documents against all documents."""
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id")
+    return CP.coverage(labels, documents(spark, d), "doc_id")
+
 
+def win_loss_tie(spark, d):
+    return CP.outcome_rows(paired(spark, d))
 
-def win_loss_tie(spark, d, **which):
-    return CP.routed(paired(spark, d, **which))
 
+def outcome_counts(spark, d):
+    return CP.routed(paired(spark, d)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
-def outcome_counts(spark, d, **which):
-    return CP.routed(paired(spark, d, **which)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
+def extremes(spark, d):
+    return CP.extremes(CP.routed(paired(spark, d)), "id").select("id", "outcome", "delta_sim")
 
-def extremes(spark, d, **which):
-    return CP.extremes(CP.routed(paired(spark, d, **which)), "doc_id").select("doc_id", "outcome", "delta_sim")
 
+def paired_slices(spark, d):
+    return CP.comparison_slices(paired(spark, d), ["category", "lang", "origin"])
 
-def paired_slices(spark, d, **which):
-    rows = paired(spark, d, **which).join(documents(spark, d).select("doc_id", "lang", "source"), "doc_id")
-    s = M.by_slices(rows, ["lang", "source"], {"base_em": "base_exact_match", "tuned_em": "tuned_exact_match"}, blank_is_unknown=True)
-    return s.withColumn("delta_em", F.col("tuned_em") - F.col("base_em"))
 
+def category_gains(spark, d):
+    gains = CP.by_gain(paired_slices(spark, d))
+    return gains.select("value", "delta_exact_match")
 
-def mcnemar(spark, d, **which):
-    m = CP.mcnemar(paired(spark, d, **which), "base_exact_match", "tuned_exact_match")
+
+def mcnemar(spark, d):
+    m = CP.mcnemar(paired(spark, d), "base_exact_match", "tuned_exact_match")
     return m.select("fixed", "broken", F.round("p_value", 10).alias("p_value"), "significant")
 
 
-def mcnemar_small(spark, d, **which):
-    rows = paired(spark, d, **which).withColumn("bucket", (F.col("doc_id") % 37).cast("long"))
+def mcnemar_small(spark, d):
+    rows = paired(spark, d).withColumn("bucket", (F.col("id") % 37).cast("long"))
     m = CP.mcnemar(rows, "base_exact_match", "tuned_exact_match", ["bucket"])
     return m.select("bucket", "fixed", "broken", F.round("p_value", 10).alias("p_value"), "significant")
 
@@ -201,21 +236,47 @@ def mcnemar_small(spark, d, **which):
 P_SQL = "round(CASE WHEN fixed + broken = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(exp(lgamma(fixed + broken + 1) - lgamma(i + 1) - lgamma(fixed + broken - i + 1) + (fixed + broken) * ln(0.5::DOUBLE))) FROM range(0, least(fixed, broken) + 1) AS r(i))) END, 10)"
 
 
-def unpivoted(spark, d, **which):
-    rows = CP.unpivot_metrics(paired(spark, d, **which), "doc_id", ["exact_match", "edit_sim"])
-    return rows.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b").cast("decimal(18,4)") - F.col("a").cast("decimal(18,4)")).cast("double").alias("total_delta"))
-
-
-def bootstrap_ci(spark, d, resamples=200, **which):
-    diffs = paired(spark, d, **which).select("doc_id", (F.col("tuned_exact_match").cast("int") - F.col("base_exact_match").cast("int")).alias("diff"))
-    return CP.bootstrap_ci(diffs, "diff", "doc_id", resamples=resamples)
-
-
-BOOTSTRAP_SQL = f"""
-WITH {RUNS}, x AS (SELECT (tuned_exact_match::INT - base_exact_match::INT)::DOUBLE AS d, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM p), n AS (SELECT count(*) AS n FROM x),
-w AS (SELECT r, ('0x' || left(md5('0:' || r || ':' || k), 8))::BIGINT % n AS i FROM range(0, 200) AS a(r), n, range(0, 100000) AS c(k) WHERE k < n),
-m AS (SELECT r, sum(d) / count(*) AS m FROM w JOIN x USING (i) GROUP BY r), s AS (SELECT m, row_number() OVER (ORDER BY m, r) - 1 AS pos FROM m)
-SELECT (SELECT sum(d) / count(*) FROM x) AS delta, max(m) FILTER (pos = 5) AS ci_low, max(m) FILTER (pos = 195) AS ci_high, max(m) FILTER (pos = 5) > 0 OR max(m) FILTER (pos = 195) < 0 AS significant FROM s"""
+def paired_metrics(spark, d):
+    """The eight metrics of both runs with their intervals (10,000 resamples) and exact tests."""
+    t = CP.paired_table(paired(spark, d), "id")
+    rounded = [F.round(c, 9).alias(c) for c in ("base", "tuned", "delta", "ci_low", "ci_high")]
+    return t.select("metric", "n", *rounded, "significant", "fixed", "broken", F.round("p_value", 10).alias("p_value"))
+
+
+def comparison_headline(spark, d):
+    h = DOC.headline(CP.paired_table(paired(spark, d), "id"))
+    return h.drop("verdict", "exact_match_ci95")
+
+
+def bootstrap_ci(spark, d):
+    diffs = paired(spark, d).select("id", (F.col("tuned_exact_match").cast("int") - F.col("base_exact_match").cast("int")).alias("diff"))
+    c = CP.bootstrap_ci(diffs, "diff", "id")
+    return c.select(*[F.round(x, 9).alias(x) for x in ("delta", "ci_low", "ci_high")], "significant")
+
+
+VALUES_SQL = """
+e AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, [base_exact_match::INT::DOUBLE, (bf % 3 = 0)::INT::DOUBLE, (bf % 7 = 1)::INT::DOUBLE, (bf % 5 = 2)::INT::DOUBLE, base_edit_sim, base_edit_sim * base_edit_sim, (base_edit_sim + 1) / 2, base_edit_sim - 0.5::DOUBLE] AS a,
+  [tuned_exact_match::INT::DOUBLE, (tf % 3 = 0)::INT::DOUBLE, (tf % 7 = 1)::INT::DOUBLE, (tf % 5 = 2)::INT::DOUBLE, tuned_edit_sim, tuned_edit_sim * tuned_edit_sim, (tuned_edit_sim + 1) / 2, tuned_edit_sim - 0.5::DOUBLE] AS b FROM p),
+v AS (SELECT i, m, ['exact_match', 'improved', 'regressed', 'copied', 'edit_sim', 'edit_line_f1', 'token_f1', 'delta_to_gold'][m] AS metric, a[m] AS a, b[m] AS b, (b[m] - a[m])::DECIMAL(28,10) AS d FROM e, range(1, 9) AS r(m)),
+n AS (SELECT count(*) AS n FROM e),
+draws AS (SELECT r, ('0x' || substr(md5('0:' || r || ':' || (k // 4)), 1 + 8 * (k % 4), 8))::BIGINT % n AS i FROM (SELECT r, n, unnest(range(n)) AS k FROM range(10000) AS a(r), n)),
+c AS (SELECT r, i, count(*) AS times FROM draws GROUP BY 1, 2),
+s AS (SELECT metric, r, sum(d * times)::DOUBLE / any_value(n) AS x FROM c JOIN v USING (i), n GROUP BY 1, 2),
+k AS (SELECT metric, x, row_number() OVER (PARTITION BY metric ORDER BY x, r) - 1 AS pos FROM s),
+ci AS (SELECT metric, max(x) FILTER (pos = 250) AS ci_low, max(x) FILTER (pos = 9750) AS ci_high FROM k GROUP BY 1),
+w AS (SELECT metric, any_value(m) AS m, count(*) AS n, avg(a) AS base, avg(b) AS tuned, sum(d)::DOUBLE / count(*) AS delta, count(*) FILTER (b = 1 AND a = 0) AS fixed, count(*) FILTER (a = 1 AND b = 0) AS broken FROM v GROUP BY 1)"""
+PAIRED_SQL = f"""
+WITH {RUNS}, {VALUES_SQL}
+SELECT metric, n, round(base, 9) AS base, round(tuned, 9) AS tuned, round(delta, 9) AS delta, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, ci_low > 0 OR ci_high < 0 AS significant,
+  CASE WHEN m <= 4 THEN fixed END AS fixed, CASE WHEN m <= 4 THEN broken END AS broken, CASE WHEN m <= 4 THEN {P_SQL} END AS p_value FROM w JOIN ci USING (metric)"""
+HEADLINE_SQL = f"""
+WITH {RUNS}, {VALUES_SQL}, z AS (SELECT * FROM w JOIN ci USING (metric)), y AS (SELECT *, {P_SQL} AS p_value FROM z WHERE metric = 'exact_match')
+SELECT n, round(base, 4) AS base_exact_match, round(tuned, 4) AS tuned_exact_match, round(delta, 4) AS exact_match_delta, ci_low > 0 OR ci_high < 0 AS exact_match_significant, p_value AS mcnemar_p, fixed AS examples_fixed, broken AS examples_broken,
+  (SELECT round(base, 4) FROM z WHERE metric = 'improved') AS base_improved_rate, (SELECT round(tuned, 4) FROM z WHERE metric = 'improved') AS tuned_improved_rate,
+  (SELECT round(base, 4) FROM z WHERE metric = 'copied') AS base_copy_rate, (SELECT round(tuned, 4) FROM z WHERE metric = 'copied') AS tuned_copy_rate FROM y"""
+_ROUNDED = ", ".join(f"round(avg(base_{m}{c}), 4) AS base_{m}, round(avg(tuned_{m}{c}), 4) AS tuned_{m}, round(avg(tuned_{m}{c}) - avg(base_{m}{c}), 4) AS delta_{m}" for m, c in (("exact_match", "::INT"), ("edit_sim", "")))
+SLICES_SQL = " UNION ALL ".join(f"SELECT '{s}' AS slice, coalesce(nullif({s}, ''), 'unknown') AS value, count(*) AS n, {_ROUNDED} FROM p GROUP BY 2" for s in ("category", "lang", "origin"))
+BOOTSTRAP_SQL = f"WITH {RUNS}, {VALUES_SQL} SELECT round(delta, 9) AS delta, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, ci_low > 0 OR ci_high < 0 AS significant FROM w JOIN ci USING (metric) WHERE metric = 'exact_match'"
 
 
 def verdicts(spark, d):
@@ -271,27 +332,26 @@ KINDS = ("one_word", "contains", "yes_no", "n_lines", "max_words", "no_letter",
 ARGS = ("", "tion", "", "2", "30", "x", "")
 
 
-def checked(spark, d, ascii_only=True):
+def checked(spark, d):
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("conv_id") % 7 + 1).cast("int"))
     arg = F.element_at(F.array(*[F.lit(k) for k in ARGS]), (F.col("conv_id") % 7 + 1).cast("int"))
     rows = spark.read.parquet(f"{d}/conversations.parquet")
-    rows = rows.filter(F.length("text") == F.octet_length("text")) if ascii_only else rows
     return rows.select("conv_id", "turn", kind.alias("kind"), "text", P.passes(kind, arg, F.col("text")).alias("passed"))
 
 
-CHECKED = r"""
-k AS (SELECT conv_id, turn, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s, ['one_word', 'contains', 'yes_no', 'n_lines', 'max_words', 'no_letter', 'unknown'][(conv_id % 7 + 1)::INT] AS kind FROM conversations WHERE length(text) = strlen(text)),
-c AS (SELECT *, len(list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '')) AS nw FROM k),
+CHECKED = rf"""
+k AS (SELECT conv_id, turn, text, {sql_trim("text")} AS s, ['one_word', 'contains', 'yes_no', 'n_lines', 'max_words', 'no_letter', 'unknown'][(conv_id % 7 + 1)::INT] AS kind FROM conversations),
+c AS (SELECT *, len(list_filter(regexp_split_to_array(s, '{U_SPACE}+'), lambda x: x <> '')) AS nw FROM k),
 r AS (SELECT conv_id, turn, kind, text, CASE kind WHEN 'one_word' THEN nw = 1 WHEN 'contains' THEN contains(lower(s), 'tion') WHEN 'yes_no' THEN regexp_replace(upper(s), '[.!]+$', '') IN ('YES', 'NO')
   WHEN 'n_lines' THEN len(list_filter(string_split(s, chr(10)), lambda x: trim(x) <> '')) = 2 WHEN 'max_words' THEN nw BETWEEN 1 AND 30 WHEN 'no_letter' THEN NOT contains(lower(s), 'x') ELSE false END AS passed FROM c)"""
 
 
-def rule_checks(spark, d, ascii_only=True):
-    return checked(spark, d, ascii_only).drop("text")
+def rule_checks(spark, d):
+    return checked(spark, d).drop("text")
 
 
-def instruction_rates(spark, d, ascii_only=True):
-    return P.instruction_rates(checked(spark, d, ascii_only))
+def instruction_rates(spark, d):
+    return P.instruction_rates(checked(spark, d))
 
 
 def json_checks(spark, d):
@@ -306,28 +366,52 @@ def retention(spark, d):
     return rates.select("lang", P.retention(F.col("base"), F.col("tuned")).alias("retention_pct"))
 
 
-def chat_messages(spark, d, chars=120):
+def chat_messages(spark, d):
     text = F.col("text")
-    messages = T.training_messages(SYSTEM, text, F.concat(F.lit("  "), text, F.lit(" ")), F.upper(text), F.when(F.col("doc_id") % 2 == 0, "py").otherwise("zig"))
-    rows = texts(spark, d, chars).select("doc_id", messages.alias("m")).select("doc_id", "m", T.fold_system(F.col("m")).alias("f"))
+    messages = T.training_messages(SYSTEM, text, F.concat(F.lit("  "), text, F.lit(" ")), F.reverse(text), F.when(F.col("doc_id") % 2 == 0, "py").otherwise("zig"))
+    rows = documents(spark, d).select("doc_id", messages.alias("m")).select("doc_id", "m", T.fold_system(F.col("m")).alias("f"))
     return rows.select("doc_id", F.array_join(F.transform("m", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|").alias("chat"), F.size("f").alias("n_folded"), F.col("f")[0]["content"].alias("first_folded"))
 
 
 CHAT_SQL = rf"""
-WITH t AS (SELECT doc_id, left(text, 120) AS x, regexp_replace(left(text, 120), '^\s+|\s+$', '', 'g') AS y, CASE WHEN doc_id % 2 = 0 THEN 'Python' ELSE 'zig' END AS name, CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE '' END AS fence, chr(10) AS e FROM ({ASCII})),
-u AS (SELECT *, 'Language: ' || name || e || e || 'Code under review:' || e || '```' || fence || e || x || e || '```' || e || e || 'Reviewer comment:' || e || y || e || e || 'Revised code:' AS q FROM t)
-SELECT doc_id, 'system:{SYSTEM}|user:' || q || '|assistant:```' || fence || e || upper(x) || e || '```' AS chat, 2 AS n_folded, '{SYSTEM}' || e || e || q AS first_folded FROM u"""
+WITH t AS (SELECT doc_id, text AS x, {sql_trim("text")} AS y, CASE WHEN doc_id % 2 = 0 THEN 'Python' ELSE 'zig' END AS name, CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE '' END AS fence, chr(10) AS e FROM ({ALL})),
+u AS (SELECT *, 'A reviewer left this note on ' || name || ' code:' || e || '> ' || y || e || e || 'Snippet:' || e || '```' || fence || e || x || e || '```' || e || e || 'Rewrite the snippet so that it does what the note asks.' AS q FROM t)
+SELECT doc_id, 'system:{SYSTEM}|user:' || q || '|assistant:```' || fence || e || reverse(x) || e || '```' AS chat, 2 AS n_folded, '{SYSTEM}' || e || e || q AS first_folded FROM u"""
 
 
-def subarray_search(spark, d, rows=ascii_documents):
+def subarray_search(spark, d):
     words = F.split(F.lower("text"), "[^a-z]+")
-    rows = rows(spark, d).select("doc_id", words.alias("w"))
+    rows = documents(spark, d).select("doc_id", words.alias("w"))
     return rows.select("doc_id", T.contains_run(F.col("w"), F.array(F.lit("of"), F.lit("the"))).alias("has_run"))
 
 
 def syntax_ok(spark, d):
-    rows = texts(spark, d, None).select("doc_id", F.when(F.col("doc_id") % 3 == 0, "x = 1").when(F.col("doc_id") % 3 == 1, "def f(:").otherwise(F.col("text")).alias("code"), F.when(F.col("doc_id") % 5 == 0, "go").otherwise("py").alias("lang"))
-    return rows.select("doc_id", SC.syntax_ok(F.lit("y = 2"), F.col("code"), F.col("lang")).alias("syntax_ok"))
+    """A statement that parses, one that does not, and an original that does not, for every document."""
+    i = F.col("doc_id").cast("string")
+    code = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x = "), i)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("def f"), i, F.lit("(:"))).otherwise(F.concat(F.lit("for k in y:\n    k += "), i))
+    old = F.when(F.col("doc_id") % 7 == 0, "if:").otherwise("y = 2")
+    rows = documents(spark, d).select("doc_id", code.alias("code"), old.alias("old"), F.when(F.col("doc_id") % 5 == 0, "go").otherwise("py").alias("lang"))
+    return rows.select("doc_id", SC.syntax_ok(F.col("old"), F.col("code"), F.col("lang")).alias("syntax_ok"))
+
+
+def variants(spark, d):
+    """Whether a run's name says base, and whether its answer changes what it was given."""
+    rows = documents(spark, d)
+    return rows.select("doc_id", T.variant_of(F.concat(F.coalesce("source", F.lit("")), F.when(F.col("doc_id") % 2 == 0, "-BASE").otherwise("-lora"))).alias("variant"), T.changed_input(F.col("text"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" \n"), F.col("text"))).otherwise(F.concat(F.col("text"), F.lit("x")))).alias("changed"))
+
+
+def prediction_rows(spark, d):
+    """Answers to every turn as predictions, with the defaults for what an example lacks."""
+    t = spark.read.parquet(f"{d}/conversations.parquet")
+    rows = t.select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("id"), F.lit("py").alias("lang"), "role", F.when(F.col("turn") % 2 == 0, "own").alias("origin"), F.lit("c").alias("comment"), F.col("text").alias("old_code"), F.col("text").alias("new_code"), F.concat(F.lit("```py\n"), F.coalesce("text", F.lit("")), F.lit("\n```")).alias("raw_output"))
+    made = DOC.prediction_rows(rows.withColumnRenamed("role", "category"), "valid")
+    return made.select("id", "category", "repo", "origin", "probe", F.md5("gold").alias("gold_md5"), F.md5("prediction").alias("prediction_md5"), "parse_mode")
+
+
+def judge_pairs(spark, d):
+    """The first 50 examples, by number, that both runs have."""
+    base, tuned = runs_of(spark, d)
+    return J.judge_pairs(base.select("id", "category", "prediction"), tuned, "id", "id", 50).select("id", "category", "base_prediction", "tuned_prediction")
 
 
 def last_wins(spark, d):
@@ -343,60 +427,77 @@ def miss_rate(spark, d):
     return SL.miss_rate(documents(spark, d), F.contains(F.col("text"), F.lit(" the ")), "doc_id")
 
 
-def pair_verdicts(spark, d, **which):
+def pair_verdicts(spark, d):
     v = SL.pair_verdict(F.col("base_exact_match"), F.col("tuned_exact_match"), F.col("base_edit_sim"), F.col("tuned_edit_sim"), 0.02)
-    return paired(spark, d, **which).groupBy(v.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    return paired(spark, d).groupBy(v.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def trained_share(spark, d):
     return SL.trained_share(documents(spark, d).withColumn("trained", F.col("lang") == "en"), "n_chars", "trained")
 
 
-def judge_prompts(spark, d, chars=300):
+def judge_prompts(spark, d):
     p = J.judge_prompt(F.coalesce("lang", F.lit("")), F.col("old_code"), F.lit("why"), F.col("gold"), F.col("prediction"), F.col("old_code"))
-    return predictions(spark, d, chars).select("doc_id", F.md5(p).alias("prompt_md5"))
+    return predictions(spark, d).select("id", F.md5(p).alias("prompt_md5"))
+
+
+def retention_overall(spark, d):
+    """What is left of the rates of one half of the labels in the other, and of the weaker rate."""
+    rows = spark.read.parquet(f"{d}/labels.parquet")
+    half = lambda k: rows.filter(F.col("doc_id") % 2 == k).agg(F.avg(F.col("quality").cast("double")).alias("mcq_accuracy"), F.avg(1.0 - F.col("toxic")).alias("instruction_pass_rate"), F.avg(F.col("toxic").cast("double")).alias("spurious_code_fence_rate"))
+    return P.retention_table(half(0), half(1)).select("mcq_retention_pct", "instruction_retention_pct", "overall_retention_pct")
+
+
+def distinct_labels(spark, d):
+    return DOC.labels_of(documents(spark, d), "source").select(F.array_join("labels", ",").alias("labels"))
 
 
-EVERY = {"base_has": "true", "tuned_has": "true"}
 _SLICE_SQL = "round(avg(exact_match::INT), 6) AS exact_match, round(avg(improved::INT), 6) AS improved_rate, round(avg(changed_right_lines), 6) AS edit_line_f1"
+_HEAD_SQL = """count(*) AS n, {r}(avg((parse_mode IN ('fenced', 'fenced_unterminated'))::INT), {k}) AS format_compliance, {r}(avg((trim(prediction) = '')::INT), {k}) AS empty_rate,
+{r}(avg(exact_match::INT), {k}) AS exact_match, {r}(avg(improved::INT), {k}) AS improved_rate, {r}(avg(regressed::INT), {k}) AS regressed_rate, {r}(avg(copied::INT), {k}) AS copy_rate, {r}(avg(edit_sim), {k}) AS edit_similarity,
+{r}(avg(token_f1), {k}) AS token_f1, {r}(avg(changed_right_lines), {k}) AS edit_line_f1, {r}(avg(delta_to_gold), {k}) AS delta_to_gold, {r}(avg(1 - dist_old_gold), {k}) AS copy_baseline_edit_similarity, {r}(avg(syntax_ok::INT), {k}) AS python_syntax_ok, count(syntax_ok) AS python_syntax_checked"""
 
 QUERIES = {
     "normalize_code": (normalize_code, f"SELECT doc_id, {_n('code')} AS normal FROM ({RAGGED})"),
     "edge_trim": (edge_trim, rf"SELECT doc_id, regexp_replace(regexp_replace(replace(code, chr(13), ''), '\A([ \t]*\n)+', ''), '(\n[ \t]*)+\z', '') AS trimmed FROM ({RAGGED})"),
-    "tokenize_code": (tokenize_code, f"SELECT doc_id, len(regexp_extract_all(text, '{TOKEN}'))::INT AS n, md5(array_to_string(regexp_extract_all(text, '{TOKEN}'), ' ')) AS tokens_md5 FROM ({ASCII})"),
-    "edit_scores": (edit_scores, f"SELECT * EXCLUDE (source, lang, parse_mode, prediction) FROM ({SCORES})"),
-    "score_headline": (
-        score_headline,
-        f"""SELECT count(*) AS n, avg((parse_mode IN ('fenced', 'fenced_unterminated'))::INT) AS format_compliance, avg((trim(prediction) = '')::INT) AS empty_rate,
-round(avg(exact_match::INT), 6) AS exact_match, round(avg(improved::INT), 6) AS improved_rate, round(avg(regressed::INT), 6) AS regressed_rate, round(avg(copied::INT), 6) AS copied_rate, round(avg(edit_sim), 6) AS edit_sim,
-round(avg(token_f1), 6) AS token_f1, round(avg(changed_right_lines), 6) AS edit_line_f1, round(avg(delta_to_gold), 6) AS delta_to_gold FROM ({SCORES})""",
+    "tokenize_code": (tokenize_code, f"SELECT doc_id, len(regexp_extract_all(text, '{TOKEN}'))::INT AS n, md5(array_to_string(regexp_extract_all(text, '{TOKEN}'), ' ')) AS tokens_md5 FROM ({ALL})"),
+    "edit_scores": (edit_scores, f"SELECT * EXCLUDE (category, lang, parse_mode, prediction) FROM ({SCORES})"),
+    "attached_scores": (
+        attached_scores,
+        f"SELECT id, exact_match, improved, regressed, copied, round(edit_sim, 4) AS edit_sim, round(delta_to_gold, 4) + 0.0::DOUBLE AS delta_to_gold, round(changed_right_lines, 4) AS edit_line_f1, round(token_f1, 4) AS token_f1, syntax_ok FROM ({SCORES})",
+    ),
+    "edit_scores_documents": (edit_scores_documents, None),
+    "score_headline": (score_headline, f"SELECT {_HEAD_SQL.format(r='round', k=6)} FROM ({SCORES})"),
+    "score_slices": (
+        score_slices,
+        f"WITH s AS ({SCORES}) SELECT 'category' AS slice, category AS value, count(*) AS n, {_SLICE_SQL} FROM s GROUP BY category UNION ALL SELECT 'lang', lang, count(*), {_SLICE_SQL} FROM s GROUP BY lang",
+    ),
+    "metric_block": (
+        metric_block,
+        f"WITH p AS (SELECT id, {_n('prediction')} AS prediction, {_n('gold')} AS gold, {_n('old_code')} AS old_code FROM ({PREDICTIONS})), h AS (SELECT {_HEAD_SQL.format(r='round', k=4)} FROM ({SCORES})) SELECT *, ({_bleu('prediction', places=3)}) AS bleu, ({_bleu('old_code', places=3)}) AS copy_baseline_bleu FROM h",
     ),
-    "score_slices": (score_slices, f"WITH s AS ({SCORES}) SELECT 'source' AS slice, source AS value, count(*) AS n, {_SLICE_SQL} FROM s GROUP BY source UNION ALL SELECT 'lang', lang, count(*), {_SLICE_SQL} FROM s GROUP BY lang"),
     "parse_fenced": (parse_fenced, PARSE_SQL),
     "corpus_bleu": (corpus_bleu, f"WITH p AS ({PREDICTIONS}) {_bleu_sql('prediction', 'model')} UNION ALL {_bleu_sql('old_code', 'copy')}"),
-    "coverage": (coverage, f"WITH {RUNS} SELECT coalesce(b.doc_id, t.doc_id) AS doc_id, CASE WHEN t.doc_id IS NULL THEN 'base' ELSE 'tuned' END AS only_in FROM b FULL JOIN t ON b.doc_id = t.doc_id WHERE b.doc_id IS NULL OR t.doc_id IS NULL"),
-    "win_loss_tie": (win_loss_tie, f"WITH {RUNS} SELECT * FROM o"),
+    "coverage": (coverage, "SELECT doc_id, 'tuned' AS only_in FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION SELECT doc_id, 'base' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"),
+    "win_loss_tie": (
+        win_loss_tie,
+        f"""WITH {RUNS} SELECT id, coalesce(lang, '') AS lang, coalesce(category, '') AS category, origin, '' AS probe, '' AS comment, '' AS old_code, '' AS gold, 'text ' || bf AS base_prediction, 'text ' || tf AS tuned_prediction,
+base_exact_match AS base_exact, tuned_exact_match AS tuned_exact, base_edit_sim, tuned_edit_sim, round(delta_sim, 4) AS delta_edit_sim, outcome FROM o""",
+    ),
     "outcome_counts": (outcome_counts, f"WITH {RUNS} SELECT outcome, count(*) AS n FROM o GROUP BY 1"),
     "extremes": (
         extremes,
-        f"WITH {RUNS} SELECT * FROM (SELECT doc_id, outcome, delta_sim FROM o WHERE outcome = 'win' ORDER BY delta_sim DESC, doc_id LIMIT 25) UNION ALL SELECT * FROM (SELECT doc_id, outcome, delta_sim FROM o WHERE outcome = 'loss' ORDER BY delta_sim, doc_id LIMIT 25)",
-    ),
-    "paired_slices": (
-        paired_slices,
-        f"""WITH {RUNS}, s AS (SELECT p.*, coalesce(nullif(d.lang, ''), 'unknown') AS lang, coalesce(nullif(d.source, ''), 'unknown') AS source FROM p JOIN documents d USING (doc_id)),
-g AS (SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' ELSE 'source' END AS slice, coalesce(lang, source) AS value, count(*) AS n, avg(base_exact_match::INT) AS base_em, avg(tuned_exact_match::INT) AS tuned_em FROM s GROUP BY GROUPING SETS ((lang), (source)))
-SELECT *, tuned_em - base_em AS delta_em FROM g""",
+        f"WITH {RUNS} SELECT * FROM (SELECT id, outcome, delta_sim FROM o WHERE outcome = 'win' ORDER BY delta_sim DESC, id LIMIT 25) UNION ALL SELECT * FROM (SELECT id, outcome, delta_sim FROM o WHERE outcome = 'loss' ORDER BY delta_sim, id LIMIT 25)",
     ),
+    "paired_slices": (paired_slices, f"WITH {RUNS} {SLICES_SQL}"),
+    "category_gains": (category_gains, f"WITH {RUNS} SELECT value, delta_exact_match FROM ({SLICES_SQL}) WHERE slice = 'category'"),
     "mcnemar": (mcnemar, f"WITH {RUNS}, c AS (SELECT count(*) FILTER (tuned_exact_match AND NOT base_exact_match) AS fixed, count(*) FILTER (base_exact_match AND NOT tuned_exact_match) AS broken FROM p) SELECT fixed, broken, {P_SQL} AS p_value, {P_SQL} < 0.05 AS significant FROM c"),
     "mcnemar_small": (
         mcnemar_small,
-        f"WITH {RUNS}, c AS (SELECT doc_id % 37 AS bucket, count(*) FILTER (tuned_exact_match AND NOT base_exact_match) AS fixed, count(*) FILTER (base_exact_match AND NOT tuned_exact_match) AS broken FROM p GROUP BY 1) SELECT bucket, fixed, broken, {P_SQL} AS p_value, {P_SQL} < 0.05 AS significant FROM c",
-    ),
-    "paired_metrics": (
-        unpivoted,
-        f"""WITH {RUNS} SELECT 'exact_match' AS metric, count(*) AS n, sum(tuned_exact_match::INT::DECIMAL(18,4) - base_exact_match::INT::DECIMAL(18,4))::DOUBLE AS total_delta FROM p
-UNION ALL SELECT 'edit_sim', count(*), sum(tuned_edit_sim::DECIMAL(18,4) - base_edit_sim::DECIMAL(18,4))::DOUBLE FROM p""",
+        f"WITH {RUNS}, c AS (SELECT id % 37 AS bucket, count(*) FILTER (tuned_exact_match AND NOT base_exact_match) AS fixed, count(*) FILTER (base_exact_match AND NOT tuned_exact_match) AS broken FROM p GROUP BY 1) SELECT bucket, fixed, broken, {P_SQL} AS p_value, {P_SQL} < 0.05 AS significant FROM c",
     ),
+    "paired_metrics": (paired_metrics, PAIRED_SQL),
+    "comparison_headline": (comparison_headline, HEADLINE_SQL),
     "bootstrap_ci": (bootstrap_ci, BOOTSTRAP_SQL),
     "judge_votes": (judge_votes, f"WITH {VOTES} SELECT * FROM c"),
     "judge_summary": (
@@ -418,9 +519,22 @@ SELECT lang, CASE WHEN coalesce(base, 0) = 0 THEN 100 ELSE tuned / base * 100 EN
     "chat_messages": (chat_messages, CHAT_SQL),
     "subarray_search": (
         subarray_search,
-        f"WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z]+') AS w FROM ({ASCII})) SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) > 0 AS has_run FROM w",
+        f"WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z]+') AS w FROM ({ALL})) SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) > 0 AS has_run FROM w",
+    ),
+    "syntax_ok": (syntax_ok, "SELECT doc_id, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN doc_id % 3 <> 1 END AS syntax_ok FROM documents"),
+    "variants": (variants, "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'base' ELSE 'tuned' END AS variant, doc_id % 3 <> 0 AS changed FROM documents"),
+    "prediction_rows": (
+        prediction_rows,
+        rf"""SELECT (conv_id * 1000 + turn)::VARCHAR AS id, role AS category, '' AS repo, CASE WHEN turn % 2 = 0 THEN 'own' ELSE 'valid' END AS origin, '' AS probe, md5(text) AS gold_md5,
+md5(regexp_replace(regexp_replace(coalesce(text, ''), '\A({BLANK}*\n)+', ''), '(\n{BLANK}*)+\z', '')) AS prediction_md5, 'fenced' AS parse_mode FROM conversations""",
+    ),
+    "judge_pairs": (judge_pairs, f"WITH {RUNS} SELECT id, category, 'text ' || bf AS base_prediction, 'text ' || tf AS tuned_prediction FROM p ORDER BY id LIMIT 50"),
+    "retention_overall": (
+        retention_overall,
+        """WITH r AS (SELECT avg(quality) FILTER (doc_id % 2 = 1) / avg(quality) FILTER (doc_id % 2 = 0) * 100 AS m, avg(1 - toxic) FILTER (doc_id % 2 = 1) / avg(1 - toxic) FILTER (doc_id % 2 = 0) * 100 AS i FROM labels)
+SELECT round(m, 1) AS mcq_retention_pct, round(i, 1) AS instruction_retention_pct, round(least(m, i), 1) AS overall_retention_pct FROM r""",
     ),
-    "syntax_ok": (syntax_ok, None),
+    "distinct_labels": (distinct_labels, "SELECT array_to_string(list_sort(list(DISTINCT coalesce(source, ''))), ',') AS labels FROM documents"),
     "id_selection": (id_selection, "SELECT doc_id, lang, CASE doc_id WHEN 7 THEN 0 WHEN 3 THEN 1 ELSE 3 END AS pos FROM documents WHERE doc_id IN (7, 3, 5)"),
     "miss_rate": (miss_rate, "SELECT count(*) AS n, avg((NOT contains(text, ' the '))::INT) AS miss_rate FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 200)"),
     "pair_verdicts": (
@@ -431,31 +545,8 @@ WHEN delta_sim > 0.02::DOUBLE THEN 'tuned closer' WHEN base_edit_sim - tuned_edi
     "trained_share": (trained_share, "SELECT sum(n_chars) FILTER (lang = 'en')::BIGINT AS trained, sum(n_chars)::BIGINT AS total, sum(n_chars) FILTER (lang = 'en')::DOUBLE / sum(n_chars)::DOUBLE AS share FROM documents"),
     "judge_prompts": (
         judge_prompts,
-        f"""WITH p AS (SELECT *, chr(10) AS e FROM ({PREDICTIONS})) SELECT doc_id, md5('Language: ' || lang || e || e || 'Original code:' || e || '```' || lang || e || old_code || e || '```' || e || e || 'Reviewer comment:' || e || 'why' || e || e
-|| 'Reference revision (what the author merged):' || e || '```' || lang || e || gold || e || '```' || e || e || 'Candidate A:' || e || '```' || lang || e || prediction || e || '```' || e || e || 'Candidate B:' || e || '```' || lang || e || old_code || e || '```' || e || e || 'Grade both candidates.') AS prompt_md5 FROM p""",
+        f"""WITH p AS (SELECT *, chr(10) AS e FROM ({PREDICTIONS})) SELECT id, md5('A reviewer wrote about ' || lang || ' code: why' || e || '<before>' || e || old_code || e || '</before>' || e || '<merged>' || e || gold || e || '</merged>'
+|| e || '<A>' || e || prediction || e || '</A>' || e || '<B>' || e || old_code || e || '</B>' || e || 'Which of A and B does what the reviewer asked, as the merged code does? Answer as JSON.') AS prompt_md5 FROM p""",
     ),
     "last_wins": (last_wins, "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, min(turn) AS first_line FROM conversations GROUP BY 1"),
-    # The whole table, where the SQL above leaves out or cuts texts; tests compare these with brute force.
-    "normalize_code_whole": (partial(normalize_code, rows=documents), None),
-    "edge_trim_whole": (partial(edge_trim, rows=documents), None),
-    "tokenize_code_whole": (partial(tokenize_code, rows=documents), None),
-    "subarray_search_whole": (partial(subarray_search, rows=documents), None),
-    "rule_checks_whole": (partial(rule_checks, ascii_only=False), None),
-    "instruction_rates_whole": (partial(instruction_rates, ascii_only=False), None),
-    "win_loss_tie_whole": (partial(win_loss_tie, **EVERY), None),
-    "outcome_counts_whole": (partial(outcome_counts, **EVERY), None),
-    "extremes_whole": (partial(extremes, **EVERY), None),
-    "paired_slices_whole": (partial(paired_slices, **EVERY), None),
-    "mcnemar_whole": (partial(mcnemar, **EVERY), None),
-    "mcnemar_small_whole": (partial(mcnemar_small, **EVERY), None),
-    "paired_metrics_whole": (partial(unpivoted, **EVERY), None),
-    "bootstrap_ci_whole": (partial(bootstrap_ci, resamples=10_000, **EVERY), None),
-    "pair_verdicts_whole": (partial(pair_verdicts, **EVERY), None),
-    "edit_scores_whole": (partial(edit_scores, chars=None), None),
-    "score_headline_whole": (partial(score_headline, chars=None), None),
-    "score_slices_whole": (partial(score_slices, chars=None), None),
-    "parse_fenced_whole": (partial(parse_fenced, chars=None), None),
-    "corpus_bleu_whole": (partial(corpus_bleu, chars=None), None),
-    "chat_messages_whole": (partial(chat_messages, chars=None), None),
-    "judge_prompts_whole": (partial(judge_prompts, chars=None), None),
 }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from millrace.operators import percentiles as Q
@@ -31,11 +29,8 @@ def latency_percentiles(spark, d):
 
 
 def length_stats(spark, d):
-    """Lengths by the convention sorted[int(q n)], with mean, greatest and the share above a limit."""
-    rows = documents(spark, d)
-    ranks = Q.elements_at(rows, [], "n_chars", {"median": Q.at_fraction(0.5), "p95": Q.at_fraction(0.95), "p99": Q.at_fraction(0.99)})
-    rest = rows.agg(F.avg("n_chars").alias("mean"), F.max("n_chars").alias("greatest"), (F.count_if(F.col("n_chars") > 4000) / F.count(F.lit(1)) * 100).alias("over_limit_pct"))
-    return ranks.withColumn("_k", F.lit(0)).join(rest.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    """Lengths by the convention sorted[int(q n)], the share above a limit, and the limit that would keep 99 % of them."""
+    return R.length_report(documents(spark, d), "n_chars", 4000)
 
 
 def rolling_500(spark, d):
@@ -52,14 +47,38 @@ def early_stop(spark, d):
 
 
 def leaderboard(spark, d):
-    runs = events(spark, d).groupBy(F.col("user_id").cast("string").alias("run")).agg(F.min(F.when(F.col("event_type") != "click", F.col("value"))).alias("loss"))
-    return R.leaderboard(runs.withColumn("loss", F.when(F.length("run") < 3, F.col("loss"))), "run", "loss")
+    """Users as runs, their least purchase as the loss; those without one come last."""
+    runs = events(spark, d).groupBy(F.col("user_id").cast("string").alias("run")).agg(F.min(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("loss"))
+    return R.leaderboard(runs, "run", "loss")
 
 
 def training_numbers(spark, d):
-    n = F.col("n_chars")
-    per = R.steps_per_epoch(n, F.lit(16))
-    return documents(spark, d).select("doc_id", per.cast("long").alias("steps_per_epoch"), R.eval_steps(per, F.lit(4)).cast("long").alias("eval_steps"), R.perplexity(F.col("doc_id") % 40 - 10).isNull().alias("no_perplexity"))
+    """Steps and evaluations of a run with as many examples as a document has characters, the perplexity of a loss, and whether it stopped early."""
+    per = R.steps_per_epoch(F.col("n_chars"), F.lit(16))
+    loss = (F.col("doc_id") % 40) * 0.55
+    return documents(spark, d).select(
+        "doc_id", per.cast("long").alias("steps_per_epoch"), R.eval_steps(per, F.lit(4)).cast("long").alias("eval_steps"), F.round(R.perplexity(loss), 4).alias("perplexity"),
+        R.early_stopped(F.col("n_chars") % 500, per, F.lit(3)).alias("early_stopped"),
+    )
+
+
+def elapsed(spark, d):
+    return R.with_elapsed(metric_log(spark, d), "run", "ts").select("event_id", F.round("elapsed", 3).alias("elapsed"))
+
+
+def training_curves(spark, d):
+    """Series of a log whose rows have one metric or the other."""
+    log = metric_log(spark, d).select("run", F.col("event_id").alias("step"), F.when(F.col("event_id") % 10 != 0, F.col("loss")).alias("loss"), F.when(F.col("event_id") % 10 == 0, F.col("loss")).alias("eval_loss"))
+    return R.history(log, "run", "step")
+
+
+def sweep_order(spark, d):
+    return R.sweep(best_step(spark, d).select("run", "best_loss"), "run", "best_loss")
+
+
+def batch_latency(spark, d):
+    """Events as batches: value is the batch's time, and 1 to 8 rows are in it."""
+    return R.batch_latency(events(spark, d).withColumn("size", F.col("user_id") % 8 + 1), "value", "size", "size")
 
 
 def union_in_order(spark, d):
@@ -71,80 +90,88 @@ def event_stream(spark, d):
     return SQ.read_stream(spark, f"{d}/events.parquet*", events(spark, d).schema)
 
 
-def _name() -> str:
-    return f"millrace_{uuid.uuid4().hex[:12]}"
-
-
-def stream_rolling(spark, d):
-    stream = event_stream(spark, d).select("event_type", "value", F.col("user_id").cast("double").alias("tokens"))
-    return SQ.run_available(SQ.rolling_stream(stream, "event_type", "value", "tokens"), _name(), "update").groupBy("event_type").agg(F.max("n").alias("n"))
-
-
 def ordered_stream(spark, d):
     return event_stream(spark, d).select("event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "value", (F.col("user_id") % 100 + 1).cast("double").alias("tokens"))
 
 
-def stream_rolling_stats(spark, d):
+def stream_rolling(spark, d):
     """The last window of each event type, as `rolling_500` has it for the type's last event."""
-    stats = SQ.run_available(SQ.rolling_stats_stream(ordered_stream(spark, d), "event_type", ["at", "event_id"], "value", "tokens"), _name(), "update")
-    return stats.groupBy("event_type").agg(F.max_by(F.struct(*stats.columns[2:]), "seen").alias("w")).select("event_type", "w.*")
+    stats = SQ.run_available(SQ.rolling_stats_stream(ordered_stream(spark, d), "event_type", ["at", "event_id"], "value", "tokens"), "update")
+    last = stats.groupBy("event_type").agg(F.max_by(F.struct(*stats.columns[2:]), "seen").alias("w")).select("event_type", "w.*")
+    return last.withColumn("tokens_per_second", F.round("tokens_per_second", 6))
 
 
 def stream_early_stop(spark, d):
     """Whether each event type, taken as a run, is stopped by its last event; runs over files in event order."""
-    stops = SQ.run_available(SQ.stop_stream(ordered_stream(spark, d), "event_type", "value", order=["at", "event_id"]), _name(), "update")
+    stops = SQ.run_available(SQ.stop_stream(ordered_stream(spark, d), "event_type", "value", order=["at", "event_id"]), "update")
     return stops.groupBy("event_type").agg(F.min("best").alias("best"), F.bool_or("stop").alias("stop"))
 
 
 def stream_dedup(spark, d):
-    return SQ.run_available(SQ.first_of_each(event_stream(spark, d).select("user_id"), "user_id"), _name(), "append")
+    return SQ.run_available(SQ.first_of_each(event_stream(spark, d).select("user_id"), "user_id"), "append")
+
+
+def stream_quotas(spark, d):
+    """At most 20 events of a user are kept, in order."""
+    verdicts = SQ.run_available(SQ.quota_stream(event_stream(spark, d).select("event_id", "user_id"), "user_id", {"user_id": 20}, "event_id"), "append")
+    return verdicts.select("event_id", "verdict")
 
 
 def stream_windows(spark, d):
     hours = SQ.event_windows(event_stream(spark, d), "ts", ["event_type"], "value")
-    return SQ.run_available(hours, _name(), "complete").select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", "total")
+    return SQ.run_available(hours, "complete").select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", "total")
+
 
+ROLLING = """
+SELECT event_id, event_type, ts, count(*) OVER w AS window_count, quantile_disc(value, 0.5) OVER w AS p50, quantile_disc(value, 0.95) OVER w AS p95, max(value) OVER w AS max_latency,
+sum(tokens::DECIMAL(28,6)) OVER w::DOUBLE AS tokens_sum, sum(tokens::DECIMAL(28,6)) OVER w::DOUBLE / nullif(sum(value::DECIMAL(28,6)) OVER w::DOUBLE, 0) AS tokens_per_second
+FROM (SELECT event_id, event_type, ts, value, user_id % 100 + 1 AS tokens FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)"""
+STOPS = f"""
+WITH l AS ({LOG}), a AS (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM l),
+u AS (SELECT *, (best_before IS NULL OR (loss < best_before AND best_before - loss > 0.0001::DOUBLE))::INT AS up FROM a),
+i AS (SELECT *, sum(up) OVER (PARTITION BY run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM u),
+c AS (SELECT *, (sum(1 - up) OVER (PARTITION BY run, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS bad_count FROM i)"""
 
 QUERIES = {
     "latency_percentiles": (latency_percentiles, "SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1"),
     "length_stats": (
         length_stats,
-        """WITH s AS (SELECT list_sort(list(n_chars)) AS v, count(*) AS n, avg(n_chars) AS mean, max(n_chars) AS greatest, count(*) FILTER (n_chars > 4000)::DOUBLE / count(*) * 100 AS over_limit_pct FROM documents)
-SELECT n, v[(floor(n * 0.5::DOUBLE) + 1)::INT] AS median, v[(floor(n * 0.95::DOUBLE) + 1)::INT] AS p95, v[(floor(n * 0.99::DOUBLE) + 1)::INT] AS p99, mean, greatest, over_limit_pct FROM s""",
-    ),
-    "rolling_500": (
-        rolling_500,
-        """WITH e AS (SELECT event_id, event_type, ts, value, user_id % 100 + 1 AS tokens FROM events)
-SELECT event_id, event_type, count(*) OVER w AS window_count, quantile_disc(value, 0.5) OVER w AS p50, quantile_disc(value, 0.95) OVER w AS p95, max(value) OVER w AS max_latency,
-sum(tokens::DECIMAL(28,6)) OVER w::DOUBLE AS tokens_sum, sum(tokens::DECIMAL(28,6)) OVER w::DOUBLE / nullif(sum(value::DECIMAL(28,6)) OVER w::DOUBLE, 0) AS tokens_per_second
-FROM e WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)""",
+        """WITH s AS (SELECT list_sort(list(n_chars)) AS v, count(*) AS n, round(avg(n_chars), 1) AS mean, max(n_chars) AS greatest, count(*) FILTER (n_chars > 4000)::DOUBLE / count(*) * 100 AS over FROM documents)
+SELECT n, mean AS seq_len_mean, v[(floor(n * 0.5::DOUBLE) + 1)::INT] AS seq_len_p50, v[(floor(n * 0.95::DOUBLE) + 1)::INT] AS seq_len_p95, greatest AS seq_len_max, round(over, 2) AS seq_len_truncated_pct, over > 5 AS warn,
+CASE WHEN over > 5 THEN v[(floor(n * 0.99::DOUBLE) + 1)::INT] END AS suggested_limit FROM s""",
     ),
+    "rolling_500": (rolling_500, f"SELECT * EXCLUDE (ts) FROM ({ROLLING})"),
     "best_step": (
         best_step,
         f"""WITH l AS ({LOG}), b AS (SELECT run, min(loss) AS best_loss FROM l GROUP BY run), s AS (SELECT l.run, best_loss, min(event_id) AS best_step FROM l JOIN b ON l.run = b.run AND loss = best_loss GROUP BY 1, 2)
 SELECT s.run, best_loss, best_step, (SELECT count(*) FROM l WHERE l.run = s.run AND event_id > best_step) AS evals_after_best FROM s""",
     ),
-    "early_stop": (
-        early_stop,
-        f"""WITH l AS ({LOG}), a AS (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM l),
-u AS (SELECT *, (best_before IS NULL OR (loss < best_before AND best_before - loss > 0.0001::DOUBLE))::INT AS up FROM a),
-i AS (SELECT *, sum(up) OVER (PARTITION BY run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM u),
-c AS (SELECT *, (sum(1 - up) OVER (PARTITION BY run, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS bad_count FROM i)
-SELECT event_id, best_before, bad_count, bad_count >= 3 AS stop FROM c""",
-    ),
+    "early_stop": (early_stop, f"{STOPS} SELECT event_id, best_before, bad_count, bad_count >= 3 AS stop FROM c"),
     "leaderboard": (
         leaderboard,
-        """WITH r AS (SELECT user_id::VARCHAR AS run, CASE WHEN length(user_id::VARCHAR) < 3 THEN min(value) FILTER (event_type <> 'click') END AS loss FROM events GROUP BY 1, user_id)
+        """WITH r AS (SELECT user_id::VARCHAR AS run, min(value) FILTER (event_type = 'purchase') AS loss FROM events GROUP BY 1)
 SELECT run, loss, row_number() OVER (ORDER BY loss NULLS LAST, run) AS rank FROM r""",
     ),
     "training_numbers": (
         training_numbers,
-        "SELECT doc_id, greatest(1, ceil(n_chars::DOUBLE / 16))::BIGINT AS steps_per_epoch, greatest(1, floor(greatest(1, ceil(n_chars::DOUBLE / 16)) / 4))::BIGINT AS eval_steps, doc_id % 40 - 10 >= 20 AS no_perplexity FROM documents",
+        """SELECT doc_id, greatest(1, ceil(n_chars::DOUBLE / 16))::BIGINT AS steps_per_epoch, greatest(1, floor(greatest(1, ceil(n_chars::DOUBLE / 16)) / 4))::BIGINT AS eval_steps,
+CASE WHEN doc_id % 40 * 0.55::DOUBLE < 20 THEN round(exp(doc_id % 40 * 0.55::DOUBLE), 4) END AS perplexity, n_chars % 500 < greatest(1, ceil(n_chars::DOUBLE / 16)) * 3 - 1 AS early_stopped FROM documents""",
+    ),
+    "elapsed": (elapsed, "SELECT event_id, round(date_diff('microsecond', min(ts) OVER (PARTITION BY event_type), ts)::DOUBLE / 1000000::DOUBLE, 3) AS elapsed FROM events"),
+    "training_curves": (training_curves, "SELECT event_type AS run, CASE WHEN event_id % 10 = 0 THEN 'eval_loss' ELSE 'loss' END AS series, event_id AS step, value FROM events WHERE value IS NOT NULL"),
+    "sweep_order": (sweep_order, "SELECT event_type AS run, min(value) AS best_loss FROM events GROUP BY 1"),
+    "batch_latency": (
+        batch_latency,
+        """WITH x AS (SELECT value / (user_id % 8 + 1) AS l FROM events, range(0, 8) AS r(i) WHERE i <= user_id % 8)
+SELECT count(*) AS n, round(quantile_disc(l, 0.5), 3) AS latency_p50_s, round(quantile_disc(l, 0.95), 3) AS latency_p95_s FROM x""",
     ),
     "union_in_order": (union_in_order, "SELECT doc_id, lang, NULL::INT AS chars, 0 AS table_no FROM documents UNION ALL SELECT item_id, NULL, length(text)::INT, 1 FROM benchmark"),
-    "stream_rolling": (stream_rolling, "SELECT event_type, least(count(*), 500) AS n FROM events GROUP BY 1"),
-    "stream_rolling_stats": (stream_rolling_stats, None),
-    "stream_early_stop": (stream_early_stop, None),
+    "stream_rolling": (
+        stream_rolling,
+        f"SELECT event_type, window_count, p50, p95, max_latency, tokens_sum, round(tokens_per_second, 6) AS tokens_per_second FROM ({ROLLING}) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1",
+    ),
+    "stream_early_stop": (stream_early_stop, f"{STOPS} SELECT run AS event_type, min(loss) AS best, bool_or(bad_count >= 3) AS stop FROM c GROUP BY 1"),
+    "stream_quotas": (stream_quotas, "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 20 THEN 'kept' ELSE 'user_id' END AS verdict FROM events"),
     "stream_dedup": (stream_dedup, "SELECT DISTINCT user_id FROM events"),
     "stream_windows": (
         stream_windows,
