@@ -97,8 +97,8 @@ def test_scores(spark):
 
 
 def test_bag_f1(spark):
-    assert one(spark, SC.token_f1(lit("a a b"), lit("a b b"))) == pytest.approx(2 / 3)
-    assert one(spark, SC.token_f1(lit("x"), lit("y"))) == 0.0
+    assert one(spark, SC.token_f1(T.code_tokens(lit("a a b")), T.code_tokens(lit("a b b")))) == pytest.approx(2 / 3)
+    assert one(spark, SC.token_f1(T.code_tokens(lit("x")), T.code_tokens(lit("y")))) == 0.0
 
 
 def test_syntax_is_tri_state(spark):
@@ -175,7 +175,7 @@ def test_early_stop_trace(spark):
 
 def test_messages(spark):
     m = one(spark, T.fold_system(T.training_messages("S", lit("o"), lit(" c "), lit("n"), lit("py"))))
-    assert [x.role for x in m] == ["user", "assistant"] and m[0].content.startswith("S\n\nLanguage: Python") and m[1].content == "```python\nn\n```"
+    assert [x.role for x in m] == ["user", "assistant"] and m[0].content.startswith("S\n\nA reviewer left this note on Python") and m[1].content == "```python\nn\n```"
     assert one(spark, T.response_template(lit("[INST] U [/INST] AAAA"), "AAAA", "U")) == " [/INST]"
     assert one(spark, T.contains_run(F.array(*map(F.lit, (1, 2, 3))), F.array(*map(F.lit, (2, 3))))) is True
     assert one(spark, T.contains_run(F.array(F.lit(1)), F.array(*map(F.lit, (1, 2))))) is False

@@ -1,14 +1,15 @@
 """Sources, sinks, configuration, streams, reports, and the entry module without the optional parts."""
 
+import hashlib
 import json
 import os
 import subprocess
 import sys
-import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import probes as P
 from millrace.plans import config, report
 from millrace.sources import sinks
 from millrace.sources import tables as S
@@ -36,7 +37,12 @@ def test_the_test_split_is_guarded(spark, tmp_path):
 def test_checksums_and_documents(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"a": {"b": 1}}')
     (tmp_path / "x.txt").write_text("12345")
-    assert S.checksums(spark, str(tmp_path)).count() == 1
+    big = os.urandom(3_000_000)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "w.BIN").write_bytes(big)
+    got = {r.file: r.sha256 for r in S.checksums(spark, str(tmp_path)).collect()}
+    assert got == {"m.json": hashlib.sha256((tmp_path / "m.json").read_bytes()).hexdigest(), "sub/w.BIN": hashlib.sha256(big).hexdigest()}
+    (tmp_path / "sub" / "w.BIN").unlink()
     assert S.folder_size(spark, str(tmp_path)).first()[0] == 20
     assert S.read_document(spark, str(tmp_path / "m.json")).select("a.b").first()[0] == 1
     assert S.read_document(spark, str(tmp_path / "absent.json")) is None
@@ -62,29 +68,33 @@ def test_config(tmp_path):
     (tmp_path / "child.yaml").write_text(json.dumps({"extends": "base.yaml", "train": {"epochs": 5}}))
     got = config.load(tmp_path / "child.yaml", ["train.learning_rate=1e-4", "name=other"])
     assert (got.train.epochs, got.train.batch_size, got.train.learning_rate, got.name) == (5, 8, 1e-4, "other")
-    assert got.fingerprint() == config.load(tmp_path / "child.yaml", ["train.learning_rate=1e-4"]).fingerprint()
-    assert got.fingerprint() != config.load(tmp_path / "child.yaml").fingerprint()
+    assert config.fingerprint(got) == config.fingerprint(config.load(tmp_path / "child.yaml", ["train.learning_rate=1e-4"]))
+    assert config.fingerprint(got) != config.fingerprint(config.load(tmp_path / "child.yaml"))
+    config.save(got, tmp_path / "saved" / "run.yaml")
+    assert config.load(tmp_path / "saved" / "run.yaml") == got and (tmp_path / "saved" / "run.fingerprint").read_text().strip() == config.fingerprint(got)
     (tmp_path / "loop.yaml").write_text(json.dumps({"extends": "loop.yaml"}))
     for bad in ("loop.yaml",):
         with pytest.raises(ValueError):
             config.load(tmp_path / bad)
     with pytest.raises(ValueError):
         config.overrides(["novalue"])
-    with pytest.raises(ValueError):
-        config.RunConfig.of({"train": {"nope": 1}})
+    for settings in ({"train.nope": 1}, {"nope": 1}, {"train.epochs": "two"}, {"train.epochs": True}):
+        with pytest.raises(ValueError):
+            config.build(settings)
+    (tmp_path / "orphan.yaml").write_text(json.dumps({"extends": "gone.yaml"}))
+    with pytest.raises(FileNotFoundError):
+        config.load(tmp_path / "orphan.yaml")
     assert config.flattened({"a": {"b": 1}, "c": 2}) == {"a.b": 1, "c": 2}
 
 
 def test_report(spark):
     text = report.report({"A": spark.createDataFrame([(1, None)], "n int, x double"), "B": None})
     assert "| 1 | – |" in text and report.NOT_RUN in text
-    said = spark.range(1).select(report.exact_match_verdict(F.lit(0.1), F.lit(0.02), F.lit(0.2), F.lit(0.01), F.lit(True))).first()[0]
-    assert said == "Fine-tuning improved exact match by 10.0 points (95% CI [+2.0, +20.0], McNemar p=0.0100) — significant at this sample size."
-    assert "Mild" in spark.range(1).select(report.retention_verdict(F.lit(92.0), F.lit(0.0))).first()[0]
-
-
-def name():
-    return f"t{uuid.uuid4().hex[:8]}"
+    lit = F.lit
+    said = spark.range(1).select(report.exact_match_sentence(lit(0.1), lit(0.02), lit(0.2), lit(0.01), lit(True)), report.exact_match_sentence(lit(0.1), lit(-0.02), lit(0.2), lit(0.3), lit(False))).first()
+    assert said[0].startswith("Tuned is better: +10.0 points") and said[1].startswith("No difference shown")
+    bands = [spark.range(1).select(P.retention_band(lit(w), lit(j))).first()[0] for w, j in ((98.0, 0.0), (92.0, 0.0), (50.0, 0.5))]
+    assert bands[0].startswith("Kept") and bands[1].startswith("Slightly") and "50 points" in bands[2]
 
 
 def test_streams_equal_their_batch_forms(spark, tmp_path):
@@ -93,11 +103,9 @@ def test_streams_equal_their_batch_forms(spark, tmp_path):
     df.filter("step < 6").coalesce(1).write.parquet(str(tmp_path / "s"))
     df.filter("step >= 6").coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
     stream = Q.read_stream(spark, str(tmp_path / "s"), df.schema, maxFilesPerTrigger="1")
-    got = Q.run_available(Q.stop_stream(stream, "run", "loss"), name(), "update").groupBy("run").agg(F.max("stop").alias("s"), F.min("best").alias("b")).collect()
+    got = Q.run_available(Q.stop_stream(stream, "run", "loss"), "update").groupBy("run").agg(F.max("stop").alias("s"), F.min("best").alias("b")).collect()
     assert all(r.s and r.b == 0.7 for r in got) and len(got) == 2
-    held = Q.run_available(Q.rolling_stream(stream, "run", "loss", "step", size=4), name(), "update").groupBy("run").agg(F.max("n").alias("n")).collect()
-    assert {r.n for r in held} == {4}
-    assert Q.run_available(Q.first_of_each(stream.select("run"), "run"), name(), "append").count() == 2
+    assert Q.run_available(Q.first_of_each(stream.select("run"), "run"), "append").count() == 2
 
 
 def test_entry_imports_without_the_optional_parts(tmp_path):
