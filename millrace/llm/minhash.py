@@ -16,7 +16,10 @@
    one representation each apart, as within a part.
 4. Each component's full shingle sets then meet once, and its exact links are
    searched breadth first among what is not reached yet. Components beyond a
-   bound are dealt out in blocks, every two of which meet.
+   bound are dealt out in blocks: links are searched inside each block, then among
+   one text of each group found. What is not in the component's main group by then
+   meets every block. A large group of copies thus costs its own size; only texts
+   outside it cost their number times the component's.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import flag_maybe_in, free_shuffles, materialize, maybe_in, read_table, ship_by_value
@@ -289,26 +292,28 @@ def linked_groups(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (component, block pair, node, text): edges of exact links, each to the least node of its group."""
+    """Sorted (component, part, node, text): edges of exact links, each to the least node of its group."""
 
-    def links(group: tuple, nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    def links(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         least = linked_groups(sets) if len(sets) > 1 else np.zeros(1, np.int64)
-        rows = [(nodes[i], nodes[g]) for i, g in enumerate(least.tolist()) if g != i]
+        rows = [(nodes[i], nodes[g]) for i, g in enumerate(least.tolist()) if nodes[g] != nodes[i]]
         a, b = zip(*rows, strict=True) if rows else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array([group[1] is not None] * len(a), pa.bool_()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["large", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     key, nodes, sets = None, [], []
     for batch in batches:
-        comp, pair, node = (batch.column(i).to_pylist() for i in range(3))
-        for c, p, x, text in zip(comp, pair, node, batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
+        comp, part, node = (batch.column(i).to_pylist() for i in range(3))
+        for c, p, x, text in zip(comp, part, node, batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
             if (c, p) != key:
                 if nodes:
-                    yield links(key, nodes, sets)
+                    yield links(nodes, sets)
                 key, nodes, sets = (c, p), [], []
+            if nodes and nodes[-1] == x:  # a text that meets its own block is there twice
+                continue
             nodes.append(x)
             sets.append(shingles(text))
     if nodes:
-        yield links(key, nodes, sets)
+        yield links(nodes, sets)
 
 
 def grouped(df: DataFrame, keys: list[str], order: str, fn: Callable, schema: str) -> DataFrame:
@@ -333,6 +338,48 @@ def coarse_edges(nodes: DataFrame) -> DataFrame:
     return first.unionByName(second).filter("a <> b").select("a", "b")
 
 
+def blocks_of(shingles: str, name: str = "blocks") -> Column:
+    return F.ceil(F.sum(shingles) / F.lit(MAX_SHINGLES)).cast("int").alias(name)
+
+
+def met_links(keyed: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """Exact links (a, b) among the texts of each (comp, part) of `rows` (comp, part, node, _key)."""
+    texts = maybe_in(keyed, F.col("_key"), rows, F.col("_key")).groupBy("_key").agg(F.first("_text").alias("_text")).withColumnRenamed("_key", "_k")
+    met = rows.join(texts, F.col("_key") == F.col("_k")).select("comp", "part", "node", "_text")
+    return materialize(grouped(met, ["comp", "part"], "node", _verify, "a long, b long"), name)
+
+
+def large_roots(keyed: DataFrame, large: DataFrame) -> DataFrame:
+    """(_a, root) for components of several blocks: `large` has comp, node, _key, n_shingles, blocks."""
+    spark = keyed.sparkSession
+    placed = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    inside = met_links(keyed, placed.withColumn("part", F.col("block")), "minhash-inside")
+
+    def with_group(links: DataFrame) -> DataFrame:
+        roots = components(links).select(F.col("node").alias("_n"), "root")
+        return placed.join(roots, F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node")).drop("_n")
+
+    firsts = with_group(inside).filter("node = root")
+    count = firsts.groupBy(F.col("comp").alias("_c")).agg(blocks_of("n_shingles", "_of"))
+    firsts = firsts.join(count, F.col("comp") == F.col("_c")).withColumn("part", F.pmod(F.xxhash64("root"), F.col("_of")).cast("int"))
+    across = met_links(keyed, firsts, "minhash-across")
+    free_shuffles(spark)
+    known = inside.union(across)
+    groups = materialize(with_group(known), "minhash-grouped")
+    sums = groups.groupBy("comp", "root").agg(F.sum("n_shingles").alias("s"))
+    main = sums.groupBy(F.col("comp").alias("_c")).agg(F.max(F.struct("s", "root"))["root"].alias("_main"))
+    others = materialize(groups.join(main, F.col("comp") == F.col("_c")).filter("root <> _main").drop("_c"), "minhash-others")
+    if not others.isEmpty():
+        count = others.groupBy(F.col("comp").alias("_c")).agg(blocks_of("n_shingles", "_of"))
+        every = F.sequence(F.lit(0), F.col("_of") - 1)
+        own = others.join(count, F.col("comp") == F.col("_c")).withColumn("_k2", F.pmod(F.xxhash64("node", F.lit(1)), F.col("_of")).cast("int"))
+        sent = own.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", (F.col("_k2") * F.col("blocks") + F.col("_j")).alias("part"), "node", "_key")
+        met = placed.join(count, F.col("comp") == F.col("_c")).withColumn("_k2", F.explode(every)).select("comp", (F.col("_k2") * F.col("blocks") + F.col("block")).alias("part"), "node", "_key")
+        known = known.union(met_links(keyed, sent.union(met), "minhash-rest"))
+        free_shuffles(spark)
+    return components(known).select(F.col("node").alias("_a"), "root")
+
+
 def near_groups(keyed: DataFrame) -> DataFrame:
     """keyed (_key, _text) -> _key, n_shingles, root: texts of one component share a root; root is null for texts without words."""
     spark = keyed.sparkSession
@@ -355,18 +402,14 @@ def near_groups(keyed: DataFrame) -> DataFrame:
     keys = firsts.select(F.col("node").alias("_n"), "_key", "n_shingles")
     members = comps.join(keys, F.col("node") == F.col("_n")).select("comp", "node", "_key", "n_shingles")
     members = materialize(members, "minhash-comps")
-    sizes = members.groupBy("comp").agg(F.sum("n_shingles").alias("s")).select(F.col("comp").alias("_c"), F.ceil(F.col("s") / F.lit(MAX_SHINGLES)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, F.col("comp") == F.col("_c")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, F.col("block")) * F.col("blocks") + F.greatest(k, F.col("block")))
-    texts = maybe_in(keyed, F.col("_key"), members, F.col("_key")).groupBy("_key").agg(F.first("_text").alias("_text")).withColumnRenamed("_key", "_k")
-    met = dealt.join(texts, F.col("_key") == F.col("_k")).select("comp", F.when(F.col("blocks") > 1, pairs).alias("pairs"), "node", "_text")
-    met = met.select("comp", F.explode_outer("pairs").alias("pair"), "node", "_text")
-    links = materialize(grouped(met, ["comp", "pair"], "node", _verify, "large boolean, a long, b long"), "minhash-links")
     free_shuffles(spark)
-    roots = links.filter("not large").select(F.col("a").alias("_a"), F.col("b").alias("root"))
-    large = links.filter("large")
+    sizes = members.groupBy("comp").agg(blocks_of("n_shingles")).withColumnRenamed("comp", "_c")
+    dealt = members.join(sizes, F.col("comp") == F.col("_c")).drop("_c")
+    roots = met_links(keyed, dealt.filter("blocks = 1").withColumn("part", F.lit(0)), "minhash-links").select(F.col("a").alias("_a"), F.col("b").alias("root"))
+    free_shuffles(spark)
+    large = materialize(dealt.filter("blocks > 1"), "minhash-large")
     if not large.isEmpty():
-        roots = roots.union(components(large.select("a", "b")))
+        roots = roots.union(large_roots(keyed, large))
     found = nodes.join(roots, F.col("node") == F.col("_a"), "left").select("_key", "n_shingles", F.coalesce("root", "node").alias("root"))
     return materialize(found.union(signed.filter("n_shingles = 0").select("_key", "n_shingles", F.lit(None).cast("long"))), "minhash-groups")
 

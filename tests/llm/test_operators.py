@@ -350,3 +350,29 @@ def test_a_very_long_turn_and_clashing_columns(spark):
     got = [r for r in chat.rotate_perspectives(df).collect() if r.perspective == "ann"]
     assert sorted(r.position for r in got) == [0, 1, 2]
     assert max(r.n_chars for r in got) == 500_000 + len("<|im_start|>assistant\n<|im_end|>\n")
+
+
+def test_a_component_of_many_blocks_with_texts_beside_its_main_group(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(60):  # copies with few edits, chains of revisions that drift away, and a second family half alike
+        words = list(base)
+        words[rng.randrange(60)] = f"e{i}"
+        rows.append((i, " ".join(words), "en", "s", 0))
+    drifting = list(base)
+    for i in range(60, 100):
+        at = rng.randrange(len(drifting))
+        drifting[at] = f"d{i}"
+        rows.append((i, " ".join(drifting), "en", "s", 0))
+    for i in range(100, 130):
+        words = base[:36] + [f"o{k}" for k in range(24)]
+        words[rng.randrange(60)] = f"f{i}"
+        rows.append((i, " ".join(words), "en", "s", 0))
+    want = {i: min(rows[k][0] for k in c) for c in near_components(rows) for i in (rows[k][0] for k in c)}
+    df = spark.createDataFrame(rows, SCHEMA)
+    for most in (6_000_000, 900, 300):
+        monkeypatch.setattr(minhash, "MAX_SHINGLES", most)
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == want
