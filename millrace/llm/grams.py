@@ -15,25 +15,28 @@ _TURN, _MIX = np.uint64(29), np.uint64(0xBF58476D1CE4E5B9)
 class WordHashes(dict):
     """64-bit hashes of words; a word is hashed once while the table holds it."""
 
-    def __init__(self, seed: int) -> None:
-        self.seed = seed
-
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word, self.seed)
+        value = xxhash.xxh3_64_intdigest(word)
         if len(self) >= _MAX_KNOWN:
             self.clear()
         self[word] = value
         return value
 
 
-def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
+def word_hashes(words: list[bytes]) -> np.ndarray:
     cache = worker_cache()
-    known = cache.get(("word_hashes", seed))
+    known = cache.get("word_hashes")
     if known is None:
-        known = cache["word_hashes", seed] = WordHashes(seed)
+        known = cache["word_hashes"] = WordHashes()
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+def other_hashes(h: np.ndarray) -> np.ndarray:
+    """Word hashes mixed anew, one to one, so that runs of them have hashes independent of those of runs of `h`."""
+    x = (h ^ (h >> np.uint64(31))) * _MIX
+    return (x ^ (x >> np.uint64(27))) * _ODD
+
+
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of two sequences one after the other, from their hashes; the order counts."""
     x = (a ^ (a >> _TURN)) * _ODD + (b ^ (b >> np.uint64(32))) * _MIX

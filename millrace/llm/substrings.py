@@ -7,7 +7,7 @@ corpus, and only windows whose run recurs are extended to twice the length. Equa
 windows choose the same run, so none that recurs is lost; and neighbouring
 windows mostly share one, so the first lengths ship a few per cent of all
 positions. At the last length the run is the window itself, and no longer one is
-tried, as it could cover no more words. There two independent hashes of 64 bits
+tried, as it could cover no more words. There two hashes of 64 bits
 tell windows of different texts apart.
 
 Copies of one text are collapsed first: every window of a text that occurs twice
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import flag_maybe_in, free_shuffles, materialize, maybe_in, read_table, ship_by_value, words
-from millrace.llm.grams import gram_hashes, word_hashes
+from millrace.llm.grams import gram_hashes, other_hashes, word_hashes
 
 WINDOW = 35
 #: Bits of the bitmap of recurring runs that spares shuffling the others.
@@ -69,8 +69,7 @@ def _runs(level: int, sizes: tuple[int, ...]):
             which, hashes, others, times = [], [], [], []
             before = batch.column(2) if level else None
             for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                tokens = (text or b"").split()
-                h = word_hashes(tokens)
+                h = word_hashes((text or b"").split())
                 if len(h) < window:
                     continue
                 runs, at = chosen(h, sizes[level], window)
@@ -81,7 +80,7 @@ def _runs(level: int, sizes: tuple[int, ...]):
                 which.append(np.full(len(found), i))
                 hashes.append(found.view(np.int64))
                 if last:
-                    others.append(gram_hashes(word_hashes(tokens, 1), window)[places[first]].view(np.int64))
+                    others.append((gram_hashes(other_hashes(h), window)[places[first]] if len(first) else found).view(np.int64))
                 times.append(np.minimum(n, 2))
             rows = np.concatenate(which) if which else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -168,7 +167,8 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     result. Equal texts are found by 96 bits of md5. Windows are told apart by 128
     bits between texts and by 64 within one, so among w windows of texts of n words
     one that doesn't recur is taken for one that does with a probability of
-    w / 2**128 + n / 2**64; words are told apart by the same two hashes.
+    w / 2**128 + n / 2**64. Both hashes are over 64-bit hashes of words: two words
+    that share one matter only where windows agree in all others.
     """
     w = words(F.col(text_col))
     base = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("_key"), w.alias("_w")).select(
