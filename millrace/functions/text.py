@@ -6,6 +6,7 @@ borders, (?iu) for caseless matching beyond ASCII, \\z for the very end.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column
@@ -22,6 +23,12 @@ OUTSIDE_CONTEXT = (
     r"|\boffline\b|\bsee #\d+|\bthis pr\b|\bprevious (comment|review)\b|\brefer to\b"
     r"|\bmentioned (above|earlier|before)\b"
 )
+# Words that every match of the pattern above holds one of, in small letters, and characters whose small
+# letters are no ASCII although they match one.
+OUTSIDE_KEYWORDS = ("as discussed", "as we ", "as you ", "see above", "see below", "see the ", "see #", "ditto", "same as", "same here", "same comment", "per our ", "per the ", "offline", "this pr", "previous comment", "previous review", "refer to", "mentioned ")
+FOLDED = ("\u017f", "\u212a", "\u0130", "\u0131")
+# Unicode's white space, the separators of ASCII among it.
+STRIPPED = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # What a token, a name, a fenced block and a preamble are; results depend on them.
 CODE_TOKEN = r"[A-Za-z_]\w*|\d+\.\d+|\d+|[^\sA-Za-z0-9_]"
 NAME_TOKEN = r"[A-Za-z_][A-Za-z0-9_]{2,}"
@@ -31,7 +38,14 @@ PREAMBLE = r"(?iuU)^\s*(here(?:'s| is)[^\n:]*:|revised code:|sure[,!][^\n]*|cert
 
 def pytrim(c: Column) -> Column:
     """Strip Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(c, F.lit(STRIPPED))
+
+
+def outside_context(c: Column, low: Column | None = None) -> Column:
+    """Whether a comment points outside its snippet; the pattern is tried only where one of its keywords stands. `low` is the comment in small letters."""
+    low = F.lower(c) if low is None else low
+    may = reduce(lambda a, b: a | b, [F.contains(low, F.lit(k)) for k in OUTSIDE_KEYWORDS] + [F.contains(c, F.lit(x)) for x in FOLDED])
+    return F.when(may, c.rlike("(?iuU)" + OUTSIDE_CONTEXT)).otherwise(F.when(c.isNotNull(), False))
 
 
 def lines_of(c: Column) -> Column:

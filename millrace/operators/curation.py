@@ -28,15 +28,14 @@ class Limits:
     languages: tuple[str, ...] = ("py", "java", "go", "js", "php", "rb", "c", "cpp", ".cs")
 
 
-def comment_reasons(comment: Column, lang: Column, limits: Limits) -> list[tuple[str, Column]]:
-    """The rules on the comment alone, in order."""
-    trimmed = T.pytrim(comment)
+def comment_reasons(trimmed: Column, lang: Column, limits: Limits, small: Column | None = None) -> list[tuple[str, Column]]:
+    """The rules on a stripped comment alone, in order; `small` is the comment in small letters."""
     low, high = limits.comment_chars
     return [
         ("language_not_selected", ~F.coalesce(lang, F.lit("")).isin(list(limits.languages))),
         ("empty_comment", F.length(trimmed) == 0),
         ("comment_non_actionable", trimmed.rlike("(?iuU)" + T.NON_ACTIONABLE)),
-        ("comment_references_outside_context", trimmed.rlike("(?iuU)" + T.OUTSIDE_CONTEXT)),
+        ("comment_references_outside_context", T.outside_context(trimmed, small)),
         ("comment_length", ~F.length(trimmed).between(low, high)),
         ("comment_not_ascii", T.ascii_ratio(trimmed) < limits.ascii_ratio),
     ]
@@ -59,9 +58,9 @@ def with_reject_reason(raw: DataFrame, limits: Limits = Limits()) -> DataFrame:
         T.strip_markers(F.coalesce("new", F.lit("")), "new").alias("new_code"),
         T.changed_line_count(F.coalesce("old", F.lit("")), F.coalesce("new", F.lit(""))).alias("n_changed_lines"),
     )
-    texts = texts.select("*", F.size(T.lines_of(F.col("old_code"))).alias("n_old_lines"), T.grounding(F.col("_comment"), F.col("old_code"), F.col("new_code")).alias("grounding"))
+    texts = texts.select("*", F.lower("_comment").alias("_low"), F.size(T.lines_of(F.col("old_code"))).alias("n_old_lines"), T.grounding(F.col("_comment"), F.col("old_code"), F.col("new_code")).alias("grounding"))
     low, high = limits.old_lines
-    reasons = comment_reasons(F.col("_comment"), F.col("lang"), limits) + [
+    reasons = comment_reasons(F.col("_comment"), F.col("lang"), limits, F.col("_low")) + [
         ("no_actual_change", F.col("old_code") == F.col("new_code")),
         ("empty_side", (T.pytrim(F.col("old_code")) == "") | (T.pytrim(F.col("new_code")) == "")),
         ("hunk_length", ~F.col("n_old_lines").between(low, high)),

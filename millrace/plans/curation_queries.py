@@ -34,8 +34,8 @@ def sql_words(c: str) -> str:
 
 
 def reasons(spark: SparkSession, d: str) -> DataFrame:
-    rows = documents(spark, d).withColumn("_trimmed", T.pytrim(F.coalesce("text", F.lit(""))))  # once, not in every rule
-    return rows.withColumn("reject_reason", C.first_reason(C.comment_reasons(F.col("_trimmed"), F.col("lang"), LIMITS)))
+    rows = documents(spark, d).withColumn("_trimmed", T.pytrim(F.coalesce("text", F.lit("")))).withColumn("_low", F.lower("_trimmed"))  # once, not in every rule
+    return rows.withColumn("reject_reason", C.first_reason(C.comment_reasons(F.col("_trimmed"), F.col("lang"), LIMITS, F.col("_low"))))
 
 
 def _rx(p: str) -> str:

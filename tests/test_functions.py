@@ -179,3 +179,18 @@ def test_messages(spark):
     assert one(spark, T.response_template(lit("[INST] U [/INST] AAAA"), "AAAA", "U")) == " [/INST]"
     assert one(spark, T.contains_run(F.array(*map(F.lit, (1, 2, 3))), F.array(*map(F.lit, (2, 3))))) is True
     assert one(spark, T.contains_run(F.array(F.lit(1)), F.array(*map(F.lit, (1, 2))))) is False
+
+
+def test_the_keywords_of_outside_context_lose_no_match(spark):
+    import re
+
+    said = [
+        "as discussed", "As we agreed on it", "as you said", "AS YOU MENTIONED", "see above", "See  above", "see below.", "see the docs", "ditto", "same as it", "Same here", "same comment", "per our chat", "per the convo", "offline", "see #12", "this PR", "previous comment",
+        "previous review", "refer to", "mentioned above", "mentioned earlier", "mentioned before", "ſame here", "thıs pr", "nothing", "as we go", "", "xK ditto", "unditto", "a per the way",
+    ]
+    df = spark.createDataFrame([(s,) for s in said], "s string")
+    got = {r.s: (r.a, r.b) for r in df.select("s", T.outside_context(F.col("s")).alias("a"), F.col("s").rlike("(?iuU)" + T.OUTSIDE_CONTEXT).alias("b")).collect()}
+    assert all(a == b for a, b in got.values()) and sum(a for a, _ in got.values()) > 20
+    assert all(got[s][0] == bool(re.search(T.OUTSIDE_CONTEXT, s, re.I)) for s in said if s.isascii())
+    strip = spark.createDataFrame([("  \x1c a b \x85\n",)], "s string").select(T.pytrim(F.col("s"))).first()[0]
+    assert strip == "  \x1c a b \x85\n".strip() == "a b"
