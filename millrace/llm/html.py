@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import cache
 from html import unescape
 
 import numpy as np
@@ -53,6 +52,8 @@ BUILT = frozenset("area bar block body bottom box button buttons column containe
 STATES = frozenset("has is no not with without hide hides show shows non un page single".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|[^>]*>?)", re.S)
+_RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I) for tag in RAW}
+_NAME_PART = re.compile("[a-z0-9]+")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 
 
@@ -109,7 +110,7 @@ def parse(html: str) -> Node:
         node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in RAW:
-            end = _raw_end(tag).search(html, at)
+            end = _RAW_END[tag].search(html, at)
             node.children.append(html[at : end.start() if end else len(html)])
             at = text_at = end.end() if end else len(html)
         elif tag not in VOID:  # a slash before > means nothing on an HTML element
@@ -121,11 +122,6 @@ def parse(html: str) -> Node:
     return root
 
 
-@cache
-def _raw_end(tag: str) -> re.Pattern[str]:
-    return re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I)
-
-
 def walk(root: Node) -> list[tuple[Node, bool]]:
     """All elements in page order, each with whether it stands in an article."""
     found, todo = [], [(root, False)]
@@ -153,15 +149,14 @@ def judged(node: Node, inside: bool) -> bool:
     return not inside or node.tag not in PROSE or any(k in node.attributes for k in ("class", "id", "role"))
 
 
-@cache
 def surrounds(name: str) -> bool:
     """Whether a name of a class, id or role, in small letters, says that its element is no part of an article."""
     if name in MARKS:
         return True
-    parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+    parts = _NAME_PART.findall(name)
     if len(parts) < 2 or parts[0] in STATES:
         return False
-    return parts[-1] in MARKS or (parts[0] in MARKS | FIRST_ONLY and all(x in BUILT or x.isdigit() for x in parts[1:]))
+    return parts[-1] in MARKS or ((parts[0] in MARKS or parts[0] in FIRST_ONLY) and all(x in BUILT or x.isdigit() for x in parts[1:]))
 
 
 def by_name(node: Node, inside: bool) -> bool:
