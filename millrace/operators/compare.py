@@ -41,23 +41,31 @@ def mcnemar(pairs: DataFrame, base: str, tuned: str, keys: list[str] | None = No
 
 def draws_of(spark: SparkSession, seed: int, resamples: int, n: int) -> DataFrame:
     """(r, i): n reproducible indexes below n for each resample; the md5 of a resample and block number gives four, of 8 hex digits each."""
+    blocks = -(-n // 4)
     parts = max(spark.sparkContext.defaultParallelism, -(-resamples * n // 5_000_000))
-    blocks = spark.range(0, resamples, 1, min(resamples, parts)).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 4))).alias("k"))
-    hashed = blocks.select("r", "k", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("k").cast("string"))).alias("h"))
-    four = hashed.select("r", "k", F.posexplode(F.array(*[F.substring("h", 1 + 8 * j, 8) for j in range(4)])).alias("j", "x"))
-    return four.filter(F.col("k") * 4 + F.col("j") < n).select("r", (F.conv("x", 16, 10).cast("long") % n).alias("i"))
+    numbered = spark.range(0, resamples * blocks, 1, parts).select(F.expr(f"id div {blocks}L").alias("r"), F.expr(f"id % {blocks}L").alias("k"))
+    hashed = numbered.select("r", "k", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("k").cast("string"))).alias("h"))
+    halves = hashed.select("r", "k", *[F.conv(F.substring("h", at, 16), 16, -10).cast("long").alias(f"x{at}") for at in (1, 17)])
+    low = F.lit((1 << 32) - 1)
+    digits = [d for x in ("x1", "x17") for d in (F.shiftrightunsigned(x, 32), F.col(x).bitwiseAND(low))]
+    four = halves.select("r", "k", F.posexplode(F.array(*digits)).alias("j", "x"))
+    return four.filter(F.col("k") * 4 + F.col("j") < n).select("r", (F.col("x") % n).alias("i"))
 
 
+#: Pairs are broadcast to the draws up to this many numbers (16 MB); beyond it both sides are sorted.
+MAX_BROADCAST = 2_000_000
 #: Differences are added up in units of this many decimal places.
 UNIT = 10
 
 
-def bootstrap_table(pairs: DataFrame, key: str, metrics: list[str], *, resamples: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+def bootstrap_table(pairs: DataFrame, key: str, metrics: list[str], *, resamples: int = 10_000, alpha: float = 0.05, seed: int = 0, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """metric, n, base, tuned, delta, ci_low, ci_high and significant, from base_<metric> and tuned_<metric>; a null difference counts as 0.
 
-    All metrics share the draws: `resamples` rows explode into n draws where they
-    are used, and meet the pairs, which are numbered by ranges of the key. The work is resamples x n, as the method has it;
-    no pairs give no rows.
+    All metrics share the draws, which are made where they are used and meet the
+    pairs, numbered by ranges of the key. The planner can't know how many draws
+    there are, so the join is named: the pairs, which are counted, are broadcast or
+    sorted, never the draws. The work is resamples x n, as the method has it; no
+    pairs give no rows.
     """
     spark = pairs.sparkSession
     diffs = [F.coalesce(F.col(f"tuned_{m}").cast("double") - F.col(f"base_{m}").cast("double"), F.lit(0.0)).cast("decimal(18,10)") for m in metrics]
@@ -73,7 +81,8 @@ def bootstrap_table(pairs: DataFrame, key: str, metrics: list[str], *, resamples
     by = "_key" if numeric else "_hash"  # other keys are numbered by their hash
     indexed = ranked(rows.withColumn("_hash", F.xxhash64("_key")), by, ["_key"], "_at").select((F.col("_at") - 1).alias("i"), *[f"d{i}" for i in range(len(metrics))])
     counts = draws_of(spark, seed, resamples, n)
-    sums = counts.join(indexed, "i").groupBy("r").agg(*[(F.sum(f"d{i}") / 10.0**UNIT / n).alias(f"m{i}") for i in range(len(metrics))])
+    small = n * (len(metrics) + 1) <= max_broadcast
+    sums = counts.join(F.broadcast(indexed) if small else indexed.hint("merge"), "i").groupBy("r").agg(*[(F.sum(f"d{i}") / 10.0**UNIT / n).alias(f"m{i}") for i in range(len(metrics))])
     long = sums.select("r", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"m{i}").alias("m")) for i, m in enumerate(metrics)])))
     placed = long.withColumn("at", F.row_number().over(Window.partitionBy("metric").orderBy("m", "r")) - 1)  # `resamples` rows a metric
     low, high = int(alpha / 2 * resamples), min(resamples - 1, int((1 - alpha / 2) * resamples))

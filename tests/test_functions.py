@@ -194,3 +194,26 @@ def test_the_keywords_of_outside_context_lose_no_match(spark):
     assert all(got[s][0] == bool(re.search(T.OUTSIDE_CONTEXT, s, re.I)) for s in said if s.isascii())
     strip = spark.createDataFrame([("  \x1c a b \x85\n",)], "s string").select(T.pytrim(F.col("s"))).first()[0]
     assert strip == "  \x1c a b \x85\n".strip() == "a b"
+
+
+def test_bootstrap_never_broadcasts_its_draws(spark, capsys):
+    import hashlib
+
+    n, resamples = 11, 40
+    rows = [(i, float(i % 3), float(i * i % 7)) for i in range(n)]
+    pairs = spark.createDataFrame(rows, "i long, base_x double, tuned_x double")
+    tables = []
+    for limit in (CP.MAX_BROADCAST, 0):
+        table = CP.bootstrap_table(pairs, "i", ["x"], resamples=resamples, max_broadcast=limit)
+        tables.append(table.collect())
+        table.explain()
+        lines = capsys.readouterr().out.splitlines()
+        at = next(k for k, line in enumerate(lines) if "Range (0, 120" in line)  # the join stands above its inputs
+        join = next(line for line in reversed(lines[:at]) if "Join" in line)
+        assert "SortMergeJoin" in join if limit == 0 else "BroadcastHashJoin" in join and "BuildRight" in join
+    assert tables[0] == tables[1]
+    draws = sorted((r.r, r.i) for r in CP.draws_of(spark, 0, resamples, n).collect())
+    digest = lambda r, k: hashlib.md5(f"0:{r}:{k // 4}".encode()).hexdigest()[8 * (k % 4) : 8 * (k % 4) + 8]
+    assert draws == sorted((r, int(digest(r, k), 16) % n) for r in range(resamples) for k in range(n))
+    means = sorted(sum(rows[i][2] - rows[i][1] for s, i in draws if s == r) / n for r in range(resamples))
+    assert tables[0][0].ci_low == pytest.approx(means[1]) and tables[0][0].ci_high == pytest.approx(means[39])
