@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, exact_dedup, html, inverted, licenses, minhash, mixing, packing, quality, sharding, spelling, substrings
+from millrace.llm import chat, exact_dedup, html, inverted, licenses, minhash, mixing, packing, quality, sharding, spelling, substrings, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_superminhash": minhash.op8,
         "op9_license_rules": licenses.op9,
         "op10_levelwise_doubling": substrings.op10,
+        "op11_partial_tries": trie.op11,
         "op12_automaton_halves": spelling.op12,
         "op13_positional_index": inverted.op13,
     }
@@ -33,6 +34,7 @@ def oracles() -> dict[str, str]:
         "op4_streaming_dedup": exact_dedup.OP4_SQL,
         "op5_interleaved_shards": sharding.OP5_SQL,
         "op6_hash_threshold_mix": mixing.OP6_SQL,
+        "op11_partial_tries": trie.OP11_SQL,
         "op12_automaton_halves": spelling.OP12_SQL,
         "op13_positional_index": inverted.OP13_SQL,
     }
