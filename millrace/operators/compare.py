@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scores import mcnemar_p, outcome
 from millrace.operators.metrics import by_slices
 from millrace.operators.ranges import ranked
+from millrace.session import written
 
 
 def last_wins(rows: DataFrame, key: str, line: str) -> DataFrame:
@@ -39,38 +45,73 @@ def mcnemar(pairs: DataFrame, base: str, tuned: str, keys: list[str] | None = No
     return counts.withColumn("p_value", p).withColumn("significant", F.col("p_value") < 0.05)
 
 
-def draws_of(spark: SparkSession, seed: int, resamples: int, n: int) -> DataFrame:
-    """(r, i): n reproducible indexes below n for each resample; the md5 of a resample and block number gives four, of 8 hex digits each."""
-    blocks = -(-n // 4)
-    parts = max(spark.sparkContext.defaultParallelism, -(-resamples * n // 5_000_000))
-    numbered = spark.range(0, resamples * blocks, 1, parts).select(F.expr(f"id div {blocks}L").alias("r"), F.expr(f"id % {blocks}L").alias("k"))
-    hashed = numbered.select("r", "k", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("k").cast("string"))).alias("h"))
-    halves = hashed.select("r", "k", *[F.conv(F.substring("h", at, 16), 16, -10).cast("long").alias(f"x{at}") for at in (1, 17)])
-    low = F.lit((1 << 32) - 1)
-    digits = [d for x in ("x1", "x17") for d in (F.shiftrightunsigned(x, 32), F.col(x).bitwiseAND(low))]
-    four = halves.select("r", "k", F.posexplode(F.array(*digits)).alias("j", "x"))
-    return four.filter(F.col("k") * 4 + F.col("j") < n).select("r", (F.col("x") % n).alias("i"))
+#: Pairs of a block, resamples that one task draws, and decimal places in whose units differences are added up.
+BLOCK, RESAMPLES, UNIT = 4096, 250, 10
+
+
+def numbers(name: str, n: int) -> np.ndarray:
+    """n reproducible numbers below 2**32: the md5 of `name` and a count gives four."""
+    digests = b"".join([hashlib.md5(f"{name}:{k}".encode()).digest() for k in range(-(-n // 4))])
+    return np.frombuffer(digests, ">u4")[:n].astype(np.int64)
+
+
+def split_counts(seed: int, r: int, n: int, block: int) -> np.ndarray:
+    """How many of resample r's n draws fall into each block of pairs, a piece of the draws at a time."""
+    counts = np.zeros(-(-n // block), np.int64)
+    for start in range(0, n, 1 << 20):
+        digests = b"".join([hashlib.md5(f"{seed}:{r}:{k}".encode()).digest() for k in range(start // 4, -(-min(n, start + (1 << 20)) // 4))])
+        draws = np.frombuffer(digests, ">u4").astype(np.int64)[: n - start]
+        counts += np.bincount(draws % n // block, minlength=len(counts))
+    return counts
+
+
+def block_counts(spark: SparkSession, seed: int, resamples: int, n: int, block: int) -> DataFrame:
+    """(b, first, times): for each block of pairs, how often it is drawn by RESAMPLES resamples from `first` on."""
+    firsts = spark.range(0, resamples, RESAMPLES, -(-resamples // RESAMPLES)).select(F.col("id").alias("first"))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first in batch["first"]:
+                drawn = range(first, min(first + RESAMPLES, resamples))
+                # With one block the draws themselves are taken inside it.
+                times = np.stack([split_counts(seed, r, n, block) for r in drawn], axis=1) if n > block else np.full((1, len(drawn)), n)
+                yield pd.DataFrame({"b": np.arange(len(times)), "first": first, "times": list(times)})
+
+    return firsts.mapInPandas(split, "b long, first long, times array<long>")
+
+
+def drawn_sums(seed: int, n: int, block: int, width: int):
+    """Rows (b, first, times, values): each resample's sums of the values that it draws inside the block."""
 
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b, first, times, values in zip(batch["b"], batch["first"], batch["times"], batch["values"], strict=True):
+                table = np.stack(list(values)).astype(np.int64)
+                sums = np.empty((len(times), width), np.int64)
+                for j, m in enumerate(times):
+                    name = f"{seed}:{first + j}:{b}" if n > block else f"{seed}:{first + j}"
+                    sums[j] = np.bincount(numbers(name, int(m)) % len(table), minlength=len(table)) @ table
+                yield pd.DataFrame({"r": np.arange(first, first + len(times)), **{f"d{i}": sums[:, i] for i in range(width)}})
 
-#: Pairs are broadcast to the draws up to this many numbers (16 MB); beyond it both sides are sorted.
-MAX_BROADCAST = 2_000_000
-#: Differences are added up in units of this many decimal places.
-UNIT = 10
+    return draw
 
 
-def bootstrap_table(pairs: DataFrame, key: str, metrics: list[str], *, resamples: int = 10_000, alpha: float = 0.05, seed: int = 0, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def bootstrap_table(pairs: DataFrame, key: str, metrics: list[str], *, resamples: int = 10_000, alpha: float = 0.05, seed: int = 0, block: int = BLOCK) -> DataFrame:
     """metric, n, base, tuned, delta, ci_low, ci_high and significant, from base_<metric> and tuned_<metric>; a null difference counts as 0.
 
-    All metrics share the draws, which are made where they are used and meet the
-    pairs, numbered by ranges of the key. The planner can't know how many draws
-    there are, so the join is named: the pairs, which are counted, are broadcast or
-    sorted, never the draws. The work is resamples x n, as the method has it; no
-    pairs give no rows.
+    Draws are split like a tree. Pairs are numbered by ranges of the key and dealt
+    into blocks; of a resample, first the number of draws that fall into each block
+    is drawn, then, for a block by itself, which of its pairs they are. Both are
+    seeded hashes, so a task can draw for any block and any resamples, and all
+    metrics share the draws. Draws never leave their task: what is shuffled is the
+    pairs, once, and for each block one row for every RESAMPLES resamples. No pairs
+    give no rows.
     """
     spark = pairs.sparkSession
     diffs = [F.coalesce(F.col(f"tuned_{m}").cast("double") - F.col(f"base_{m}").cast("double"), F.lit(0.0)).cast("decimal(18,10)") for m in metrics]
     diffs = [(d * 10**UNIT).cast("long").alias(f"d{i}") for i, d in enumerate(diffs)]  # whole numbers: their sums don't depend on the order of rows
-    rows = pairs.select(F.col(key).alias("_key"), *diffs, *[F.col(f"{side}_{m}").cast("double").alias(f"{side[0]}{i}") for i, m in enumerate(metrics) for side in ("base", "tuned")])
+    rows = pairs.select(F.col(key).alias("_key"), F.xxhash64(key).alias("_hash"), *diffs, *[F.col(f"{side}_{m}").cast("double").alias(f"{side[0]}{i}") for i, m in enumerate(metrics) for side in ("base", "tuned")])
+    rows = written(rows, "pairs")
     means = [c for i in range(len(metrics)) for c in (F.avg(f"b{i}").alias(f"b{i}"), F.avg(f"t{i}").alias(f"t{i}"), (F.sum(f"d{i}") / 10.0**UNIT).alias(f"d{i}"))]
     whole = rows.agg(F.count(F.lit(1)).alias("n"), *means).first()
     n = whole["n"]
@@ -79,10 +120,13 @@ def bootstrap_table(pairs: DataFrame, key: str, metrics: list[str], *, resamples
         return spark.createDataFrame([], schema)
     numeric = rows.schema["_key"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp")
     by = "_key" if numeric else "_hash"  # other keys are numbered by their hash
-    indexed = ranked(rows.withColumn("_hash", F.xxhash64("_key")), by, ["_key"], "_at").select((F.col("_at") - 1).alias("i"), *[f"d{i}" for i in range(len(metrics))])
-    counts = draws_of(spark, seed, resamples, n)
-    small = n * (len(metrics) + 1) <= max_broadcast
-    sums = counts.join(F.broadcast(indexed) if small else indexed.hint("merge"), "i").groupBy("r").agg(*[(F.sum(f"d{i}") / 10.0**UNIT / n).alias(f"m{i}") for i in range(len(metrics))])
+    at = F.col("_at") - 1
+    indexed = ranked(rows, by, ["_key"], "_at").select(at.alias("i"), F.floor(at / F.lit(block)).alias("_b"), F.array(*[f"d{i}" for i in range(len(metrics))]).alias("v"))
+    blocks = indexed.groupBy("_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("values"))  # `block` pairs at most
+    drawn = block_counts(spark, seed, resamples, n, block).join(blocks, F.col("b") == F.col("_b")).select("b", "first", "times", "values")
+    width = len(metrics)
+    sums = drawn.mapInPandas(drawn_sums(seed, n, block, width), "r long, " + ", ".join(f"d{i} long" for i in range(width)))
+    sums = sums.groupBy("r").agg(*[(F.sum(f"d{i}") / 10.0**UNIT / n).alias(f"m{i}") for i in range(width)])
     long = sums.select("r", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"m{i}").alias("m")) for i, m in enumerate(metrics)])))
     placed = long.withColumn("at", F.row_number().over(Window.partitionBy("metric").orderBy("m", "r")) - 1)  # `resamples` rows a metric
     low, high = int(alpha / 2 * resamples), min(resamples - 1, int((1 - alpha / 2) * resamples))

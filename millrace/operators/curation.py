@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.taxonomy import classify
 from millrace.operators.ranges import ranked
+from millrace.session import written
 
 
 @dataclass(frozen=True)
@@ -96,30 +95,67 @@ def cascade_verdicts(judged: DataFrame, *, hash_keys: list[str], repo_keys: list
     return rows
 
 
-def greedy(df: DataFrame, *, hash_col: str, repo_col: str, comment_col: str, order_col: str, per_repo: int, per_comment: int) -> DataFrame:
-    """The exact sequential form: a row that one rule refuses uses up no other quota and claims no hash.
+def top_rows(alive: DataFrame, key: str, limit: int) -> DataFrame:
+    """at of the first `limit` rows of each key; Spark trims each partition to as many a key before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("at"))
+    return alive.select(key, "at").withColumn("_rank", rank).filter(F.col("_rank") <= limit).select("at")
+
+
+def settled(waiting: DataFrame, kept: DataFrame, limits: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """(newly kept, still waiting): one round over rows (at and the keys of `limits`).
 
-    By nature a fold over all rows in order, so only four narrow columns go to
-    its one task; payloads stay where they are and are joined to the verdicts.
+    A row stays for sure if, for every key, it is among the first `limit` of the rows
+    that are kept or waiting; whatever becomes of those before it, its key has room.
+    A row goes for sure if a key has as many kept rows as its limit. The first
+    waiting row is always one or the other.
     """
+    tops = None
+    for key, limit in limits.items():
+        top = top_rows(kept.unionByName(waiting), key, limit)
+        tops = top if tops is None else tops.unionByName(top)
+    clear = tops.groupBy(F.col("at").alias("_at")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == len(limits)).select("_at")
+    judged = written(waiting.join(clear, F.col("at") == F.col("_at"), "left").withColumn("stays", F.col("_at").isNotNull()).drop("_at"), "greedy-judged")
+    stay = judged.filter("stays").drop("stays")
+    now, left = kept.unionByName(stay), judged.filter("not stays").drop("stays")
+    for key, limit in limits.items():
+        full = now.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= limit).select("_k")
+        left = left.join(full, F.col(key).eqNullSafe(F.col("_k")), "left_anti")
+    return stay, left
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[str] = set()
-        repos: dict[str, int] = {}
-        comments: dict[str, int] = {}
-        for rows in batches:
-            verdicts = []
-            for h, repo, comment in zip(rows["h"], rows["repo"], rows["comment"], strict=True):
-                reason = "duplicate" if h in seen else "repo_quota" if repos.get(repo, 0) >= per_repo else "comment_quota" if comments.get(comment, 0) >= per_comment else ""
-                if not reason:
-                    seen.add(h)
-                    repos[repo] = repos.get(repo, 0) + 1
-                    comments[comment] = comments.get(comment, 0) + 1
-                verdicts.append(reason)
-            yield pd.DataFrame({"order_key": rows["order_key"], "verdict": verdicts})
-
-    slim = df.select(F.col(order_col).alias("order_key"), F.col(hash_col).alias("h"), F.col(repo_col).alias("repo"), F.col(comment_col).alias("comment"))
-    return slim.repartition(1).sortWithinPartitions("order_key").mapInPandas(fold, "order_key long, verdict string")
+
+def greedy(df: DataFrame, *, hash_col: str, repo_col: str, comment_col: str, order_col: str, per_repo: int, per_comment: int) -> DataFrame:
+    """(order_key, verdict) of the exact sequential form: a row that one rule refuses uses up no other quota and claims no hash.
+
+    The fold over all rows in order is worked out in rounds: each settles, in
+    parallel, every row whose fate no waiting row can change, until none waits. A
+    key's group is trimmed to its limit before it is shuffled, so a repository with
+    a third of all rows is no task of its own. The number of rounds is that of the
+    longest chain of rows that wait for each other, and no more than the rows. The
+    rule that refused a row then follows from the rows that stay: the first whose
+    limit they had reached before it. Order keys must differ; a null hash, repository
+    or comment is a key like any other, and no rows give no rows.
+    """
+    limits = {"h": 1, "repo": per_repo, "comment": per_comment}
+    names = {"h": "duplicate", "repo": "repo_quota", "comment": "comment_quota"}
+    rows = written(df.select(F.col(order_col).cast("long").alias("at"), F.col(hash_col).alias("h"), F.col(repo_col).alias("repo"), F.col(comment_col).alias("comment")), "greedy-rows")
+    if min(limits.values()) <= 0:
+        first = next(k for k in limits if limits[k] <= 0)
+        kept, before = rows.limit(0), names[first]
+    else:
+        kept, waiting, before = rows.limit(0), rows, None
+        while not waiting.isEmpty():
+            stay, left = settled(waiting, kept, limits)
+            waiting = written(left, "greedy-waiting")
+            kept = kept.unionByName(stay)
+    told = rows
+    for key, limit in limits.items():
+        rank = F.row_number().over(Window.partitionBy(key).orderBy("at"))
+        reached = kept.select(F.col(key).alias(f"_k_{key}"), F.col("at").alias(f"_at_{key}"), rank.alias("_rank")).filter(F.col("_rank") == limit).drop("_rank")
+        told = told.join(reached, F.col(key).eqNullSafe(F.col(f"_k_{key}")), "left")
+    reason = F.when(F.lit(before is not None), F.lit(before))
+    for key in limits:
+        reason = reason.when(F.col(f"_at_{key}") < F.col("at"), names[key])
+    return told.select(F.col("at").alias("order_key"), reason.otherwise("").alias("verdict"))
 
 
 def funnel_counts(df: DataFrame, keys: list[str], reason_col: str = "reject_reason") -> DataFrame:

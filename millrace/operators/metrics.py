@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from millrace.functions.text import code_tokens, normalize_code, pytrim
 
@@ -17,6 +22,8 @@ MEANS = {
     "edit_line_f1": "changed_right_lines",
     "delta_to_gold": "delta_to_gold",
 }
+#: Longest n-grams of BLEU.
+ORDERS = 4
 SLICE_MEANS = {k: MEANS[k] for k in ("exact_match", "improved_rate", "edit_line_f1")}
 
 
@@ -68,30 +75,29 @@ def by_slices(scored: DataFrame, slices: list[str], means: dict[str, str], blank
     return grouped.select(which.alias("slice"), F.coalesce(*slices).alias("value"), "n", *means)
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def clipped(pred: pd.Series, gold: pd.Series) -> pd.Series:
+    """Of two arrays of tokens, the n-grams in common for n from 1 to ORDERS, each as often as the rarer side has it."""
+
+    def common(p: np.ndarray, g: np.ndarray) -> list[int]:
+        known: dict[str, int] = {}
+        a, b = ([known.setdefault(x, len(known)) for x in (() if t is None else t)] for t in (p, g))
+        return [(Counter(zip(*(a[i:] for i in range(n)), strict=False)) & Counter(zip(*(b[i:] for i in range(n)), strict=False))).total() for n in range(1, ORDERS + 1)]
+
+    return pd.Series([common(p, g) for p, g in zip(pred, gold, strict=True)])
+
+
 def bleu_counts(pairs: DataFrame, key: str, pred: str, gold: str) -> DataFrame:
     """n, hits, total and gold_total per n-gram length 1 to 4; the totals of length 1 are the corpus lengths.
 
-    n-grams are counted by pair with partial aggregation, then clipped; the two
-    sides are one union, so that a single shuffle by (pair, n, gram) does it all.
+    n-grams are counted and clipped inside the row, so that only three sums for
+    each length leave a task.
     """
-    tokens = pairs.select(key, F.explode(F.array(F.struct(F.lit(1).alias("side"), code_tokens(F.col(pred)).alias("t")), F.struct(F.lit(0).alias("side"), code_tokens(F.col(gold)).alias("t")))).alias("x"))
-    tokens = tokens.select(key, "x.side", "x.t")
-    grams = tokens.select(
-        key,
-        "side",
-        F.explode(
-            F.flatten(
-                F.transform(
-                    F.array(*[F.lit(n) for n in (1, 2, 3, 4)]),
-                    lambda n: F.when(
-                        F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - n + 1, F.lit(1))), lambda i: F.struct(n.alias("n"), F.array_join(F.slice("t", i, n), " ").alias("g")))
-                    ).otherwise(F.expr("cast(array() as array<struct<n:int,g:string>>)")),
-                )
-            )
-        ).alias("x"),
-    )
-    counts = grams.groupBy(key, "x.n", "x.g").agg(F.sum("side").alias("p"), F.sum(1 - F.col("side")).alias("q"))
-    return counts.groupBy("n").agg(F.sum(F.least("p", "q")).alias("hits"), F.sum("p").alias("total"), F.sum("q").alias("gold_total"))
+    tokens = pairs.select(code_tokens(F.col(pred)).alias("p"), code_tokens(F.col(gold)).alias("g"))
+    counted = tokens.select(F.size("p").alias("p"), F.size("g").alias("g"), clipped("p", "g").alias("hits"))
+    orders = [F.struct(F.lit(n).alias("n"), F.col("hits")[n - 1].alias("hits"), F.greatest(F.col("p") - (n - 1), F.lit(0)).alias("total"), F.greatest(F.col("g") - (n - 1), F.lit(0)).alias("gold_total")) for n in range(1, ORDERS + 1)]
+    sums = counted.select(F.inline(F.array(*orders))).groupBy("n").agg(*[F.sum(c).alias(c) for c in ("hits", "total", "gold_total")])
+    return sums.filter("total + gold_total > 0")
 
 
 def corpus_bleu(pairs: DataFrame, key: str, pred: str, gold: str) -> DataFrame:

@@ -375,7 +375,16 @@ SELECT doc_id, norm, hash, left(hash, 16) AS id FROM h""",
         f"""WITH a AS (SELECT * FROM ({KEYED}) QUALIFY row_number() OVER (PARTITION BY hash ORDER BY doc_id) = 1),
 b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10) SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY first_word ORDER BY doc_id) <= 3""",
     ),
-    "quota_exact_greedy": (quota_exact_greedy, None),
+    "quota_exact_greedy": (
+        quota_exact_greedy,
+        f"""WITH RECURSIVE k AS ({KEYED}), o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM k),
+f AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS doc_id, 'none' AS verdict, []::VARCHAR[] AS hashes, []::VARCHAR[] AS repos, []::VARCHAR[] AS comments UNION ALL
+  SELECT i, doc_id, verdict, CASE WHEN verdict = '' THEN list_append(hashes, hash) ELSE hashes END, CASE WHEN verdict = '' THEN list_append(repos, coalesce(source, '?')) ELSE repos END,
+         CASE WHEN verdict = '' THEN list_append(comments, coalesce(first_word, '?')) ELSE comments END
+  FROM (SELECT o.*, hashes, repos, comments, CASE WHEN list_contains(hashes, coalesce(hash, '?')) THEN 'duplicate' WHEN len(list_filter(repos, lambda x: x = coalesce(source, '?'))) >= 10 THEN 'repo_quota'
+          WHEN len(list_filter(comments, lambda x: x = coalesce(first_word, '?'))) >= 3 THEN 'comment_quota' ELSE '' END AS verdict FROM f JOIN o ON o.i = f.i + 1))
+SELECT doc_id, verdict FROM f WHERE i > 0""",
+    ),
     "most_common_sources": (
         most_common_sources,
         "WITH c AS (SELECT source AS value, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY 1) SELECT value, n, row_number() OVER (ORDER BY n DESC, f) AS rank FROM c",

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,3 +51,17 @@ def shared_dir(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         folder = "file://" + _own[0]
     return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as Parquet in the application's own folder of the shared one, read back: computed once, and kept if executors are lost.
+
+    The folder goes when the driver ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

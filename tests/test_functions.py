@@ -1,6 +1,8 @@
 """Text, score and statistics functions on small inputs with known results."""
 
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from millrace.functions import scores as SC
 from millrace.functions import taxonomy as X
 from millrace.functions import text as T
 from millrace.operators import compare as CP
+from millrace.operators import curation as C
 from millrace.operators import judge as J
 from millrace.operators import metrics as M
 from millrace.operators import percentiles as Q
@@ -196,24 +199,64 @@ def test_the_keywords_of_outside_context_lose_no_match(spark):
     assert strip == "  \x1c a b \x85\n".strip() == "a b"
 
 
-def test_bootstrap_never_broadcasts_its_draws(spark, capsys):
+def test_bootstrap_draws_blocks_first_and_then_inside(spark):
     import hashlib
 
-    n, resamples = 11, 40
+    def draws(name, n):
+        return [int(hashlib.md5(f"{name}:{k // 4}".encode()).hexdigest()[8 * (k % 4) : 8 * (k % 4) + 8], 16) for k in range(n)]
+
+    n, resamples = 11, 600
     rows = [(i, float(i % 3), float(i * i % 7)) for i in range(n)]
-    pairs = spark.createDataFrame(rows, "i long, base_x double, tuned_x double")
-    tables = []
-    for limit in (CP.MAX_BROADCAST, 0):
-        table = CP.bootstrap_table(pairs, "i", ["x"], resamples=resamples, max_broadcast=limit)
-        tables.append(table.collect())
-        table.explain()
-        lines = capsys.readouterr().out.splitlines()
-        at = next(k for k, line in enumerate(lines) if "Range (0, 120" in line)  # the join stands above its inputs
-        join = next(line for line in reversed(lines[:at]) if "Join" in line)
-        assert "SortMergeJoin" in join if limit == 0 else "BroadcastHashJoin" in join and "BuildRight" in join
-    assert tables[0] == tables[1]
-    draws = sorted((r.r, r.i) for r in CP.draws_of(spark, 0, resamples, n).collect())
-    digest = lambda r, k: hashlib.md5(f"0:{r}:{k // 4}".encode()).hexdigest()[8 * (k % 4) : 8 * (k % 4) + 8]
-    assert draws == sorted((r, int(digest(r, k), 16) % n) for r in range(resamples) for k in range(n))
-    means = sorted(sum(rows[i][2] - rows[i][1] for s, i in draws if s == r) / n for r in range(resamples))
-    assert tables[0][0].ci_low == pytest.approx(means[1]) and tables[0][0].ci_high == pytest.approx(means[39])
+    d = [b - a for _, a, b in rows]
+    pairs = spark.createDataFrame(rows, "i long, base_x double, tuned_x double").repartition(3)
+    for block in (4096, 11, 4, 1):
+        got = CP.bootstrap_table(pairs, "i", ["x"], resamples=resamples, block=block).first()
+        means = []
+        for r in range(resamples):
+            picked = [x % n for x in draws(f"0:{r}", n)]
+            if n > block:
+                times = [sum(i // block == b for i in picked) for b in range(-(-n // block))]
+                picked = [b * block + x % min(block, n - b * block) for b, m in enumerate(times) for x in draws(f"0:{r}:{b}", m)]
+            assert len(picked) == n
+            means.append(sum(d[i] for i in picked) / n)
+        means.sort()
+        assert (got.n, got.ci_low, got.ci_high) == (n, pytest.approx(means[15]), pytest.approx(means[585]))
+
+
+def test_bootstrap_shuffles_no_draws(spark):
+    counts = CP.block_counts(spark, 0, 1000, 50_000, 4096)
+    assert counts.count() == 4 * 13 and counts.select(F.sum(F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] == 1000 * 50_000
+
+
+def test_bleu_counts_inside_the_row(spark):
+    rows = [(1, "a b a b c", "a b c a b a b"), (2, "x", "x y"), (3, "", "z"), (4, None, "q q"), (5, "k k k k k", "k k")]
+    got = {r.n: tuple(r)[1:] for r in M.bleu_counts(spark.createDataFrame(rows, "id long, p string, g string"), "id", "p", "g").collect()}
+    want = {}
+    for n in (1, 2, 3, 4):
+        hits = total = gold = 0
+        for _, p, g in rows:
+            a, b = (Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1)) for t in ((p or "").split(), g.split()))
+            hits, total, gold = hits + (a & b).total(), total + a.total(), gold + b.total()
+        want[n] = (hits, total, gold)
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_exact_quotas_equal_a_fold(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i * 3, f"h{rng.randrange(120)}", rng.choice(["hot", "hot", None, *"abcdefgh"]), f"c{min(rng.randrange(25), rng.randrange(25))}") for i in range(400)]
+    rng.shuffle(rows)
+    limits = ((5, 3), (1, 1), (9, 4))[seed]
+    seen, repos, comments, want = set(), Counter(), Counter(), {}
+    for at, h, repo, comment in sorted(rows, key=lambda r: r[0]):
+        want[at] = "duplicate" if h in seen else "repo_quota" if repos[repo] >= limits[0] else "comment_quota" if comments[comment] >= limits[1] else ""
+        if not want[at]:
+            seen.add(h)
+            repos[repo] += 1
+            comments[comment] += 1
+    df = spark.createDataFrame(rows, "at long, hash string, repo string, comment string").repartition(3)
+    names = {"hash_col": "hash", "repo_col": "repo", "comment_col": "comment", "order_col": "at"}
+    assert dict(C.greedy(df, **names, per_repo=limits[0], per_comment=limits[1]).collect()) == want and len(set(want.values())) == 4
+    assert C.greedy(df.limit(0), **names, per_repo=1, per_comment=1).count() == 0
+    if seed == 0:
+        assert {v for _, v in C.greedy(df, **names, per_repo=0, per_comment=1).collect()} == {"repo_quota"}
