@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.operators import percentiles as Q
 from millrace.operators import runs as R
 from millrace.operators import splits as S
 from millrace.plans.curation_queries import documents
+from millrace.session import shared_dir
+from millrace.sources import tables
 from millrace.streaming import queries as SQ
 
 
@@ -28,6 +32,16 @@ def latency_percentiles(spark, d):
     return found.select("event_type", "n", "p50", "p95")
 
 
+def scan_limit(spark, d):
+    """The first 500 documents of JSON lines among blank and broken ones, by a scan that stops reading there."""
+    told = F.to_json(F.struct("doc_id", "lang", "text"))
+    lines = documents(spark, d).select("doc_id", F.posexplode(F.array(F.lit("  "), told, F.lit('{"doc_id": '))).alias("at", "value"))
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/lines-{uuid.uuid4().hex[:12]}"
+    lines.orderBy("doc_id", "at").select("value").write.text(path)
+    found = tables.read_tolerant(spark, path, "doc_id long, lang string, text string", limit=500)
+    return found.select("doc_id", "lang", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
+
+
 def length_stats(spark, d):
     """Lengths by the convention sorted[int(q n)], the share above a limit, and the limit that would keep 99 % of them."""
     return R.length_report(documents(spark, d), "n_chars", 4000)
@@ -152,6 +166,7 @@ SELECT s.run, best_loss, best_step, (SELECT count(*) FROM l WHERE l.run = s.run
         """WITH r AS (SELECT user_id::VARCHAR AS run, min(value) FILTER (event_type = 'purchase') AS loss FROM events GROUP BY 1)
 SELECT run, loss, row_number() OVER (ORDER BY loss NULLS LAST, run) AS rank FROM r""",
     ),
+    "scan_limit": (scan_limit, "SELECT doc_id, lang, md5(text) AS digest, length(text)::BIGINT AS n FROM documents ORDER BY doc_id LIMIT 500"),
     "training_numbers": (
         training_numbers,
         """SELECT doc_id, greatest(1, ceil(n_chars::DOUBLE / 16))::BIGINT AS steps_per_epoch, greatest(1, floor(greatest(1, ceil(n_chars::DOUBLE / 16)) / 4))::BIGINT AS eval_steps,

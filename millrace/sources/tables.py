@@ -33,12 +33,22 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("id")).alias("_order"))
 
 
+#: What a line must be to count.
+PARSES = "trim(value) <> '' and try_parse_json(value) is not null"
+
+
 def read_tolerant(spark: SparkSession, path: str, schema: str | StructType, limit: int | None = None) -> DataFrame:
-    """JSON lines; blank and unparseable ones are skipped. `limit` keeps the first parseable lines in file order."""
-    lines = numbered_lines(spark, path).filter("trim(value) <> '' and try_parse_json(value) is not null")
+    """JSON lines; blank and unparseable ones are skipped. `limit` keeps the first parseable lines in file order.
+
+    With a limit the files are read from the front, and no further than about where the limit falls.
+    """
     if limit is not None:
-        lines = lines.orderBy("_order").limit(limit)
-    parsed = lines.select(F.from_json("value", schema).alias("r"), "_order")
+        from millrace.sources.lines import read_capped
+
+        found = read_capped(spark, path, limit, PARSES).lines
+        parsed = found.select(F.from_json("value", schema).alias("r"), F.struct(F.col("file"), F.col("offset")).alias("_order"))
+        return parsed.select("r.*", "_order")
+    parsed = numbered_lines(spark, path).filter(PARSES).select(F.from_json("value", schema).alias("r"), "_order")
     return parsed.select("r.*", "_order")
 
 
@@ -117,6 +127,20 @@ def checksums(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".s
 CHUNK = 1 << 20
 
 
+def opened(path: str):
+    """A file as a stream that is read a chunk at a time, unpacked if its name says it is packed.
+
+    Files are opened through pyarrow's file systems, by executors. A stream of a
+    plain file can be set to any place.
+    """
+    from pyarrow import fs
+
+    uri = "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
+    system, inner = fs.FileSystem.from_uri(uri)
+    packed = inner.endswith((".gz", ".bz2", ".zst", ".lz4"))
+    return system.open_input_stream(inner, compression="detect") if packed else system.open_input_file(inner)
+
+
 def sha256_of(path: str) -> str:
     """sha-256 of a file, read a chunk at a time."""
     import hashlib
@@ -126,7 +150,7 @@ def sha256_of(path: str) -> str:
     uri = "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
     system, inner = fs.FileSystem.from_uri(uri)
     digest = hashlib.sha256()
-    with system.open_input_stream(inner) as stream:
+    with system.open_input_stream(inner, compression=None) as stream:
         while chunk := stream.read(CHUNK):
             digest.update(chunk)
     return digest.hexdigest()
