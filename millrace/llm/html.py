@@ -7,8 +7,9 @@ text, and count once. Second pass: subtrees that recur on ten or more are delete
 headers, footers, sidebars, notices, adverts, forms, scripts and comments, and
 the blocks of text that are left in the article are the page's text.
 
-Plain prose inside an article (paragraphs, headings, quotations without class or
-id) is never judged alone: a passage that many articles share is content.
+Inside an article or main element only a box with a class or id and what is made
+of links or controls can be a template: a passage, a list, its items, a table or
+its rows that many articles share are content.
 """
 
 from __future__ import annotations
@@ -49,6 +50,15 @@ MARKS = frozenset(
 )
 FIRST_ONLY = frozenset("social".split())
 BUILT = frozenset("area bar block body bottom box button buttons column container content footer form group header icons inner item items left link links list main menu nav outer panel posts primary region right row section slot strip text title top unit widget wrap wrapper".split())
+# Words that an article may be about: inside one, a compound that ends in one of these, or an id that is one, is believed
+# only of what is made of links or controls, or beside another such word (`restaurant-menu` is none, `cookie-notice` is one).
+TOPICS = frozenset("banner comment menu newsletter notice notices promotion search share subscription widget widgets".split())
+SITE = frozenset("drop footer foot head header main mobile page site top".split())
+CONTROLS = frozenset("button input select textarea form option".split())
+#: Elements that, with a class or id, are boxes set into an article.
+BOXES = frozenset("div section center details address figure".split())
+#: Parts of lists and tables; with PROSE, what an article's text is made of and is never judged alone.
+PARTS = frozenset("li dt dd tr td th caption figcaption thead tbody tfoot summary".split())
 STATES = frozenset("has is no not with without hide hides show shows non un page single".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|[^>]*>?)", re.S)
@@ -58,10 +68,12 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "hash")
+    __slots__ = ("tag", "attributes", "children", "hash", "words", "linked", "control")
 
     def __init__(self, tag: str, attributes: dict[str, str]) -> None:
         self.tag, self.attributes, self.hash = tag, attributes, 0
+        self.words = self.linked = 0
+        self.control = False
         self.children: list[Node | str] = []
 
 
@@ -122,31 +134,70 @@ def parse(html: str) -> Node:
     return root
 
 
-def walk(root: Node) -> list[tuple[Node, bool]]:
-    """All elements in page order, each with whether it stands in an article."""
-    found, todo = [], [(root, False)]
+#: Where an element stands.
+OUTSIDE, IN_MAIN, IN_ARTICLE = 0, 1, 2
+
+
+def walk(root: Node) -> list[tuple[Node, int]]:
+    """All elements in page order, each with where it stands: in an article, in a main element, or outside both."""
+    found, todo = [], [(root, OUTSIDE)]
     while todo:
         node, inside = todo.pop()
         found.append((node, inside))
-        here = inside or node.tag == "article"
+        here = IN_ARTICLE if node.tag == "article" else max(inside, IN_MAIN) if is_main(node) else inside
         todo.extend((c, here) for c in reversed(node.children) if isinstance(c, Node))
     return found
 
 
-def put_hashes(nodes: list[tuple[Node, bool]]) -> None:
-    """A subtree's hash is over its name, its words and the hashes below; attributes and spacing don't count."""
+def is_main(node: Node) -> bool:
+    return node.tag == "main" or node.attributes.get("role") == "main"
+
+
+def put_hashes(nodes: list[tuple[Node, int]]) -> None:
+    """Hashes, words, words in links and controls of all subtrees.
+
+    A hash is over the element's name, its words and the hashes below; attributes and spacing don't count.
+    """
     for node, _ in reversed(nodes):
         parts = [node.tag]
+        node.words = node.linked = 0
+        node.control = node.tag in CONTROLS
         for c in node.children:
-            parts.append(f"\x01{c.hash:x}" if isinstance(c, Node) else "\x02" + " ".join(c.split()))
+            if isinstance(c, Node):
+                parts.append(f"\x01{c.hash:x}")
+                node.words += c.words
+                node.linked += c.linked
+                node.control = node.control or c.control
+            else:
+                found = c.split()
+                parts.append("\x02" + " ".join(found))
+                node.words += len(found)
+        if node.tag == "a" and "href" in node.attributes:
+            node.words = max(node.words, 1)  # a picture can be a link
+            node.linked = node.words
         node.hash = xxhash.xxh3_64_intdigest("\x00".join(p for p in parts if p != "\x02")) - (1 << 63)
 
 
-def judged(node: Node, inside: bool) -> bool:
-    """Whether a subtree may be a template: anything outside the article, inside it all but plain prose."""
+def made_of_links(node: Node) -> bool:
+    """Whether a subtree has a control, or half of its words or more are links."""
+    return node.control or (node.linked > 0 and 2 * node.linked >= node.words)
+
+
+def judged(node: Node, inside: int) -> bool:
+    """Whether a subtree may be a template.
+
+    Outside articles and main that is anything; inside, a box that has a class or id
+    and what is made of links or controls, and no part of a text, a list or a table
+    by itself.
+    """
     if node.tag in ("html", "body", "head", "article", "main"):
         return False
-    return not inside or node.tag not in PROSE or any(k in node.attributes for k in ("class", "id", "role"))
+    if inside == OUTSIDE:
+        return True
+    named = any(k in node.attributes for k in ("class", "id", "role"))
+    if node.tag in PARTS or (node.tag in PROSE and not named):
+        return False
+    return made_of_links(node) or (named and node.tag in BOXES)
 
 
 def surrounds(name: str) -> bool:
@@ -159,17 +210,30 @@ def surrounds(name: str) -> bool:
     return parts[-1] in MARKS or ((parts[0] in MARKS or parts[0] in FIRST_ONLY) and all(x in BUILT or x.isdigit() for x in parts[1:]))
 
 
-def by_name(node: Node, inside: bool) -> bool:
+def by_name(node: Node, inside: int) -> bool:
     """Whether the element's own name says that it is no part of an article."""
-    return node.tag in DROPPED or (node.tag == "header" and not inside)
+    return node.tag in DROPPED or (node.tag == "header" and inside != IN_ARTICLE)
 
 
-def by_attributes(node: Node, inside: bool) -> bool:
+def doubtful(name: str, is_id: bool) -> bool:
+    """Whether a name that marks an element can as well be what an article is about."""
+    parts = _NAME_PART.findall(name)
+    if len(parts) == 1:
+        return is_id and name in TOPICS
+    return len(parts) > 1 and parts[-1] in TOPICS and not any(x in MARKS or x in SITE or x in FIRST_ONLY for x in parts[:-1])
+
+
+def by_attributes(node: Node, inside: int) -> bool:
     """Whether its class, id or role does; a page's whole class is about the page."""
     if not node.attributes or node.tag in ("html", "body"):
         return False
-    names = " ".join(node.attributes.get(k, "") for k in ("class", "id", "role")).lower().split()
-    return any(surrounds(n) or (n == "header" and not inside) for n in names)
+    for k in ("class", "id", "role"):
+        for n in node.attributes.get(k, "").lower().split():
+            if n == "header" and inside != IN_ARTICLE:
+                return True
+            if surrounds(n) and (inside == OUTSIDE or not doubtful(n, k == "id") or made_of_links(node)):
+                return True
+    return False
 
 
 def main_parts(root: Node) -> tuple[list[Node], set[int]]:
@@ -187,7 +251,7 @@ def main_parts(root: Node) -> tuple[list[Node], set[int]]:
         while todo:
             node, above = todo.pop()
             # A form can hold a whole page.
-            if (by_name(node, False) and node.tag != "form" and not wanted(node)) or (strict and (by_attributes(node, False) or node.tag == "form")):
+            if (by_name(node, OUTSIDE) and node.tag != "form" and not wanted(node)) or (strict and (by_attributes(node, OUTSIDE) or node.tag == "form")):
                 continue
             chain = (node, above)
             if wanted(node):
@@ -204,9 +268,6 @@ def main_parts(root: Node) -> tuple[list[Node], set[int]]:
     def is_article(node: Node) -> bool:
         return node.tag == "article"
 
-    def is_main(node: Node) -> bool:
-        return node.tag == "main" or node.attributes.get("role") == "main"
-
     for strict in (True, False):
         for wanted in (is_article, is_main):
             if paths := found(wanted, strict):

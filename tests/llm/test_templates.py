@@ -91,3 +91,47 @@ def test_pages_against_brute_force(spark):
         assert len(got) == len(pages)
         for r in got:
             assert r.text == want.get(r.page_id, "") and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("around", ["article", "main", 'div role="main"'])
+def test_what_articles_share_is_content(spark, around):
+    """Lists, definition lists, tables, plain boxes and prose that twelve articles share; the wanted text is put together from the blocks, without the extractor's rules."""
+    shared = [
+        ("<ul><li>1 tsp salt</li><li>3 <b>eggs</b></li></ul>", ["1 tsp salt", "3 eggs"]),
+        ("<table><tr><td>Vegan</td><td>Yes</td></tr><tr><th>Serves</th></tr></table>", ["Vegan", "Yes", "Serves"]),
+        ('<table class="facts"><caption>Facts</caption><tr><td>4 <a href="/x">g</a> of it</td></tr></table>', ["Facts", "4 g of it"]),
+        ("<dl><dt>Term</dt><dd>what it means</dd></dl>", ["Term", "what it means"]),
+        ("<div>A plain box of prose.</div>", ["A plain box of prose."]),
+        ('<p class="lead">A lead that all have.</p>', ["A lead that all have."]),
+        ("<div>See <a href='/a'>this</a> and much that is no link</div>", ["See this and much that is no link"]),
+        ("<blockquote>Said by all</blockquote><p>shared passage</p><ol><li>Stir</li></ol>", ["Said by all", "shared passage", "Stir"]),
+    ]
+    templates = [
+        '<ul><li><a href="/one">one</a></li><li><a href="/two">two</a></li></ul>',
+        '<div class="x"><p>Read on <a href="/more">more of this and that here</a></p></div>',
+        "<div>Write to us <button>Send</button></div>",
+        '<div class="joined">Join us</div>',
+    ]
+    rng = random.Random(9)
+    pages, want = [], {}
+    for i in range(24):
+        parts = [(t, w) for t, w in shared] + [(t, []) for t in templates]
+        rng.shuffle(parts)
+        own = [f"Title {i}", f"text of {i}"]
+        body = f"<h1>{own[0]}</h1><p>{own[1]}</p>" + "".join(t for t, _ in parts)
+        pages.append(f"<nav><a href='/'>home</a></nav><{around}>{body}</{around.split()[0]}><p>after all</p>")
+        want[i] = "\n\n".join(own + [x for _, w in parts for x in w])
+    assert extracted(spark, pages) == want
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><div class="restaurant-menu"><p>Soup</p></div><section id="comment"><p>We comment.</p></section></article>', "Soup\n\nWe comment."),
+        ('<article>a<div class="main-menu">x</div><div class="restaurant-menu"><a href="/">x</a></div><div class="cookie-notice">y</div><div class="comment">c</div></article>', "a"),
+        ('<article><section id="notice"><p>Notice of a sale</p></section><div id="share"><a href="/s">tell</a></div></article>', "Notice of a sale"),
+        ('<main><h1>T</h1><div class="school-search">A search for schools</div><div class="search">find</div></main>', "T\n\nA search for schools"),
+    ],
+)
+def test_names_that_an_article_may_be_about(page, text):
+    assert one(page) == text
