@@ -24,12 +24,17 @@ BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general
 #: The rules, in order: priority, label, keyword that every match holds, pattern over words with one space between them.
 #: A longer name stands above the shorter one in it, and a sentence of a license text above its name.
 RULES = (
+    # Identifiers that stand alone
+    (36, "apache-2.0", "apache 2 0", r"apache 2 0"),
+    (35, "mit", "mit", r"(?:apache 2 0|bsd 3 clause|gpl [23] 0(?: only| or later)?) (?:or|and) mit"),
     # MIT and relatives
     (95, "mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     (94, "mit", "free of charge", r"permission is hereby granted free of charge to any person obtaining a copy"),
     (92, "mit", "above copyright notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     (80, "mit", "mit", r"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?mit(?: x11| expat)?(?: style)? licen[cs]e"),
-    (78, "mit", "mit", r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?mit"),
+    (78, "mit", "mit", r"(?:licensed|released) under (?:the terms of )?mit"),
+    (78, "mit", "mit", r"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?mit (?:terms|x11|expat)"),
+    (60, "mit", "mit", r"spdx license identifier (?:[a-z0-9]+ ){1,8}(?:or|and) mit"),
     (76, "mit", "mit", r"(?:this (?:project|software|code|library|package|work) is )mit licensed"),
     (74, "mit", "mit", r"dual licensed under (?:the )?mit"),
     (70, "mit", "licenses mit", r"opensource org licenses mit(?: license(?: php| html)?)?"),
@@ -51,7 +56,7 @@ RULES = (
     (72, "apache-2.0", "apache org", r"(?:www )?apache org licenses license 2 0(?: txt| html)?"),
     (70, "apache-2.0", "apache", r"opensource org licenses apache 2 0"),
     (68, "apache-2.0", "apache 2 0", r"spdx license identifier apache 2 0"),
-    (52, "apache-2.0", "apache", r"apache (?:software )?licen[cs]e (?:version |ver |v )?2(?: 0)?"),
+    (52, "apache-2.0", "apache", r"apache (?:software )?licen[cs]e (?:version |ver |v ?)?2(?: 0)?"),
     (51, "apache-2.0", "apache", r"apache (?:version |v )?2(?: 0)? licen[cs]e"),
     (50, "apache-2.0", "apache v2", r"apache v2(?: 0)?(?: licen[cs]e)?"),
     (49, "apache-2.0", "asl 2", r"asl 2 0"),
@@ -66,10 +71,10 @@ RULES = (
     (94, "gpl", "free software", r"is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     (90, "gpl", "general public license for more details", r"see the gnu general public license for more details"),
     (88, "gpl", "copy of the gnu general public", r"you should have received a copy of the gnu general public license"),
-    (82, "gpl-2.0", "general public", r"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?general public license (?:version |ver |v )?2(?: 0)?"),
-    (82, "gpl-3.0", "general public", r"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?general public license (?:version |ver |v )?3(?: 0)?"),
-    (81, "gpl-2.0", "gpl", r"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?gpl (?:version |ver |v )?2(?: 0)?"),
-    (81, "gpl-3.0", "gpl", r"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?gpl (?:version |ver |v )?3(?: 0)?"),
+    (82, "gpl-2.0", "general public", r"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?general public license (?:version |ver |v ?)?2(?: 0)?"),
+    (82, "gpl-3.0", "general public", r"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?general public license (?:version |ver |v ?)?3(?: 0)?"),
+    (81, "gpl-2.0", "gpl", r"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?gpl (?:version |ver |v ?)?2(?: 0)?"),
+    (81, "gpl-3.0", "gpl", r"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?gpl (?:version |ver |v ?)?3(?: 0)?"),
     (69, "gpl-2.0-only", "gpl 2 0", r"spdx license identifier gpl 2 0(?: only)?"),
     (70, "gpl-2.0-or-later", "gpl 2 0 or later", r"spdx license identifier gpl 2 0 or later"),
     (69, "gpl-3.0-only", "gpl 3 0", r"spdx license identifier gpl 3 0(?: only)?"),
@@ -77,16 +82,20 @@ RULES = (
     (66, "gpl-2.0", "gnu org licenses", r"gnu org licenses (?:old licenses )?gpl 2 0(?: html| txt)?"),
     (66, "gpl-3.0", "gnu org licenses", r"gnu org licenses gpl 3 0(?: html| txt)?"),
     (64, "gpl", "gnu org licenses", r"gnu org licenses gpl(?: html| txt)?"),
-    (56, "gpl-2.0-or-later", "general public", r"(?:gnu )?general public license (?:version |ver |v )?2(?: 0)? or (?:at your option )?(?:any )?later(?: version)?"),
-    (56, "gpl-3.0-or-later", "general public", r"(?:gnu )?general public license (?:version |ver |v )?3(?: 0)? or (?:at your option )?(?:any )?later(?: version)?"),
-    (54, "gpl-1.0", "general public", r"(?:gnu )?general public license (?:version |ver |v )?1(?: 0)?"),
-    (54, "gpl-2.0", "general public", r"(?:gnu )?general public license (?:version |ver |v )?2(?: 0)?"),
-    (54, "gpl-3.0", "general public", r"(?:gnu )?general public license (?:version |ver |v )?3(?: 0)?"),
+    (56, "gpl-2.0-or-later", "general public", r"(?:gnu )?general public license (?:version |ver |v ?)?2(?: 0)? or (?:at your option )?(?:any )?later(?: version)?"),
+    (56, "gpl-3.0-or-later", "general public", r"(?:gnu )?general public license (?:version |ver |v ?)?3(?: 0)? or (?:at your option )?(?:any )?later(?: version)?"),
+    (54, "gpl-1.0", "general public", r"(?:gnu )?general public license (?:version |ver |v ?)?1(?: 0)?"),
+    (54, "gpl-2.0", "general public", r"(?:gnu )?general public license (?:version |ver |v ?)?2(?: 0)?"),
+    (54, "gpl-3.0", "general public", r"(?:gnu )?general public license (?:version |ver |v ?)?3(?: 0)?"),
     (54, "gpl-2.0", "general public", r"(?:gnu )?general public license v2(?: 0)?"),
     (54, "gpl-3.0", "general public", r"(?:gnu )?general public license v3(?: 0)?"),
     (53, "gpl-2.0", "version 2", r"version 2 of the (?:gnu )?(?:general public license|gpl)"),
     (53, "gpl-3.0", "version 3", r"version 3 of the (?:gnu )?(?:general public license|gpl)"),
     (52, "gpl-2.0-or-later", "gpl 2", r"gpl 2 0 or later"),
+    (52, "gpl-2.0-only", "gpl 2 0 only", r"gpl 2 0 only"),
+    (52, "gpl-3.0-only", "gpl 3 0 only", r"gpl 3 0 only"),
+    (49, "gpl-2.0", "gpl 2 0", r"gpl 2 0"),
+    (49, "gpl-3.0", "gpl 3 0", r"gpl 3 0"),
     (52, "gpl-3.0-or-later", "gpl 3", r"gpl 3 0 or later"),
     (51, "gpl-2.0", "gpl v2", r"(?:gnu )?gpl v2(?: 0)?"),
     (51, "gpl-3.0", "gpl v3", r"(?:gnu )?gpl v3(?: 0)?"),
@@ -108,14 +117,19 @@ RULES = (
     (71, "lgpl-2.1-or-later", "lgpl 2 1 or later", r"spdx license identifier lgpl 2 1 or later"),
     (70, "lgpl-3.0-only", "lgpl 3 0", r"spdx license identifier lgpl 3 0(?: only)?"),
     (71, "lgpl-3.0-or-later", "lgpl 3 0 or later", r"spdx license identifier lgpl 3 0 or later"),
-    (57, "lgpl-2.1-or-later", "lesser general", r"(?:gnu )?lesser general public license (?:version |ver |v )?2 1 or (?:at your option )?(?:any )?later(?: version)?"),
-    (57, "lgpl-3.0-or-later", "lesser general", r"(?:gnu )?lesser general public license (?:version |ver |v )?3(?: 0)? or (?:at your option )?(?:any )?later(?: version)?"),
-    (56, "lgpl-2.1", "lesser general", r"(?:gnu )?lesser general public license (?:version |ver |v )?2 1"),
-    (56, "lgpl-3.0", "lesser general", r"(?:gnu )?lesser general public license (?:version |ver |v )?3(?: 0)?"),
+    (57, "lgpl-2.1-or-later", "lesser general", r"(?:gnu )?lesser general public license (?:version |ver |v ?)?2 1 or (?:at your option )?(?:any )?later(?: version)?"),
+    (57, "lgpl-3.0-or-later", "lesser general", r"(?:gnu )?lesser general public license (?:version |ver |v ?)?3(?: 0)? or (?:at your option )?(?:any )?later(?: version)?"),
+    (56, "lgpl-2.1", "lesser general", r"(?:gnu )?lesser general public license (?:version |ver |v ?)?2 1"),
+    (56, "lgpl-3.0", "lesser general", r"(?:gnu )?lesser general public license (?:version |ver |v ?)?3(?: 0)?"),
     (56, "lgpl-3.0", "lesser general", r"(?:gnu )?lesser general public license v3(?: 0)?"),
-    (56, "lgpl-2.0", "library general", r"(?:gnu )?library general public license (?:version |ver |v )?2(?: 0)?"),
-    (53, "lgpl-2.1", "lgpl", r"(?:gnu )?lgpl (?:version |ver |v )?2 1"),
-    (53, "lgpl-3.0", "lgpl", r"(?:gnu )?lgpl (?:version |ver |v )?3(?: 0)?"),
+    (56, "lgpl-2.0", "library general", r"(?:gnu )?library general public license (?:version |ver |v ?)?2(?: 0)?"),
+    (56, "lgpl-2.0", "lesser general", r"(?:gnu )?lesser general public license (?:version |ver |v ?)?2(?: 0)?"),
+    (54, "lgpl-2.1-or-later", "lgpl 2 1 or later", r"lgpl 2 1 or later"),
+    (54, "lgpl-2.1-only", "lgpl 2 1 only", r"lgpl 2 1 only"),
+    (54, "lgpl-3.0-or-later", "lgpl 3 0 or later", r"lgpl 3 0 or later"),
+    (54, "lgpl-3.0-only", "lgpl 3 0 only", r"lgpl 3 0 only"),
+    (53, "lgpl-2.1", "lgpl", r"(?:gnu )?lgpl (?:version |ver |v ?)?2 1"),
+    (53, "lgpl-3.0", "lgpl", r"(?:gnu )?lgpl (?:version |ver |v ?)?3(?: 0)?"),
     (52, "lgpl-2.1", "lgplv2", r"(?:gnu )?lgplv2(?: 1)?"),
     (52, "lgpl-3.0", "lgpl", r"(?:gnu )?lgpl(?: )?v3"),
     (45, "lgpl", "lgpl", r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?lgpl"),
@@ -127,9 +141,14 @@ RULES = (
     (95, "agpl-3.0", "affero general public", r"is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
     (70, "agpl-3.0-only", "agpl 3 0", r"spdx license identifier agpl 3 0(?: only)?"),
     (71, "agpl-3.0-or-later", "agpl 3 0 or later", r"spdx license identifier agpl 3 0 or later"),
-    (57, "agpl-3.0", "affero general", r"(?:gnu )?affero general public license (?:version |ver |v )?3(?: 0)?"),
+    (57, "agpl-3.0", "affero general", r"(?:gnu )?affero general public license (?:version |ver |v ?)?3(?: 0)?"),
     (57, "agpl-3.0", "affero general", r"(?:gnu )?affero general public license v3"),
-    (52, "agpl-3.0", "agpl", r"(?:gnu )?agpl (?:version |ver |v )?3(?: 0)?"),
+    (58, "agpl-3.0-or-later", "affero general", r"(?:gnu )?affero general public license (?:version |ver |v ?)?3(?: 0)? or (?:at your option )?(?:any )?later(?: version)?"),
+    (57, "lgpl-2.1", "library general", r"(?:gnu )?library general public license (?:version |ver |v ?)?2 1(?: or (?:at your option )?(?:any )?later(?: version)?)?"),
+    (57, "agpl-1.0", "affero general", r"(?:gnu )?affero general public license (?:version |ver |v ?)?1(?: 0)?"),
+    (54, "agpl-3.0-or-later", "agpl 3 0 or later", r"agpl 3 0 or later"),
+    (54, "agpl-3.0-only", "agpl 3 0 only", r"agpl 3 0 only"),
+    (52, "agpl-3.0", "agpl", r"(?:gnu )?agpl (?:version |ver |v ?)?3(?: 0)?"),
     (52, "agpl-3.0", "agpl", r"(?:gnu )?agpl(?: )?v3"),
     (46, "agpl", "affero general public", r"(?:gnu )?affero general public license"),
     (44, "agpl", "gnu agpl", r"gnu agpl"),
@@ -194,9 +213,9 @@ RULES = (
     (70, "mpl-2.0", "mpl 2 0", r"spdx license identifier mpl 2 0"),
     (66, "mpl-2.0", "mozilla org", r"mozilla org mpl 2 0"),
     (66, "mpl-2.0", "mozilla org", r"mozilla org en us mpl 2 0"),
-    (54, "mpl-2.0", "mozilla public", r"mozilla public licen[cs]e (?:version |ver |v )?2(?: 0)?"),
-    (54, "mpl-1.1", "mozilla public", r"mozilla public licen[cs]e (?:version |ver |v )?1 1"),
-    (54, "mpl-1.0", "mozilla public", r"mozilla public licen[cs]e (?:version |ver |v )?1 0"),
+    (54, "mpl-2.0", "mozilla public", r"mozilla public licen[cs]e (?:version |ver |v ?)?2(?: 0)?"),
+    (54, "mpl-1.1", "mozilla public", r"mozilla public licen[cs]e (?:version |ver |v ?)?1 1"),
+    (54, "mpl-1.0", "mozilla public", r"mozilla public licen[cs]e (?:version |ver |v ?)?1 0"),
     (52, "mpl-2.0", "mpl", r"mpl(?: version| v)? 2(?: 0)?"),
     (52, "mpl-2.0", "mpl v2", r"mpl v2(?: 0)?"),
     (52, "mpl-1.1", "mpl 1 1", r"mpl 1 1"),

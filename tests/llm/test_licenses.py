@@ -72,6 +72,19 @@ def found(text: str) -> set[str]:
         ("released under the MIT License", {"mit"}),
         ("see https://opensource.org/licenses/MIT", {"mit"}),
         ("Mozilla Public License 2.0", {"mpl-2.0"}),
+        ("GNU Lesser General Public License v2.1", {"lgpl-2.1", "gpl"}),
+        ("GNU Lesser General Public License v3 or later", {"lgpl-3.0-or-later", "gpl"}),
+        ("GNU Affero General Public License v3", {"agpl-3.0", "gpl"}),
+        ("distributed under the MIT campus rules", set()),
+        ("licensed under MIT.", {"mit"}),
+        ("Apache-2.0", {"apache-2.0"}),
+        ("GPL-2.0-only", {"gpl-2.0-only"}),
+        ("GPL-3.0+", {"gpl-3.0"}),
+        ("LGPL-2.1-or-later", {"lgpl-2.1-or-later"}),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", {"mit", "apache-2.0"}),
+        ("SPDX-License-Identifier: Apache-2.0 OR MIT", {"mit", "apache-2.0"}),
+        ("SPDX-License-Identifier: GPL-2.0-only AND MIT", {"mit", "gpl-2.0-only"}),
+        ("(Apache-2.0 OR MIT)", {"mit", "apache-2.0"}),
         ("a general public with no license, an apache helicopter, and a summit", set()),
     ],
 )
@@ -114,3 +127,31 @@ def test_base_columns_and_containment(spark):
                 kept.append((first, end, label, -p))
         if r.doc_id != 2000:
             assert [(d.first, d.end, d.label, d.priority) for d in r.detections] == kept
+
+
+FAMILIES = ("lgpl", "agpl", "gpl")
+
+
+def test_a_longer_name_is_not_taken_for_the_shorter_one_in_it():
+    """Names with every version: what names a lesser or Affero licence gives no label of the plain one but the base phrase's."""
+    for name, family in (("Lesser General Public License", "lgpl"), ("Library General Public License", "lgpl"), ("Affero General Public License", "agpl"), ("LGPL", "lgpl"), ("AGPL", "agpl")):
+        for version in ("", " v3", " v3.0", " version 3", ", version 3.0", " 3.0 or later", "-3.0-only", " v2", " v2.1", " version 2.1", " 2.1 or any later version"):
+            if (family == "agpl" and "2" in version) or (name.startswith("Library") and version and "2" not in version):
+                continue
+            labels = found(f"This is under the GNU {name}{version} of the foundation")
+            own = {x for x in labels if x.startswith(family)}
+            assert own, (name, version)
+            assert labels - own <= ({"gpl"} if "General" in name else set()), (name, version, labels)
+
+
+def test_names_of_rules_inside_longer_names():
+    """Where one rule's spelling holds another's, and stands above it, its own label is there and the other's is not, but for base phrases."""
+    rng = random.Random(12)
+    texts = [(p, label, sample(rng, parser.parse(pattern))) for p, label, _, pattern in licenses.RULES for _ in range(4)]
+    base = dict(licenses.BASE_PHRASES)
+    for p, label, text in texts:
+        labels = found(text)
+        held = {b for phrase, b in base.items() if phrase in text}
+        inside = {other for q, other, short in texts if q < p and f" {short} " in f" {text} "}
+        assert label in labels or any(q > p for q, _, t in texts if f" {t} " in f" {text} "), (label, text, labels)
+        assert not (inside - {label} - held) & labels or any(q >= p and t != text and f" {t} " in f" {text} " for q, _, t in texts), (label, text, labels)
