@@ -3,12 +3,13 @@
 The index holds one posting (term, row, pos) for every word of the corpus. It is
 partitioned by document and sorted by term within a partition, so building it
 shuffles nothing and a frequent word's list lies in all partitions; a document's
-first posting has no term and carries its id and length. The index knows nothing
-of the test and serves any number of tests.
+first posting has no term and carries its id and length. A posting also has a
+byte for each of the words beside it. The index knows nothing of the test and
+serves any number of tests.
 
 Exact phrases: each window of a test item is looked up by its rarest word (by the
-index's own counts); that list, adjusted by the word's offset, gives candidate
-starts, which are intersected with the list of the second rarest word, and what
+index's own counts); that list, cut by the neighbours' bytes and adjusted by the
+word's offset, gives candidate starts, which are intersected with the list of the second rarest word, and what
 is left with all others at once. Lists meet on (row, pos), a key that no word
 makes hot, and only postings that a fixed-size bitmap lets through are shuffled.
 
@@ -39,14 +40,25 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
+def code(term: Column) -> Column:
+    """A word's hash as 1 to 255; 0 stands for the ends of a document."""
+    return (F.pmod(term, F.lit(255)) + 1).cast("int")
+
+
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (term, row, pos, doc_id) of all words; where term is null, pos is the number of words of the document."""
-    told = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w"))
-    told = told.select("row", "doc_id", F.size("w").alias("n"), F.concat(F.array(F.lit(None).cast("string")), "w").alias("w"))
-    every = told.select("row", "doc_id", "n", F.posexplode("w").alias("at", "word"))
-    postings = every.select(
-        F.when(F.col("at") > 0, F.xxhash64("word")).alias("term"), "row", F.when(F.col("at") > 0, F.col("at") - 1).otherwise(F.col("n")).alias("pos"), F.when(F.col("at") == 0, F.col("doc_id")).alias("doc_id")
-    )
+    """Postings (term, row, pos, around, doc_id) of all words; where term is null, pos is the number of words of the document.
+
+    `around` is 256 times the code of the word before plus that of the word after.
+    """
+    told = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.transform(tokens(F.col(text_col)), lambda x: F.xxhash64(x)).alias("term"))
+    told = told.select("row", "doc_id", F.size("term").alias("n"), "term", F.transform("term", code).alias("c"))
+    end = F.array(F.lit(0))
+    zipped = F.arrays_zip("term", F.slice(F.concat(end, "c"), F.lit(1), F.col("n")).alias("b"), F.slice(F.concat("c", end), F.lit(2), F.col("n")).alias("a"))
+    told = told.select("row", "doc_id", "n", zipped.alias("z"))
+    first = F.array(F.lit(None).cast(told.schema["z"].dataType.elementType))
+    every = told.select("row", "doc_id", "n", F.posexplode(F.concat(first, "z")).alias("at", "x"))
+    word = F.col("at") > 0
+    postings = every.select(F.col("x.term"), "row", F.when(word, F.col("at") - 1).otherwise(F.col("n")).alias("pos"), (F.col("x.b") * 256 + F.col("x.a")).alias("around"), F.when(~word, F.col("doc_id")).alias("doc_id"))
     return materialize(postings.sortWithinPartitions("term"), "index-postings")
 
 
@@ -85,7 +97,8 @@ def windows_of(items: DataFrame, counts: DataFrame, window: int) -> tuple[DataFr
 def at_places(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of `wanted` (row, pos, term and others) whose term stands at that place."""
     place = F.xxhash64("term", "row", "pos")
-    lists = maybe_in(index.filter("term is not null").select("term", "row", "pos"), place, wanted, place, PLACE_BITS)
+    lists = maybe_in(index.filter("term is not null").select("term", "row", "pos"), F.col("term"), wanted, F.col("term"))
+    lists = maybe_in(lists, place, wanted, place, PLACE_BITS)
     lists = lists.select(F.col("term").alias("_t"), F.col("row").alias("_r"), F.col("pos").alias("_p"))
     same = (F.col("term") == F.col("_t")) & (F.col("row") == F.col("_r")) & (F.col("pos") == F.col("_p"))
     return wanted.join(lists, same, "left_semi")
@@ -100,9 +113,15 @@ def phrase_matches(index: DataFrame, items: DataFrame, *, window: int = WINDOW,
     counts = counts if counts is not None else term_counts(index, told.select(F.explode("terms").alias("term")))
     windows, owners = windows_of(told, counts, window)
     first, second = F.col("by")[0], F.try_element_at("by", F.lit(2))
-    anchors = materialize(windows.select("w", "w2", F.size("by").alias("size"), first["term"].alias("t1"), first["offset"].alias("o1"), second["term"].alias("t2"), second["offset"].alias("o2")), "index-anchors")
-    lists = maybe_in(index.filter("term is not null").select("term", "row", "pos"), F.col("term"), anchors, F.col("t1"))
-    starts = lists.join(anchors, F.col("term") == F.col("t1")).select("w", "w2", "size", "row", (F.col("pos") - F.col("o1")).alias("start"), "t2", "o2").filter("start >= 0")
+    beside = lambda d: code(F.get(F.filter("by", lambda x: x["offset"] == first["offset"] + d), F.lit(0))["term"])
+    anchors = windows.select(
+        "w", "w2", F.size("by").alias("size"), first["term"].alias("t1"), first["offset"].alias("o1"), second["term"].alias("t2"), second["offset"].alias("o2"), beside(-1).alias("b1"), beside(1).alias("a1")
+    )
+    anchors = materialize(anchors, "index-anchors")
+    lists = maybe_in(index.filter("term is not null").select("term", "row", "pos", "around"), F.col("term"), anchors, F.col("t1"))
+    # The words beside the rarest one are known by 8 bits each: most places go here, before anything is shuffled.
+    fits = (F.coalesce(F.col("b1"), F.expr("around div 256")) == F.expr("around div 256")) & (F.coalesce(F.col("a1"), F.expr("around % 256")) == F.expr("around % 256"))
+    starts = lists.join(anchors, (F.col("term") == F.col("t1")) & fits).select("w", "w2", "size", "row", (F.col("pos") - F.col("o1")).alias("start"), "t2", "o2").filter("start >= 0")
     starts = materialize(starts, "index-starts")
     pairs = starts.filter("size > 1").select("w", "w2", "size", "row", "start", F.col("t2").alias("term"), (F.col("start") + F.col("o2")).alias("pos"))
     pairs = materialize(at_places(index, pairs).select("w", "w2", "size", "row", "start"), "index-pairs")
