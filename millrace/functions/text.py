@@ -150,6 +150,10 @@ def lang_fence(c: Column) -> Column:
     return _looked_up(LANG_FENCES, c, F.lit(""))
 
 
+#: The system turn of training and evaluation.
+SYSTEM = "You apply review comments to code."
+
+
 def user_prompt(old: Column, comment: Column, lang: Column) -> Column:
     fence = lang_fence(lang)
     return F.concat(F.lit("A reviewer left this note on "), lang_name(lang), F.lit(" code:\n> "), pytrim(comment), F.lit("\n\nSnippet:\n```"), fence, F.lit("\n"), old, F.lit("\n```\n\nRewrite the snippet so that it does what the note asks."))

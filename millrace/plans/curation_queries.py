@@ -71,8 +71,12 @@ def content_id(spark, d):
 
 
 def keyed(spark, d):
+    return keys_of(documents(spark, d))
+
+
+def keys_of(rows: DataFrame) -> DataFrame:
     """Digest of the collapsed text, source and first word: what dedup and quotas go by."""
-    return documents(spark, d).select(
+    return rows.select(
         "doc_id", "source", F.sha1(F.regexp_replace("text", SPACE + "+", " ")).alias("hash"), F.lower(F.substring_index("text", " ", 1)).alias("first_word")
     )
 

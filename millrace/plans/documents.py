@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +21,11 @@ from millrace.operators.curation import most_common
 from millrace.operators.percentiles import elements_at, nearest_rank
 from millrace.plans.report import environment, exact_match_sentence
 from millrace.sources import sinks
-from millrace.sources.tables import checksums, read_json
+from millrace.sources.tables import checksums, folder_size, read_json
 
+# The fields of an example and of a prediction, as files have them.
 EXAMPLE = "id string, repo string, lang string, old_code string, new_code string, comment string, category string, grounding double, n_old_lines int, n_changed_lines int, source_split string, probe string"
 PREDICTION = "id string, lang string, category string, repo string, origin string, probe string, comment string, old_code string, gold string, prediction string, parse_mode string, raw_output string, latency_s double"
-KINDS = 50  # most values of a slice that a card lists
 
 
 def rows(df: DataFrame, most: int = 1000) -> list[dict]:
@@ -201,14 +202,19 @@ def compare_runs(base: DataFrame, tuned: DataFrame, resamples: int = 10_000) ->
 # --- judge, probes, training, release ----------------------------------------
 
 
-def judge_runs(base: DataFrame, tuned: DataFrame, caller: Callable[[str], str], limit: int | None = None) -> dict:
-    """Both orders of every pair before an injected judge; consensus by pair, and summaries by category."""
+def judge_runs(base: DataFrame, tuned: DataFrame, caller: Callable[[str], str], limit: int | None = None, store: str | None = None, model: str = "") -> dict:
+    """Both orders of every pair before an injected judge; consensus by pair, and summaries by category.
+
+    With a `store`, answers are kept there, and no question is asked that it knows.
+    """
     pairs = J.judge_pairs(base, tuned, "id", "id", limit)
     if pairs.isEmpty():
         raise ValueError("the two runs have no example in common")
     first, second = (F.when(F.col("base_is_a") == flag, F.col("base_prediction")).otherwise(F.col("tuned_prediction")) for flag in (True, False))
     both = J.both_orders(pairs)
-    asked = J.ask(both, J.judge_prompt(T.lang_name(F.col("lang")), F.col("old_code"), F.col("comment"), F.col("gold"), first, second), caller).select("id", "category", "base_is_a", "answer").persist()
+    prompt = J.judge_prompt(T.lang_name(F.col("lang")), F.col("old_code"), F.col("comment"), F.col("gold"), first, second)
+    answered = J.ask_once(both, prompt, caller, store, model) if store else J.ask(both, prompt, caller)
+    asked = answered.select("id", "category", "base_is_a", "answer").persist()
     try:
         results = J.consensus(J.votes(asked), "id", "category")
         summary = rows(J.summary(results))[0] | rows(J.failures(asked))[0]
@@ -253,13 +259,34 @@ def train_summary(log: DataFrame, name: str, n_examples: int, batch_size: int, e
     return {"run_name": name, "best_eval_loss": best[0]["best_loss"] if best else None, "best_checkpoint_step": best[0]["best_step"] if best else None, **rows(found)[0]}
 
 
+CONTRACT = "Chat turns are those of millrace.functions.text: training_messages for the system and user turns, target_turn for the answer. The adapter was trained on them and answers worse to others."
+
+
 def release_manifest(spark: SparkSession, adapter: str, base_model: str, out: str) -> dict:
-    """Checksums and sizes of an adapter's files, as manifest.json, with a model file and a readme that name the base model."""
+    """Checksums and sizes of an adapter's files with its settings, as manifest.json, and files that say how to serve it.
+
+    The base model is the one given, else the one that adapter_config.json names.
+    """
     files = rows(checksums(spark, adapter).select("file", "length", "sha256"), 10_000)
-    manifest = {"base_model": base_model, "adapter": adapter, "bytes": sum(f["length"] for f in files), "files": {f["file"]: {"bytes": f["length"], "sha256": f["sha256"]} for f in files}}
+    settings = read_json(spark, f"{adapter}/adapter_config.json") or {}
+    base_model = base_model or settings.get("base_model_name_or_path", "")
+    size = folder_size(spark, adapter).first()[0]
+    manifest = {
+        "created_utc": datetime.now(UTC).isoformat(timespec="seconds"),
+        "base_model": base_model,
+        "adapter": adapter,
+        "adapter_size_mb": round(size / 1e6, 3),
+        "lora": {name: settings.get(key) for name, key in (("r", "r"), ("alpha", "lora_alpha"), ("dropout", "lora_dropout"), ("target_modules", "target_modules"))},
+        "task": "edit code as a review comment asks",
+        "prompt_contract": CONTRACT,
+        "bytes": sum(f["length"] for f in files),
+        "files": {f["file"]: {"bytes": f["length"], "sha256": f["sha256"]} for f in files},
+    }
     sinks.write_json(spark, f"{out}/manifest.json", manifest)
     sinks.write_text(spark, f"{out}/Modelfile", f"FROM {base_model}\nADAPTER ./adapter\nPARAMETER temperature 0\n")
-    lines = [f"# Adapter for {base_model}", "", f"{len(files)} files, {manifest['bytes'] / 1e6:.1f} MB. Check them against `manifest.json` (sha-256) before use.", "", "| file | bytes |", "|---|---|", *[f"| {f['file']} | {f['length']} |" for f in files]]
+    rank = f" --max-lora-rank {settings['r']}" if settings.get("r") else ""
+    sinks.write_text(spark, f"{out}/serve.sh", f"#!/bin/sh\nvllm serve {base_model} --enable-lora{rank} --lora-modules tuned=./adapter\n")
+    lines = [f"# Adapter for {base_model}", "", f"{len(files)} files, {manifest['adapter_size_mb']:.1f} MB. Check them against `manifest.json` (sha-256) before use.", "", CONTRACT, "", "| file | bytes |", "|---|---|", *[f"| {f['file']} | {f['length']} |" for f in files]]
     sinks.write_text(spark, f"{out}/README.md", "\n".join(lines) + "\n")
     return manifest
 

@@ -15,7 +15,7 @@ from millrace.operators import selection as SL
 from millrace.plans import documents as DOC
 from millrace.plans.curation_queries import ALL, U_SPACE, documents, sql_trim
 
-SYSTEM = "You apply review comments to code."
+SYSTEM = T.SYSTEM
 
 
 def ragged(spark, d):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millrace.operators import percentiles as Q
 from millrace.operators import runs as R
 from millrace.operators import splits as S
-from millrace.plans.curation_queries import documents
+from millrace.plans.curation_queries import KEYED, documents, keys_of
 from millrace.session import shared_dir
 from millrace.sources import tables
 from millrace.streaming import queries as SQ
@@ -131,6 +131,14 @@ def stream_quotas(spark, d):
     return verdicts.select("event_id", "verdict")
 
 
+def stream_quota_chain(spark, d):
+    """Dedup, then a quota by source, then one by first word, as a stream: the verdicts of the batch cascade."""
+    rows = SQ.read_stream(spark, f"{d}/documents.parquet*", documents(spark, d).schema)
+    with SQ.state_on_disk(spark):
+        found = SQ.run_available(SQ.quotas_stream(keys_of(rows), [("duplicate", ["hash"], 1), ("repo_quota", ["source"], 10), ("comment_quota", ["first_word"], 3)], "doc_id"), "append")
+    return found.select("doc_id", F.coalesce("verdict", F.lit("kept")).alias("verdict"))
+
+
 def stream_windows(spark, d):
     hours = SQ.event_windows(event_stream(spark, d), "ts", ["event_type"], "value")
     return SQ.run_available(hours, "complete").select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", "total")
@@ -187,6 +195,12 @@ SELECT count(*) AS n, round(quantile_disc(l, 0.5), 3) AS latency_p50_s, round(qu
     ),
     "stream_early_stop": (stream_early_stop, f"{STOPS} SELECT run AS event_type, min(loss) AS best, bool_or(bad_count >= 3) AS stop FROM c GROUP BY 1"),
     "stream_quotas": (stream_quotas, "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 20 THEN 'kept' ELSE 'user_id' END AS verdict FROM events"),
+    "stream_quota_chain": (
+        stream_quota_chain,
+        f"""WITH k AS ({KEYED}), a AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY doc_id) = 1 AS one FROM k),
+b AS (SELECT *, one AND row_number() OVER (PARTITION BY one, source ORDER BY doc_id) <= 10 AS two FROM a), c AS (SELECT *, two AND row_number() OVER (PARTITION BY two, first_word ORDER BY doc_id) <= 3 AS three FROM b)
+SELECT doc_id, CASE WHEN three THEN 'kept' WHEN two THEN 'comment_quota' WHEN one THEN 'repo_quota' ELSE 'duplicate' END AS verdict FROM c""",
+    ),
     "stream_dedup": (stream_dedup, "SELECT DISTINCT user_id FROM events"),
     "stream_windows": (
         stream_windows,

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import logging
+import uuid
 from collections.abc import Callable, Mapping
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import paths_of
+
 log = logging.getLogger(__name__)
 
 
@@ -48,6 +51,41 @@ def append_metrics(df: DataFrame, folder: str) -> None:
     df.write.mode("append").json(folder)
 
 
+def append_once(df: DataFrame, folder: str, batch: int, writer: str = "batch") -> bool:
+    """Append a numbered batch to a metric log; one that is there already stays as it is, and False is returned.
+
+    The batch is written under a name that readers pass over, then renamed, which is
+    the commit: a batch that is retried, or replayed from a checkpoint, leaves one
+    copy, and no reader sees part of one. Batches of different writers don't meet.
+    """
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    final, draft = path(f"{folder}/{writer}-{batch:012d}"), path(f"{folder}/_{writer}-{batch:012d}-{uuid.uuid4().hex[:8]}")
+    system = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(final):
+        return False
+    df.write.json(draft.toString())
+    done = not system.exists(final) and system.rename(draft, final)
+    if not done:
+        system.delete(draft, True)
+    return done
+
+
+def once_log(folder: str, writer: str = "batch") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends each batch of a stream to a metric log exactly once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        append_once(batch, folder, number, writer)
+
+    return write
+
+
+def read_batches(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The rows of all committed batches of a log; a log without any is empty."""
+    found = paths_of(spark, f"{folder}/[!_]*-[0-9]*")
+    return spark.read.schema(schema).json(found) if found else spark.createDataFrame([], schema)
+
+
 def numbers_only(df: DataFrame) -> DataFrame:
     """The numeric columns, for trackers that take nothing else."""
     return df.select(*[c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")])

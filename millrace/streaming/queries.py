@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from millrace.session import shared_dir
 
@@ -104,6 +106,83 @@ def quota_stream(rows: DataFrame, group: str, limits: dict[str, int], order: str
     return rows.groupBy(group).applyInPandasWithState(update, f"{schema}, `{out}` string", "counts array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
+class Quota(StatefulProcessor):
+    """Keeps the first rows of a key, in order inside a batch, and marks the others; state is one count a key.
+
+    Of a batch's rows no more than the quota are held at once, so a hot key costs its
+    quota, not its rows. Rows that an earlier quota refused pass through and use up
+    nothing. With `idle`, a key's count is forgotten so many milliseconds (of
+    processing time) after its last row, by a timer.
+    """
+
+    def __init__(self, name: str, limit: int, order: str, out: str, idle: int | None = None) -> None:
+        self.name, self.limit, self.order, self.out, self.idle = name, limit, order, out, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.count = handle.getMapState("count", "quota string", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        used = self.count.getValue((self.name,))[0] if self.count.containsKey((self.name,)) else 0
+        room, held = max(self.limit - used, 0), None
+        for batch in rows:
+            open_rows = batch[self.out].isna()
+            if not open_rows.all():
+                yield batch[~open_rows]
+            both = batch[open_rows] if held is None else pd.concat([held, batch[open_rows]])
+            both = both.sort_values(self.order, kind="stable")
+            held, refused = both.iloc[:room], both.iloc[room:]
+            if len(refused):
+                yield refused.assign(**{self.out: self.name})
+        if held is not None and len(held):
+            self.count.updateValue((self.name,), (used + len(held),))
+            yield held
+        if self.idle is not None:
+            self._wait(timerValues.getCurrentProcessingTimeInMs())
+
+    def _wait(self, now: int) -> None:
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(now + self.idle)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.count.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started in the block keep their state in RocksDB, which quotas_stream() needs."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
+def quotas_stream(rows: DataFrame, quotas: list[tuple[str, list[str], int]], order: str, out: str = "verdict", idle: int | None = None) -> DataFrame:
+    """Rows with the verdict of several quotas, one after the other: null for rows that stay, or the name of the quota that was full.
+
+    `quotas` has (name, columns, limit): a dedup is a quota of one row. Each is a
+    stateful step keyed by its own columns, so that quotas by repository and by
+    comment, neither of which determines the other, follow each other as in the
+    batch cascade, batch by batch. Null is a key like any other.
+    """
+    told = rows.withColumn(out, F.lit(None).cast("string"))
+    schema = StructType([*rows.schema.fields, StructField(out, StringType())])
+    mode = "None" if idle is None else "ProcessingTime"
+    for name, columns, limit in quotas:
+        told = told.groupBy(*columns).transformWithStateInPandas(Quota(name, limit, order, out, idle), schema, "Append", mode)
+    return told
+
+
 BATCH = "batch_number"
 
 

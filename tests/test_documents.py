@@ -35,11 +35,27 @@ def judge(prompt):
     won = "A" if score(a) > score(b) else "B" if score(b) > score(a) else "tie"
     return json.dumps({"score_a": score(a), "score_b": score(b), "winner": won, "reason": ""})
 
+def tokens(text):
+    return len(text.split())
+
+def tracker():
+    class Remote:
+        def log(self, metrics): pass
+        def log_summary(self, values):
+            import json, os
+            open(os.environ["REMOTE_FILE"], "w").write(json.dumps(values))
+        def log_artifact(self, path, name, kind): pass
+        def finish(self): pass
+    return Remote()
+
 def scorer(question, option):
     return (-1.0 if option.strip() == "right" else -5.0, 2)
 
-def trainer(run, folder):
+def trainer(run, folder, resume=None):
     import pathlib
+    steps = pathlib.Path(folder) / "checkpoints" / f"checkpoint-{10 * run.train.epochs}"
+    steps.mkdir(parents=True, exist_ok=True)
+    (pathlib.Path(folder) / "calls.txt").open("a").write(f"{run.train.epochs} {resume}\\n")
     lines = [{"_step": s, "_ts": float(s), "loss": 1.0 / s} for s in range(1, 9)] + [{"_step": s, "_ts": float(s), "eval_loss": 2.0 / s} for s in (4, 8)]
     pathlib.Path(folder).mkdir(parents=True, exist_ok=True)
     (pathlib.Path(folder) / "metrics.jsonl").write_text("\\n".join(map(json.dumps, lines)))
@@ -118,6 +134,12 @@ def test_commands_one_by_one(spark, place, capsys):
     (place / "adapter" / "w.safetensors").write_bytes(b"12345")
     assert run(spark, place, "export", place / "adapter", "--base-model", "m", "--out", place / "rel") == 0
     manifest = json.loads((place / "rel" / "manifest.json").read_text())
+    assert manifest["base_model"] == "m" and manifest["lora"]["r"] is None and manifest["created_utc"][:2] == "20" and "training_messages" in manifest["prompt_contract"]
+    (place / "adapter" / "adapter_config.json").write_text('{"r": 16, "lora_alpha": 32, "target_modules": ["q", "v"], "base_model_name_or_path": "named"}')
+    assert run(spark, place, "export", place / "adapter", "--out", place / "rel2") == 0
+    other = json.loads((place / "rel2" / "manifest.json").read_text())
+    assert (other["base_model"], other["lora"]["r"], other["lora"]["alpha"], other["lora"]["target_modules"]) == ("named", 16, 32, ["q", "v"]) and other["adapter_size_mb"] == 0.0
+    assert "vllm serve named --enable-lora --max-lora-rank 16" in (place / "rel2" / "serve.sh").read_text()
     assert manifest["bytes"] == 5 and list(manifest["files"]) == ["w.safetensors"] and "FROM m" in (place / "rel" / "Modelfile").read_text()
     (place / "log.jsonl").write_text("\n".join(json.dumps({"model": "base", "ts": float(i), "latency": 0.5, "tokens": 10}) for i in range(9)))
     assert run(spark, place, "serve", "--log", place / "log.jsonl") == 0 and "20.0" in capsys.readouterr().out
@@ -128,6 +150,135 @@ def test_commands_one_by_one(spark, place, capsys):
     assert run(spark, place, "query", "trained_share", "/root/testdata/sf0.001") == 0
 
 
+def test_lengths_are_those_that_the_trainer_sees(spark, place, capsys, monkeypatch):
+    from millrace.functions import text as T
+
+    data = place / "data"
+    examples = [json.loads(x) for f in sorted((data / "train.jsonl").glob("part*")) for x in f.read_text().splitlines()]
+    (place / "long.yaml").write_text(json.dumps({"name": "long", "data_dir": str(data), "output_root": str(place / "artifacts" / "runs2"), "tracker": "mlflow", "train": {"epochs": 2, "max_seq_length": 20}}))
+    monkeypatch.setenv("REMOTE_FILE", str(place / "remote.json"))
+    args = cli.parser().parse_args(["train", str(place / "long.yaml"), "--trainer", "toy_models:trainer", "--tokenizer", "toy_models:tokens", "--remote", "mlflow=toy_models:tracker"])
+    assert args.run(spark, args) == 0
+    said = capsys.readouterr().err
+    done = json.loads((place / "artifacts" / "runs2" / "long" / "train_summary.json").read_text())
+    lengths = sorted(len(f"{T.SYSTEM} A reviewer left this note on Python code: > {e['comment']} Snippet: ```python {e['old_code']} ``` Rewrite the snippet so that it does what the note asks. ```python {e['new_code']} ```".split()) for e in examples)
+    n = len(lengths)
+    assert (done["lengths"]["n"], done["lengths"]["seq_len_p50"], done["lengths"]["seq_len_max"], done["lengths"]["seq_len_truncated_pct"]) == (n, lengths[n // 2], lengths[-1], 100.0)
+    assert "warning: 100.0 %" in said and str(done["lengths"]["suggested_limit"]) in said
+    assert json.loads((place / "remote.json").read_text())["run_name"] == "long"
+
+
+def test_a_run_goes_on_from_its_last_checkpoint(spark, place, capsys):
+    folder = place / "artifacts" / "runs3" / "go"
+    (place / "go.yaml").write_text(json.dumps({"name": "go", "data_dir": str(place / "data"), "output_root": str(place / "artifacts" / "runs3"), "train": {"epochs": 1}}))
+
+    def train(*more):
+        args = cli.parser().parse_args(["train", str(place / "go.yaml"), "--trainer", "toy_models:trainer", "--resume", *more])
+        return args.run(spark, args)
+
+    assert train() == 0 and "starts anew" in capsys.readouterr().out
+    assert train("--set", "train.epochs=12") == 0 and train("--set", "train.epochs=12") == 0
+    calls = (folder / "calls.txt").read_text().splitlines()
+    assert calls[0] == "1 None" and calls[1].endswith("go/checkpoints/checkpoint-10") and calls[2].endswith("checkpoint-120")
+    with pytest.raises(ValueError, match="learning_rate"):
+        train("--set", "train.epochs=13", "train.learning_rate=0.5")
+    with pytest.raises(ValueError, match="later"):
+        train("--set", "train.epochs=3")
+
+
+def test_no_question_is_asked_twice(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    asked = tmp_path / "asked.txt"
+
+    def caller(prompt):
+        with asked.open("a") as f:
+            f.write(prompt + "\n")
+        return f"{prompt}!{asked.stat().st_size}"  # no two answers are the same
+
+    def count():
+        return len(asked.read_text().splitlines()) if asked.exists() else 0
+
+    rows = spark.createDataFrame([(i, f"q{i % 30}" if i else None) for i in range(90)], "id long, q string")
+    store = str(tmp_path / "store")
+    first = {r.id: r.answer for r in J.ask_once(rows, F.col("q"), caller, store, "m", commit=8).collect()}
+    assert count() == 30 and first[0] is None and first[1] == first[31] and first[1].startswith("q1!")
+    assert {r.id: r.answer for r in J.ask_once(rows, F.col("q"), caller, store, "m").collect()} == first and count() == 30
+    more = rows.union(spark.createDataFrame([(99, "new")], rows.schema))
+    assert {r.id: r.answer for r in J.ask_once(more, F.col("q"), caller, store, "m").collect()}.items() >= first.items() and count() == 31
+    assert J.ask_once(rows, F.col("q"), caller, store, "other").count() == 90 and count() == 61
+    assert J.ask_once(rows.limit(0), F.col("q"), caller, store).count() == 0
+
+
+def test_a_replayed_batch_is_in_the_log_once(spark, tmp_path):
+    log, schema = str(tmp_path / "log"), "step int, loss double"
+    assert sinks.read_batches(spark, log, schema).count() == 0
+    batch = lambda *steps: spark.createDataFrame([(s, 1.0 / s) for s in steps], schema)
+    assert sinks.append_once(batch(1, 2), log, 0) and sinks.append_once(batch(3), log, 1)
+    assert not sinks.append_once(batch(1, 2), log, 0) and not sinks.append_once(batch(9), log, 1)
+    assert sinks.append_once(batch(7), log, 1, "other")
+    batch(5).write.json(f"{log}/_batch-000000000002-left")  # a driver that died before the commit
+    assert sorted(r.step for r in sinks.read_batches(spark, log, schema).collect()) == [1, 2, 3, 7]
+
+    source, write = str(tmp_path / "in"), sinks.once_log(str(tmp_path / "stream"))
+    failed = []
+
+    def fails_after_writing(rows, number):
+        write(rows, number)
+        if not failed:
+            failed.append(number)
+            raise RuntimeError("lost after the commit")
+
+    batch(1, 2, 3).coalesce(1).write.json(source)
+    for sink in (fails_after_writing, fails_after_writing, write):
+        query = spark.readStream.schema(schema).json(source).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        try:
+            query.awaitTermination()
+        except Exception:
+            assert failed
+    assert failed == [0] and sorted(r.step for r in sinks.read_batches(spark, str(tmp_path / "stream"), schema).collect()) == [1, 2, 3]
+
+
+def test_only_what_is_stale_runs(spark, place, capsys, tmp_path):
+    import time
+
+    raw = [x for s in ("train", "valid", "test") for x in (f"--{s}", place / f"{s}.jsonl")]
+    (place / "step.yaml").write_text(json.dumps({"name": "step", "data_dir": str(tmp_path / "data"), "output_root": str(tmp_path / "art" / "runs"), "train": {"epochs": 1}}))
+    args = ["all", *raw, "--size", 40, "--base", "toy_models:base", "--tuned", "toy_models:tuned", "--resamples", 50, "--artifacts", tmp_path / "art", "--data", tmp_path / "data", "--handwritten", place / "own.jsonl",
+            "--trainer", "toy_models:trainer", "--config", place / "step.yaml"]
+
+    def ran(*more):
+        capsys.readouterr()
+        assert run(spark, place, *args, *more) == 0
+        said = capsys.readouterr().out.splitlines()
+        return [x.split(":")[0] for x in said if x.endswith(": running")], [x.split(":")[0] for x in said if x.endswith(": up to date")]
+
+    assert ran("--only", "benchmark") == (["data", "benchmark"], [])
+    assert ran() == (["train", "eval-base", "eval-tuned", "compare", "report"], ["data", "benchmark"])
+    assert ran()[0] == []
+    assert ran("--resamples", 60)[0] == ["compare", "report"]
+    (tmp_path / "art" / "eval" / "comparison.json").unlink()
+    assert ran("--resamples", 60)[0] == ["compare"]
+    assert ran("--resamples", 60, "--seed", 14)[0] == ["data", "benchmark", "train", "eval-base", "eval-tuned", "compare", "report"]
+    time.sleep(1.1)
+    (place / "own.jsonl").write_text((place / "own.jsonl").read_text() + "\n")
+    assert ran("--resamples", 60, "--seed", 14)[0] == ["benchmark", "eval-base", "eval-tuned", "compare", "report"]
+
+
+def test_targets_in_order():
+    from millrace.plans.targets import Target, in_order
+
+    def target(name, *after):
+        return Target(name, lambda: 0, [], after=list(after))
+
+    steps = [target("c", "a", "b"), target("b", "a"), target("a"), target("d")]
+    assert [t.name for t in in_order(steps, ["c"])] == ["a", "b", "c"]
+    with pytest.raises(ValueError, match="no target"):
+        in_order(steps, ["x"])
+    with pytest.raises(ValueError, match="circle"):
+        in_order([target("a", "b"), target("b", "a")], ["a"])
+
+
 def test_a_leak_is_an_exit_code(spark, place, monkeypatch):
     raw = [x for s in ("train", "valid", "test") for x in (f"--{s}", place / f"{s}.jsonl")]
     monkeypatch.setattr(cli.S, "separate", lambda rows: rows.replace({"valid-0": "train-0"}, subset="repo"))
