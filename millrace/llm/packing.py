@@ -6,8 +6,9 @@ capacity), and plans with classes of equal bins: a pattern of lengths and how
 many bins hold it. Best fit by decreasing length fills the classes; local search
 then exchanges one document for one, two for one, or moves one between underfull
 bins wherever that raises the sum of squared fills, until emptied bins vanish
-and no exchange helps. A class is split only where a run of equal lengths ends,
-and by exchanges, so the plan's size grows with the moves of the search.
+and no exchange helps. A search is for a bounded number of pieces: of more, the
+counts are searched in proportion, and what that leaves over again, so the plan
+and the driver's time grow with the logarithm of the pieces.
 
 Pieces get their place by rank within their length, numbered inside hash buckets
 whose counts give the offsets; no task sorts all pieces of one length.
@@ -32,6 +33,8 @@ from millrace.llm.common import materialize, read_table, ship_by_value, worker_c
 CAPACITY = 2048
 END = 0
 BUCKETS = 1024
+#: Pieces that one search is for; more are searched in proportion.
+PLANNED = 32_768
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), in the order of places
 
@@ -321,11 +324,40 @@ def local_search(classes: list[tuple[Pattern, int]], capacity: int = CAPACITY) -
     return done + sorted(pool.bins.items(), reverse=True)
 
 
+def search(counts: dict[int, int], capacity: int = CAPACITY, planned: int = PLANNED) -> list[tuple[Pattern, int]]:
+    """Classes of a histogram of any number of pieces, searched for no more than `planned` pieces at a time.
+
+    Counts are divided by the power of two that leaves so many; the classes found stand
+    for as many bins each. What the division leaves over, a sixteenth, and the emptiest
+    of these bins, as long as they hold a twentieth of the pieces at most, are the next
+    histogram, a fifth of the last or less; the last one is not divided. So time and
+    classes grow with the number of digits of the counts. Up to `planned` pieces it is one search.
+    """
+    classes: list[tuple[Pattern, int]] = []
+    while True:
+        shift = (sum(counts.values()) // planned).bit_length()
+        if not shift:
+            return classes + local_search(best_fit(counts, capacity), capacity)
+        # A sixteenth stays behind, so that what is left has its share of the short pieces that fill gaps.
+        part = {length: m - m // 16 for length, n in counts.items() if (m := n >> shift)}
+        found = local_search(best_fit(part, capacity), capacity)
+        counts = {length: left for length, n in counts.items() if (left := n - (part.get(length, 0) << shift))}
+        spare = sum(part.values()) // 20
+        for pattern, bins in sorted(found, key=lambda c: fill(c[0])):
+            spare -= bins * sum(times for _, times in pattern)
+            if spare < 0 or fill(pattern) == capacity:
+                classes.append((pattern, bins << shift))
+                spare = -1
+            else:
+                for length, times in pattern:
+                    counts[length] = counts.get(length, 0) + (bins * times << shift)
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarray]:
     """Segments of ranks by length: key (length, first rank), first sequence, offset, and how often the pattern repeats the length."""
     taken: dict[int, int] = {}
     rows, sequence = [], 0
-    for pattern, bins in local_search(best_fit(counts, capacity), capacity):
+    for pattern, bins in search(counts, capacity):
         offset = 0
         for length, times in pattern:
             rows.append((length, taken.get(length, 0), sequence, offset, times))
