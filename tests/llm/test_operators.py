@@ -376,3 +376,30 @@ def test_a_component_of_many_blocks_with_texts_beside_its_main_group(spark, monk
     for most in (6_000_000, 900, 300):
         monkeypatch.setattr(minhash, "MAX_SHINGLES", most)
         assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == want
+
+
+def test_prose_in_languages_without_a_reference_is_kept(spark):
+    """Sentences made of words of languages that no reference lists; junk with the same words is rejected."""
+    import random
+
+    rng = random.Random(7)
+    said = {
+        "fi": "ja on ei se että hän oli mutta kun niin kuin myös sitten talvella järven rannalla vanha kalastaja katseli hiljaista vettä aamulla lapset juoksivat pihalla äiti keitti kahvia keittiössä metsässä lumi peitti polun illalla kaikki istuivat pöydän ääressä kertoivat tarinoita menneistä vuosista",
+        "tr": "ve bir bu için çok ama gibi daha sonra kadar eski şehrin sokaklarında yürürken denizin kokusunu duydum annem mutfakta çay hazırlıyordu çocuklar bahçede oynuyorlardı akşam olunca herkes masanın etrafında oturdu geçmiş yıllardan hikayeler anlattılar güneş dağların arkasında yavaşça battı",
+        "ru": "и в не на что он как это но когда потом старый рыбак смотрел на тихую воду утром дети бегали во дворе мать варила кофе на кухне зимой снег покрыл дорогу в лесу вечером все сидели за столом и рассказывали истории о прошлых годах",
+        "el": "και το να είναι που στο για με από ο παλιός ψαράς κοίταζε το ήσυχο νερό το πρωί τα παιδιά έτρεχαν στην αυλή η μητέρα έφτιαχνε καφέ στην κουζίνα το βράδυ όλοι κάθονταν γύρω από το τραπέζι",
+        "ko": "그리고 나는 그는 오래된 어부가 조용한 물을 바라보았다 아침에 아이들이 마당에서 뛰어놀았다 어머니는 부엌에서 커피를 끓였다 저녁에 모두가 식탁에 앉아 지난 이야기를 했다 겨울에는 눈이 숲길을 덮었다",
+    }
+    rows = []
+    for k, words in said.items():
+        for n in (30, 120, 400):
+            text = " ".join(rng.choice(words.split()) + rng.choice(["", "", "", "", "", "", ",", "."]) for _ in range(n))
+            rows += [(f"{k}{n}", text), (f"junk {k}{n}", " ".join(w + rng.choice(["%%%", "###", "$$$"]) for w in text.split()))]
+    rows.append(("zh", " ".join("".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(12)) + "。" for _ in range(120))))
+    got = {r.doc_id: r for r in quality.quality_report(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    for k, r in got.items():
+        if not k.startswith("junk"):
+            assert r.kept, r
+        elif not k.endswith("30"):
+            assert not r.kept, r
