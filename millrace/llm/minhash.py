@@ -11,7 +11,7 @@
    close to one is represented by it, and a node that may be near one is
    connected to it. Their union-find components hold every linked pair of the
    buckets, as distance obeys the triangle inequality, with fewer edges than
-   members. A large bucket is dealt out in parts whose leaders meet again; there
+   members. A large bucket is dealt out in parts, whose leaders meet again in pairs of parts; there
    none is represented by another, so that two linked nodes of different parts are
    one representation each apart, as within a part.
 4. Each component's full shingle sets then meet once, and its exact links are
@@ -321,6 +321,14 @@ def grouped(df: DataFrame, keys: list[str], order: str, fn: Callable, schema: st
     return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(fn, schema)
 
 
+def in_pairs_of_parts(leaders: DataFrame) -> DataFrame:
+    """The leaders of a bucket dealt into parts of about PART, and each part together with every other, so that any two meet and no task holds more than two parts."""
+    parts = leaders.groupBy(F.col("bucket").alias("_b")).agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).alias("parts"))
+    own, other = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")), F.col("other")
+    dealt = leaders.join(parts, F.col("bucket") == F.col("_b")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return dealt.select("bucket", (F.least("own", other) * F.col("parts") + F.greatest("own", other)).alias("part"), "node", "_short")
+
+
 def coarse_edges(nodes: DataFrame) -> DataFrame:
     """Edges between nodes whose signatures may be near, from their buckets."""
     rows = materialize(nodes.select(F.explode("_bands").alias("bucket"), "node"), "minhash-bands")
@@ -333,8 +341,8 @@ def coarse_edges(nodes: DataFrame) -> DataFrame:
     first = materialize(grouped(signed.select("bucket", "part", "node", "_short"), ["bucket", "part"], "node", _lead(ABSORB), schema), "minhash-first")
     large = signed.filter("again").select("bucket", "node", "_short")
     leaders = first.filter("a = b").select(F.col("bucket").alias("_b"), F.col("a").alias("_a"))
-    met = large.join(leaders, (F.col("bucket") == F.col("_b")) & (F.col("node") == F.col("_a"))).select("bucket", F.lit(0).cast("long").alias("part"), "node", "_short")
-    second = grouped(met, ["bucket", "part"], "node", _lead(2.0), schema)  # no leader stands for another
+    met = large.join(leaders, (F.col("bucket") == F.col("_b")) & (F.col("node") == F.col("_a"))).select("bucket", "node", "_short")
+    second = grouped(in_pairs_of_parts(materialize(met, "minhash-leaders")), ["bucket", "part"], "node", _lead(2.0), schema)  # no leader stands for another
     return first.unionByName(second).filter("a <> b").select("a", "b")
 
 
