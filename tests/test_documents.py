@@ -335,6 +335,7 @@ def test_small_helpers(spark, tmp_path):
     assert S.read_json(spark, str(tmp_path / "a" / "x.json")) == {"i": 1} and S.read_json(spark, str(tmp_path / "none")) is None
     assert REP.number(None) == "–" and REP.share(0.123) == "12.3%" and REP.environment(spark).count() == 1
     assert J.PROVIDERS is not None and P.load_probes(spark.createDataFrame([], P.PROBES))[0].count() == 0
+    assert REP.table(spark.range(52)).endswith("_2 more rows are not shown._") and REP.table(spark.range(50)).endswith("| 49 |")
     empty = documents.rows(spark.range(0))
     assert empty == []
     with pytest.raises(ValueError):
