@@ -14,12 +14,15 @@
    members. A large bucket is dealt out in parts, whose leaders meet again in pairs of parts; there
    none is represented by another, so that two linked nodes of different parts are
    one representation each apart, as within a part.
-4. Each component's full shingle sets then meet once, and its exact links are
-   searched breadth first among what is not reached yet. Components beyond a
+4. Each component's full shingle sets then meet once. Linked sets share one of
+   their rarest shingles (a quarter of them, and one), so sets fall into candidate
+   groups, and exact links are searched breadth first inside these. Components beyond a
    bound are dealt out in blocks: links are searched inside each block, then among
-   one text of each group found. What is not in the component's main group by then
-   meets every block. A large group of copies thus costs its own size; only texts
-   outside it cost their number times the component's.
+   one text of each group found. If texts are left outside the component's main group,
+   all of them are put into finer components by their rarest shingles, which
+   meet as the first ones did; only of a finer component that is still beyond the bound do
+   the texts outside the main group meet every block. What many texts share
+   is nobody's rarest, so common boilerplate makes no work, nor does a large group of copies.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ REGISTERS = BANDS * ROWS
 ABSORB, CONNECT = 0.85, 0.45
 #: Members of a bucket that one task compares at once, and shingles of a component that one task holds.
 PART, MAX_SHINGLES = 4096, 6_000_000
+#: So few sets are compared with each other without a look at their rarest shingles; bits of the sketch of frequencies.
+COMPARED_AT_ONCE, SKETCH_BITS = 32, 20
 #: Shingles that are signed together.
 SIGNED_TOGETHER = 200_000
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
@@ -251,7 +256,58 @@ def components(edges: DataFrame) -> DataFrame:
         free_shuffles(edges.sparkSession)
 
 
+def rarest(n: np.ndarray | int) -> np.ndarray | int:
+    """Of a set of n shingles in any order common to all sets, so many first ones hold one of each linked set's."""
+    return n - (THRESHOLD * n + 99) // 100 + 1
+
+
+def candidate_groups(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A label for each set, the same for sets that can be linked: linked sets share one of their rarest shingles.
+
+    Shingles are put in order of the number of sets that hold them, so what many
+    sets share comes last and is left out, unless sets consist of little else.
+    """
+    n = len(sizes)
+    held = np.bincount(codes)
+    rank = np.empty(len(held), np.int64)
+    rank[np.argsort(held, kind="stable")] = np.arange(len(held))
+    owner = np.repeat(np.arange(n), sizes)
+    token = np.sort(owner * len(held) + rank[codes]) - owner * len(held)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = place < rarest(sizes)[owner]
+    token, owner = token[first], owner[first]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    same = token[1:] == token[:-1]
+    a, b = owner[:-1][same], owner[1:][same]
+    labels = np.arange(n)
+    while len(a):
+        least = np.minimum(labels[a], labels[b])
+        before = labels.copy()
+        np.minimum.at(labels, labels[a], least)
+        np.minimum.at(labels, labels[b], least)
+        while (labels[labels] != labels).any():
+            labels = labels[labels]
+        if (labels == before).all():
+            break
+    return labels
+
+
 def linked_groups(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the least index it reaches over links of at least THRESHOLD per cent; only sets that can be linked are compared."""
+    if len(sets) < COMPARED_AT_ONCE:
+        return reached_groups(sets)
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    labels = candidate_groups(codes, np.array([len(s) for s in sets]))
+    order = np.argsort(labels, kind="stable")
+    group = np.arange(len(sets))
+    for members in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1):
+        if len(members) > 1:
+            group[members] = members[reached_groups([sets[i] for i in members])]
+    return group
+
+
+def reached_groups(sets: list[np.ndarray]) -> np.ndarray:
     """For each set the least index it reaches over links of at least THRESHOLD per cent.
 
     Breadth first: a reached set is compared, over full sets, with those not
@@ -352,11 +408,76 @@ def blocks_of(shingles: str, name: str = "blocks") -> Column:
 
 def met_links(keyed: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     """Exact links (a, b) among the texts of each (comp, part) of `rows` (comp, part, node, _key)."""
-    texts = maybe_in(keyed, F.col("_key"), rows, F.col("_key")).groupBy("_key").agg(F.first("_text").alias("_text")).withColumnRenamed("_key", "_k")
-    met = rows.join(texts, F.col("_key") == F.col("_k")).select("comp", "part", "node", "_text")
+    met = rows.join(texts_of(keyed, rows), F.col("_key") == F.col("_k")).select("comp", "part", "node", "_text")
     return materialize(grouped(met, ["comp", "part"], "node", _verify, "a long, b long"), name)
 
 
+def texts_of(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """_k and _text of the keys in `rows`."""
+    return maybe_in(keyed, F.col("_key"), rows, F.col("_key")).groupBy("_key").agg(F.first("_text").alias("_text")).withColumnRenamed("_key", "_k")
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts hold a shingle, by the last bits of its hash."""
+    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    for batch in batches:
+        for text in batch.column(0).cast(pa.binary()).to_pylist():
+            np.add.at(counts, (shingles(text) & np.uint64(len(counts) - 1)).astype(np.int64), 1)
+    found = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["slot", "n"])
+
+
+def _rarest(shared):
+    """Rows (comp, node, root, other, text): a key for each of a text's rarest shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            keys, which = [], []
+            for i, (comp, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(4).cast(pa.binary()).to_pylist(), strict=True)):
+                s = shingles(text)
+                order = np.lexsort((s, counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)]))
+                first = s[order[: rarest(len(s))]]
+                keys.append(((first ^ _times_odd(comp)) * _MIX).view(np.int64))
+                which.append(np.full(len(first), i))
+            rows = pa.array(np.concatenate(which) if which else np.empty(0, np.int64))
+            key = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([key, *(batch.column(i).take(rows) for i in (1, 2, 3))], ["key", "node", "root", "other"])
+
+    return run
+
+
+def finer_components(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, comp) of the texts that can be linked with one of another group: those that share one of their rarest shingles.
+
+    `groups` has comp, node, _key, root and other, which is false for the main group of
+    its component. Rarity is by a sketch of fixed size; any order would do, but this one
+    leaves out what many texts share. A key's texts are tied to its least, not to each other.
+    """
+    spark = keyed.sparkSession
+    told = groups.join(texts_of(keyed, groups), F.col("_key") == F.col("_k")).select("comp", "node", "root", "other", "_text")
+    told = materialize(told, "minhash-large-texts")
+    sketch = told.select("_text").mapInArrow(_sketch, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    found = sketch.toArrow()  # at most 2**SKETCH_BITS rows
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    keys = materialize(told.mapInArrow(_rarest(spark.sparkContext.broadcast(counts)), "key long, node long, root long, other boolean"), "minhash-rarest")
+    free_shuffles(spark)
+    own = keys.filter("other")
+    met = own.union(maybe_in(keys.filter("not other"), F.col("key"), own, F.col("key"), 24))
+    shared = met.groupBy(F.col("key").alias("_k")).agg(F.min("node").alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("_k", "least")
+    edges = met.join(shared, F.col("key") == F.col("_k")).select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    finer = materialize(components(edges), "minhash-finer")
+    return finer.select("node", F.col("root").alias("comp")).union(finer.select("root", "root").distinct())
+
+
+def with_main(groups: DataFrame) -> DataFrame:
+    """Adds other: whether a text is outside the main group, the one with most shingles, of its component."""
+    sums = groups.groupBy("comp", "root").agg(F.sum("n_shingles").alias("s"))
+    main = sums.groupBy(F.col("comp").alias("_c")).agg(F.max(F.struct("s", "root"))["root"].alias("_main"))
+    return groups.join(main, F.col("comp") == F.col("_c")).withColumn("other", F.col("root") != F.col("_main")).drop("_c", "_main")
+
+
 def large_roots(keyed: DataFrame, large: DataFrame) -> DataFrame:
     """(_a, root) for components of several blocks: `large` has comp, node, _key, n_shingles, blocks."""
     spark = keyed.sparkSession
@@ -373,21 +494,31 @@ def large_roots(keyed: DataFrame, large: DataFrame) -> DataFrame:
     across = met_links(keyed, firsts, "minhash-across")
     free_shuffles(spark)
     known = inside.union(across)
-    groups = materialize(with_group(known), "minhash-grouped")
-    sums = groups.groupBy("comp", "root").agg(F.sum("n_shingles").alias("s"))
-    main = sums.groupBy(F.col("comp").alias("_c")).agg(F.max(F.struct("s", "root"))["root"].alias("_main"))
-    others = materialize(groups.join(main, F.col("comp") == F.col("_c")).filter("root <> _main").drop("_c"), "minhash-others")
-    if not others.isEmpty():
-        count = others.groupBy(F.col("comp").alias("_c")).agg(blocks_of("n_shingles", "_of"))
-        every = F.sequence(F.lit(0), F.col("_of") - 1)
-        own = others.join(count, F.col("comp") == F.col("_c")).withColumn("_k2", F.pmod(F.xxhash64("node", F.lit(1)), F.col("_of")).cast("int"))
-        sent = own.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", (F.col("_k2") * F.col("blocks") + F.col("_j")).alias("part"), "node", "_key")
-        met = placed.join(count, F.col("comp") == F.col("_c")).withColumn("_k2", F.explode(every)).select("comp", (F.col("_k2") * F.col("blocks") + F.col("block")).alias("part"), "node", "_key")
-        known = known.union(met_links(keyed, sent.union(met), "minhash-rest"))
+    groups = materialize(with_main(with_group(known)), "minhash-grouped")
+    if not groups.filter("other").isEmpty():
+        finer = finer_components(keyed, groups).withColumnRenamed("node", "_n").withColumnRenamed("comp", "_finer")
+        again = groups.join(finer, F.col("node") == F.col("_n")).select(F.col("_finer").alias("comp"), "node", "_key", "n_shingles", "root")
+        sizes = again.groupBy(F.col("comp").alias("_c")).agg(blocks_of("n_shingles"))
+        again = materialize(with_main(again.join(sizes, F.col("comp") == F.col("_c")).drop("_c")), "minhash-again")
+        known = known.union(met_links(keyed, again.filter("blocks = 1").withColumn("part", F.lit(0)), "minhash-finer-links"))
+        still = again.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        if not still.isEmpty():
+            known = known.union(met_by_all_blocks(keyed, still))
         free_shuffles(spark)
     return components(known).select(F.col("node").alias("_a"), "root")
 
 
+def met_by_all_blocks(keyed: DataFrame, placed: DataFrame) -> DataFrame:
+    """Links of the texts outside the main group with all texts of their component."""
+    others = placed.filter("other")
+    count = others.groupBy(F.col("comp").alias("_c")).agg(blocks_of("n_shingles", "_of"))
+    every = F.sequence(F.lit(0), F.col("_of") - 1)
+    own = others.join(count, F.col("comp") == F.col("_c")).withColumn("_k2", F.pmod(F.xxhash64("node", F.lit(1)), F.col("_of")).cast("int"))
+    sent = own.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", (F.col("_k2") * F.col("blocks") + F.col("_j")).alias("part"), "node", "_key")
+    met = placed.join(count, F.col("comp") == F.col("_c")).withColumn("_k2", F.explode(every)).select("comp", (F.col("_k2") * F.col("blocks") + F.col("block")).alias("part"), "node", "_key")
+    return met_links(keyed, sent.union(met), "minhash-rest")
+
+
 def near_groups(keyed: DataFrame) -> DataFrame:
     """keyed (_key, _text) -> _key, n_shingles, root: texts of one component share a root; root is null for texts without words."""
     spark = keyed.sparkSession

@@ -403,3 +403,56 @@ def test_prose_in_languages_without_a_reference_is_kept(spark):
             assert r.kept, r
         elif not k.endswith("30"):
             assert not r.kept, r
+
+
+def test_common_boilerplate_makes_no_work():
+    """20,000 texts that share 60 per cent and have no group: their rarest shingles are their own, so time grows with their number."""
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    common = rng.integers(0, 2**63, 180).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 2**63, 120).astype(np.uint64)])) for _ in range(20_000)]
+    sets[19_999] = np.unique(np.append(sets[7][:-3], np.uint64(5)))
+    began = time.process_time()
+    got = minhash.linked_groups(sets)
+    assert time.process_time() - began < 40
+    assert got[19_999] == 7 and (got[:19_999] == np.arange(19_999)).all()
+
+
+def test_linked_groups_by_rarest_shingles_are_those_of_full_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(15):
+        sets = [np.unique(rng.integers(0, 300, rng.integers(1, 60)).astype(np.uint64)) for _ in range(25)]
+        for s in sets[:]:
+            for _ in range(rng.integers(0, 5)):
+                kept = rng.permutation(s)[rng.integers(0, len(s) // 4 + 1) :]
+                if len(kept):
+                    sets.append(np.unique(np.concatenate([kept, rng.integers(1000, 2000, rng.integers(0, len(s) // 6 + 1)).astype(np.uint64)])))
+        assert len(sets) >= minhash.COMPARED_AT_ONCE and (minhash.linked_groups(sets) == minhash.reached_groups(sets)).all()
+
+
+def test_large_components_of_boilerplate_equal_brute_force(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    common = " ".join(f"c{i}" for i in range(70))
+    rows = []
+    for i in range(120):
+        own = [f"o{i}x{k}" for k in range(45 if i % 3 else 20)]
+        rows.append((i, f"{common} {' '.join(own)}", None, None, None))
+        if i % 4 == 0:  # a chain of near copies, in another order of ids
+            for step in range(rng.randrange(1, 4)):
+                own[rng.randrange(len(own))] = f"e{i}y{step}"
+                rows.append((1000 - i * 4 - step, f"{common} {' '.join(own)}", None, None, None))
+    rng.shuffle(rows)
+    monkeypatch.setattr(minhash, "MAX_SHINGLES", 1500)
+    monkeypatch.setattr(minhash, "PART", 8)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {}
+    for comp in near_components(rows):
+        want |= {rows[i][0]: min(rows[j][0] for j in comp) for i in comp}
+    assert got == want and len(set(want.values())) < len(rows)
