@@ -45,22 +45,22 @@ def mcnemar(pairs: DataFrame, base: str, tuned: str, keys: list[str] | None = No
     return counts.withColumn("p_value", p).withColumn("significant", F.col("p_value") < 0.05)
 
 
-#: Pairs of a block, resamples that one task draws, and decimal places in whose units differences are added up.
-BLOCK, RESAMPLES, UNIT = 4096, 250, 10
+#: Pairs of a block, resamples that one task draws, decimal places in whose units differences are added up, and the
+#: blocks that are broadcast (65,536 pairs; 4 MB for eight metrics).
+BLOCK, RESAMPLES, UNIT, BROADCAST = 4096, 250, 10, 16
 
 
-def numbers(name: str, n: int) -> np.ndarray:
-    """n reproducible numbers below 2**32: the md5 of `name` and a count gives four."""
-    digests = b"".join([hashlib.md5(f"{name}:{k}".encode()).digest() for k in range(-(-n // 4))])
-    return np.frombuffer(digests, ">u4")[:n].astype(np.int64)
+def numbers(name: str, counts: list[bytes]) -> np.ndarray:
+    """Reproducible numbers below 2**32: the md5 of `name` and each of `counts`, which are written out once for many names, gives four."""
+    head = f"{name}:".encode()
+    return np.frombuffer(b"".join([hashlib.md5(head + k).digest() for k in counts]), ">u4").astype(np.int64)
 
 
 def split_counts(seed: int, r: int, n: int, block: int) -> np.ndarray:
     """How many of resample r's n draws fall into each block of pairs, a piece of the draws at a time."""
     counts = np.zeros(-(-n // block), np.int64)
     for start in range(0, n, 1 << 20):
-        digests = b"".join([hashlib.md5(f"{seed}:{r}:{k}".encode()).digest() for k in range(start // 4, -(-min(n, start + (1 << 20)) // 4))])
-        draws = np.frombuffer(digests, ">u4").astype(np.int64)[: n - start]
+        draws = numbers(f"{seed}:{r}", [b"%d" % k for k in range(start // 4, -(-min(n, start + (1 << 20)) // 4))])[: n - start]
         counts += np.bincount(draws % n // block, minlength=len(counts))
     return counts
 
@@ -88,24 +88,27 @@ def drawn_sums(seed: int, n: int, block: int, width: int):
             for b, first, times, values in zip(batch["b"], batch["first"], batch["times"], batch["values"], strict=True):
                 table = np.stack(list(values)).astype(np.int64)
                 sums = np.empty((len(times), width), np.int64)
+                written_out = [b"%d" % k for k in range(-(-int(max(times)) // 4))]
                 for j, m in enumerate(times):
                     name = f"{seed}:{first + j}:{b}" if n > block else f"{seed}:{first + j}"
-                    sums[j] = np.bincount(numbers(name, int(m)) % len(table), minlength=len(table)) @ table
+                    drawn = numbers(name, written_out[: -(-int(m) // 4)])[:m]
+                    sums[j] = np.bincount(drawn % len(table), minlength=len(table)) @ table
                 yield pd.DataFrame({"r": np.arange(first, first + len(times)), **{f"d{i}": sums[:, i] for i in range(width)}})
 
     return draw
 
 
-def bootstrap_table(pairs: DataFrame, key: str, metrics: list[str], *, resamples: int = 10_000, alpha: float = 0.05, seed: int = 0, block: int = BLOCK) -> DataFrame:
+def bootstrap_table(pairs: DataFrame, key: str, metrics: list[str], *, resamples: int = 10_000, alpha: float = 0.05, seed: int = 0, block: int = BLOCK, most: int = BROADCAST) -> DataFrame:
     """metric, n, base, tuned, delta, ci_low, ci_high and significant, from base_<metric> and tuned_<metric>; a null difference counts as 0.
 
     Draws are split like a tree. Pairs are numbered by ranges of the key and dealt
     into blocks; of a resample, first the number of draws that fall into each block
     is drawn, then, for a block by itself, which of its pairs they are. Both are
     seeded hashes, so a task can draw for any block and any resamples, and all
-    metrics share the draws. Draws never leave their task: what is shuffled is the
-    pairs, once, and for each block one row for every RESAMPLES resamples. No pairs
-    give no rows.
+    metrics share the draws. Draws never leave their task. Up to `most` blocks are
+    broadcast to tasks of RESAMPLES resamples; of more, what is shuffled is the pairs, in
+    as many copies as keep all cores busy, and one row for each block and task. No
+    pairs give no rows.
     """
     spark = pairs.sparkSession
     diffs = [F.coalesce(F.col(f"tuned_{m}").cast("double") - F.col(f"base_{m}").cast("double"), F.lit(0.0)).cast("decimal(18,10)") for m in metrics]
@@ -123,7 +126,15 @@ def bootstrap_table(pairs: DataFrame, key: str, metrics: list[str], *, resamples
     at = F.col("_at") - 1
     indexed = ranked(rows, by, ["_key"], "_at").select(at.alias("i"), F.floor(at / F.lit(block)).alias("_b"), F.array(*[f"d{i}" for i in range(len(metrics))]).alias("v"))
     blocks = indexed.groupBy("_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("values"))  # `block` pairs at most
-    drawn = block_counts(spark, seed, resamples, n, block).join(blocks, F.col("b") == F.col("_b")).select("b", "first", "times", "values")
+    counts = block_counts(spark, seed, resamples, n, block)
+    if n <= most * block:
+        drawn = counts.join(F.broadcast(blocks), F.col("b") == F.col("_b"))
+    else:
+        copies = -(-2 * spark.sparkContext.defaultParallelism // -(-n // block))
+        blocks = blocks.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        copy = F.pmod(F.floor(F.col("first") / F.lit(RESAMPLES)), F.lit(copies))
+        drawn = counts.join(blocks.hint("merge"), (F.col("b") == F.col("_b")) & (copy == F.col("_copy")))
+    drawn = drawn.select("b", "first", "times", "values")
     width = len(metrics)
     sums = drawn.mapInPandas(drawn_sums(seed, n, block, width), "r long, " + ", ".join(f"d{i} long" for i in range(width)))
     sums = sums.groupBy("r").agg(*[(F.sum(f"d{i}") / 10.0**UNIT / n).alias(f"m{i}") for i in range(width)])

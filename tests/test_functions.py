@@ -209,8 +209,8 @@ def test_bootstrap_draws_blocks_first_and_then_inside(spark):
     rows = [(i, float(i % 3), float(i * i % 7)) for i in range(n)]
     d = [b - a for _, a, b in rows]
     pairs = spark.createDataFrame(rows, "i long, base_x double, tuned_x double").repartition(3)
-    for block in (4096, 11, 4, 1):
-        got = CP.bootstrap_table(pairs, "i", ["x"], resamples=resamples, block=block).first()
+    for block, most in ((4096, 16), (11, 0), (4, 16), (4, 0), (1, 5)):
+        got = CP.bootstrap_table(pairs, "i", ["x"], resamples=resamples, block=block, most=most).first()
         means = []
         for r in range(resamples):
             picked = [x % n for x in draws(f"0:{r}", n)]
