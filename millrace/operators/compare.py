@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,55 +46,152 @@ def mcnemar(pairs: DataFrame, base: str, tuned: str, keys: list[str] | None = No
     return counts.withColumn("p_value", p).withColumn("significant", F.col("p_value") < 0.05)
 
 
-#: Pairs of a block, resamples that one task draws, decimal places in whose units differences are added up, and the
-#: blocks that are broadcast (65,536 pairs; 4 MB for eight metrics).
-BLOCK, RESAMPLES, UNIT, BROADCAST = 4096, 250, 10, 16
-
-
-def numbers(name: str, counts: list[bytes]) -> np.ndarray:
-    """Reproducible numbers below 2**32: the md5 of `name` and each of `counts`, which are written out once for many names, gives four."""
-    head = f"{name}:".encode()
-    return np.frombuffer(b"".join([hashlib.md5(head + k).digest() for k in counts]), ">u4").astype(np.int64)
-
-
-def split_counts(seed: int, r: int, n: int, block: int) -> np.ndarray:
-    """How many of resample r's n draws fall into each block of pairs, a piece of the draws at a time."""
-    counts = np.zeros(-(-n // block), np.int64)
-    for start in range(0, n, 1 << 20):
-        draws = numbers(f"{seed}:{r}", [b"%d" % k for k in range(start // 4, -(-min(n, start + (1 << 20)) // 4))])[: n - start]
-        counts += np.bincount(draws % n // block, minlength=len(counts))
-    return counts
+#: Pairs of a block, resamples that one task splits and the draws it makes for them at most, decimal places in whose units
+#: differences are added up, and the blocks that are broadcast (65,536 pairs; 4 MB for eight metrics).
+BLOCK, RESAMPLES, DRAWS, UNIT, BROADCAST = 4096, 250, 1 << 28, 10, 16
+#: Digests that are worked out at once: their columns stay in a core's cache.
+AT_ONCE = 1 << 15
+#: md5's shifts, the order of its words and its constants (RFC 1321).
+SHIFTS = [s for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in four * 4]
+WORDS = [*range(16), *((5 * i + 1) % 16 for i in range(16)), *((3 * i + 5) % 16 for i in range(16)), *(7 * i % 16 for i in range(16))]
+SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+
+
+def tails(length: int, start: int, end: int) -> np.ndarray:
+    """The 16 words of md5's block for each count from `start` to `end`, written out after a head of `length` zero bytes."""
+    k = np.arange(start, end)
+    block = np.zeros((len(k), 64), np.uint8)
+    for digits in range(len(str(start)), len(str(max(end - 1, start))) + 1):
+        at = np.flatnonzero((k >= (10 ** (digits - 1) if digits > 1 else 0)) & (k < 10**digits))
+        for i in range(digits):
+            block[at, length + i] = 48 + k[at] // 10 ** (digits - 1 - i) % 10
+        block[at, length + digits] = 0x80
+        block[at, 56], block[at, 57] = (length + digits) * 8 % 256, (length + digits) * 8 // 256
+    return np.ascontiguousarray(block.view("<u4").T)
+
+
+def numbers(heads: list[bytes], start: int, end: int, known: dict) -> np.ndarray:
+    """Reproducible numbers below 2**32, a row for each head: the md5 of the head and each count from `start` to `end` gives four.
+
+    Heads have one length. Digests of all heads and counts are worked out together,
+    a column of words at a time; `known` keeps the counts written out.
+    """
+    length = len(heads[0])
+    if length + len(str(end)) > 55:  # more than one block of md5
+        return np.array([np.frombuffer(b"".join([hashlib.md5(h + b"%d" % k).digest() for k in range(start, end)]), ">u4") for h in heads]).astype(np.uint32)
+    if (length, start, end) not in known:
+        known.clear()
+        known[length, start, end] = tails(length, start, end)
+    tail = known[length, start, end]
+    head = np.frombuffer(b"".join([h.ljust(64, b"\0") for h in heads]), "<u4").reshape(-1, 16)
+    shape, m = (len(heads), end - start), []
+    for w in range(16):
+        column, row = head[:, w : w + 1], tail[w][None, :]
+        m.append(None if not column.any() and not row.any() else column if not row.any() else row if not column.any() else column | row)
+    a, b, c, d = (np.full(shape, x, np.uint32) for x in START)
+    f, g = np.empty(shape, np.uint32), np.empty(shape, np.uint32)
+    for i in range(64):
+        if i < 16:
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+        f += a
+        word = m[WORDS[i]]
+        if word is None:
+            f += np.uint32(SINES[i])
+        elif word.size < f.size:
+            f += word + np.uint32(SINES[i])
+        else:
+            f += word
+            f += np.uint32(SINES[i])
+        np.right_shift(f, 32 - SHIFTS[i], out=g)
+        f <<= SHIFTS[i]
+        f |= g
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    four = np.empty((*shape, 4), np.uint32)
+    for i, (x, begin) in enumerate(zip((a, b, c, d), START, strict=True)):
+        np.add(x, np.uint32(begin), out=four[:, :, i])
+    return four.byteswap(inplace=True).reshape(len(heads), -1)
+
+
+def below(x: np.ndarray, n: int) -> np.ndarray:
+    """x % n, by a division that NumPy does for many numbers at once."""
+    return x if n >= 1 << 32 else x - x // np.uint32(n) * np.uint32(n)
+
+
+def draws_of(names: list[str], counts: list[int], size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, drawn): pieces of the counts[i] draws below `size` that names[i] stands for, in order for each name."""
+    heads = [f"{name}:".encode() for name in names]
+    for length in sorted({len(h) for h in heads}):
+        same, known = [i for i, h in enumerate(heads) if len(h) == length], {}
+        most = -(-max(counts[i] for i in same) // 4)
+        for start in range(0, most, AT_ONCE):
+            end = min(most, start + AT_ONCE)
+            rows = max(1, AT_ONCE // (end - start))
+            for j in range(0, len(same), rows):
+                now = same[j : j + rows]
+                drawn = below(numbers([heads[i] for i in now], start, end, known), size)
+                for i, x in zip(now, drawn, strict=True):
+                    yield i, x[: max(counts[i] - 4 * start, 0)]
+
+
+def split_counts(seed: int, drawn: range, n: int, block: int) -> np.ndarray:
+    """How many of the n draws of each resample in `drawn` fall into each block of pairs."""
+    counts = np.zeros((len(drawn), -(-n // block)), np.int64)
+    for i, x in draws_of([f"{seed}:{r}" for r in drawn], [n] * len(drawn), n):
+        counts[i] += np.bincount(x // np.uint32(block), minlength=counts.shape[1])
+    return counts.T
+
+
+def step_of(n: int) -> int:
+    """Resamples that one task splits: fewer of more pairs, so that its draws are bounded."""
+    return max(RESAMPLES // 10, min(RESAMPLES, DRAWS // max(n, 1)))
 
 
 def block_counts(spark: SparkSession, seed: int, resamples: int, n: int, block: int) -> DataFrame:
-    """(b, first, times): for each block of pairs, how often it is drawn by RESAMPLES resamples from `first` on."""
-    firsts = spark.range(0, resamples, RESAMPLES, -(-resamples // RESAMPLES)).select(F.col("id").alias("first"))
+    """(b, first, times): for each block of pairs, how often it is drawn by step_of() resamples from `first` on."""
+    step = step_of(n)
+    firsts = spark.range(0, resamples, step, -(-resamples // step)).select(F.col("id").alias("first"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for first in batch["first"]:
-                drawn = range(first, min(first + RESAMPLES, resamples))
+                drawn = range(first, min(first + step, resamples))
                 # With one block the draws themselves are taken inside it.
-                times = np.stack([split_counts(seed, r, n, block) for r in drawn], axis=1) if n > block else np.full((1, len(drawn)), n)
+                times = split_counts(seed, drawn, n, block) if n > block else np.full((1, len(drawn)), n)
                 yield pd.DataFrame({"b": np.arange(len(times)), "first": first, "times": list(times)})
 
     return firsts.mapInPandas(split, "b long, first long, times array<long>")
 
 
 def drawn_sums(seed: int, n: int, block: int, width: int):
-    """Rows (b, first, times, values): each resample's sums of the values that it draws inside the block."""
+    """Rows (b, r, times, values): the sums of the values that each of the resamples `r` draws inside the block."""
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for b, first, times, values in zip(batch["b"], batch["first"], batch["times"], batch["values"], strict=True):
-                table = np.stack(list(values)).astype(np.int64)
-                sums = np.empty((len(times), width), np.int64)
-                written_out = [b"%d" % k for k in range(-(-int(max(times)) // 4))]
-                for j, m in enumerate(times):
-                    name = f"{seed}:{first + j}:{b}" if n > block else f"{seed}:{first + j}"
-                    drawn = numbers(name, written_out[: -(-int(m) // 4)])[:m]
-                    sums[j] = np.bincount(drawn % len(table), minlength=len(table)) @ table
-                yield pd.DataFrame({"r": np.arange(first, first + len(times)), **{f"d{i}": sums[:, i] for i in range(width)}})
+            for b, rs, times, values in zip(batch["b"], batch["r"], batch["times"], batch["values"], strict=True):
+                table = np.asarray(values, np.int64).reshape(-1, width)
+                # Doubles add whole numbers up exactly below 2**53, and faster.
+                exact = float(np.abs(table).max()) * int(max(times)) < 2.0**52
+                table = table.astype(np.float64) if exact else table
+                sums = np.zeros((len(rs), width), np.int64)
+                names = [f"{seed}:{r}:{b}" if n > block else f"{seed}:{r}" for r in rs]
+                for i, x in draws_of(names, [int(m) for m in times], len(table)):
+                    sums[i] += (np.bincount(x, minlength=len(table)) @ table).astype(np.int64)
+                yield pd.DataFrame({"r": rs, **{f"d{i}": sums[:, i] for i in range(width)}})
 
     return draw
 
@@ -107,8 +205,9 @@ def bootstrap_table(pairs: DataFrame, key: str, metrics: list[str], *, resamples
     seeded hashes, so a task can draw for any block and any resamples, and all
     metrics share the draws. Draws never leave their task. Up to `most` blocks are
     broadcast to tasks of RESAMPLES resamples; of more, what is shuffled is the pairs, in
-    as many copies as keep all cores busy, and one row for each block and task. No
-    pairs give no rows.
+    as many copies as keep all cores busy, and one row for each block and task, into
+    about a partition a block, so the longest task draws for a few blocks at any
+    number of pairs. No pairs give no rows.
     """
     spark = pairs.sparkSession
     diffs = [F.coalesce(F.col(f"tuned_{m}").cast("double") - F.col(f"base_{m}").cast("double"), F.lit(0.0)).cast("decimal(18,10)") for m in metrics]
@@ -125,16 +224,22 @@ def bootstrap_table(pairs: DataFrame, key: str, metrics: list[str], *, resamples
     by = "_key" if numeric else "_hash"  # other keys are numbered by their hash
     at = F.col("_at") - 1
     indexed = ranked(rows, by, ["_key"], "_at").select(at.alias("i"), F.floor(at / F.lit(block)).alias("_b"), F.array(*[f"d{i}" for i in range(len(metrics))]).alias("v"))
-    blocks = indexed.groupBy("_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("values"))  # `block` pairs at most
+    blocks = indexed.groupBy("_b").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"])).alias("values"))  # `block` pairs at most
     counts = block_counts(spark, seed, resamples, n, block)
+    resample = F.expr("sequence(first, first + size(times) - 1)")
     if n <= most * block:
-        drawn = counts.join(F.broadcast(blocks), F.col("b") == F.col("_b"))
+        drawn = counts.withColumn("r", resample).join(F.broadcast(blocks), F.col("b") == F.col("_b"))
     else:
-        copies = -(-2 * spark.sparkContext.defaultParallelism // -(-n // block))
+        n_blocks = -(-n // block)
+        copies = -(-2 * spark.sparkContext.defaultParallelism // n_blocks)
         blocks = blocks.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-        copy = F.pmod(F.floor(F.col("first") / F.lit(RESAMPLES)), F.lit(copies))
-        drawn = counts.join(blocks.hint("merge"), (F.col("b") == F.col("_b")) & (copy == F.col("_copy")))
-    drawn = drawn.select("b", "first", "times", "values")
+        counts = counts.withColumn("copy", F.pmod(F.floor(F.col("first") / F.lit(step_of(n))), F.lit(copies)).cast("int")).withColumn("r", resample)
+        # A block is few bytes and long work, so the number of partitions is said: by bytes, adaptive execution would put all into a few.
+        parts = min(n_blocks * copies, 10_000)
+        counts = counts.repartition(parts, "b", "copy").groupBy("b", "copy").agg(F.collect_list(F.struct("r", "times")).alias("x"))  # `resamples` numbers at most
+        counts = counts.select("b", "copy", F.flatten(F.col("x.r")).alias("r"), F.flatten(F.col("x.times")).alias("times"))
+        drawn = counts.join(blocks.repartition(parts, "_b", "_copy").hint("merge"), (F.col("b") == F.col("_b")) & (F.col("copy") == F.col("_copy")))
+    drawn = drawn.select("b", "r", "times", "values")
     width = len(metrics)
     sums = drawn.mapInPandas(drawn_sums(seed, n, block, width), "r long, " + ", ".join(f"d{i} long" for i in range(width)))
     sums = sums.groupBy("r").agg(*[(F.sum(f"d{i}") / 10.0**UNIT / n).alias(f"m{i}") for i in range(width)])

@@ -260,3 +260,20 @@ def test_exact_quotas_equal_a_fold(spark, seed):
     assert C.greedy(df.limit(0), **names, per_repo=1, per_comment=1).count() == 0
     if seed == 0:
         assert {v for _, v in C.greedy(df, **names, per_repo=0, per_comment=1).collect()} == {"repo_quota"}
+
+
+def test_numbers_are_md5_for_any_head_and_count():
+    import hashlib
+
+    for head, start, end in (("0:5", 0, 1200), ("0:9999:299", 95, 1100), ("7", 0, 1), ("1" * 60, 3, 9)):
+        want = [int(hashlib.md5(f"{head}:{k}".encode()).hexdigest()[8 * j : 8 * j + 8], 16) for k in range(start, end) for j in range(4)]
+        assert [x.tolist() for x in CP.numbers([f"{head}:".encode()] * 2, start, end, {})] == [want, want]
+    pieces = [(i, x.tolist()) for i, x in CP.draws_of(["0:9", "0:10"], [7, 5], 1000)]
+    assert sorted((i, len(x)) for i, x in pieces) == [(0, 7), (1, 5)]
+
+
+def test_bootstrap_says_how_many_tasks_draw(spark):
+    """Blocks are few bytes and long work; dealt by bytes, all of them would go to a few tasks."""
+    pairs = spark.range(400).selectExpr("id as i", "0.0D as base_x", "cast(id % 3 as double) as tuned_x")
+    table = CP.bootstrap_table(pairs, "i", ["x"], resamples=20, block=4, most=0)
+    assert "REPARTITION_BY_NUM" in table._jdf.queryExecution().executedPlan().toString() and table.count() == 1
