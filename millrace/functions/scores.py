@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import ast
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
@@ -77,14 +76,24 @@ def bit_distance(x: np.ndarray, y: np.ndarray) -> int:
     return score
 
 
-@F.pandas_udf(StructType([StructField(k, IntegerType()) for k in ("pred_gold", "old_gold", "overlap")]))
-def counted(pred: pd.Series, gold: pd.Series, old: pd.Series, pred_tokens: pd.Series, gold_tokens: pd.Series) -> pd.DataFrame:
-    """Both distances and the tokens in common; the built-in forms take quadratic time and are for snippets."""
-    rows = []
-    for p, g, o, s, t in zip(pred, gold, old, pred_tokens, gold_tokens, strict=True):
+COUNTED = StructType([StructField(k, IntegerType()) for k in ("pred_gold", "old_gold", "overlap")])
+
+
+@F.arrow_udf(COUNTED)
+def counted(pred: pa.Array, gold: pa.Array, old: pa.Array, pred_tokens: pa.Array, gold_tokens: pa.Array) -> pa.Array:
+    """Both distances and the tokens in common; the built-in forms take quadratic time and are for snippets.
+
+    Tokens come as one text, a space between two. Texts stay in Arrow's memory and
+    become Python's a row at a time, so that a batch takes the bytes of its texts.
+    """
+
+    def row(p: str | None, g: str | None, o: str | None, s: str | None, t: str | None) -> tuple[int | None, int | None, int | None]:
         known = p is not None and g is not None
-        rows.append((edit_distance(p, g) if known else None, edit_distance(o, g) if o is not None and g is not None else None, (Counter(s) & Counter(t)).total() if known else None))
-    return pd.DataFrame(rows, columns=["pred_gold", "old_gold", "overlap"], dtype="Int32")
+        bags = (Counter(x.split(" ") if x else ()) for x in (s, t))
+        return edit_distance(p, g) if known else None, edit_distance(o, g) if o is not None and g is not None else None, (next(bags) & next(bags)).total() if known else None
+
+    rows = [row(*[x.as_py() for x in texts]) for texts in zip(pred, gold, old, pred_tokens, gold_tokens, strict=True)]
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int32()) for i in range(3)], names=["pred_gold", "old_gold", "overlap"])
 
 
 def norm_distance(a: Column, b: Column, distance: Column | None = None) -> Column:
@@ -119,8 +128,8 @@ def line_edit_f1(old: Column, pred: Column, gold: Column) -> Column:
     return F.when(F.size(gold_edit) == 0, F.when(F.size(pred_edit) == 0, 1.0).otherwise(0.0)).otherwise(f1(hit, F.size(pred_edit), F.size(gold_edit)))
 
 
-@F.pandas_udf(BooleanType())
-def parses(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(BooleanType())
+def parses(codes: pa.Array) -> pa.Array:
     """Whether a text parses as Python; no built-in function can tell."""
 
     def ok(code: str | None) -> bool:
@@ -130,13 +139,13 @@ def parses(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         except (SyntaxError, ValueError, MemoryError, RecursionError):
             return False
 
-    for codes in batches:
-        yield codes.map(ok)
+    return pa.array([ok(code.as_py()) for code in codes], pa.bool_())
 
 
 def syntax_ok(old: Column, pred: Column, lang: Column) -> Column:
-    """Null unless the language is Python and the original parsed."""
-    return F.when((lang == "py") & parses(old), parses(pred))
+    """Null unless the language is Python and the original parsed; texts of other languages are not given to the parser."""
+    python = lang == "py"
+    return F.when(python & parses(F.when(python, old)), parses(F.when(python, pred)))
 
 
 def score_columns(pred: Column, gold: Column, old: Column, to_gold: Column, from_old: Column, tokens: Column, syntax: Column) -> dict[str, Column]:
@@ -161,13 +170,14 @@ def with_scores(df: DataFrame, pred: str = "prediction", gold: str = "gold", old
     texts = df.select("*", *[normalize_code(F.col(c)).alias(k) for c, k in ((pred, "_p"), (gold, "_g"), (old, "_o"))])
     # Tokens are columns, so that the overlap's lambda reads them instead of matching the pattern for every element.
     texts = texts.select("*", code_tokens(F.col("_p")).alias("_tp"), code_tokens(F.col("_g")).alias("_tg"))
-    texts = texts.withColumn("_c", counted("_p", "_g", "_o", "_tp", "_tg"))
+    # All that Python finds out is in one projection, so that one process does it for a task.
+    found = syntax_ok(F.col("_o"), F.col("_p"), F.coalesce(F.col(lang), F.lit("")) if lang in df.columns else F.lit(""))
+    texts = texts.select("*", counted("_p", "_g", "_o", F.array_join("_tp", " "), F.array_join("_tg", " ")).alias("_c"), found.alias("_ok"))
     texts = texts.select(
         "*",
         norm_distance(F.col("_p"), F.col("_g"), F.col("_c.pred_gold")).alias("_pg"),
         norm_distance(F.col("_o"), F.col("_g"), F.col("_c.old_gold")).alias("_og"),
         f1(F.col("_c.overlap"), F.size("_tp"), F.size("_tg")).alias("_f1"),
-        syntax_ok(F.col("_o"), F.col("_p"), F.coalesce(F.col(lang), F.lit("")) if lang in df.columns else F.lit("")).alias("_ok"),
     )
     scores = score_columns(*[F.col(c) for c in ("_p", "_g", "_o", "_pg", "_og", "_f1", "_ok")])
     return texts.select(*df.columns, *[c.alias(k) for k, c in scores.items()])
