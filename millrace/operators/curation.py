@@ -68,7 +68,7 @@ def with_reject_reason(raw: DataFrame, limits: Limits = Limits()) -> DataFrame:
     ]
     digest = T.content_hash(F.col("old_code"), F.col("_comment"))
     return texts.select(
-        "*", first_reason(reasons).alias("reject_reason"), digest.alias("hash"), T.norm_comment(F.col("_comment")).alias("comment_norm"), classify(F.col("_comment")).alias("category")
+        "*", first_reason(reasons).alias("reject_reason"), digest.alias("hash"), T.norm_comment(F.col("_comment")).alias("comment_norm"), classify(F.col("_comment"), small=F.col("_low")).alias("category")
     )
 
 

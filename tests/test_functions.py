@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -277,3 +278,31 @@ def test_bootstrap_says_how_many_tasks_draw(spark):
     pairs = spark.range(400).selectExpr("id as i", "0.0D as base_x", "cast(id % 3 as double) as tuned_x")
     table = CP.bootstrap_table(pairs, "i", ["x"], resamples=20, block=4, most=0)
     assert "REPARTITION_BY_NUM" in table._jdf.queryExecution().executedPlan().toString() and table.count() == 1
+
+
+def test_scores_take_one_python_process_a_task_and_no_text_of_other_languages(spark):
+    rows = [("a b c", "a c c", "a b c", "go"), (None, "x", "x", "py"), ("", "", "y", "py"), ("x = 1", "x = 2", "x = 1", "py"), ("if:", "x", "x = 1", "py"), ("x", "x", "if:", "py"), ("é ü", "e ü", "é", None)]
+    scored = SC.with_scores(spark.createDataFrame(rows, "prediction string, gold string, old_code string, lang string"))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("BatchEvalPython") == 1
+    got = [(r.dist_pred_gold, r.dist_old_gold, r.token_f1, r.syntax_ok) for r in scored.collect()]
+    want = [(0.2, 0.2, 2 / 3, None), (None, 0.0, None, True), (0.0, 1.0, 0.0, True), (0.2, 0.2, 2 / 3, True), (1.0, 0.8, 0.0, False), (0.0, 1.0, 1.0, None), (1 / 3, 1.0, 0.5, None)]
+    assert [tuple(x if x is None or isinstance(x, bool) else pytest.approx(x) for x in r) for r in want] == got
+
+
+@pytest.mark.parametrize("label", [k for k, _ in X.RULES])
+def test_keywords_stand_wherever_their_rule_matches(spark, label):
+    """Each alternative of the rule, filled in at random, also in capitals, with letters that fold to ASCII and glued to others."""
+    rng, pattern = random.Random(label), dict(X.RULES)[label]
+    parts = re.split(r"\|(?![^(]*\))", pattern)
+    fill = lambda p: re.sub(r"\[([^\]])[^\]]*\]", r"\1", re.sub(r"\((?:[^()|]|\([^()]*\))*((?:\|[^()|]*)*)\)\??", lambda m: rng.choice(m.group(0).strip("()?").split("|")), p.replace("(n't)?", ""))).replace(r"\b", "").replace(r"\s", " ").replace(".*", rng.choice(["", " a "])).replace("\\", "").strip("^$*")
+    made = [x for p in parts for _ in range(8) for x in (fill(p),)]
+    said = [w for x in made for y in (x, x.upper(), x.replace("s", "ſ"), x.replace("i", "İ"), x.replace("k", "K"), x.replace("?", ""), x + " >= y") for w in (y, f"q {y} q", f"é{y}", f"{y}é", f"a_{y}_b", f"({y})", f"x {y}\n")]
+    df = spark.createDataFrame([(x,) for x in dict.fromkeys(said)], "s string").withColumn("low", F.lower("s"))
+    got = df.select("s", X._may(F.col("s"), F.col("low"), [label]).alias("may"), F.col("s").rlike(X._FLAGS + pattern).alias("is"), (X.classify(F.col("s"), small=F.col("low")) == X.classify(F.col("s"), X.RULES)).alias("same")).collect()
+    assert not [r.s for r in got if getattr(r, "is") and not r.may] and all(r.same for r in got) and sum(getattr(r, "is") for r in got) > 10
+
+
+def test_rules_are_not_tried_on_texts_without_a_keyword(spark):
+    plan = spark.range(1).select(X.classify(F.concat(F.lit("lorem"), F.col("id").cast("string"))).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("(?<![a-z0-9_])") < plan.index("spell(ing|ed)")
