@@ -153,6 +153,48 @@ class Quota(StatefulProcessor):
         pass
 
 
+#: Buckets that keys without a timer are dealt into, and the columns of a row's bucket and key.
+BUCKETS, IN_BUCKET, KEY = 1024, "bucket_of_quota", "key_of_quota"  # Spark renames those that begin with an underscore
+
+
+class BucketQuota(StatefulProcessor):
+    """Quota() for all keys of a bucket at once, so that Python is called for a bucket and not for every key; state is one count a key.
+
+    Held are at most the quota's rows of each key of the bucket that the batch has.
+    """
+
+    def __init__(self, name: str, limit: int, order: str, out: str, columns: list[str]) -> None:
+        self.name, self.limit, self.order, self.out, self.columns = name, limit, order, out, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getMapState("count", "key string", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        used, held = {}, None
+        for batch in rows:
+            open_rows = batch[self.out].isna()
+            if not open_rows.all():
+                yield batch.loc[~open_rows, self.columns]
+            if not open_rows.any():
+                continue
+            both = batch[open_rows] if held is None else pd.concat([held, batch[open_rows]])
+            both = both.sort_values(self.order, kind="stable")
+            for k in both[KEY].unique():
+                if k not in used:
+                    used[k] = self.count.getValue((k,))[0] if self.count.containsKey((k,)) else 0
+            stays = both.groupby(KEY, sort=False).cumcount() < self.limit - both[KEY].map(used)
+            held, refused = both[stays], both[~stays]
+            if len(refused):
+                yield refused[self.columns].assign(**{self.out: self.name})
+        if held is not None and len(held):
+            for k, n in held[KEY].value_counts().items():
+                self.count.updateValue((k,), (used[k] + int(n),))
+            yield held[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
 PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -173,13 +215,17 @@ def quotas_stream(rows: DataFrame, quotas: list[tuple[str, list[str], int]], ord
     `quotas` has (name, columns, limit): a dedup is a quota of one row. Each is a
     stateful step keyed by its own columns, so that quotas by repository and by
     comment, neither of which determines the other, follow each other as in the
-    batch cascade, batch by batch. Null is a key like any other.
+    batch cascade, batch by batch. Null is a key like any other. Without `idle`, keys
+    go to Python by the bucket, as a call for each of many keys would take all the time.
     """
     told = rows.withColumn(out, F.lit(None).cast("string"))
     schema = StructType([*rows.schema.fields, StructField(out, StringType())])
-    mode = "None" if idle is None else "ProcessingTime"
     for name, columns, limit in quotas:
-        told = told.groupBy(*columns).transformWithStateInPandas(Quota(name, limit, order, out, idle), schema, "Append", mode)
+        if idle is not None:
+            told = told.groupBy(*columns).transformWithStateInPandas(Quota(name, limit, order, out, idle), schema, "Append", "ProcessingTime")
+            continue
+        keyed = told.withColumns({KEY: F.to_json(F.struct(*columns)), IN_BUCKET: F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")})
+        told = keyed.groupBy(IN_BUCKET).transformWithStateInPandas(BucketQuota(name, limit, order, out, schema.names), schema, "Append", "None")
     return told
 
 

@@ -87,3 +87,17 @@ def test_a_quota_holds_no_more_rows_than_its_limit():
     assert dict(zip(out["id"], out["verdict"].where(out["verdict"].notna(), None), strict=True)) == {1: None, 2: None, 4: None, 7: "before", 8: "full", 9: "full"}
     assert handle.n == {("full",): (3,)}
     assert list(pd.concat(list(quota.handleInputRows(("k",), iter(batches[1:]), None)))["verdict"]) == ["full"] * 3
+
+
+def test_quotas_call_python_by_the_bucket():
+    """Many keys of one bucket in one call, over two batches and on top of earlier counts."""
+    import pandas as pd
+
+    n = {("a",): (1,)}
+    quota = SQ.BucketQuota("full", 2, "id", "verdict", ["id", "verdict"])
+    quota.count = type("State", (), {"containsKey": staticmethod(lambda k: k in n), "getValue": staticmethod(lambda k: n[k]), "updateValue": staticmethod(lambda k, v: n.update({k: v}))})
+    batches = [pd.DataFrame({"id": [9, 4, 7, 5], "verdict": [None, None, "before", None], SQ.KEY: ["a", "b", "a", "b"]}), pd.DataFrame({"id": [6], "verdict": ["before"], SQ.KEY: ["c"]}), pd.DataFrame({"id": [1, 8, 2], "verdict": [None] * 3, SQ.KEY: ["a", "c", "b"]})]
+    out = pd.concat(list(quota.handleInputRows((0,), iter(batches), None)))
+    assert list(out.columns) == ["id", "verdict"]
+    assert dict(zip(out["id"], out["verdict"].where(out["verdict"].notna(), None), strict=True)) == {1: None, 9: "full", 2: None, 4: None, 5: "full", 6: "before", 7: "before", 8: None}
+    assert n == {("a",): (2,), ("b",): (2,), ("c",): (1,)}
