@@ -177,6 +177,27 @@ def block_counts(spark: SparkSession, seed: int, resamples: int, n: int, block:
     return firsts.mapInPandas(split, "b long, first long, times array<long>")
 
 
+#: The resamples of a row of block_counts().
+RESAMPLE = "sequence(first, first + size(times) - 1)"
+
+
+def dealt(counts: DataFrame, blocks: DataFrame, step: int, n_blocks: int, copies: int) -> DataFrame:
+    """Rows of block_counts() with their block's values, all resamples of a copy in one row and each copy of a block in a partition of its own.
+
+    A block is few bytes and long work: by bytes, adaptive execution would put all
+    into a few tasks, and by a hash some tasks would get several and some none.
+    Beyond 10,000 copies partitions have equally many.
+    """
+    parts = min(n_blocks * copies, 10_000)
+    unit = lambda b, copy: (b * copies + copy).cast("int").alias("unit")
+    copy = F.pmod(F.floor(F.col("first") / F.lit(step)), F.lit(copies))
+    counts = counts.select(unit(F.col("b"), copy), "b", F.expr(RESAMPLE).alias("r"), "times")
+    counts = counts.repartitionById(parts, "unit").groupBy("unit").agg(F.first("b").alias("b"), F.collect_list(F.struct("r", "times")).alias("x"))  # `resamples` numbers at most
+    counts = counts.select("unit", "b", F.flatten(F.col("x.r")).alias("r"), F.flatten(F.col("x.times")).alias("times"))
+    blocks = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select(unit(F.col("_b"), F.col("copy")), "values")
+    return counts.join(blocks.repartitionById(parts, "unit").hint("merge"), "unit")
+
+
 def drawn_sums(seed: int, n: int, block: int, width: int):
     """Rows (b, r, times, values): the sums of the values that each of the resamples `r` draws inside the block."""
 
@@ -226,19 +247,11 @@ def bootstrap_table(pairs: DataFrame, key: str, metrics: list[str], *, resamples
     indexed = ranked(rows, by, ["_key"], "_at").select(at.alias("i"), F.floor(at / F.lit(block)).alias("_b"), F.array(*[f"d{i}" for i in range(len(metrics))]).alias("v"))
     blocks = indexed.groupBy("_b").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"])).alias("values"))  # `block` pairs at most
     counts = block_counts(spark, seed, resamples, n, block)
-    resample = F.expr("sequence(first, first + size(times) - 1)")
     if n <= most * block:
-        drawn = counts.withColumn("r", resample).join(F.broadcast(blocks), F.col("b") == F.col("_b"))
+        drawn = counts.withColumn("r", F.expr(RESAMPLE)).join(F.broadcast(blocks), F.col("b") == F.col("_b"))
     else:
         n_blocks = -(-n // block)
-        copies = -(-2 * spark.sparkContext.defaultParallelism // n_blocks)
-        blocks = blocks.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-        counts = counts.withColumn("copy", F.pmod(F.floor(F.col("first") / F.lit(step_of(n))), F.lit(copies)).cast("int")).withColumn("r", resample)
-        # A block is few bytes and long work, so the number of partitions is said: by bytes, adaptive execution would put all into a few.
-        parts = min(n_blocks * copies, 10_000)
-        counts = counts.repartition(parts, "b", "copy").groupBy("b", "copy").agg(F.collect_list(F.struct("r", "times")).alias("x"))  # `resamples` numbers at most
-        counts = counts.select("b", "copy", F.flatten(F.col("x.r")).alias("r"), F.flatten(F.col("x.times")).alias("times"))
-        drawn = counts.join(blocks.repartition(parts, "_b", "_copy").hint("merge"), (F.col("b") == F.col("_b")) & (F.col("copy") == F.col("_copy")))
+        drawn = dealt(counts, blocks, step_of(n), n_blocks, -(-2 * spark.sparkContext.defaultParallelism // n_blocks))
     drawn = drawn.select("b", "r", "times", "values")
     width = len(metrics)
     sums = drawn.mapInPandas(drawn_sums(seed, n, block, width), "r long, " + ", ".join(f"d{i} long" for i in range(width)))

@@ -280,6 +280,17 @@ def test_bootstrap_says_how_many_tasks_draw(spark):
     assert "REPARTITION_BY_NUM" in table._jdf.queryExecution().executedPlan().toString() and table.count() == 1
 
 
+@pytest.mark.parametrize("copies", (1, 2))
+def test_bootstrap_deals_a_block_to_a_partition(spark, copies):
+    """By a hash, some of 100 partitions had several blocks and some none."""
+    counts, step = CP.block_counts(spark, 0, 500, 400, 4), CP.step_of(400)
+    blocks = spark.range(100).selectExpr("id as _b", "array(id) as values")
+    got = CP.dealt(counts, blocks, step, 100, copies).select("b", "r", "times", "values", F.spark_partition_id().alias("p")).collect()
+    assert len(got) == len({r.p for r in got}) == 100 * copies and all(r.values == [r.b] for r in got)
+    want = {(r.b, r.first + i): m for r in counts.collect() for i, m in enumerate(r.times)}
+    assert {(r.b, i): m for r in got for i, m in zip(r.r, r.times, strict=True)} == want and sum(len(r.r) for r in got) == len(want)
+
+
 def test_scores_take_one_python_process_a_task_and_no_text_of_other_languages(spark):
     rows = [("a b c", "a c c", "a b c", "go"), (None, "x", "x", "py"), ("", "", "y", "py"), ("x = 1", "x = 2", "x = 1", "py"), ("if:", "x", "x = 1", "py"), ("x", "x", "if:", "py"), ("é ü", "e ü", "é", None)]
     scored = SC.with_scores(spark.createDataFrame(rows, "prediction string, gold string, old_code string, lang string"))
