@@ -48,7 +48,7 @@ def mcnemar(pairs: DataFrame, base: str, tuned: str, keys: list[str] | None = No
 
 #: Pairs of a block, resamples that one task splits and the draws it makes for them at most, decimal places in whose units
 #: differences are added up, and the blocks that are broadcast (65,536 pairs; 4 MB for eight metrics).
-BLOCK, RESAMPLES, DRAWS, UNIT, BROADCAST = 4096, 250, 1 << 28, 10, 16
+BLOCK, RESAMPLES, DRAWS, UNIT, BROADCAST = 4096, 250, 1 << 26, 10, 16
 #: Digests that are worked out at once: their columns stay in a core's cache.
 AT_ONCE = 1 << 15
 #: md5's shifts, the order of its words and its constants (RFC 1321).
@@ -157,8 +157,8 @@ def split_counts(seed: int, drawn: range, n: int, block: int) -> np.ndarray:
 
 
 def step_of(n: int) -> int:
-    """Resamples that one task splits: fewer of more pairs, so that its draws are bounded."""
-    return max(RESAMPLES // 10, min(RESAMPLES, DRAWS // max(n, 1)))
+    """Resamples that one task splits: fewer of more pairs, so that it draws DRAWS times at most, or for one resample."""
+    return max(1, min(RESAMPLES, DRAWS // max(n, 1)))
 
 
 def block_counts(spark: SparkSession, seed: int, resamples: int, n: int, block: int) -> DataFrame:

@@ -291,6 +291,12 @@ def test_bootstrap_deals_a_block_to_a_partition(spark, copies):
     assert {(r.b, i): m for r in got for i, m in zip(r.r, r.times, strict=True)} == want and sum(len(r.r) for r in got) == len(want)
 
 
+def test_bootstrap_bounds_the_draws_of_a_task():
+    for n in (1, 399, 204_478, 1_226_868, 6_000_000, 60_000_000):
+        assert 1 <= CP.step_of(n) <= 250 and CP.step_of(n) * n <= 1 << 26
+    assert CP.step_of(204_478) == 250 and CP.step_of(1 << 40) == 1
+
+
 def test_scores_take_one_python_process_a_task_and_no_text_of_other_languages(spark):
     rows = [("a b c", "a c c", "a b c", "go"), (None, "x", "x", "py"), ("", "", "y", "py"), ("x = 1", "x = 2", "x = 1", "py"), ("if:", "x", "x = 1", "py"), ("x", "x", "if:", "py"), ("é ü", "e ü", "é", None)]
     scored = SC.with_scores(spark.createDataFrame(rows, "prediction string, gold string, old_code string, lang string"))
